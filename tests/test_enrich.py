@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -6,13 +7,18 @@ from pyspark.sql import functions as F
 from wordloom.functions.words import filled_categories, require_category
 from wordloom.operators.checks import split_by_category
 from wordloom.operators.enrich import drop_untranslated, process_words
+from wordloom.schemas import TRANSLATIONS
 
-ENTRY = "source_batch STRING, pos BIGINT, word STRING, translations MAP<STRING, ARRAY<STRING>>"
+def entry_frame(spark, rows):
+    """Rows of (batch, pos, word, translations); by way of JSON, which keeps the key order."""
+    texts = [(batch, pos, word, json.dumps(each)) for batch, pos, word, each in rows]
+    df = spark.createDataFrame(texts, "source_batch STRING, pos BIGINT, word STRING, j STRING")
+    translations = F.from_json("j", TRANSLATIONS).alias("translations")
+    return df.select("source_batch", "pos", "word", translations)
 
 
 def entries(spark, *words, batch="b"):
-    rows = [(batch, pos, word, translations) for pos, (word, translations) in enumerate(words)]
-    return spark.createDataFrame(rows, ENTRY)
+    return entry_frame(spark, [(batch, pos, word, each) for pos, (word, each) in enumerate(words)])
 
 
 def processed(df, **options):
@@ -119,7 +125,7 @@ def test_against_a_loop(spark, seed):
     rows = [(name, pos, word, t) for name, words in sequences.items()
             for pos, (word, t) in enumerate(words)]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, ENTRY).repartition(rng.randint(1, 8))
+    df = entry_frame(spark, rows).repartition(rng.randint(1, 8))
     got = {}
     for row in processed(df, distance=distance, neighbours=neighbours):
         got.setdefault(row.source_batch, []).append((row.pos, row.word, row.similar_words))
