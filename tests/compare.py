@@ -33,8 +33,10 @@ def rows_of(names, rows):
 
 def differences(spark, con, query, sql, sf_dir):
     """None when both sides have the same columns and rows, else what differs."""
+    start = time.time()
     df = query(spark, sf_dir)
     ours = rows_of(df.columns, df.collect())
+    print(f"    spark {time.time() - start:.1f}s", flush=True)
     result = con.execute(sql)
     columns = [column[0] for column in result.description]
     theirs = rows_of(columns, result.fetchall())

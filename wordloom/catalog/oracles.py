@@ -374,16 +374,18 @@ numbered AS (
     SELECT lang, word, reverse(word) AS meaning,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id, place) - 1 AS pos FROM tokens
 ),
-near AS (
-    SELECT a.lang, a.pos, a.word, b.pos AS other_pos, b.word AS other_word
-    FROM numbered a
-    CROSS JOIN (SELECT unnest([-2, -1, 1, 2]) AS step) s
-    JOIN numbered b ON b.lang = a.lang AND b.pos = a.pos + s.step
-    WHERE a.word <> a.meaning
-        AND (levenshtein(a.word, b.word) <= 1 OR levenshtein(a.meaning, b.meaning) <= 1)
+frames AS (
+    SELECT lang, pos, word, meaning, unnest([1, 2, 3, 4]) AS step, unnest([
+        lag(word, 2) OVER (PARTITION BY lang ORDER BY pos),
+        lag(word, 1) OVER (PARTITION BY lang ORDER BY pos),
+        lead(word, 1) OVER (PARTITION BY lang ORDER BY pos),
+        lead(word, 2) OVER (PARTITION BY lang ORDER BY pos)]) AS other
+    FROM numbered
 )
-SELECT lang, pos, word, string_agg(other_word, ',' ORDER BY other_pos) AS similar_words
-FROM near GROUP BY lang, pos, word""",
+SELECT lang, pos, word, string_agg(other, ',' ORDER BY step) AS similar_words FROM frames
+WHERE word <> meaning AND other IS NOT NULL
+    AND (levenshtein(word, other) <= 1 OR levenshtein(meaning, reverse(other)) <= 1)
+GROUP BY lang, pos, word""",
     "dictionary_new_words": f"""
 WITH {_LANGUAGE_WORDS},
 {_KNOWN},
