@@ -13,11 +13,14 @@ from wordloom.functions.text import keep_word_characters, split_words
 from wordloom.operators.ordering import dense_positions
 from wordloom.plans.dictionary import new_words
 from wordloom.schemas import PAYLOAD, TRANSLATIONS
+from wordloom.session import path_bytes
 
 # Rows of one piece when rows are numbered by an integer key.
 KEYS_PER_PIECE = 1 << 20
+# A table of texts below this size per core may lie in fewer row groups than there are cores.
+SMALL_BYTES = 16 * 1024 * 1024
 # Rows of one written file or document.
-KEYS_PER_FILE = 1024
+KEYS_PER_FILE = 1 << 15
 
 HEAD = "1\n00:00:00,000 --> 00:00:02,000\n"
 CUE = "\n\n2\n00:00:02,000 --> 00:00:04,000\n<i>"
@@ -28,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores where it is small.
+
+    A small file is one row group, hence one task, and the work per text is large. A table
+    beyond ``SMALL_BYTES`` per core is read as it lies, without a shuffle.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    texts = table(spark, sf_dir, name)
+    small = path_bytes(spark, f"{sf_dir}/{name}.parquet") <= SMALL_BYTES * cores
+    return texts.repartition(cores) if small else texts
+
+
 def as_subtitle(text: Column, note: Column) -> Column:
     """A subtitle with one cue per line of the text, a number line in dialogue and a note."""
     cues = F.replace(text, F.lit("\n"), F.lit(CUE))
@@ -35,14 +50,14 @@ def as_subtitle(text: Column, note: Column) -> Column:
 
 
 def document_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", as_subtitle(F.col("text"), F.col("lang")).alias("text")
     )
 
 
 def conversation_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One subtitle per turn."""
-    return table(spark, sf_dir, "conversations").select(
+    return text_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", as_subtitle(F.col("text"), F.col("role")).alias("text")
     )
 
@@ -59,7 +74,7 @@ def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents: ``doc_id, lang, pos, token``."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(words_of(F.col("text"))).alias("pos", "token")
     )
 
@@ -177,7 +192,7 @@ def document_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(fine)
     )
     line = envelope(custom_id, content, error, refusal)
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.col("source"),
         F.expr("doc_id div 65536").alias("block"),
         F.col("doc_id").alias("line_id"),

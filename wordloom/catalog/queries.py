@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.catalog import inputs
-from wordloom.catalog.inputs import KEYS_PER_FILE, KEYS_PER_PIECE, table
+from wordloom.catalog.inputs import KEYS_PER_FILE, KEYS_PER_PIECE, table, text_table
 from wordloom.operators.checks import duplicate_keys, null_counts, orphans, outside_domain
 from wordloom.operators.enrich import drop_untranslated, process_words
 from wordloom.operators.lookups import drop_listed, key_counts, largest_id, new_rows
@@ -153,7 +153,7 @@ def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wordlist_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = F.transform(F.split("text", "\n"), lambda line: F.split(line, "[.,]"))
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.size(lists).cast("bigint").alias("n_lists"),
         valid_word_lists(lists).alias("valid"),
@@ -267,7 +267,8 @@ def grammar_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _processed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_words(inputs.part_entries(spark, sf_dir)).drop("p_partkey")
+    entries = stage(inputs.part_entries(spark, sf_dir), "entries")
+    return process_words(entries).drop("p_partkey")
 
 
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,12 +284,13 @@ def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents, one sequence per language; ASCII letters only."""
     letters = F.regexp_replace(F.lower("text"), r"[^a-z\s]", "")
-    tokens = table(spark, sf_dir, "documents").select(
+    tokens = text_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.split(letters, r"\s+")).alias("at", "word")
     )
     entries = dense_positions(
         tokens, ["doc_id", "at"], ["lang"], chunk=F.expr("doc_id div 64")
     ).withColumn("translations", F.create_map(F.lit("noun"), F.array(F.reverse("word"))))
+    entries = stage(entries, "entries")
     found = process_words(entries, distance=1, neighbours=2, sequence="lang")
     return found.filter(F.size("similar_words") > 0).select(
         "lang", "pos", "word", F.array_join("similar_words", ",").alias("similar_words")

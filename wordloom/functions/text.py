@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space of ECMAScript regular expressions and trim(), as the body of
-# a Java character class (Java's own \s is ASCII only).
-WHITE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-
-# Every pattern below that scans a line is tied to the line start, so that a long line is read
-# once and not once per character.
-_LINE_START = r"(?<![^\n])"
+# The white space of ECMAScript regular expressions and trim(). Java's \s is the
+# ASCII part of it; this is the rest, as the body of a Java character class.
+OTHER_WHITE = (
+    r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+)
+WHITE = r"\s" + OTHER_WHITE
+
+# The patterns below start with a line end or a cheap test of the character at hand, so that
+# most characters are passed over at once, and use no group that repeats.
 _MARK = "\u0001"
 
 
@@ -20,6 +22,11 @@ def has_ink(text: Column) -> Column:
     return F.rlike(text, F.lit(f"[^{WHITE}]"))
 
 
+def plain_white(text: Column) -> Column:
+    """White space beyond ASCII as blanks, which changes none of the rules here."""
+    return F.regexp_replace(text, rf"(?=[^\x00-\x7F])[{OTHER_WHITE}]", " ")
+
+
 def clean_subtitle(text: Column) -> Column:
     """The words of a subtitle text, separated by white space.
 
@@ -27,24 +34,29 @@ def clean_subtitle(text: Column) -> Column:
     blank lines, and all characters but letters, marks, white space and hyphens go. Lines end
     at ``\\n`` only: with CRLF a number line ends in ``\\r`` and is not all digits.
     """
-    text = F.translate(text, _MARK, "\u0002")
-    # Mark the line after a number line, also when that line is a number itself.
-    text = F.regexp_replace(text, _LINE_START + r"([0-9]++)\n", "$1\n" + _MARK)
-    text = F.regexp_replace(text, _LINE_START + rf"(?:{_MARK}[^\n]*|[^\n]*?-->[^\n]*)", "")
+    text = F.replace(plain_white(text), F.lit(_MARK), F.lit("\u0002"))
+    text = F.concat(F.lit("\n"), text)
+    # Mark the end of number lines, then take away what follows a mark, up to the next one.
+    text = F.regexp_replace(text, r"\n([0-9]++)(?=\n)", "\n$1" + _MARK)
+    text = F.regexp_replace(text, rf"{_MARK}\n[^\n{_MARK}]*+", "")
+    text = F.regexp_replace(text, r"\n[^\n]*?-->[^\n]*+", "")
     text = F.regexp_replace(text, r"<[^>\n]*+>", "")
-    text = F.regexp_replace(text, _LINE_START + rf"[{WHITE}&&[^\n]]*+(?:\n|\z)", "")
-    text = F.regexp_replace(text, r"\n\z", "")
-    return keep_word_characters(text)
+    text = F.regexp_replace(text, r"\n[ \t\x0B\f\r]*+(?=\n|\z)", "")
+    return _word_characters(F.substr(text, F.lit(2)))
 
 
 def keep_word_characters(text: Column) -> Column:
-    """Delete all characters but letters, marks, white space and hyphens."""
-    return F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}{WHITE}\-]", "")
+    """Delete all characters but letters, marks, white space (as plain_white) and hyphens."""
+    return _word_characters(plain_white(text))
+
+
+def _word_characters(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?![a-zA-Z \n\-])[^\p{L}\p{M}\s\-]++", "")
 
 
-def split_words(text: Column) -> Column:
-    """Split at white space; white space at an edge gives an empty word there."""
-    return F.split(text, f"[{WHITE}]+")
+def split_words(cleaned: Column) -> Column:
+    """Split a cleaned text at white space; white space at an edge gives an empty word there."""
+    return F.split(cleaned, r"\s+")
 
 
 def distinct_lower_words(cleaned: Column) -> Column:

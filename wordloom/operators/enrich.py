@@ -14,6 +14,10 @@ from wordloom.functions.words import (
 )
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 
+# Width of a cell of the neighbour join: this many frames, and at least so many places.
+CELL_FRAMES = 4
+LEAST_CELL = 32
+
 
 def drop_untranslated(entries: DataFrame) -> DataFrame:
     """Keep entries with a translation that differs from the word."""
@@ -32,9 +36,10 @@ def similar_pairs(
     Columns: ``sequence``, ``pos``, ``other_pos``, ``other_word``. ``pos`` must be dense over
     all entries, the untranslated ones included: those are found but do not look.
 
-    Likeness goes both ways, so each pair is compared once. Sequences are cut into cells of
-    ``neighbours`` places; an entry meets the later entries of its own cell and the next, hence
-    a join key covers at most two cells, however long the sequence.
+    Likeness goes both ways, so each pair is compared once. Sequences are cut into cells a few
+    times ``neighbours`` wide. An entry meets the later entries of its cell; those at the start
+    of a cell are copied to the cell before, too. So a join key covers little more than a cell,
+    however long the sequence, and few rows are shuffled twice.
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
@@ -46,17 +51,24 @@ def similar_pairs(
         F.transform(all_translations(F.col("translations")), F.lower).alias("meanings"),
         is_translated(F.col("word"), F.col("translations")).alias("looks"),
     )
-    cell = F.expr(f"at div {max(neighbours, 1)}")
-    left = spelled.withColumn("cell", cell).alias("l")
-    right = spelled.withColumn("cell", F.explode(F.array(cell, cell - 1))).alias("r")
+    width = max(CELL_FRAMES * neighbours, LEAST_CELL)
+    cell = F.expr(f"at div {width}")
+    at_start = F.pmod("at", F.lit(width)) < neighbours
+    cells = F.when(at_start, F.array(cell, cell - 1)).otherwise(F.array(cell))
+    # A struct as the key, in which a missing sequence equals itself.
+    left = spelled.withColumn("key", F.struct("sequence", cell.alias("cell"))).alias("l")
+    right = (
+        spelled.select("*", F.explode(cells).alias("cell"))
+        .withColumn("key", F.struct("sequence", "cell"))
+        .alias("r")
+    )
     gap = F.col("r.at") - F.col("l.at")
     alike = within_distance(F.col("l.lower"), F.col("r.lower"), distance) | any_within_distance(
         F.col("l.meanings"), F.col("r.meanings"), distance
     )
     pairs = left.join(
         right,
-        F.col("l.sequence").eqNullSafe(F.col("r.sequence"))
-        & (F.col("l.cell") == F.col("r.cell"))
+        (F.col("l.key") == F.col("r.key"))
         & (gap > 0)
         & (gap <= neighbours)
         & (F.col("l.looks") | F.col("r.looks"))
@@ -92,15 +104,16 @@ def process_words(
     """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
 
     Similar words come in the order of their places, repeats included. ``(sequence, pos)`` is
-    unique; at most twice ``neighbours`` words meet in a list.
+    unique; at most twice ``neighbours`` words meet in a list. ``entries`` is read three times:
+    stage it when it is costly to make.
     """
+    here = F.struct(F.col(sequence).alias("sequence"), F.col(pos).cast("bigint").alias("pos"))
     pairs = similar_pairs(entries, distance, neighbours, sequence, pos)
-    found = pairs.groupBy(
-        F.col(sequence).alias("_sequence"), F.col(pos).alias("_pos")
-    ).agg(F.array_sort(F.collect_list(F.struct("other_pos", "other_word"))).alias("_found"))
-    kept = drop_untranslated(entries)
-    here = F.col(sequence).eqNullSafe(F.col("_sequence")) & (F.col(pos) == F.col("_pos"))
-    return kept.join(found, here, "left").select(
+    found = pairs.groupBy(here.alias("_here")).agg(
+        F.array_sort(F.collect_list(F.struct("other_pos", "other_word"))).alias("_found")
+    )
+    kept = drop_untranslated(entries).withColumn("_here", here)
+    return kept.join(found, "_here", "left").select(
         *entries.columns,
         F.coalesce(F.col("_found.other_word"), F.array().cast("array<string>"))
         .alias("similar_words"),

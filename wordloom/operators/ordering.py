@@ -38,34 +38,32 @@ def running_totals(
         pieces = stage(ranged.withColumn("_piece", F.spark_partition_id()), "ranged")
     else:
         pieces = pieces.withColumn("_piece", chunk)
+    # One struct as the key: NULLs in it are equal, and the rows are shuffled once for both the
+    # window and the join.
+    pieces = pieces.withColumn("_at", F.struct(*by, "_piece"))
 
-    sums = pieces.groupBy(*by, "_piece").agg(*[F.sum(w).alias(w) for w in weights.values()])
+    sums = pieces.groupBy("_at").agg(*[F.sum(weight).alias(weight) for weight in weights.values()])
     # One row per piece: without groups this window holds as many rows as there are pieces.
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    group = [F.col("_at")[name] for name in by]
+    before = Window.partitionBy(*group).orderBy("_at._piece")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        *[F.col(name).alias(f"_at_{name}") for name in by],
-        F.col("_piece").alias("_at_piece"),
+        "_at",
         *[
             F.coalesce(F.sum(weight).over(before), F.lit(0)).alias(f"_start_{name}")
             for name, weight in weights.items()
         ],
     )
-    inside = (
-        Window.partitionBy(*by, "_piece")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counted = pieces.select(
-        "*",
+        "_at",
+        *df.columns,
         *[
             F.coalesce(F.sum(weight).over(inside), F.lit(0)).alias(f"_inside_{name}")
             for name, weight in weights.items()
         ],
     )
-    same_piece = F.col("_piece").eqNullSafe(F.col("_at_piece"))
-    for name in by:
-        same_piece &= F.col(name).eqNullSafe(F.col(f"_at_{name}"))
-    return counted.join(starts, same_piece).select(
+    return counted.join(starts, "_at").select(
         *df.columns,
         *[(F.col(f"_start_{name}") + F.col(f"_inside_{name}")).alias(name) for name in weights],
     )

@@ -47,51 +47,45 @@ def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
         F.when(kind_of(content) == "STRING", content.cast("string")).alias("content"),
     ).filter(F.col("value").isNull() | ~F.is_variant_null("value"))
 
-    is_error, is_refusal = is_truthy(F.col("error")), is_truthy(F.col("refusal"))
-    reason = (
-        F.when(F.col("value").isNull(), "malformed line")
-        .when(is_error | is_refusal, None)
-        .when(F.col("message").isNull(), "no message")
-        .when(F.col("content").isNull(), "no content")
-    )
-    checked = fields.withColumn("reason", reason).withColumn(
-        "payload", F.when(F.col("reason").isNull() & ~is_error & ~is_refusal,
-                          strict_json(F.col("content")))
+    kind = (
+        F.when(F.col("value").isNull(), "quarantine")
+        .when(is_truthy(F.col("error")), "error")
+        .when(is_truthy(F.col("refusal")), "refusal")
+        .otherwise("word")
     )
-    is_payload = F.col("reason").isNull() & ~is_error & ~is_refusal
-    entries = F.when(
-        F.col("payload").isNotNull(), F.from_json("content", PAYLOAD)["response"]
+    answered = F.col("kind") == "word"
+    payload = F.when(answered, strict_json(F.col("content")))
+    entries = F.when(F.col("payload").isNotNull(), F.from_json("content", PAYLOAD)["response"])
+    reason = F.when(F.col("value").isNull(), "malformed line").when(
+        answered,
+        F.when(F.col("message").isNull(), "no message")
+        .when(F.col("content").isNull(), "no content")
+        .when(F.col("payload").isNull(), "malformed content")
+        .when(F.col("entries").isNull(), "no list of entries"),
     )
-    reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(is_payload & F.col("payload").isNull(), "malformed content")
-        .when(is_payload & F.col("entries").isNull(), "no list of entries")
+    judged = (
+        fields.withColumn("kind", kind)
+        .withColumn("payload", payload)
+        .withColumn("entries", entries)
+        .withColumn("reason", reason)
     )
     set_aside = F.col("reason").isNotNull()
     bad_content = F.col("reason").isin("malformed content", "no list of entries")
-    route = (
-        F.when(set_aside, "quarantine")
-        .when(is_error, "error")
-        .when(is_refusal, "refusal")
-        .otherwise("word")
+    told = F.when(F.col("kind") == "error", F.col("error")).when(
+        F.col("kind") == "refusal", F.col("refusal")
     )
-    return (
-        checked.withColumn("entries", entries)
-        .withColumn("reason", reason)
-        .select(
-            "source",
-            "block",
-            "line_id",
-            route.alias("route"),
-            "custom_id",
-            F.to_json(F.when(is_error, F.col("error")).when(is_refusal, F.col("refusal")))
-            .alias("error"),
-            F.when(~set_aside & ~is_error & ~is_refusal, F.col("entries")).alias("entries"),
-            F.when(bad_content, "content").otherwise(F.lit(stage)).alias("stage"),
-            "reason",
-            F.when(set_aside, F.when(bad_content, F.col("content")).otherwise(F.col("raw")))
-            .alias("raw"),
-        )
+    return judged.select(
+        "source",
+        "block",
+        "line_id",
+        F.when(set_aside, "quarantine").otherwise(F.col("kind")).alias("route"),
+        "custom_id",
+        F.to_json(told).alias("error"),
+        "entries",
+        F.when(bad_content, "content").otherwise(F.lit(stage)).alias("stage"),
+        "reason",
+        F.when(set_aside, F.when(bad_content, F.col("content")).otherwise(F.col("raw")))
+        .alias("raw"),
     )
 
 

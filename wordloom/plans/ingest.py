@@ -44,7 +44,8 @@ def ingest_results(
     routed = stage(route_results(parsed), "routed")
     # Every file of the run, with words or not.
     batches = routed.select(F.col("source").alias("source_batch")).distinct()
-    processed = process_words(word_entries(routed), distance, neighbours)
+    entries = stage(word_entries(routed), "entries")
+    processed = process_words(entries, distance, neighbours)
     aside = quarantine_rows(routed)
     if unknown_categories == "quarantine":
         processed = stage(processed, "processed")

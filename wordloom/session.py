@@ -61,6 +61,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getContentSummary(hadoop_path).getLength()
+
+
 def delete_folder(spark: SparkSession, uri: str) -> bool:
     """Delete a folder given as a file URI, as ``_metadata.file_path`` spells it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
