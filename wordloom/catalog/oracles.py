@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wordloom.catalog.inputs import CUE, HEAD, KEYS_PER_FILE, TAIL
-from wordloom.catalog.queries import REQUESTS_PER_BATCH, WORDS_PER_REQUEST
+from wordloom.catalog.queries import MAX_BYTES, MAX_LINES, REQUESTS_PER_BATCH, WORDS_PER_REQUEST
 from wordloom.schemas import DEFAULT_MAX_TOKENS, DEFAULT_MODEL, DEFAULT_USER_PREFIX
 
 # The characters of the Spark side's white space class, for RE2.
@@ -267,7 +267,7 @@ sizes AS (
     SELECT mode, lang, batch_id, count(*) AS n_lines, sum(strlen(line || chr(10)))::BIGINT AS n_bytes
     FROM request_lines GROUP BY mode, lang, batch_id
 )
-SELECT *, n_lines > 24 OR n_bytes > 9000 AS too_large FROM sizes""",
+SELECT *, n_lines > {MAX_LINES} OR n_bytes > {MAX_BYTES} AS too_large FROM sizes""",
     "request_files": f"""
 WITH {_REQUEST_LINES}
 SELECT lang, batch_id, line FROM request_lines WHERE mode = 'structured'""",
@@ -443,6 +443,43 @@ numbered AS (
 )
 SELECT id::BIGINT AS id, lang AS name, n_rows FROM numbered JOIN firsts USING (lang)""",
     "language_file": "SELECT n_nationkey::BIGINT + 1 AS id, n_name AS name FROM nation",
+    "ingest_tables": """
+SELECT 'word' AS table_name, NULL AS source_batch, NULL AS kind, count(DISTINCT text) AS n_rows
+FROM documents WHERE doc_id % 10 = 8
+UNION ALL
+SELECT t, source, 'noun', count(*)
+FROM documents, (SELECT unnest(['translation', 'grammar_category']) AS t)
+WHERE doc_id % 10 = 8 GROUP BY t, source
+UNION ALL
+SELECT 'error', source, CASE WHEN doc_id % 10 = 1 THEN 'refusal' ELSE 'error' END AS k, count(*)
+FROM documents WHERE doc_id % 10 IN (0, 1, 7) GROUP BY source, k
+UNION ALL
+SELECT 'quarantine', source, CASE doc_id % 10 WHEN 4 THEN 'malformed content'
+    WHEN 5 THEN 'no content' WHEN 9 THEN 'no list of entries' ELSE 'malformed line' END AS k,
+    count(*)
+FROM documents WHERE doc_id % 10 IN (2, 4, 5, 6, 9) GROUP BY source, k""",
+    "category_check": """
+WITH labelled AS (
+    SELECT CASE event_type WHEN 'view' THEN 'noun' WHEN 'click' THEN 'modal_verb'
+        WHEN 'error' THEN NULL ELSE event_type END AS label
+    FROM events
+)
+SELECT label, count(*) AS n_rows, coalesce(label IN ('noun', 'modal_verb'), false) AS known
+FROM labelled GROUP BY label""",
+    "point_lookup": """
+SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey = 321""",
+    "stream_status": """
+WITH last AS (
+    SELECT user_id, arg_max(event_type, (ts, event_type)) AS kind,
+        arg_max(event_id, (ts, event_type)) AS event_id
+    FROM events GROUP BY user_id
+)
+SELECT user_id::VARCHAR AS id,
+    CASE kind WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'expired' ELSE kind END AS status,
+    event_id,
+    CASE WHEN kind IN ('signup', 'error') THEN 'failed' WHEN kind = 'purchase' THEN 'done'
+        ELSE 'running' END AS outcome
+FROM last""",
     "unique_check": """
 SELECT p_name, p_brand, count(*) AS n_rows FROM part GROUP BY p_name, p_brand HAVING count(*) > 1""",
     "orphan_check": """

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from wordloom.catalog import inputs
 from wordloom.catalog.inputs import KEYS_PER_FILE, KEYS_PER_PIECE, table, text_table
-from wordloom.operators.checks import duplicate_keys, null_counts, orphans, outside_domain
+from wordloom.functions.words import filled_categories, require_category
+from wordloom.operators.checks import (
+    duplicate_keys,
+    null_counts,
+    orphans,
+    outside_domain,
+    split_by_category,
+)
 from wordloom.operators.enrich import drop_untranslated, process_words
 from wordloom.operators.lookups import drop_listed, key_counts, largest_id, new_rows
 from wordloom.operators.ordering import dense_positions
 from wordloom.operators.packing import chunk_rows, pack_words, valid_word_lists
-from wordloom.operators.paging import page, page_after
+from wordloom.operators.paging import find_one, page, page_after
 from wordloom.operators.requests import batch_sizes, build_requests, oversized_batches
 from wordloom.operators.results import (
     error_rows,
@@ -37,7 +44,7 @@ from wordloom.plans.dictionary import (
     with_word_ids,
     word_differences,
 )
-from wordloom.functions.words import filled_categories
+from wordloom.plans.ingest import ingest_results
 from wordloom.session import stage, staged_path
 from wordloom.sources.files import (
     read_json_lines,
@@ -48,9 +55,12 @@ from wordloom.sources.files import (
 )
 from wordloom.sources.sinks import read_table, write_requests
 from wordloom.streaming.ingest import start_ingest
+from wordloom.streaming.status import read_status_stream
 
 WORDS_PER_REQUEST = 8
-REQUESTS_PER_BATCH = 25
+# Limits that some of the batches break.
+MAX_LINES, MAX_BYTES = 500, 180_000
+REQUESTS_PER_BATCH = 500
 
 
 def deck_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +146,7 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _request_lines(spark, sf_dir)
     keys = ["mode", "lang", "batch_id"]
-    beyond = oversized_batches(lines, keys, max_lines=24, max_bytes=9_000).select(
+    beyond = oversized_batches(lines, keys, max_lines=MAX_LINES, max_bytes=MAX_BYTES).select(
         *keys, F.lit(True).alias("too_large")
     )
     sizes = batch_sizes(lines, keys).join(beyond, keys, "left")
@@ -366,6 +376,81 @@ def language_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_languages(spark, folder).withColumn("id", F.col("id").cast("bigint"))
 
 
+def ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What storing the document results leaves in the tables, per source batch."""
+    root = staged_path(spark, "dictionary")
+    # The words are whole texts, so no neighbours are looked at.
+    ingest_results(inputs.document_result_lines(spark, sf_dir), root, neighbours=0)
+
+    def stored(name: str, kind: str) -> DataFrame:
+        return read_table(spark, root, name).groupBy(
+            F.lit(name).alias("table_name"), "source_batch", F.col(kind).alias("kind")
+        ).agg(F.count(F.lit(1)).alias("n_rows"))
+
+    words = read_table(spark, root, "word").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit("word").alias("table_name"),
+        F.lit(None).cast("string").alias("source_batch"),
+        F.lit(None).cast("string").alias("kind"),
+        "n_rows",
+    )
+    for table_name, kind in (
+        ("translation", "type"), ("grammar_category", "category"), ("error", "type"),
+        ("quarantine", "reason"),
+    ):
+        words = words.unionByName(stored(table_name, kind))
+    return words
+
+
+def category_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = (
+        F.when(F.col("event_type") == "view", "noun")
+        .when(F.col("event_type") == "click", "modal_verb")
+        .when(F.col("event_type") == "error", None)
+        .otherwise(F.col("event_type"))
+    )
+    events = table(spark, sf_dir, "events").withColumn("label", label)
+    known, strange = split_by_category(events, F.col("label"))
+    counted = key_counts(known.withColumn("label", require_category(F.col("label"))), ["label"])
+    return counted.withColumn("known", F.lit(True)).unionByName(
+        key_counts(strange, ["label"]).withColumn("known", F.lit(False))
+    )
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_one(table(spark, sf_dir, "orders"), "o_orderkey", 321).select(
+        "o_orderkey", "o_custkey", "o_orderpriority"
+    )
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as status records in files, folded by the streaming job."""
+    folder, states = staged_path(spark, "records"), staged_path(spark, "states")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("id"),
+        F.when(F.col("event_type") == "purchase", "completed")
+        .when(F.col("event_type") == "signup", "expired")
+        .otherwise(F.col("event_type"))
+        .alias("status"),
+        F.lit(0).alias("created_at"),
+        F.when(F.col("event_type") != "view", micros).alias("completed_at"),
+        F.when(F.col("event_type") == "view", micros).alias("in_progress_at"),
+        F.struct(F.col("event_id").alias("total")).alias("request_counts"),
+    ).write.json(folder)
+    query = (
+        read_status_stream(spark, folder)
+        .writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(states))
+        .option("checkpointLocation", staged_path(spark, "status-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(states).select(
+        "id", "status", F.col("request_counts.total").alias("event_id"), "outcome"
+    )
+
+
 def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(table(spark, sf_dir, "part"), ["p_name", "p_brand"])
 
@@ -498,5 +583,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paged_read": paged_read,
     "keyset_page": keyset_page,
     "batch_status": batch_status,
+    "ingest_tables": ingest_tables,
+    "category_check": category_check,
+    "point_lookup": point_lookup,
     "stream_ingest": stream_ingest,
+    "stream_status": stream_status,
 }

@@ -15,8 +15,8 @@ from wordloom.functions.words import (
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 
 # Width of a cell of the neighbour join: this many frames, and at least so many places.
-CELL_FRAMES = 4
-LEAST_CELL = 32
+CELL_FRAMES = 2
+LEAST_CELL = 8
 
 
 def drop_untranslated(entries: DataFrame) -> DataFrame:
@@ -55,13 +55,11 @@ def similar_pairs(
     cell = F.expr(f"at div {width}")
     at_start = F.pmod("at", F.lit(width)) < neighbours
     cells = F.when(at_start, F.array(cell, cell - 1)).otherwise(F.array(cell))
-    # A struct as the key, in which a missing sequence equals itself.
-    left = spelled.withColumn("key", F.struct("sequence", cell.alias("cell"))).alias("l")
-    right = (
-        spelled.select("*", F.explode(cells).alias("cell"))
-        .withColumn("key", F.struct("sequence", "cell"))
-        .alias("r")
-    )
+    # Joined by one number, which sorts fast; the condition below tells apart what hashes alike.
+    left = spelled.withColumn("cell", cell)
+    right = spelled.select("*", F.explode(cells).alias("cell"))
+    key = F.xxhash64("sequence", "cell")
+    left, right = left.withColumn("key", key).alias("l"), right.withColumn("key", key).alias("r")
     gap = F.col("r.at") - F.col("l.at")
     alike = within_distance(F.col("l.lower"), F.col("r.lower"), distance) | any_within_distance(
         F.col("l.meanings"), F.col("r.meanings"), distance
@@ -71,6 +69,8 @@ def similar_pairs(
         (F.col("l.key") == F.col("r.key"))
         & (gap > 0)
         & (gap <= neighbours)
+        & F.col("l.sequence").eqNullSafe(F.col("r.sequence"))
+        & (F.col("l.cell") - F.col("r.cell") == 0)
         & (F.col("l.looks") | F.col("r.looks"))
         & alike,
     )
@@ -107,13 +107,13 @@ def process_words(
     unique; at most twice ``neighbours`` words meet in a list. ``entries`` is read three times:
     stage it when it is costly to make.
     """
-    here = F.struct(F.col(sequence).alias("sequence"), F.col(pos).cast("bigint").alias("pos"))
     pairs = similar_pairs(entries, distance, neighbours, sequence, pos)
-    found = pairs.groupBy(here.alias("_here")).agg(
+    found = pairs.groupBy(F.col(pos).alias("_pos"), F.col(sequence).alias("_sequence")).agg(
         F.array_sort(F.collect_list(F.struct("other_pos", "other_word"))).alias("_found")
     )
-    kept = drop_untranslated(entries).withColumn("_here", here)
-    return kept.join(found, "_here", "left").select(
+    kept = drop_untranslated(entries)
+    here = (F.col(pos) == F.col("_pos")) & F.col(sequence).eqNullSafe(F.col("_sequence"))
+    return kept.join(found, here, "left").select(
         *entries.columns,
         F.coalesce(F.col("_found.other_word"), F.array().cast("array<string>"))
         .alias("similar_words"),
