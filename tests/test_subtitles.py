@@ -6,7 +6,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import capitalise, clean_subtitle, split_words, strip_white
-from wordloom.operators.subtitles import distinct_words, remove_words, subtitle_tokens, text_words
+from wordloom.operators.subtitles import (
+    corpus_words,
+    distinct_words,
+    remove_words,
+    subtitle_tokens,
+    text_words,
+)
 from wordloom.plans.decks import deck_words
 from wordloom.sources.files import read_subtitles
 
@@ -126,6 +132,17 @@ def test_distinct_words_by_text_and_by_scope(spark):
     ]
 
 
+def test_corpus_words_are_those_of_the_tokens(spark):
+    texts = [SHORT, "Neu guten\nTag", "tag der TAG", "", "1\nweg\nda Tag"]
+    df = spark.createDataFrame([("a" if at < 3 else "b", at, t) for at, t in enumerate(texts)],
+                               "film STRING, part INT, text STRING").repartition(3)
+    for scope in ([], ["film"]):
+        got = corpus_words(df, ["part"], scope).orderBy("part", "rank").collect()
+        want = distinct_words(subtitle_tokens(df), ["part", "pos"], scope)
+        want = want.orderBy("part", "pos").collect()
+        assert [(r.word, r.part) for r in got] == [(r.word, r.part) for r in want]
+
+
 def test_capitalise(spark):
     df = spark.createDataFrame([("online-shop",), ("ßtraße",), ("élan",), ("x",)], "w STRING")
     got = [r[0] for r in df.select(capitalise(F.col("w"))).collect()]

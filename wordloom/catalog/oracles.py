@@ -243,12 +243,16 @@ ranked AS (
 SELECT conv_id, {_capitalised("word")} AS word, turn, pos::INTEGER AS pos FROM ranked WHERE n = 1""",
     "corpus_vocabulary": f"""
 WITH {_DOCUMENT_TOKENS},
+firsts AS (
+    SELECT doc_id, lower(token) AS word, min(pos) AS pos FROM tokens WHERE token <> ''
+    GROUP BY doc_id, lower(token)
+),
 ranked AS (
-    SELECT doc_id, pos, lower(token) AS word,
-        row_number() OVER (PARTITION BY lower(token) ORDER BY doc_id, pos) AS n
-    FROM tokens WHERE token <> ''
+    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS rank,
+        row_number() OVER (PARTITION BY word ORDER BY doc_id) AS n
+    FROM firsts
 )
-SELECT {_capitalised("word")} AS word, doc_id, pos::INTEGER AS pos FROM ranked WHERE n = 1""",
+SELECT {_capitalised("word")} AS word, doc_id, rank::INTEGER AS rank FROM ranked WHERE n = 1""",
     "request_packing": f"""
 WITH {_PACKED}
 SELECT lang, batch_id, request_id, string_agg(word, '|' ORDER BY pos) AS words

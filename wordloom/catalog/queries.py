@@ -32,7 +32,12 @@ from wordloom.operators.results import (
     word_entries,
 )
 from wordloom.operators.status import latest_status
-from wordloom.operators.subtitles import distinct_words, remove_words, subtitle_tokens
+from wordloom.operators.subtitles import (
+    corpus_words,
+    distinct_words,
+    remove_words,
+    subtitle_tokens,
+)
 from wordloom.plans import decks
 from wordloom.plans.dictionary import (
     child_rows,
@@ -78,7 +83,8 @@ def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_words(inputs.document_tokens(spark, sf_dir), ["doc_id", "pos"])
+    documents = text_table(spark, sf_dir, "documents")
+    return corpus_words(documents, ["doc_id"], subtitles=False)
 
 
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

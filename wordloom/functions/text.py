@@ -24,7 +24,7 @@ def has_ink(text: Column) -> Column:
 
 def plain_white(text: Column) -> Column:
     """White space beyond ASCII as blanks, which changes none of the rules here."""
-    return F.regexp_replace(text, rf"(?=[^\x00-\x7F])[{OTHER_WHITE}]", " ")
+    return F.regexp_replace(text, rf"(?![\x00-\x7F])[{OTHER_WHITE}]", " ")
 
 
 def clean_subtitle(text: Column) -> Column:
@@ -51,7 +51,7 @@ def keep_word_characters(text: Column) -> Column:
 
 
 def _word_characters(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?![a-zA-Z \n\-])[^\p{L}\p{M}\s\-]++", "")
+    return F.regexp_replace(text, r"[^a-zA-Z\p{L}\p{M}\s\-]++", "")
 
 
 def split_words(cleaned: Column) -> Column:

@@ -13,7 +13,7 @@ from wordloom.session import stage
 # A list up to this size, as measured, is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key is hot when it holds more than one row in this many, so fewer keys than this are hot.
-HOT_SHARE = 10_000
+HOT_SHARE = 200_000
 # Below this number of rows a key is never hot.
 HOT_ROWS = 100_000
 

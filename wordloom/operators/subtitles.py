@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import (
@@ -12,6 +12,7 @@ from wordloom.functions.text import (
     clean_subtitle,
     distinct_lower_words,
     has_ink,
+    keep_word_characters,
     split_words,
 )
 from wordloom.operators.lookups import drop_listed
@@ -51,11 +52,33 @@ def text_words(texts: DataFrame, text: str = "text") -> DataFrame:
 
     Same as :func:`distinct_words` with one text as the scope, but inside the row: no shuffle.
     """
+    return _exploded(texts, text, clean_subtitle(F.col(text)))
+
+
+def _exploded(texts: DataFrame, text: str, cleaned: Column) -> DataFrame:
     others = [name for name in texts.columns if name != text]
-    words = distinct_lower_words(clean_subtitle(F.col(text)))
+    words = distinct_lower_words(cleaned)
     return texts.select(*others, F.posexplode(words).alias("rank", "word"))
 
 
+def corpus_words(
+    texts: DataFrame,
+    order: Sequence[str],
+    scope: Sequence[str] = (),
+    text: str = "text",
+    subtitles: bool = True,
+) -> DataFrame:
+    """The distinct words of all texts of a scope, ignoring case, each with its first place.
+
+    Same as :func:`distinct_words` over the tokens of the texts, which are in ``order``: columns
+    ``scope``, ``word`` (capitalised), ``order``, ``rank`` in its text. The words of a text are
+    made distinct inside its row, so that far fewer rows are aggregated and shuffled.
+    """
+    clean = clean_subtitle if subtitles else keep_word_characters
+    words = _exploded(texts.select(*scope, *order, text), text, clean(F.col(text)))
+    return distinct_words(words, [*order, "rank"], scope, "word")
+
+
 def remove_words(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:
     """Drop the words in the one column of ``known``, ignoring case on both sides."""
     name = known.columns[0]
