@@ -303,10 +303,12 @@ def similar_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = text_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.split(letters, r"\s+")).alias("at", "word")
     )
-    entries = dense_positions(
+    numbered = dense_positions(
         tokens, ["doc_id", "at"], ["lang"], chunk=F.expr("doc_id div 64")
-    ).withColumn("translations", F.create_map(F.lit("noun"), F.array(F.reverse("word"))))
-    entries = stage(entries, "entries")
+    ).select("lang", "pos", "word")
+    entries = stage(numbered, "entries").withColumn(
+        "translations", F.create_map(F.lit("noun"), F.array(F.reverse("word")))
+    )
     found = process_words(entries, distance=1, neighbours=2, sequence="lang")
     return found.filter(F.size("similar_words") > 0).select(
         "lang", "pos", "word", F.array_join("similar_words", ",").alias("similar_words")

@@ -43,13 +43,19 @@ def similar_pairs(
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
-    spelled = entries.select(
+    listed = entries.select(
         F.col(sequence).alias("sequence"),
         F.col(pos).cast("bigint").alias("at"),
         "word",
+        all_translations(F.col("translations")).alias("listed"),
+    )
+    spelled = listed.select(
+        "sequence",
+        "at",
+        "word",
         F.lower("word").alias("lower"),
-        F.transform(all_translations(F.col("translations")), F.lower).alias("meanings"),
-        is_translated(F.col("word"), F.col("translations")).alias("looks"),
+        F.transform("listed", F.lower).alias("meanings"),
+        F.exists("listed", lambda each: each != F.col("word")).alias("looks"),
     )
     width = max(CELL_FRAMES * neighbours, LEAST_CELL)
     cell = F.expr(f"at div {width}")
