@@ -16,8 +16,9 @@ from wordloom.plans.dictionary import (
 )
 from wordloom.plans.ingest import ingest_errors, ingest_results
 from wordloom.schemas import LANGUAGES, TABLES
+from wordloom.sources import sinks
 from wordloom.sources.files import read_json_lines, read_result_documents
-from wordloom.sources.sinks import read_table
+from wordloom.sources.sinks import last_ids, read_table
 from wordloom.streaming.ingest import start_ingest
 
 TABLE_NAMES = ("word", *CHILD_TABLES)
@@ -79,6 +80,37 @@ def test_saving_again_changes_nothing_but_child_ids(spark, sample, tmp_path):
         assert [row[1:] for row in after[table]] == [row[1:] for row in before[table]]
 
 
+def test_ids_go_on_without_reading_the_tables(spark, sample, tmp_path):
+    root = str(tmp_path)
+    assert last_ids(spark, root, TABLE_NAMES) == dict.fromkeys(TABLE_NAMES, 0)
+    save_dictionary(sample, root)
+    last = {"word": 3, "translation": 6, "similar_word": 3, "grammar_category": 4}
+    assert last_ids(spark, root, TABLE_NAMES) == last
+    save_dictionary(sample, root)
+    assert last_ids(spark, root, TABLE_NAMES) == {
+        "word": 3, "translation": 12, "similar_word": 6, "grammar_category": 8}
+    ids = [r.id for r in read_table(spark, root, "translation").orderBy("id").collect()]
+    assert ids == list(range(7, 13))
+    # Without a counter the table itself tells.
+    other = str(tmp_path / "other")
+    sinks.append_rows(read_table(spark, root, "word"), other, "word")
+    assert last_ids(spark, other, ("word", "translation")) == {"word": 3, "translation": 0}
+
+
+@pytest.mark.parametrize("named", [0, 1000])
+def test_emptied_batches_are_found_with_and_without_names(
+    spark, sample, tmp_path, monkeypatch, named
+):
+    monkeypatch.setattr(sinks, "NAMED_BATCHES", named)
+    root = str(tmp_path)
+    save_dictionary(sample, root)
+    save_dictionary(sample.withColumn("source_batch", F.lit("c")), root)
+    names = spark.createDataFrame([("c",), ("never seen",)], "source_batch STRING")
+    save_dictionary(sample.limit(0), root, batches=names)
+    left = read_table(spark, root, "grammar_category").select("source_batch").distinct().collect()
+    assert [r[0] for r in left] == ["b"]
+
+
 def test_batches_share_words_and_keep_their_rows(spark, sample, tmp_path):
     root = str(tmp_path)
     save_dictionary(sample, root)

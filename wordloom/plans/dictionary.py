@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.words import known_category, typed_translations
@@ -10,7 +10,13 @@ from wordloom.operators.lookups import key_counts, largest_id, lookup_join, new_
 from wordloom.operators.ordering import running_totals
 from wordloom.schemas import ENGLISH, GERMAN, PARTITIONS
 from wordloom.session import stage
-from wordloom.sources.sinks import append_rows, read_table, replace_batches
+from wordloom.sources.sinks import (
+    append_rows,
+    last_ids,
+    read_table,
+    replace_batches,
+    reserve_ids,
+)
 
 CHILD_TABLES = ("translation", "similar_word", "grammar_category")
 
@@ -49,17 +55,22 @@ def with_word_ids(processed: DataFrame, ids: DataFrame, counts: DataFrame) -> Da
     return lookup_join(processed, listed, ["word"], "inner", counts)
 
 
-def number_children(rows: DataFrame, last_ids: dict[str, int]) -> DataFrame:
-    """Add the id before each row's first child, per child table, in source and place order."""
-    totals = {
+def _child_sizes() -> dict[str, Column]:
+    """Child rows of a processed word, per table."""
+    return {
         "translation": F.size(typed_translations(F.col("translations"))),
         "similar_word": F.size("similar_words"),
         "grammar_category": F.size("grammar_categories"),
     }
+
+
+def number_children(rows: DataFrame, last_ids: dict[str, int]) -> DataFrame:
+    """Add the id before each row's first child, per child table, in source and place order."""
+    sizes = _child_sizes()
     numbered = running_totals(
-        rows, ["source_batch", "pos"], {f"_{name}_id": total for name, total in totals.items()}
+        rows, ["source_batch", "pos"], {f"_{name}_id": size for name, size in sizes.items()}
     )
-    for name in totals:
+    for name in sizes:
         column = f"_{name}_id"
         numbered = numbered.withColumn(column, F.col(column) + F.lit(last_ids.get(name, 0)))
     return numbered
@@ -74,7 +85,7 @@ def child_rows(
         "secondary_language": F.lit(secondary_language),
     }
 
-    def flatten(table: str, items, fields: dict) -> DataFrame:
+    def flatten(table: str, items: Column, fields: dict[str, str]) -> DataFrame:
         exploded = numbered.select(
             "word_id", "source_batch", f"_{table}_id", F.posexplode(items).alias("at", "item")
         )
@@ -123,34 +134,38 @@ def save_dictionary(
         raise UnknownCategory(f"Unknown grammar type: {strange[0].category}")
 
     counts = stage(key_counts(processed, ["word"]), "word-counts")
+    last = last_ids(spark, root, ("word", *CHILD_TABLES))
     stored = read_table(spark, root, "word")
     known = stored.filter(F.col("primary_language") == primary_language).select("id", "word")
     known = stage(known.join(counts.select("word"), "word", "left_semi"), "known-words")
-    added = stage(new_words(counts, known, primary_language, largest_id(stored)), "new-words")
+    added = stage(new_words(counts, known, primary_language, last["word"]), "new-words")
+    totals = {row.table_name: row.n_rows for row in child_totals(processed).collect()}
+    totals["word"] = added.count()
+    reserve_ids(spark, root, {name: last[name] + totals[name] for name in last})
     append_rows(added, root, "word")
 
     ids = known.unionByName(added.select("id", "word"))
-    last_ids = {name: largest_id(read_table(spark, root, name)) for name in CHILD_TABLES}
-    numbered = stage(
-        number_children(with_word_ids(processed, ids, counts), last_ids), "with-word-ids"
-    )
+    numbered = stage(number_children(with_word_ids(processed, ids, counts), last), "with-word-ids")
     fixed = {"primary_language": primary_language, "secondary_language": secondary_language}
     for table, rows in child_rows(numbered, primary_language, secondary_language).items():
         wanted = {name: fixed[name] for name in PARTITIONS[table] if name in fixed}
         replace_batches(rows, root, table, batches, **wanted)
 
 
-def expected_counts(processed: DataFrame) -> DataFrame:
-    """``table_name, n_rows`` that saving ``processed`` must give."""
+def child_totals(processed: DataFrame) -> DataFrame:
+    """``table_name, n_rows`` of the child rows of ``processed``."""
+    sizes = _child_sizes()
     totals = processed.agg(
-        F.countDistinct("word").alias("word"),
-        F.coalesce(F.sum(F.size(typed_translations(F.col("translations")))), F.lit(0))
-        .alias("translation"),
-        F.coalesce(F.sum(F.size("similar_words")), F.lit(0)).alias("similar_word"),
-        F.coalesce(F.sum(F.size("grammar_categories")), F.lit(0)).alias("grammar_category"),
+        *[F.coalesce(F.sum(size), F.lit(0)).alias(name) for name, size in sizes.items()]
     )
-    return totals.unpivot(
-        [], ["word", "translation", "similar_word", "grammar_category"], "table_name", "n_rows"
+    return totals.unpivot([], list(sizes), "table_name", "n_rows")
+
+
+def expected_counts(processed: DataFrame) -> DataFrame:
+    """``table_name, n_rows`` that saving ``processed`` must give."""
+    words = processed.agg(F.countDistinct("word").alias("n_rows"))
+    return child_totals(processed).unionByName(
+        words.select(F.lit("word").alias("table_name"), "n_rows")
     )
 
 

@@ -86,6 +86,7 @@ TABLES = {
     ),
     "error": "custom_id STRING, type STRING, error STRING, source_batch STRING",
     "quarantine": "stage STRING, reason STRING, line STRING, source_batch STRING",
+    "id_counter": "table_name STRING, last_id BIGINT",
 }
 
 PARTITIONS = {

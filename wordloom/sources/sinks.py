@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.operators.lookups import largest_id
 from wordloom.operators.requests import oversized_batches
 from wordloom.schemas import MAX_FILE_BYTES, MAX_REQUESTS, PARTITIONS, TABLES
 from wordloom.session import delete_folder, path_exists, stage
 
 
+# Up to this many source batches of a run are looked up by name in a stored table.
+NAMED_BATCHES = 1000
+
+
 class BatchTooLarge(ValueError):
     """A request batch is beyond the line or byte limit of one file."""
 
@@ -57,6 +62,30 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path)
 
 
+def last_ids(spark: SparkSession, root: str, tables: Sequence[str]) -> dict[str, int]:
+    """The largest id given out per table, from the small counter table.
+
+    A table without a counter is looked at itself.
+    """
+    counters = read_table(spark, root, "id_counter").filter(F.col("table_name").isin(*tables))
+    # One row per table.
+    rows = counters.groupBy("table_name").agg(F.max("last_id").alias("last_id")).collect()
+    known = {row.table_name: row.last_id for row in rows}
+    return {
+        table: known[table] if table in known else largest_id(read_table(spark, root, table))
+        for table in tables
+    }
+
+
+def reserve_ids(spark: SparkSession, root: str, last: Mapping[str, int]) -> None:
+    """Note the ids that the rows about to be written will take.
+
+    Noted before the write: after a failure some ids stay unused, but none is used twice.
+    """
+    rows = spark.createDataFrame(list(last.items()), TABLES["id_counter"]).coalesce(1)
+    rows.write.mode("append").parquet(table_path(root, "id_counter"))
+
+
 def append_rows(rows: DataFrame, root: str, table: str) -> None:
     """Add rows; they must not come from a plan that reads the same table."""
     columns = table_columns(table)
@@ -78,6 +107,10 @@ def replace_batches(
         old = read_table(spark, root, table)
         for name, value in fixed.items():
             old = old.filter(F.col(name) == value)
+        names = [row[0] for row in batches.select("source_batch").distinct().take(NAMED_BATCHES + 1)]
+        if len(names) <= NAMED_BATCHES:
+            # Reads the partitions of the run only, however large the table is.
+            old = old.filter(F.col("source_batch").isin(names))
         folder = F.regexp_replace("_metadata.file_path", r"/[^/]*\z", "")
         stale = (
             old.select("source_batch", folder.alias("folder"))
