@@ -11,7 +11,8 @@ import __spark_entry__ as entry  # noqa: E402
 from compare import differences, duck  # noqa: E402
 
 from wordloom.catalog import inputs  # noqa: E402
-from wordloom.catalog.queries import deck_words  # noqa: E402
+from wordloom.catalog.oracles import ORACLES  # noqa: E402
+from wordloom.catalog.queries import QUERIES, deck_words  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,12 +25,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_against_sql(spark, con, name):
-    problem = differences(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    problem = differences(spark, con, QUERIES[name], ORACLES[name], SF_DIR)
     assert problem is None
 
 
