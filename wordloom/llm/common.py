@@ -5,31 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column(df: DataFrame, name: str):
-    """The column of that exact spelling, also where another differs only in case."""
-    return df[f"`{df.columns[df.columns.index(name)]}`"]
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def _at(df: DataFrame, name: str) -> str:
+    if name not in df.columns:
+        raise ValueError(f"no column {name}; there are {', '.join(df.columns)}")
+    return f"_{df.columns.index(name)}"
+
+
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """The named columns under new names; others can't clash with them, also not in their case."""
+    return _numbered(df).select(*(F.col(_at(df, name)).alias(alias) for alias, name in wanted.items()))
 
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, as ``id`` and ``text``: other columns can't clash."""
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """Only the id and the text, as ``id`` and ``text``."""
+    return pick(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+
+
+def whole_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """``row``, a struct of all columns in their order, and ``text``."""
+    plain = _numbered(df)
+    row = F.struct(*(F.col(f"_{i}").alias(name) for i, name in enumerate(df.columns)))
+    return plain.select(row.alias("row"), F.col(_at(df, text_col)).cast("string").alias("text"))
+
+
+def rest_and_text(df: DataFrame, text_col: str) -> DataFrame:
+    """``rest``, a struct of all columns but the text, numbered by their places, and ``text``."""
+    plain, at = _numbered(df), _at(df, text_col)
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in plain.columns if c != at))
+    return plain.select(rest.alias("rest"), F.col(at).cast("string").alias("text"))
+
+
+def with_new_text(found: DataFrame, df: DataFrame, text_col: str, rest: str, text: Column, changed: Column, length_col: str) -> DataFrame:
+    """The columns of ``df`` from ``rest_and_text``, with a new text and, where it changed, its length in code points."""
+    at, columns = _at(df, text_col), []
+    for i, name in enumerate(df.columns):
+        value = F.col(f"{rest}._{i}") if f"_{i}" != at else text
+        if name == length_col and name != text_col:
+            value = F.when(changed, F.char_length(text)).otherwise(value).cast(df.schema[i].dataType)
+        columns.append(value.alias(name))
+    return found.select(*columns)
 
 
 def id_type(df: DataFrame, name: str = "id") -> str:
-    return df.schema[name].dataType.simpleString()
+    return _ddl(df.schema[name].dataType)
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def _ddl(kind: T.DataType) -> str:
+    if isinstance(kind, T.StructType):
+        return "struct<" + ",".join(f"`{f.name}`:{_ddl(f.dataType)}" for f in kind.fields) + ">"
+    return kind.simpleString()
 
 
-def id_array(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(0)
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return df.mapInArrow(work, schema)

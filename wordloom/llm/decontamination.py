@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, map_batches
+from wordloom.llm.common import id_type, keyed_text, map_batches, rest_and_text, with_new_text
 from wordloom.llm.fm_index import FmIndex
 from wordloom.llm.words import WORD, ascii_words
 from wordloom.session import stage
@@ -107,7 +107,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
     """Blocks of whole items of about ``block_words`` words, so that what is sent to the tasks is bounded."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    rows = keyed_text(benchmark, item_col, text_col).select(F.col("id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     block, size = [], 0
     for row in rows.distinct().where("text is not null").toLocalIterator():
         words = ascii_words(bytes(row["text"]))
@@ -198,7 +198,7 @@ def decontaminate(
     words; every block but the last is a narrow pass whose rows are staged. No shuffle of documents, no limit on items or occurrences.
     """
     empty = F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    rows = keyed_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     rows = rows.select("id", "text", *empty)
     blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
     phrases, following = next(blocks, Phrases([], window)), next(blocks, None)
@@ -208,3 +208,11 @@ def decontaminate(
     rows = _scan(rows, phrases, keep_text=False, clean=with_text)
     columns = [F.col("id").alias("doc_id"), "n_words", "spans", "items"]
     return rows.select(*columns, *[F.col("text").cast("string").alias("cleaned")] * with_text)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs`` with cleaned texts; rows of which only removed spans are left go. Columns stay as they are."""
+    found = decontaminate(rest_and_text(docs, text_col), benchmark, id_col="rest", window=window, with_text=True)
+    hit = F.size("spans") > 0
+    left = found.where(~hit | F.col("cleaned").rlike(WORD.pattern))
+    return with_new_text(left, docs, text_col, "doc_id", F.col("cleaned"), hit, length_col)

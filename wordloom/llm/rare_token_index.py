@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, map_batches
+from wordloom.llm.common import id_type, map_batches, pick
 from wordloom.llm.words import ascii_words
 
 RARE_WORDS = 8
@@ -105,7 +105,7 @@ def word_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "
                     counts.update(known.intersection(ascii_words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    rows = pick(docs, text=text_col).select(F.col("text").cast("string").cast("binary").alias("text"))
     return map_batches(rows, work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n_docs"))
 
 
@@ -128,7 +128,7 @@ def scan_licences(
     vocabulary = sorted({w for _, text, _ in templates for w in ascii_words(text.encode())})
     counted = {bytes(r["word"]): r["n_docs"] for r in word_frequencies(docs, vocabulary, text_col).collect()}
     index = LicenceIndex(templates, phrases, counted, counted.get(b"", 0), rare_words, min_share)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string").cast("binary"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places_type = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))

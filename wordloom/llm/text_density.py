@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, map_batches
+from wordloom.llm.common import id_type, map_batches, pick
 
 # Element names of the HTML standard, and names that page authors give to what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,9 +278,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null, empty and markup-free pages: null and empty give an empty text, plain text is one block.
     Repeated rows are extracted each for itself; other columns are not read. Narrow: no shuffle.
     """
-    rows = pages.select(
-        F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")
-    )
+    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.col("html").cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

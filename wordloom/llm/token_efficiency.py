@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, keyed_text, map_batches
+from wordloom.llm.common import id_type, keyed_text, map_batches, rest_and_text, with_new_text
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_CHARS_PER_TOKEN = 2.2
@@ -127,3 +127,9 @@ def scan_secrets(
 def spans_text(spans: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+
+def redact_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with every secret in the text replaced by a mark. Columns stay as they are."""
+    found = scan_secrets(rest_and_text(docs, text_col), vocabulary, pattern, id_col="rest", with_text=True)
+    return with_new_text(found, docs, text_col, "doc_id", F.col("redacted"), F.size("spans") > 0, length_col)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, map_batches
+from wordloom.llm.common import id_type, map_batches, pick
 from wordloom.llm.tokenizing import encoder, text_blocks
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 64, 2048
@@ -141,8 +141,9 @@ def pack_documents(
     the end id; without ``end`` an empty document has no piece. Repeated rows are packed each for itself;
     an empty table gives no rows; other columns are not read.
     """
-    loss = F.col(f"`{loss_from_col}`").cast("long") if loss_from_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(loss, F.lit(0)).alias("loss_from"))
+    named = pick(docs, id=id_col, text=text_col, **({"loss_from": loss_from_col} if loss_from_col else {}))
+    loss = F.coalesce(F.col("loss_from").cast("long"), F.lit(0)) if loss_from_col else F.lit(0)
+    rows = named.select("id", F.col("text").cast("string").alias("text"), loss.cast("long").alias("loss_from"))
     limits = (max_tokens, max_segments, max_loss_tokens)
     if min(limits) < 1:
         raise ValueError("limits are at least 1")

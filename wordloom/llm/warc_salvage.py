@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_batches
+from wordloom.llm.common import map_batches, pick
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a task begins another archive
@@ -209,8 +209,9 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     refers to the largest one, and where all ids are null none is a revisit. Only (digest, id) is grouped; the
     pages meet the few digests that occur twice in a join that Spark can split where one payload is frequent.
     """
-    payload = F.coalesce(F.encode(F.col(f"`{html_col}`").cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
+    rows = pick(pages, page_id=id_col, url=url_col, html=html_col)
+    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.where(F.octet_length("payload") >= min_bytes)
     twice = long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")

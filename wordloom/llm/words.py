@@ -12,7 +12,7 @@ _ASCII_WORDS = bytes(
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: The same words as places in a text, in either case.
-WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def ascii_words(text: bytes) -> list[bytes]:
