@@ -1,0 +1,147 @@
+import random
+
+import numpy as np
+import pytest
+
+from wordloom.llm import parity_join
+from wordloom.llm.components import components
+from wordloom.llm.parity_join import near_duplicates, one_per_class
+from wordloom.llm.parity_sketch import SPARE_MATCHES, block_keys, differing_bits, linked, may_link, most_apart, set_key, shingles, sketch
+from wordloom.llm.words import spaced_words
+
+
+def brute(rows):
+    """Classes by comparing all pairs."""
+    def grams(text):
+        words = spaced_words((text or "").encode())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    lowest = {}
+    for i, (doc, _) in enumerate(rows):
+        lowest[root(i)] = min(lowest.get(root(i), doc), doc)
+    return sorted((doc, len(sets[i]), lowest[root(i)]) for i, (doc, _) in enumerate(rows))
+
+
+def corpus(seed, groups=25):
+    rng = random.Random(seed)
+    prose = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    passage, rows = prose(60), []
+    for _ in range(groups):
+        words = prose(rng.choice([3, 5, 8, 9, 12, 30, 80, 200]))
+        if rng.random() < 0.4:
+            words += passage
+        rows.append(" ".join(words))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(copy) // 25))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 2)] = prose(rng.randint(0, 2))
+            rows.append(" ".join(copy))
+    rows += [rows[0], rows[0].upper(), "", None, " \n", "one two", "One  two", "one two three"]
+    ids = list(range(100, 100 + len(rows)))
+    rng.shuffle(ids)
+    return list(zip(ids, rows, strict=True))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_all_pairs(spark, seed):
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n int, cls string").repartition(3)
+    found = near_duplicates(docs)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def test_large_and_dense_buckets_lose_nothing(spark, monkeypatch):
+    """A cluster in which copies of one text link with it, but hardly with each other."""
+    monkeypatch.setattr(parity_join, "DENSE", 1)
+    monkeypatch.setattr(parity_join, "KEYS_AT_ONCE", 100)
+    monkeypatch.setattr(parity_join, "BROADCAST_IDS", 0)
+    rng = random.Random(9)
+    source = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 40):
+        copy = list(source)
+        for at in rng.sample(range(120), 2):
+            copy[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), large_bucket=3)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def test_linked_sets_share_blocks():
+    rng = np.random.default_rng(5)
+    pairs = 0
+    for n in [4, 5, 6, 7, 8, 9, 11, 12, 13, 18, 20, 30, 50, 100, 300, 900] * 60:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = int(rng.integers(0, n // 5 + 2))
+        new = rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 2))).astype(np.uint64)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], new]))
+        apart = len(np.setxor1d(a, b))
+        assert differing_bits(sketch(a), sketch(b)) <= apart
+        if len(b) and linked(a, b) and apart:
+            assert may_link(len(a), len(b), sketch(a), sketch(b))
+            pairs += 1
+            assert apart <= most_apart(*sorted((len(a), len(b))))
+            assert len(np.intersect1d(block_keys(a), block_keys(b))) >= SPARE_MATCHES
+    assert pairs > 300
+
+
+def test_sketches_tell_large_sets_apart():
+    rng = np.random.default_rng(6)
+    for n in (30, 600, 5000):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        assert not may_link(n, n, sketch(a), sketch(b)) and may_link(n, n, sketch(a), sketch(a))
+
+
+def test_linked_is_exact():
+    four, five = np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)
+    assert linked(four, five) and not linked(np.arange(3, dtype=np.uint64), four) and not linked(four[:0], four[:0])
+
+
+def test_shingles():
+    words = b"a b c d e f".split()
+    assert len(shingles(words)) == 2 and len(shingles(words[:3])) == 1 and len(shingles([])) == 0
+    assert len(shingles([b"a"] * 100)) == 1
+    assert set_key(shingles(words)) == set_key(shingles(words)) != set_key(shingles(words[:5]))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, 60), (None, 3), (70, None)] + [(100, i) for i in range(101, 300)]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    expected = {**{i: 1 for i in range(1, 41)}, 50: 50, 51: 50, **{i: 100 for i in range(100, 300)}}
+    assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_nulls_and_repeated_ids(spark):
+    text = "a b c d e f g h"
+    rows = [(5, text), (5, text), (3, text), (None, text), (None, None), (7, "x y"), (7, "p q r s t u"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(str, map(tuple, near_duplicates(docs).collect())))
+    assert found == sorted(map(str, [(5, 4, 3), (5, 4, 3), (3, 4, 3), (None, 4, 3), (None, 0, None), (7, 1, 7), (7, 2, 7), (9, 0, 9)]))
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_per_class(spark):
+    text = "a b c d e f g h"
+    rows = [(5, text, "s", 1), (3, text, "t", 2), (3, text, "t", 2), (None, text, None, None), (7, "x y", "u", 3), (7, "p q r s t u", "u", 4), (9, None, "v", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, gone int")
+    kept = one_per_class(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5], rows[6]]))
+    assert one_per_class(docs.limit(0)).count() == 0

@@ -17,54 +17,49 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import id_type, keyed_text, map_batches, whole_rows
 from wordloom.llm.components import components
-from wordloom.llm.parity_sketch import SHARE, SHORT_BITS, block_keys, linked, mixed, set_key, shingles, short_sketch
+from wordloom.llm.parity_sketch import SHARE, SHORT_BITS, block_keys, folded, linked, may_link, mixed, set_key, shingles, sketch
 from wordloom.llm.words import spaced_words
 from wordloom.session import stage
 
-LARGE_BUCKET = 10_000  # documents of a bucket that are still apart and are compared in one task
+LARGE_BUCKET = 2_000  # documents of a bucket that are still apart and are compared in one task
 KEYS_AT_ONCE = 2_000_000  # block keys that a task sorts at once
 DENSE = 16  # pairs per document that one bucket may hand out in a round
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast after they were counted
-SKETCH = [f"s{i}" for i in range(SHORT_BITS // 64)]
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """``id, n, cls`` and the short sketch of ``id, text``; without words ``n`` is 0 and the others null."""
+    """``id, n, cls, sketch`` of ``id, text``; without words ``n`` is 0 and the others null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, sketches = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(spaced_words(text)) if text else ()
-                sizes.append(len(found))
-                keys.append(set_key(found) if len(found) else None)
-                sketches.append(short_sketch(found) if len(found) else np.zeros(len(SKETCH), np.int64))
-            bits = np.array(sketches, np.int64).reshape(-1, len(SKETCH))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(len(SKETCH)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cls", *SKETCH])
+            sets = [shingles(spaced_words(x)) if x else () for x in batch.column(1).to_pylist()]
+            keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
+            sketches = pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), keys, sketches]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cls", "sketch"])
 
-    return map_batches(rows, work, f"id {id_type(rows)}, n bigint, cls bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
+    return map_batches(rows, work, f"id {id_type(rows)}, n bigint, cls bigint, sketch binary")
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """``bucket, cls, spread, joined`` of ``id, text``: the block keys of every set, once per task for equal sets.
+    """``spread, cls, bucket`` of ``id, text``: the block keys of every set, once per task for equal sets.
 
-    Of the sets of a task that share a bucket only the first takes the bucket as ``spread``, by which rows are shuffled;
-    the others go anywhere. So no bucket sends more rows to one place than there are tasks. ``joined``: the bucket is
-    known to hold two sets.
+    Rows are shuffled by ``spread``. Of the sets of a task that share a bucket only the first takes the bucket itself as
+    ``spread``; the others go anywhere. So no bucket sends more rows to one place than there are tasks. ``bucket`` is
+    given where the bucket is known to hold two sets, else it is null and the same as ``spread``.
     """
 
     def flushed(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         bucket, cls = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(bucket, kind="stable")
-        bucket, cls = bucket[order], cls[order]
-        first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-        joined = ~first
-        joined[:-1] |= ~first[1:]
-        spread = np.where(first, bucket, mixed((bucket ^ cls).view(np.uint64)).view(np.int64))
+        _, first, which, count = np.unique(bucket, return_index=True, return_inverse=True, return_counts=True)
+        alone = count[which] == 1
+        spread = mixed((bucket ^ cls).view(np.uint64)).view(np.int64)
+        spread[first] = bucket[first]
+        # In the order of the sets: neighbours have the same set, which packs well.
         for at in range(0, len(bucket), 100_000):
             part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (bucket, cls, spread, joined)], names=["bucket", "cls", "spread", "joined"])
+            columns = [pa.array(spread[part]), pa.array(cls[part]), pa.array(bucket[part], mask=alone[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=["spread", "cls", "bucket"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -84,33 +79,32 @@ def bucketed(rows: DataFrame) -> DataFrame:
         if keys:
             yield from flushed(keys, owners)
 
-    return map_batches(rows, work, "bucket bigint, cls bigint, spread bigint, joined boolean")
+    return map_batches(rows, work, "spread bigint, cls bigint, bucket bigint")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """``bucket, cls`` of the buckets with two classes or more, without repeats; one shuffle of small rows."""
-    same = Window.partitionBy("spread", "bucket")
-    ends = rows.repartition("spread").select("bucket", "cls", "joined", F.min("cls").over(same).alias("low"), F.max("cls").over(same).alias("high"))
-    return ends.where("joined or low < high").select("bucket", "cls").distinct()
-
-
-def may_link(a: str, b: str) -> Column:
-    """Exact bounds for a pair: the sizes, and the bits in which the short sketches differ."""
-    part, whole = SHARE
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH), F.lit(0))
-    return (F.least(n, m) * whole >= F.greatest(n, m) * part) & (differ * (whole + part) <= (n + m) * (whole - part))
+    same = Window.partitionBy("spread")
+    ends = rows.repartition("spread").select("spread", "cls", "bucket", F.min("cls").over(same).alias("low"), F.max("cls").over(same).alias("high"))
+    return ends.where("bucket is not null or low < high").select(F.coalesce("bucket", "spread").alias("bucket"), "cls").distinct()
 
 
 def with_class(rows: DataFrame, classes: DataFrame, key: str, prefix: str) -> DataFrame:
-    wanted = classes.select(F.col("cls").alias("of"), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *SKETCH)))
+    wanted = classes.select(F.col("cls").alias("of"), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", "sketch")))
     return rows.join(wanted, F.col(key) == F.col("of")).drop("of")
 
 
 def star_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: the members of every bucket with its centre ``b``, where the bounds allow a link."""
     pairs = shared.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
-    return with_class(with_class(pairs, classes, "a", "a_"), classes, "b", "b_").where(may_link("a_", "b_")).select("a", "b")
+    sized = with_class(with_class(pairs, classes, "a", "a_"), classes, "b", "b_")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch"))
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*values, strict=True)], pa.bool_()))
+
+    return map_batches(sized, work, "a bigint, b bigint")
 
 
 def with_centres(rows: DataFrame) -> DataFrame:
@@ -140,7 +134,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), work, "a bigint, b bigint")
 
 
-def _bucket_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different components that the bounds allow; and the places of members whose pairs are not all given.
 
     Where the pairs are many (a cluster that is not joined yet), only those with the few members that have most are given:
@@ -148,22 +142,23 @@ def _bucket_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.n
     """
     part, whole = SHARE
     size = len(cls)
-    bits = sketch.view(np.uint64)
+    short = np.array([folded(np.frombuffer(x, np.uint64), SHORT_BITS // 64) for x in sketches])
     first, second = [], []
     for at in range(0, size, 256):
         rows = slice(at, min(at + 256, size))
         near = (comp[rows, None] != comp[None, :]) & (np.arange(size)[None, :] > np.arange(size)[rows, None])
         near &= np.minimum(n[rows, None], n[None, :]) * whole >= np.maximum(n[rows, None], n[None, :]) * part
         i, j = np.nonzero(near)
-        differ = np.bitwise_count(bits[rows][i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(short[rows][i] ^ short[j]).sum(axis=1, dtype=np.int64)
         keep = differ * (whole + part) <= (n[rows][i] + n[j]) * (whole - part)
+        keep[keep] = [may_link(n[a], n[b], sketches[a], sketches[b]) for a, b in zip((i[keep] + at).tolist(), j[keep].tolist(), strict=True)]
         first.append(i[keep] + at)
         second.append(j[keep])
     a, b = np.concatenate(first), np.concatenate(second)
     if len(a) <= DENSE * size:
         return a, b, np.zeros(0, np.int64)
     degree = np.bincount(a, minlength=size) + np.bincount(b, minlength=size)
-    top = np.argsort(-degree, kind="stable")[: DENSE // 2]
+    top = np.argsort(-degree, kind="stable")[: max(1, DENSE // 2)]
     is_top = np.zeros(size, bool)
     is_top[top] = True
     keep = is_top[a] | is_top[b]
@@ -172,45 +167,39 @@ def _bucket_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.n
 
 
 def pairs_apart(rows: DataFrame) -> DataFrame:
-    """``left, a, b`` from ``bucket, cls, comp, n`` and the sketches: pairs (``left`` false), and rows ``bucket, cls`` for another round."""
-    names = ["bucket", "cls", "comp", "n", *SKETCH]
+    """``left, a, b`` from ``bucket, cls, comp, n, sketch``: pairs (``left`` false), and rows ``bucket, cls`` for another round."""
+
+    def settled(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        bucket, cls, comp, n = (table.column(c).to_numpy() for c in ("bucket", "cls", "comp", "n"))
+        sketches = table.column("sketch").to_pylist()
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        kinds, firsts, seconds = [], [], []
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            own = cls[start:stop]
+            a, b, left = _bucket_pairs(own, comp[start:stop], n[start:stop], sketches[start:stop])
+            kinds += [np.zeros(len(a), bool), np.ones(len(left), bool)]
+            firsts += [own[a], np.full(len(left), bucket[start])]
+            seconds += [own[b], own[left]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, firsts, seconds)], names=["left", "a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def settled(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            table = pa.Table.from_batches(held).combine_chunks()
-            if not table.num_rows:
-                return
-            columns = {c: table.column(c).to_numpy() for c in names}
-            edges = np.flatnonzero(np.diff(columns["bucket"])) + 1
-            starts, stops = [0, *edges.tolist()], [*edges.tolist(), table.num_rows]
-            if not final:
-                held = [b for b in table.slice(starts[-1]).to_batches()]
-                starts, stops = starts[:-1], stops[:-1]
-            sketch = np.column_stack([columns[s] for s in SKETCH])
-            kinds, firsts, seconds = [], [], []
-            for start, stop in zip(starts, stops, strict=True):
-                cls, comp = columns["cls"][start:stop], columns["comp"][start:stop]
-                a, b, left = _bucket_pairs(cls, comp, columns["n"][start:stop], sketch[start:stop])
-                kinds += [np.zeros(len(a), bool), np.ones(len(left), bool)]
-                firsts += [cls[a], np.full(len(left), columns["bucket"][start])]
-                seconds += [cls[b], cls[left]]
-            if kinds:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, firsts, seconds)], names=["left", "a", "b"])
-
-        size = 0
+        held: list[pa.RecordBatch] = []  # the rows of a bucket may go on in the next batch
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 20_000:
-                yield from settled(False)
-                size = 0
+            bucket = batch.column(0).to_numpy()
+            if not len(bucket):
+                continue
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if held and (last or bucket[0] != held[-1].column(0)[0].as_py()):
+                yield settled([*held, batch.slice(0, last)] if last else held)
+                held = []
+            elif last:
+                yield settled([batch.slice(0, last)])
+            held.append(batch.slice(last))
         if held:
-            yield from settled(True)
+            yield settled(held)
 
-    ordered = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket", "cls")
+    ordered = rows.select("bucket", "cls", "comp", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket", "cls")
     return map_batches(ordered, work, "left boolean, a bigint, b bigint")
 
 
@@ -226,7 +215,7 @@ def refined(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys * np.int64(2654435761) ^ np.int64(bucket)), pa.array(np.full(len(keys), cls, np.int64))], names=["bucket", "cls"])
 
     keyed = map_batches(joined, work, "bucket bigint, cls bigint")
-    return keyed.select("bucket", "cls", F.col("bucket").alias("spread"), F.lit(False).alias("joined"))
+    return keyed.select(F.col("bucket").alias("spread"), "cls", F.lit(None).cast("bigint").alias("bucket"))
 
 
 def still_apart(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -258,16 +247,12 @@ def near_duplicates(
     """
     rows = keyed_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     known = stage(described(rows), "sets")
-    made = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *(F.max(s).alias(s) for s in SKETCH))
+    made = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stage(made, "classes")
 
     shared = stage(with_centres(stage(shared_buckets(bucketed(rows)), "buckets")), "centres")
     pairs = stage(star_pairs(shared, classes), "pairs")
-    in_buckets = shared.select("cls").distinct()
-    wanted = stage(classes.join(in_buckets, "cls", "left_semi").where("rep is not null").select(F.col("rep").alias("id"), F.col("cls").alias("of")), "wanted")
-    texts = stage(matching_texts(by_id(rows.where("id is not null"), wanted, "id", "inner")), "texts")
-
-    links = stage(verified(pairs, texts), "verified")
+    links = stage(verified(pairs, class_texts(rows, classes, pairs)), "verified")
     found = stage(components(links), "components")
     # What stars left apart, until no bucket holds a pair that the bounds allow.
     state = shared.where("cls <> centre").select("bucket", "cls")
@@ -277,16 +262,16 @@ def near_duplicates(
         if first:
             large = apart.where(F.col("size") > large_bucket)
             if not large.isEmpty():
-                again = still_apart(shared_buckets(refined(large, texts)), found)
+                again = still_apart(shared_buckets(refined(large, class_texts(rows, classes, large.select("cls")))), found)
                 apart = stage(apart.where(F.col("size") <= large_bucket).unionByName(again), "apart")
             first = False
         tried = stage(pairs_apart(with_class(apart.select("bucket", "cls", "comp"), classes, "cls", "")), "tried")
         more = stage(tried.where("not left").select("a", "b").distinct(), "pairs")
         if more.isEmpty():
             break
-        new = stage(verified(more, texts), "verified")
-        links = links.unionByName(new)
+        new = stage(verified(more, class_texts(rows, classes, more)), "verified")
         if not new.isEmpty():
+            links = links.unionByName(new)
             found = stage(components(links), "components")
         state = tried.where("left").select(F.col("a").alias("bucket"), F.col("b").alias("cls"))
         if state.isEmpty():
@@ -300,6 +285,13 @@ def near_duplicates(
     return result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
 
 
+def class_texts(rows: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """``cls, text`` of the classes in the columns of ``named``, staged; the text is that of the class's smallest id."""
+    keys = named.select(F.explode(F.array(*named.columns)).alias("cls")).distinct()
+    wanted = classes.join(keys, "cls", "left_semi").where("rep is not null").select(F.col("rep").alias("id"), F.col("cls").alias("of"))
+    return stage(matching_texts(by_id(rows.where("id is not null"), stage(wanted, "wanted"), "id", "inner")), "texts")
+
+
 def matching_texts(rows: DataFrame) -> DataFrame:
     """``cls, text`` of ``id, text, of`` where the text's set is the class: an id may have several texts."""
 

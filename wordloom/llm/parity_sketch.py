@@ -1,7 +1,7 @@
 """Parity sketches of shingle sets.
 
 A token toggles bits of a sketch, so tokens that two sets share cancel out: the bits in which two
-sketches differ number at most the symmetric difference of the sets. Sketches come in two forms. The short one,
+sketches differ number at most the symmetric difference of the sets. Sketches come in two forms. The plain one,
 one bit per token, bounds the difference of a given pair. The block form has as many blocks as a band of sizes may
 differ in tokens, and more: two sets above the similarity then agree in a whole block.
 """
@@ -50,10 +50,31 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(both.tobytes()) - (1 << 63)
 
 
-def short_sketch(found: np.ndarray) -> np.ndarray:
-    """One bit per token, as signed 64-bit numbers."""
-    parity = np.bincount((found & np.uint64(SHORT_BITS - 1)).astype(np.int64), minlength=SHORT_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+def sketch(found: np.ndarray) -> bytes:
+    """One bit per token. The length is a power of two, about as many bits as tokens: see ``differing_bits``."""
+    bits = max(SHORT_BITS, 1 << max(len(found) - 1, 0).bit_length())
+    parity = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of ``size`` 64-bit words from a longer one: its parts, one over the other."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+
+
+def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """Exact bounds for two sets by their sizes and sketches; False only where they can't link."""
+    part, whole = SHARE
+    if min(n, m) * whole < max(n, m) * part:
+        return False
+    return differing_bits(a, b) <= most_apart(n, m)
 
 
 def most_apart(smaller: int, larger: int) -> int:
