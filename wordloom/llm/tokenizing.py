@@ -10,19 +10,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 CACHED_PIECES = 1_500_000  # per worker; a full table is emptied
 ENCODED_AT_ONCE = 2_000
 
-#: White space and controls besides space and newline, invisible signs, special tokens: such texts are encoded whole.
-ODD_SIGN = re.compile("[^\\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\ufeff]|<\\|")
-
-
 class PieceTable:
     """Ids of the pieces seen, in one flat array."""
 
@@ -30,6 +25,7 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
+        self.emptied = getattr(self, "emptied", -1) + 1
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -46,6 +42,14 @@ class PieceTable:
         self.starts[slot + 1 : slot + 1 + len(pieces)] = start + np.cumsum(sizes)
         self.slots.update(zip(pieces, range(slot, slot + len(pieces)), strict=True))
 
+    def ids(self, slots: np.ndarray | list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in these slots in a row, and how many each has."""
+        slots = np.asarray(slots, np.int64)
+        first = self.starts[slots]
+        sizes = self.starts[slots + 1] - first
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(first - before, sizes) + np.arange(sizes.sum())], sizes
+
 
 class TextEncoder:
     """Encodes texts with a tokenizer file of the tokenizers library; special tokens' strings are ordinary text."""
@@ -84,7 +88,8 @@ class TextEncoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """The text cut where a word always ends, or None where that is not certain."""
-        if not self.kind or ODD_SIGN.search(text):
+        # Not printable are white space but the space, controls and invisible signs; "<|" may begin a special token.
+        if not self.kind or "<|" in text or not text.replace("\n", "").isprintable():
             return None
         if self.kind == "words":
             return text.split()
@@ -93,15 +98,17 @@ class TextEncoder:
         return [x for x in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if x]
 
     def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces.difference(self.table.slots))
-        if len(self.table.slots) + len(new) > CACHED_PIECES:
+        """Add the ids of pieces that are not in the table; a full table is emptied first."""
+        # A word ends before a full stop or comma: such a piece is the word's ids and one more.
+        ended = {x for x in pieces if x[-1] in ".," and x[-2:-1].isalpha()}
+        plain = pieces - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}
+        if len(self.table.slots) + len(plain) + len(ended) > CACHED_PIECES:
             self.table.clear()
-            new = sorted(pieces)
-        if self.kind == "bytes":
-            for blank in [x for x in new if x.isspace()]:
-                ids = self.whole(blank)
-                self.table.add([blank], ids, np.array([len(ids)]))
-            new = [x for x in new if not x.isspace()]
+        new = sorted(plain.difference(self.table.slots))
+        for special in [x for x in new if x.isspace() or x[0] == "\0"]:
+            ids = self.whole(special) if special[0] != "\0" else np.array([int(special[1:])], np.uint32)
+            self.table.add([special], ids, np.array([len(ids)]))
+        new = [x for x in new if not x.isspace() and x[0] != "\0"]
         for at in range(0, len(new), ENCODED_AT_ONCE):
             block = new[at : at + ENCODED_AT_ONCE]
             if self.kind == "bytes":  # one call for all: the newline's token stands alone, between the pieces
@@ -112,25 +119,37 @@ class TextEncoder:
                 found = [x.ids for x in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 self.table.add(block, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes)
+        joined = sorted(ended.difference(self.table.slots))
+        if joined:
+            parts = [y for x in joined for y in (x[:-1], x[-1])]
+            ids, sizes = self.table.ids([self.table.slots[y] for y in parts])
+            self.table.add(joined, ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text starts (one more than texts); ``end`` closes each text."""
+        closing = [] if end is None else [f"\0{end}"]
         split = [self.pieces(x) for x in texts]
-        self.learn({p for x in split if x for p in x})
-        get, table, out = self.table.slots.__getitem__, self.table, []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                ids = self.whole(text)
-            else:
-                slots = np.fromiter(map(get, pieces), np.int64, len(pieces))
-                first = table.starts[slots]
-                sizes = table.starts[slots + 1] - first
-                before = np.cumsum(sizes) - sizes
-                ids = table.flat[np.repeat(first - before, sizes) + np.arange(sizes.sum())]
-            out.append(ids if end is None else np.append(ids, np.uint32(end)))
-        starts = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(x) for x in out], out=starts[1:])
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)).astype(np.uint32), starts
+        flat = [p for x in split if x is not None for p in chain(x, closing)]
+        slots = np.fromiter(map(self.table.slots.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            emptied = self.table.emptied
+            self.learn({flat[i] for i in missing.tolist()})
+            if self.table.emptied != emptied:  # what was known before has to be learned again
+                self.table.clear()
+                self.learn(set(flat))
+                missing = np.arange(len(flat))
+            slots[missing] = np.fromiter(map(self.table.slots.__getitem__, [flat[i] for i in missing.tolist()]), np.int64, len(missing))
+        ids, sizes = self.table.ids(slots)
+        counts = [0 if x is None else len(x) + len(closing) for x in split]
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        lengths = np.diff(edges)
+        if None in split:
+            parts = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            for i in [i for i, x in enumerate(split) if x is None]:
+                parts[i] = np.append(self.whole(texts[i]), np.array([] if end is None else [end], np.uint32))
+            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
