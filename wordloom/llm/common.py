@@ -59,6 +59,13 @@ def with_new_text(found: DataFrame, df: DataFrame, text_col: str, rest: str, tex
     return found.select(*columns)
 
 
+def made_once(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; conditions on these columns that come later use their values, not the expressions behind them."""
+    kept = [c for c in df.columns if c not in names]
+    made = df.select(*kept, F.explode_outer(F.array(F.struct(*names))).alias("_made"))
+    return made.select(*(F.col(c) if c in kept else F.col(f"_made.{c}").alias(c) for c in df.columns))
+
+
 def id_type(df: DataFrame, name: str = "id") -> str:
     return _ddl(df.schema[name].dataType)
 

@@ -13,9 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import keyed_text, pick
+from wordloom.llm.common import keyed_text, made_once, pick
 
 BINS = 1 << 14
+TRUSTED_DOCS = 20_000  # bound of the labelled sample that the target is fitted on
 PRIOR = 5.0  # n-grams added to observed and expected counts of a bin
 THRESHOLD = -0.3  # junk lies below -0.8, good texts above -0.1
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -80,16 +81,28 @@ def with_bins(rows: DataFrame, text: str, bins: int) -> DataFrame:
     return pieces.select(*names, F.concat(single, F.array_compact(pairs)).alias("bins"))
 
 
-def count_bins(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id", bins: int = BINS) -> DataFrame:
+def count_bins(
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    trusted_id_col: str = "doc_id",
+    bins: int = BINS,
+    trusted_docs: int = TRUSTED_DOCS,
+) -> DataFrame:
     """``bin, n, n_trusted``: n-grams of all documents, and of those whose ids are in ``trusted``.
 
-    Null ids are never trusted. Each task adds up its bins before the shuffle, so a task sends ``bins`` rows at most.
+    The corpus is counted whole. Of the trusted ids those ``trusted_docs`` with the smallest hashes are taken: a bounded
+    list, which is broadcast, so no text is shuffled. Null ids are never trusted. Each task adds up its bins before the
+    shuffle, so it sends ``bins`` rows at most.
     """
     rows = keyed_text(docs, id_col, text_col)
-    ids = pick(trusted, of=trusted_id_col).where("of is not null").distinct()
-    joined = rows.join(ids, F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().cast("int").alias("is_trusted"))
-    grams = with_bins(joined, "text", bins).select("is_trusted", F.explode("bins").alias("bin"))
-    return grams.groupBy("bin").agg(F.count("*").alias("n"), F.sum("is_trusted").cast("long").alias("n_trusted"))
+    ids = pick(trusted, of=trusted_id_col).where("of is not null").distinct().orderBy(F.xxhash64("of"), "of").limit(trusted_docs)
+    joined = rows.join(F.broadcast(ids), F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().cast("int").alias("is_trusted"))
+    # With a plain explode Spark would cut the texts once more below the join, to leave out those without n-grams.
+    grams = with_bins(joined, "text", bins).select("is_trusted", F.explode_outer("bins").alias("bin"))
+    counts = grams.groupBy("bin").agg(F.count("*").alias("n"), F.sum("is_trusted").cast("long").alias("n_trusted"))
+    return counts.where("bin is not null")
 
 
 def bin_weights(counts: DataFrame, bins: int = BINS, prior: float = PRIOR) -> list[float]:
@@ -119,6 +132,7 @@ def quality_rules(
     bins: int = BINS,
     prior: float = PRIOR,
     threshold: float = THRESHOLD,
+    trusted_docs: int = TRUSTED_DOCS,
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept``.
 
@@ -126,8 +140,9 @@ def quality_rules(
     empty texts fail the base rules; without trusted documents every ratio is 0; repeated rows get the same result;
     other columns are not read.
     """
-    weights = bin_weights(count_bins(docs, trusted, id_col, text_col, trusted_id_col, bins), bins, prior)
+    weights = bin_weights(count_bins(docs, trusted, id_col, text_col, trusted_id_col, bins, trusted_docs), bins, prior)
     rows = keyed_text(docs, id_col, text_col)
     ruled = with_bins(with_base_rules(rows), "text", bins)
     scored = ruled.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", mean_ratio("bins", weights).alias("ratio"))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    return made_once(judged, *judged.columns[1:])
