@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import keyed_text, pick, whole_rows
+from wordloom.llm.common import keyed_text, made_once, pick, whole_rows
 
 SAMPLE_ROWS = 20_000  # bound of the labelled sample that the driver fits on
 N_TREES, DEPTH, MIN_LEAF, N_CUTS = 40, 3, 20, 32
@@ -237,10 +237,11 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     Null texts are scored as empty; repeated rows get the same score; other columns are not read.
     """
     rows = keyed_text(docs, id_col, text_col)
-    return with_statistics(rows).select(F.col("id").alias("doc_id"), model.column().alias("score"))
+    return made_once(with_statistics(rows).select(F.col("id").alias("doc_id"), model.column().alias("score")), "score")
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts score at least ``threshold``, as they are; no join and no shuffle."""
     rows = whole_rows(docs, text_col).withColumnRenamed("row", "id")
-    return with_statistics(rows).where(model.column() >= threshold).select("id.*")
+    scored = made_once(with_statistics(rows).select("id", model.column().alias("score")), "score")
+    return scored.where(F.col("score") >= threshold).select("id.*")
