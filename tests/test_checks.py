@@ -7,7 +7,7 @@ from wordloom.operators.checks import duplicate_keys, null_counts, orphans, outs
 from wordloom.operators.paging import find_one, page, page_after
 from wordloom.operators.status import latest_status
 from wordloom.schemas import BATCH_RECORD, FILE_RECORD
-from wordloom.streaming.status import fold_records, read_status_stream
+from wordloom.streaming.status import compact_states, fold_records, read_states, start_status
 
 
 @pytest.fixture
@@ -67,18 +67,31 @@ def test_status_stream_equals_table(spark, tmp_path):
         record("x", "completed", 8, 8, created_at=1, in_progress_at=3, completed_at=9),
         record("x", "in_progress", 8, 2, created_at=1, in_progress_at=3),
     ]))
-    query = (
-        read_status_stream(spark, str(folder)).writeStream.outputMode("update")
-        .format("memory").queryName("statuses").trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(120)
-    stream = {tuple(r) for r in spark.table("statuses").select(
-        "id", "status", "request_counts.completed", "outcome").collect()}
+    states, wanted = str(tmp_path / "states"), ["id", "status", "request_counts.completed", "outcome"]
+    for checkpoint in ("c1", "c1", "c2"):  # once, again without news, and with a lost checkpoint
+        query = start_status(spark, str(folder), states, str(tmp_path / checkpoint))
+        assert query.awaitTermination(120)
+    stream = {tuple(r) for r in read_states(spark, states).select(*wanted).collect()}
     table = spark.read.schema(BATCH_RECORD).json(str(folder))
     folded = {tuple(r) for r in fold_records(table).select(
         "id", "status", "request_counts.completed", "outcome").collect()}
     assert folded == {("x", "completed", 8, "done"), ("y", "validating", 0, "running")}
-    assert folded <= stream
+    assert folded == stream
+    compact_states(spark, states, str(tmp_path / "small"), ended_before=10)
+    assert [r.id for r in read_states(spark, str(tmp_path / "small")).collect()] == ["y"]
+
+
+def test_records_of_one_second_follow_the_life_of_a_batch(spark, tmp_path):
+    lines = [
+        record("a", "finalizing", completed_at=5, finalizing_at=5), record("a", "completed", 1, 1, completed_at=5, finalizing_at=5),
+        record("b", "failed", in_progress_at=7, failed_at=7), record("b", "in_progress", in_progress_at=7),
+        record("c", "cancelling", cancelling_at=3), record("c", "cancelled", cancelling_at=3, cancelled_at=3),
+    ]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    rows = fold_records(spark.read.schema(BATCH_RECORD).json(str(tmp_path))).collect()
+    assert {r.id: (r.status, r.outcome) for r in rows} == {
+        "a": ("completed", "done"), "b": ("failed", "failed"), "c": ("cancelled", "failed"),
+    }
 
 
 def test_file_record_schema(spark, tmp_path):

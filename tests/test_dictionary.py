@@ -9,15 +9,19 @@ from wordloom.operators.enrich import process_words
 from wordloom.plans.dictionary import (
     CHILD_TABLES,
     UnknownCategory,
+    UnknownLanguage,
+    dictionary_check,
     save_audit,
     save_dictionary,
+    save_languages,
     seed_languages,
     word_differences,
 )
-from wordloom.plans.ingest import ingest_errors, ingest_results
+from wordloom.plans.ingest import ingest_documents, ingest_errors, ingest_results, result_words
 from wordloom.schemas import LANGUAGES, TABLES
+from wordloom.session import folder_names, shared_folder, stage
 from wordloom.sources import sinks
-from wordloom.sources.files import read_json_lines, read_result_documents
+from wordloom.sources.files import document_rows, list_sources, read_json_lines, read_result_documents
 from wordloom.sources.sinks import last_ids, read_table
 from wordloom.streaming.ingest import start_ingest
 
@@ -97,11 +101,7 @@ def test_ids_go_on_without_reading_the_tables(spark, sample, tmp_path):
     assert last_ids(spark, other, ("word", "translation")) == {"word": 3, "translation": 0}
 
 
-@pytest.mark.parametrize("named", [0, 1000])
-def test_emptied_batches_are_found_with_and_without_names(
-    spark, sample, tmp_path, monkeypatch, named
-):
-    monkeypatch.setattr(sinks, "NAMED_BATCHES", named)
+def test_emptied_batches_lose_their_rows(spark, sample, tmp_path):
     root = str(tmp_path)
     save_dictionary(sample, root)
     save_dictionary(sample.withColumn("source_batch", F.lit("c")), root)
@@ -111,6 +111,55 @@ def test_emptied_batches_are_found_with_and_without_names(
     assert [r[0] for r in left] == ["b"]
 
 
+def test_the_audit_counts_its_own_run(spark, sample, tmp_path):
+    root = str(tmp_path)
+    other = process_words(entries(spark, ("neu", {"adjective": ["new"]}), ("Aachener", {"noun": ["x"]}), batch="c"))
+    for rows in (sample, other, sample):
+        save_dictionary(rows, root)
+    for rows, words in ((sample, 3), (other, 2)):
+        audit = {r.table_name: (r.expected, r.stored) for r in save_audit(spark, rows, root).collect()}
+        assert audit["word"] == (words, words) and all(x == y for x, y in audit.values())
+
+
+def staged(spark):
+    return set(folder_names(spark, shared_folder(spark)))
+
+
+def test_saves_leave_nothing_staged_and_list_little(spark, sample, tmp_path):
+    root, before = str(tmp_path), None
+    stages = staged(spark)
+    for n in range(6):
+        save_dictionary(sample.withColumn("source_batch", F.lit(f"batch-{n}")), root)
+        assert len(list((tmp_path / "id_counter").iterdir())) == 1
+        words = list((tmp_path / "word").rglob("*.parquet"))
+        before = before or len(words)
+        assert len(words) <= before + n  # a new word needs a file, a known one does not
+    assert staged(spark) == stages
+    assert read_table(spark, root, "translation").count() == 36
+
+
+def test_languages_are_stored_and_checked(spark, sample, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(UnknownLanguage):
+        save_dictionary(sample, root, primary_language=45)
+    names = spark.createDataFrame([(1, "English"), (2, "German")], "id INT, name STRING")
+    for _ in range(2):
+        save_languages(names, root)
+    more = spark.createDataFrame([(1, "German"), (2, "Dutch")], "id INT, name STRING")
+    save_languages(more, root)
+    assert sorted(map(tuple, read_table(spark, root, "language").collect())) == [(1, "English"), (2, "German"), (3, "Dutch")]
+    with pytest.raises(UnknownLanguage, match="12"):
+        save_dictionary(sample, root)
+    save_dictionary(sample, root, primary_language=2, secondary_language=3)
+    assert dictionary_check(spark, root).count() == 0
+    sinks.append_rows(spark.createDataFrame([(9, "Aachener", 2), (9, None, 7)], TABLES["word"]), root, "word")
+    found = {(r.table_name, r.problem, r.column, r.value, r.n_rows) for r in dictionary_check(spark, root).collect()}
+    assert found == {
+        ("word", "orphan", "primary_language", "7", 1), ("word", "duplicate", "id", "9", 2),
+        ("word", "duplicate", "word,primary_language", "Aachener", 2), ("word", "null", "", "word", 1),
+    }
+
+
 def test_batches_share_words_and_keep_their_rows(spark, sample, tmp_path):
     root = str(tmp_path)
     save_dictionary(sample, root)
@@ -230,18 +279,63 @@ def test_ingest_replaces_a_corrected_file(spark, tmp_path):
     assert [r.custom_id for r in read_table(spark, root, "error").collect()] == ["4"]
 
 
+def errors_of(spark, root):
+    return sorted((r.custom_id or "", r.origin) for r in read_table(spark, root, "error").collect())
+
+
+def write_document(folder, results, errors, name="doc.json"):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(json.dumps({"results": results, "errors": errors}))
+
+
 def test_ingest_documents(spark, tmp_path):
-    root = str(tmp_path / "root")
-    (tmp_path / "in").mkdir()
-    document = {"results": [result("1", ANSWER)], "errors": [{"custom_id": "9"}]}
-    (tmp_path / "in" / "doc.json").write_text(json.dumps(document))
-    results, errors = read_result_documents(spark, str(tmp_path / "in"))
-    ingest_results(results, root)
-    assert by_word(spark, root, "translation", "translation") == [
-        ("Haus", "house"), ("Maus", "mouse")]
-    ingest_errors(errors, str(tmp_path / "errors"))
-    assert [r.custom_id for r in read_table(spark, str(tmp_path / "errors"), "error").collect()] \
-        == ["9"]
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
+    write_document(folder, [result("1", ANSWER), result("2", error="late"), result("3", "{")], [{"custom_id": "9"}, None])
+    (folder / "bad.json").write_text('{"results": [')
+    for _ in range(2):
+        ingest_documents(read_result_documents(spark, str(folder)), root)
+        assert by_word(spark, root, "translation", "translation") == [("Haus", "house"), ("Maus", "mouse")]
+        assert errors_of(spark, root) == [("2", "result"), ("9", "error")]
+        aside = sorted((r.stage, r.reason) for r in read_table(spark, root, "quarantine").collect())
+        assert aside == [("content", "malformed content"), ("document", "malformed document")]
+    # A document that can't be read any more replaces what its file stored.
+    (folder / "doc.json").write_text("")
+    ingest_documents(read_result_documents(spark, str(folder)), root)
+    assert read_table(spark, root, "translation").count() == 0 and errors_of(spark, root) == []
+    assert [r.reason for r in read_table(spark, root, "quarantine").collect()] == ["malformed document"] * 2
+
+
+@pytest.mark.parametrize("errors_first", [True, False])
+def test_results_and_errors_of_one_source_stay_apart(spark, tmp_path, errors_first):
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
+    write_document(folder, [result("2", error="late"), result("3", "{")], [{"custom_id": "9"}])
+    documents = stage(read_result_documents(spark, str(folder)))
+    steps = [
+        lambda: ingest_results(document_rows(documents, "results"), root),
+        lambda: ingest_errors(document_rows(documents, "errors"), root),
+    ]
+    for step in reversed(steps) if errors_first else steps:
+        step()
+    assert errors_of(spark, root) == [("2", "result"), ("9", "error")]
+    assert read_table(spark, root, "quarantine").count() == 1
+
+
+@pytest.mark.parametrize("left", ["", "null\n", "\n"])
+def test_an_emptied_file_loses_its_rows(spark, tmp_path, left):
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
+    write_results(folder)
+    ingest_results(read_json_lines(spark, str(folder)), root)
+    (folder / "a.jsonl").write_text(left)
+    ingest_results(read_json_lines(spark, str(folder)), root, batches=list_sources(spark, str(folder)))
+    assert by_word(spark, root, "translation", "translation") == [("Tag", "day")]
+    assert errors_of(spark, root) == [("4", "result")] and read_table(spark, root, "quarantine").count() == 0
+
+
+def test_result_words_store_nothing(spark, tmp_path):
+    write_results(tmp_path / "in")
+    words = result_words(read_json_lines(spark, str(tmp_path / "in")))
+    assert sorted(r.word for r in words.processed.collect()) == ["Haus", "Maus", "Tag"]
+    assert (words.errors.count(), words.aside.count()) == (2, 1)
 
 
 def test_ingest_unknown_category(spark, tmp_path):
@@ -278,6 +372,19 @@ def test_stream_ingest(spark, tmp_path):
     assert read_table(spark, root, "translation").count() == 4
 
 
+def test_one_bad_file_does_not_stop_the_stream(spark, tmp_path):
+    root = str(tmp_path / "root")
+    write_results(tmp_path / "in")
+    write_lines(tmp_path / "in" / "odd.jsonl", result("1", AALE), "not json", "[1")
+    for checkpoint in ("c1", "c2"):
+        query = start_ingest(spark, str(tmp_path / "in"), root, str(tmp_path / checkpoint))
+        assert query.awaitTermination(120) and query.exception() is None
+        rows = sorted(by_word(spark, root, "translation", "translation"))
+        assert rows == [("Haus", "house"), ("Maus", "mouse"), ("Tag", "day"), ("Ä b", "a b")]
+        reasons = sorted(r.reason for r in read_table(spark, root, "quarantine").collect())
+        assert reasons == ["malformed line"] * 3 + ["unknown category"]
+
+
 def test_stream_error_files(spark, tmp_path):
     root = str(tmp_path / "root")
     (tmp_path / "in").mkdir()
@@ -291,7 +398,7 @@ def test_stream_error_files(spark, tmp_path):
 def test_hot_word_over_many_batches(spark, tmp_path, monkeypatch):
     import wordloom.operators.lookups as lookups
 
-    monkeypatch.setattr(lookups.lookup_join, "__defaults__", (5,))
+    monkeypatch.setattr(lookups.lookup_join, "__defaults__", (5, lookups.BROADCAST_BYTES))
     rows = [(f"b{n % 4}", n, "ja" if n % 3 else f"w{n}", {"adverb": [f"t{n}"]})
             for n in range(60)]
     processed = process_words(entry_frame(spark, rows), neighbours=0)

@@ -13,7 +13,7 @@ from wordloom.operators.packing import (
     valid_word_lists,
 )
 from wordloom.operators.requests import batch_sizes, build_requests, oversized_batches
-from wordloom.plans.decks import word_list_requests
+from wordloom.plans.decks import nested_requests, word_list_requests
 from wordloom.sources.files import read_languages, read_word_list
 from wordloom.sources.sinks import BatchTooLarge, write_requests
 
@@ -194,3 +194,18 @@ def test_languages_from_a_list(spark, tmp_path):
     (tmp_path / "languages.txt").write_text("English\n  German \n\n \nCzech\r\n")
     rows = read_languages(spark, str(tmp_path)).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "English"), (2, "German"), (3, "Czech")]
+
+
+def test_nested_lists_become_requests(spark):
+    rows = [(1, [["eins", "zwei"], ["drei"]]), (2, []), (3, [["vier", " "]]), (4, [[]]), (5, None)]
+    lists = spark.createDataFrame(rows, "id LONG, word_list ARRAY<ARRAY<STRING>>")
+    lines, refused = nested_requests(lists, ["id"], system_message="sys")
+    found = lines.orderBy("request_id").collect()
+    assert [(r.id, r.batch_id, r.request_id, r.custom_id, r.user_message) for r in found] == [
+        (1, 0, 0, "request-0", "Translate the following words: eins zwei"),
+        (1, 0, 1, "request-1", "Translate the following words: drei"),
+    ]
+    assert all("response_format" in json.loads(r.line)["body"] for r in found)
+    assert sorted(r.id for r in refused.collect()) == [2, 3, 4, 5]
+    plain, _ = nested_requests(lists, ["id"], mode="plain")
+    assert plain.orderBy("request_id").first().user_message.endswith("eins, zwei")

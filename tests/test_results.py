@@ -13,7 +13,7 @@ from wordloom.operators.results import (
     word_entries,
 )
 from wordloom.session import stage
-from wordloom.sources.files import read_json_lines, read_result_documents
+from wordloom.sources.files import document_rows, read_json_lines, read_result_documents, unread_documents
 
 
 def result(custom_id, content="{}", refusal=None, error=None, **message):
@@ -139,6 +139,40 @@ def test_entries_keep_key_order_and_unknown_keys(spark, tmp_path):
     assert (aside.stage, aside.reason) == ("entry", "no word")
 
 
+def test_entries_are_read_one_by_one(spark, tmp_path):
+    """A lone text is a list of it; what can't be read is set aside alone, with its own text."""
+    entries = [
+        '{"word":"a","translations":{"verb":"x","noun":["y",null],"adverb":null}}',
+        '{"word":"b","translations":{"noun":["three"],"verb":5}}',
+        '{"word":"c","translations":{"noun":[1]}}',
+        '{"word":5,"translations":{"noun":["z"]}}',
+        '"text"',
+        "null",
+        '{"word":"d","translations":["noun"]}',
+        '{"word":"e","translations":{"noun":["p"],"noun":["q"]},"word":"f"}',
+        '{"translations":{}}',
+        '{"word":"g","translations":null}',
+    ]
+    routed = route(spark, tmp_path, result("1", '{"response":[' + ",".join(entries) + "]}"))
+    words = word_entries(routed).orderBy("pos").collect()
+    assert [(r.word, r.translations) for r in words] == [
+        ("a", {"verb": ["x"], "noun": ["y", None], "adverb": []}), ("f", {"noun": ["q"]}), ("g", None),
+    ]
+    told = word_entries(routed).orderBy("pos").select(F.to_json("translations")).first()[0]
+    assert told.startswith('{"verb":["x"],"noun":["y"')
+    aside = {r.line: r.reason for r in quarantine_rows(routed).collect()}
+    assert aside == {
+        entries[1]: "mistyped entry", entries[2]: "mistyped entry", entries[3]: "mistyped entry", "text": "mistyped entry",
+        "null": "mistyped entry", entries[6]: "mistyped entry", entries[8]: "no word",
+    }
+
+
+def test_repeated_members_keep_the_last(spark, tmp_path):
+    line = '{"custom_id":"x","custom_id":"y","error":{"a":1,"a":2}}'
+    [row] = error_rows(route(spark, tmp_path, line)).collect()
+    assert (row.custom_id, row.error) == ("y", '{"a":2}')
+
+
 def test_error_file(spark, tmp_path):
     (tmp_path / "errors").write_text(
         '{"custom_id":"a","error":{"code":"x"}}\nnull\n{"custom_id": "b" \n'
@@ -154,7 +188,9 @@ def test_result_document(spark, tmp_path):
     document = {"results": [result("1", AALE), None, result("2", "{", refusal="no"),
                             result("3", "{")], "errors": [{"custom_id": "4"}, 7]}
     (tmp_path / "one.json").write_text(json.dumps(document, indent=2, ensure_ascii=False))
-    results, errors = read_result_documents(spark, str(tmp_path))
+    documents = stage(read_result_documents(spark, str(tmp_path)))
+    results, errors = document_rows(documents, "results"), document_rows(documents, "errors")
+    assert unread_documents(documents).count() == 0
     routed = stage(route_results(results))
     rows = routed.orderBy("line_id").collect()
     assert [r.route for r in rows] == ["word", "refusal", "quarantine"]
@@ -163,6 +199,18 @@ def test_result_document(spark, tmp_path):
     assert [r.custom_id for r in errors] == ["4", None]
 
 
+def test_documents_that_can_not_be_read(spark, tmp_path):
+    texts = {"a": '{"results":[', "b": '{"results":{},"errors":"x"}', "c": "[]", "d": "{}", "e": '{"results":null}', "f": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    documents = stage(read_result_documents(spark, str(tmp_path)))
+    found = sorted((r.source_batch[0], r.reason) for r in unread_documents(documents).collect())
+    assert found == [
+        ("a", "malformed document"), ("b", "errors are no list"), ("b", "results are no list"), ("c", "no document"), ("f", "malformed document"),
+    ]
+    assert document_rows(documents, "results").count() == 0
+
+
 def test_many_results(spark, tmp_path):
     lines = [result(f"request-{n}", payload(*[(f"w{n}{i}", {"noun": ["t"]}) for i in range(8)]))
              for n in range(800)]

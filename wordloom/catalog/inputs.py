@@ -13,12 +13,9 @@ from wordloom.functions.text import keep_word_characters, split_words
 from wordloom.operators.ordering import dense_positions
 from wordloom.plans.dictionary import new_words
 from wordloom.schemas import PAYLOAD, TRANSLATIONS
-from wordloom.session import path_bytes
 
 # Rows of one piece when rows are numbered by an integer key.
 KEYS_PER_PIECE = 1 << 20
-# A table of texts below this size per core may lie in fewer row groups than there are cores.
-SMALL_BYTES = 16 * 1024 * 1024
 # Rows of one written file or document.
 KEYS_PER_FILE = 1 << 15
 
@@ -32,15 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, spread over the cores where it is small.
-
-    A small file is one row group, hence one task, and the work per text is large. A table
-    beyond ``SMALL_BYTES`` per core is read as it lies, without a shuffle.
-    """
-    cores = spark.sparkContext.defaultParallelism
+    """A table of texts, dealt out evenly: the work per text is large, and files may hold few row groups."""
     texts = table(spark, sf_dir, name)
-    small = path_bytes(spark, f"{sf_dir}/{name}.parquet") <= SMALL_BYTES * cores
-    return texts.repartition(cores) if small else texts
+    return texts.repartition(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()))
 
 
 def as_subtitle(text: Column, note: Column) -> Column:
@@ -158,7 +149,7 @@ def part_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.create_map(
                 F.lit("noun"), F.array(F.col("p_type"), kind),
                 F.lit("verb"), F.array().cast("array<string>"),
-                F.lit("adjective"), F.array(F.col("p_brand")),
+                F.lit("adjective"), F.array(F.col("p_name")),
             ).alias("translations"),
         ),
     )

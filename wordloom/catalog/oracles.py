@@ -54,6 +54,11 @@ cleaned AS (SELECT {keys}, regexp_replace(text, '{_NOT_WORD}', '', 'g') AS text
 tokens AS ({_split(keys, "cleaned", "text", f"[{_WHITE}]+", "token", "pos")})"""
 
 
+# Letters beyond ASCII as one byte each, so that distances in bytes are distances in letters.
+_OTHER_LETTERS = "àáâäçèéêëìíîïñòóôöùúûüýßæœ"
+_PLAIN_LETTERS = f"translate(word, '{_OTHER_LETTERS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 _KNOWN = f"""
 known_cut AS (
     SELECT string_split_regex(regexp_replace(text, '{_NOT_WORD}', '', 'g'), '[{_WHITE}]+') AS parts
@@ -176,14 +181,14 @@ ids AS (SELECT word, id AS word_id FROM stored UNION ALL SELECT word, id FROM ad
 
 _PAYLOAD = """
 pieces AS (
-    SELECT p_partkey, p_brand, p_type, unnest(string_split(p_name, ' ')) AS word,
+    SELECT p_partkey, p_brand, p_type, p_name, unnest(string_split(p_name, ' ')) AS word,
         unnest(range(len(string_split(p_name, ' ')))) AS item
     FROM part
 ),
 payload AS (
-    SELECT p_partkey, p_brand, p_type, word, item,
+    SELECT p_partkey, p_brand, p_type, p_name, word, item,
         '{"noun":["' || p_type || '","' || lower(p_type) || '"],"verb":[],"adjective":["'
-        || p_brand || '"]}' AS translations
+        || p_name || '"]}' AS translations
     FROM pieces
 )"""
 
@@ -338,8 +343,13 @@ numbered AS (
     SELECT row_number() OVER (PARTITION BY p_brand, p_partkey // {KEYS_PER_FILE}
         ORDER BY p_partkey, item) - 1 AS pos, word, translations
     FROM payload
-)
-SELECT pos, word, translations, count(*) AS n_documents FROM numbered GROUP BY ALL""",
+),
+files AS (SELECT DISTINCT p_brand, p_partkey // {KEYS_PER_FILE} AS file_no FROM part)
+SELECT pos, word, translations, count(*) AS n_documents FROM numbered GROUP BY ALL
+UNION ALL
+SELECT 0, NULL, '7', count(*) FROM files
+UNION ALL
+SELECT 1, 'e' || file_no, '{{"custom_id":"e' || file_no || '"}}', count(*) FROM files GROUP BY file_no""",
     "error_files": """
 WITH lines AS (
     SELECT event_type, 'request-' || event_id AS custom_id,
@@ -371,25 +381,22 @@ SELECT source_batch, pos, word, coalesce(similar_words, '') AS similar_words,
 FROM kept LEFT JOIN lists USING (p_partkey) LEFT JOIN labels_of USING (p_partkey)""",
     "similar_words_in_texts": f"""
 WITH letters AS (
-    SELECT doc_id, lang, regexp_replace(lower(text), '[^a-z\\s]', '', 'g') AS text FROM documents
+    SELECT doc_id, lang, regexp_replace(lower(text), '[^\\p{{L}}\\s]', '', 'g') AS text FROM documents
 ),
 tokens AS ({_split("doc_id, lang", "letters", "text", "[ \\t\\n\\x0B\\f\\r]+", "word", "place")}),
 numbered AS (
-    SELECT lang, word, reverse(word) AS meaning,
+    SELECT lang, word, {_PLAIN_LETTERS} AS plain,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id, place) - 1 AS pos FROM tokens
 ),
-frames AS (
-    SELECT lang, pos, word, meaning, unnest([1, 2, 3, 4]) AS step, unnest([
-        lag(word, 2) OVER (PARTITION BY lang ORDER BY pos),
-        lag(word, 1) OVER (PARTITION BY lang ORDER BY pos),
-        lead(word, 1) OVER (PARTITION BY lang ORDER BY pos),
-        lead(word, 2) OVER (PARTITION BY lang ORDER BY pos)]) AS other
-    FROM numbered
+steps AS (SELECT unnest(range(-50, 51)) AS step),
+near AS (
+    SELECT a.lang, a.pos, a.word, b.pos AS other_pos, b.word AS other
+    FROM (SELECT *, pos + step AS there FROM numbered, steps WHERE step <> 0 AND word <> reverse(word)) a
+    JOIN numbered b ON a.lang = b.lang AND a.there = b.pos
+    WHERE abs(length(a.plain) - length(b.plain)) <= 3 AND levenshtein(a.plain, b.plain) <= 3
 )
-SELECT lang, pos, word, string_agg(other, ',' ORDER BY step) AS similar_words FROM frames
-WHERE word <> meaning AND other IS NOT NULL
-    AND (levenshtein(word, other) <= 1 OR levenshtein(meaning, reverse(other)) <= 1)
-GROUP BY lang, pos, word""",
+SELECT lang, pos, word, count(*) AS n_similar, md5(string_agg(other, ',' ORDER BY other_pos)) AS similar_words
+FROM near GROUP BY lang, pos, word""",
     "dictionary_new_words": f"""
 WITH {_LANGUAGE_WORDS},
 {_KNOWN},
@@ -416,15 +423,25 @@ FROM categories c JOIN kept USING (p_partkey) JOIN ids ON ids.word = kept.word""
     "dictionary_save": f"""
 WITH {_SIMILAR},
 totals AS (
-    SELECT 'word' AS table_name, count(DISTINCT word) AS n FROM kept
+    SELECT 'word' AS table_name, source_batch < 'Brand#2' AS is_first, count(DISTINCT word) AS n FROM kept GROUP BY ALL
     UNION ALL
-    SELECT 'translation', count(*) FROM translated JOIN kept USING (p_partkey)
+    SELECT 'translation', t.source_batch < 'Brand#2', count(*) FROM translated t JOIN kept USING (p_partkey) GROUP BY ALL
     UNION ALL
-    SELECT 'similar_word', count(*) FROM near
+    SELECT 'similar_word', source_batch < 'Brand#2', count(*) FROM near GROUP BY ALL
     UNION ALL
-    SELECT 'grammar_category', count(*) FROM categories JOIN kept USING (p_partkey)
+    SELECT 'grammar_category', source_batch < 'Brand#2', count(*) FROM categories JOIN kept USING (p_partkey) GROUP BY ALL
 )
-SELECT table_name, n AS expected, n AS stored FROM totals""",
+SELECT table_name, n AS expected, n AS stored, CASE WHEN is_first THEN 'first' ELSE 'second' END AS half FROM totals""",
+    "dictionary_check": """
+WITH planted AS (SELECT n_nationkey AS n, n_nationkey - 1000 AS id FROM nation)
+SELECT 'word' AS table_name, 'orphan' AS problem, 'primary_language' AS "column", (n + 30)::VARCHAR AS value, 1::BIGINT AS n_rows
+FROM planted WHERE n + 30 > 44
+UNION ALL
+SELECT 'translation', 'orphan', 'word_id', (id * 10)::VARCHAR, 1 FROM planted WHERE id > -990
+UNION ALL
+SELECT 'translation', 'orphan', 'secondary_language', '99', count(*) FROM planted
+UNION ALL
+SELECT 'translation', 'label', 'type', 'oddity', count(*) FROM planted WHERE n % 2 = 0""",
     "dictionary_differences": f"""
 WITH {_PART_ENTRIES},
 stored AS (
@@ -461,7 +478,15 @@ UNION ALL
 SELECT 'quarantine', source, CASE doc_id % 10 WHEN 4 THEN 'malformed content'
     WHEN 5 THEN 'no content' WHEN 9 THEN 'no list of entries' ELSE 'malformed line' END AS k,
     count(*)
-FROM documents WHERE doc_id % 10 IN (2, 4, 5, 6, 9) GROUP BY source, k""",
+FROM documents WHERE doc_id % 10 IN (2, 4, 5, 6, 9) GROUP BY source, k
+UNION ALL
+SELECT 'similar_word', a.source, NULL, count(*)
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents WHERE doc_id % 10 = 8) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents WHERE doc_id % 10 = 8) b
+    ON a.source = b.source AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 50
+WHERE CASE WHEN levenshtein(a.lang, b.lang) <= 1 THEN true WHEN abs(strlen(a.text) - strlen(b.text)) > 4 THEN false
+    ELSE levenshtein(lower(a.text), lower(b.text)) <= 1 END
+GROUP BY a.source""",
     "category_check": """
 WITH labelled AS (
     SELECT CASE event_type WHEN 'view' THEN 'noun' WHEN 'click' THEN 'modal_verb'
@@ -474,9 +499,10 @@ FROM labelled GROUP BY label""",
 SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey = 321""",
     "stream_status": """
 WITH last AS (
-    SELECT user_id, arg_max(event_type, (ts, event_type)) AS kind,
-        arg_max(event_id, (ts, event_type)) AS event_id
-    FROM events GROUP BY user_id
+    SELECT user_id, arg_max(event_type, (ts, place, event_type)) AS kind,
+        arg_max(event_id, (ts, place, event_type)) AS event_id
+    FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 7 WHEN 'error' THEN 9 ELSE 0 END AS place FROM events)
+    GROUP BY user_id
 )
 SELECT user_id::VARCHAR AS id,
     CASE kind WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'expired' ELSE kind END AS status,
@@ -520,28 +546,70 @@ FROM last""",
     "stream_ingest": f"""
 WITH {_PAYLOAD},
 numbered AS (
-    SELECT p_brand, p_type, p_partkey // {KEYS_PER_FILE} AS file_no, word,
+    SELECT p_brand, p_type, p_name, lower(p_type) AS kind, lower(p_name) AS name, p_partkey // {KEYS_PER_FILE} AS file_no, word,
+        p_partkey % 11 = 9 AS strange,
         row_number() OVER (PARTITION BY p_brand, p_partkey // {KEYS_PER_FILE}
             ORDER BY p_partkey, item) - 1 AS pos
-    FROM payload
+    FROM payload WHERE p_partkey % 11 NOT IN (3, 5)
 ),
+kept AS (SELECT * FROM numbered WHERE NOT strange),
 near AS (
     SELECT a.word, b.word AS other_word
-    FROM numbered a JOIN numbered b ON a.p_brand = b.p_brand AND a.file_no = b.file_no
-        AND b.pos BETWEEN a.pos - 10 AND a.pos + 10 AND b.pos <> a.pos
-    WHERE levenshtein(a.word, b.word) <= 3 OR a.p_brand = b.p_brand
+    FROM kept a JOIN numbered b ON a.p_brand = b.p_brand AND a.file_no = b.file_no
+        AND b.pos BETWEEN a.pos - 50 AND a.pos + 50 AND b.pos <> a.pos
+    WHERE levenshtein(lower(a.word), lower(b.word)) <= 3 OR levenshtein(a.kind, b.kind) <= 3
+        OR levenshtein(a.kind, b.name) <= 3 OR levenshtein(a.name, b.kind) <= 3 OR levenshtein(a.name, b.name) <= 3
 )
 SELECT 'translation' AS table_name, word, 'noun' AS kind, p_type AS value, count(*) AS n_rows
-FROM numbered GROUP BY word, p_type
+FROM kept GROUP BY word, p_type
 UNION ALL
-SELECT 'translation', word, 'noun', lower(p_type), count(*) FROM numbered GROUP BY word, p_type
+SELECT 'translation', word, 'noun', kind, count(*) FROM kept GROUP BY word, kind
 UNION ALL
-SELECT 'translation', word, 'adjective', p_brand, count(*) FROM numbered GROUP BY word, p_brand
+SELECT 'translation', word, 'adjective', p_name, count(*) FROM kept GROUP BY word, p_name
 UNION ALL
 SELECT 'similar_word', word, NULL, other_word, count(*) FROM near GROUP BY word, other_word
 UNION ALL
 SELECT 'grammar_category', word, NULL, category, count(*)
-FROM numbered, (SELECT unnest(['noun', 'adjective']) AS category) GROUP BY word, category""",
+FROM kept, (SELECT unnest(['noun', 'adjective']) AS category) GROUP BY word, category
+UNION ALL
+SELECT 'error', NULL, 'error', NULL, count(*) FROM part WHERE p_partkey % 11 = 5
+UNION ALL
+SELECT 'quarantine', NULL, 'malformed line', NULL, count(*) FROM part WHERE p_partkey % 11 = 3
+UNION ALL
+SELECT 'quarantine', NULL, 'unknown category', NULL, count(*) FROM numbered WHERE strange""",
+    "document_ingest": f"""
+WITH entries AS (
+    SELECT p_name, p_brand, p_partkey % 10 AS digit, p_partkey // {KEYS_PER_FILE} AS file_no,
+        (substr(p_brand, 7)::INTEGER + p_partkey // {KEYS_PER_FILE}) % 10 AS kind
+    FROM part
+),
+files AS (SELECT DISTINCT p_brand, file_no, kind FROM entries),
+good AS (SELECT * FROM entries WHERE kind NOT IN (1, 2, 3))
+SELECT 'word' AS table_name, NULL AS kind, count(DISTINCT p_name) AS n_rows FROM entries WHERE digit NOT IN (4, 6)
+UNION ALL
+SELECT t, 'noun', count(*) FROM good, (SELECT unnest(['translation', 'grammar_category']) AS t) WHERE digit NOT IN (4, 6) GROUP BY t
+UNION ALL
+SELECT 'error', 'error result', count(*) FROM good WHERE digit = 6 HAVING count(*) > 0
+UNION ALL
+SELECT 'error', 'error error', sum(CASE kind WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END)::BIGINT FROM files
+UNION ALL
+SELECT 'quarantine', 'entry, mistyped entry', count(*) FROM good WHERE digit = 4 HAVING count(*) > 0
+UNION ALL
+SELECT 'quarantine', 'document, ' || CASE kind WHEN 1 THEN 'malformed document' WHEN 2 THEN 'results are no list' ELSE 'no document' END AS k,
+    count(*) FROM files WHERE kind IN (1, 2, 3) GROUP BY k""",
+    "nested_requests": f"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS request_id FROM documents
+),
+words AS (SELECT doc_id, unnest(string_split(line, ' ')) AS word FROM lines),
+judged AS (SELECT doc_id, bool_and(regexp_matches(word, '[^{_WHITE}]')) AS valid FROM words GROUP BY doc_id)
+SELECT doc_id, request_id, md5('{{"custom_id":"request-' || request_id || '",{_BODY[:-1]}'
+    || to_json('{DEFAULT_USER_PREFIX}' || line)::VARCHAR || '}}],"max_tokens":{DEFAULT_MAX_TOKENS}{_FORMAT}}}}}') AS line
+FROM lines JOIN judged USING (doc_id) WHERE valid
+UNION ALL
+SELECT doc_id, -1, NULL FROM judged WHERE NOT valid""",
+    "skipped_rows": """
+SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey OFFSET 1000""",
 }
 
 _KEPT_TOKENS = f"""

@@ -41,26 +41,30 @@ from wordloom.operators.subtitles import (
 from wordloom.plans import decks
 from wordloom.plans.dictionary import (
     child_rows,
+    dictionary_check,
     new_words,
     number_children,
     save_audit,
     save_dictionary,
+    save_languages,
     seed_languages,
     with_word_ids,
     word_differences,
 )
-from wordloom.plans.ingest import ingest_results
+from wordloom.plans.ingest import ingest_documents, ingest_results
+from wordloom.schemas import LANGUAGES
 from wordloom.session import stage, staged_path
 from wordloom.sources.files import (
+    document_rows,
     read_json_lines,
     read_languages,
     read_result_documents,
     read_subtitles,
     read_word_list,
 )
-from wordloom.sources.sinks import read_table, write_requests
+from wordloom.sources.sinks import append_rows, read_table, write_requests
 from wordloom.streaming.ingest import start_ingest
-from wordloom.streaming.status import read_status_stream
+from wordloom.streaming.status import read_states, start_status
 
 WORDS_PER_REQUEST = 8
 # Limits that some of the batches break.
@@ -135,14 +139,16 @@ def chunk_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
-def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _request_lines(spark: SparkSession, sf_dir: str, modes: tuple[str, ...] = ("plain", "structured")) -> DataFrame:
     packed = stage(_packed(spark, sf_dir), "packed")
     columns = ["mode", "lang", "batch_id", "request_id", "custom_id", "user_message", "line"]
-    plain = build_requests(packed, "plain", system_message="sys").withColumn("mode", F.lit("plain"))
-    structured = build_requests(
-        packed, "structured", system_message="sys", answer_schema={"type": "object"}
-    ).withColumn("mode", F.lit("structured"))
-    return plain.select(columns).unionByName(structured.select(columns))
+    lines = None
+    for mode in modes:
+        schema = {"type": "object"} if mode == "structured" else None
+        built = build_requests(packed, mode, system_message="sys", answer_schema=schema)
+        built = built.withColumn("mode", F.lit(mode)).select(columns)
+        lines = built if lines is None else lines.unionByName(built)
+    return lines
 
 
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +167,7 @@ def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = staged_path(spark, "request-files")
-    lines = _request_lines(spark, sf_dir).filter("mode = 'structured'")
+    lines = _request_lines(spark, sf_dir, ("structured",))
     write_requests(lines, folder, by=["lang", "batch_id"])
     read = spark.read.schema("value STRING, lang STRING, batch_id BIGINT").text(folder)
     return read.select("lang", "batch_id", F.col("value").alias("line"))
@@ -244,15 +250,18 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = F.array_sort(F.collect_list(F.struct("line_id", "line")))
     documents = lines.groupBy("source", "file_no").agg(
         F.concat(
-            F.lit('{"results":['), F.array_join(results["line"], ","), F.lit('],\n"errors":[7]}')
+            F.lit('{"results":['), F.array_join(results["line"], ","), F.lit('],\n"errors":[7,{"custom_id":"e'),
+            F.col("file_no").cast("string"), F.lit('"}]}'),
         ).alias("value")
     )
     documents.write.partitionBy("source", "file_no").text(folder)
-    read, _ = read_result_documents(spark, folder)
-    entries = word_entries(stage(route_results(read), "routed"))
-    return entries.groupBy("pos", "word", F.to_json("translations").alias("translations")).agg(
-        F.count(F.lit(1)).alias("n_documents")
+    read = stage(read_result_documents(spark, folder), "documents")
+    entries = word_entries(stage(route_results(document_rows(read, "results")), "routed"))
+    errors = route_errors(document_rows(read, "errors"))
+    rows = entries.select("pos", "word", F.to_json("translations").alias("translations")).unionByName(
+        errors.select(F.col("line_id").alias("pos"), F.col("custom_id").alias("word"), F.col("error").alias("translations"))
     )
+    return rows.groupBy("pos", "word", "translations").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +307,8 @@ def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of all documents, one sequence per language; ASCII letters only."""
-    letters = F.regexp_replace(F.lower("text"), r"[^a-z\s]", "")
+    """All words of all documents, one sequence per language, with the default distance and neighbours."""
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
     tokens = text_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.split(letters, r"\s+")).alias("at", "word")
     )
@@ -309,9 +318,13 @@ def similar_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = stage(numbered, "entries").withColumn(
         "translations", F.create_map(F.lit("noun"), F.array(F.reverse("word")))
     )
-    found = process_words(entries, distance=1, neighbours=2, sequence="lang")
-    return found.filter(F.size("similar_words") > 0).select(
-        "lang", "pos", "word", F.array_join("similar_words", ",").alias("similar_words")
+    found = process_words(entries, sequence="lang").filter(F.size("similar_words") > 0)
+    return found.select(
+        "lang",
+        "pos",
+        "word",
+        F.size("similar_words").cast("bigint").alias("n_similar"),
+        F.md5(F.array_join("similar_words", ",")).alias("similar_words"),
     )
 
 
@@ -349,12 +362,35 @@ def dictionary_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved twice; the second run must change nothing."""
+    """Two sets of batches saved into one dictionary, the first again; each has its own rows."""
     root = staged_path(spark, "dictionary")
     processed = stage(_processed_parts(spark, sf_dir), "processed")
+    first = F.col("source_batch") < "Brand#2"
+    halves = {"first": processed.filter(first), "second": processed.filter(~first)}
+    for half in ("first", "second", "first"):
+        save_dictionary(halves[half], root)
+    audits = [save_audit(spark, rows, root).withColumn("half", F.lit(half)) for half, rows in halves.items()]
+    return audits[0].unionByName(audits[1])
+
+
+def dictionary_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a stored dictionary, after rows that break some of them were planted."""
+    root = staged_path(spark, "dictionary")
+    names = spark.createDataFrame(list(enumerate(LANGUAGES, 1)), "id INT, name STRING")
     for _ in range(2):
-        save_dictionary(processed, root)
-    return save_audit(spark, processed, root)
+        save_languages(names, root)
+    save_dictionary(_processed_parts(spark, sf_dir), root)
+    planted = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") - 1000).alias("id"), F.col("n_name").alias("word"), (F.col("n_nationkey") + 30).cast("int").alias("primary_language")
+    )
+    append_rows(planted, root, "word")
+    lost = planted.select(
+        "id", F.when(F.col("id") > -990, F.col("id") * 10).otherwise(F.col("id")).alias("word_id"),
+        F.when(F.col("id") % 2 == 0, "oddity").otherwise(F.lit("noun")).alias("type"), F.lit("x").alias("translation"),
+        F.lit(12).alias("primary_language"), F.lit(99).alias("secondary_language"), F.lit("planted").alias("source_batch"),
+    )
+    append_rows(lost, root, "translation")
+    return dictionary_check(spark, root)
 
 
 def dictionary_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,12 +423,11 @@ def language_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What storing the document results leaves in the tables, per source batch."""
     root = staged_path(spark, "dictionary")
-    # The words are whole texts, so no neighbours are looked at.
-    ingest_results(inputs.document_result_lines(spark, sf_dir), root, neighbours=0)
+    ingest_results(inputs.document_result_lines(spark, sf_dir), root, distance=1)
 
     def stored(name: str, kind: str) -> DataFrame:
         return read_table(spark, root, name).groupBy(
-            F.lit(name).alias("table_name"), "source_batch", F.col(kind).alias("kind")
+            F.lit(name).alias("table_name"), "source_batch", F.expr(kind).alias("kind")
         ).agg(F.count(F.lit(1)).alias("n_rows"))
 
     words = read_table(spark, root, "word").agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -403,12 +438,54 @@ def ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for table_name, kind in (
         ("translation", "type"), ("grammar_category", "category"), ("error", "type"),
-        ("quarantine", "reason"),
+        ("quarantine", "reason"), ("similar_word", "CAST(NULL AS STRING)"),
     ):
         words = words.unionByName(stored(table_name, kind))
     return words
 
 
+def document_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of results and errors stored in one root, some twice: first with other content.
+
+    The number of the brand and the file picks what is wrong with a document: 1 it is cut off, 2 its
+    results are no list, 3 it is null the second time. The last digit of a part's number picks
+    the entry: 4 a list of texts is a number, 5 a translation is one text, 6 the line is an error.
+    """
+    root = staged_path(spark, "dictionary")
+    key = F.col("p_partkey")
+    digit = key % 10
+    custom_id = F.concat(F.lit("request-"), key.cast("string"))
+    noun = F.when(digit == 4, F.lit("[1]")).when(digit == 5, F.to_json(F.array("p_type")).substr(F.lit(2), F.length("p_type") + 2))
+    entry = F.concat(
+        F.lit('{"word":'), F.to_json(F.array("p_name")).substr(F.lit(2), F.length("p_name") + 2), F.lit(',"translations":{"verb":[],"noun":'),
+        F.coalesce(noun, F.to_json(F.array("p_type"))), F.lit("}}"),
+    )
+    content = F.concat(F.lit('{"response":['), entry, F.lit("]}"))
+    error = F.when(digit == 6, F.lit("late"))
+    lines = table(spark, sf_dir, "part").select(
+        "p_brand", key.alias("place"), F.expr(f"p_partkey div {KEYS_PER_FILE}").alias("file_no"), inputs.envelope(custom_id, content, error).alias("line")
+    )
+    made = lines.groupBy("p_brand", "file_no").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("place", "line")))["line"], ",").alias("results")
+    )
+    case = (F.substr("p_brand", F.lit(7)).cast("int") + F.col("file_no")) % 10
+    whole = F.concat(F.lit('{"errors":[{"custom_id":"e","custom_id":"f"}, 8],"results":['), F.col("results"), F.lit("]}"))
+    value = F.when(case == 1, whole.substr(F.lit(1), F.length(whole) - 1)).when(case == 2, F.lit('{"results":"none","errors":[9]}')).otherwise(whole)
+    documents = made.select(F.concat_ws("/", "p_brand", "file_no").alias("source"), case.alias("case"), value.alias("raw"), whole.alias("whole"))
+    documents = stage(documents, "documents")
+    ingest_documents(parse_lines(documents.select("source", F.col("whole").alias("raw")), "raw"), root)
+    ingest_documents(parse_lines(documents.select("source", F.when(F.col("case") == 3, "null").otherwise(F.col("raw")).alias("raw")), "raw"), root)
+
+    def stored(name: str, kind: str) -> DataFrame:
+        rows = read_table(spark, root, name).groupBy(F.lit(name).alias("table_name"), F.expr(kind).alias("kind"))
+        return rows.agg(F.count(F.lit(1)).alias("n_rows"))
+
+    found = stored("word", "CAST(NULL AS STRING)")
+    for name, kind in (("translation", "type"), ("grammar_category", "category"), ("error", "concat(type, ' ', origin)"), ("quarantine", "concat(stage, ', ', reason)")):
+        found = found.unionByName(stored(name, kind))
+    return found
+
+
 def category_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = (
         F.when(F.col("event_type") == "view", "noun")
@@ -431,30 +508,27 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as status records in files, folded by the streaming job."""
+    """The events as status records in files, folded by the streaming job.
+
+    A purchase is two records of the same time, the earlier state of which must not win.
+    """
     folder, states = staged_path(spark, "records"), staged_path(spark, "states")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    table(spark, sf_dir, "events").select(
+    kinds = F.when(F.col("event_type") == "purchase", F.array(F.lit("completed"), F.lit("finalizing"))).otherwise(
+        F.array(F.when(F.col("event_type") == "signup", "expired").otherwise(F.col("event_type")))
+    )
+    table(spark, sf_dir, "events").withColumn("status", F.explode(kinds)).select(
         F.col("user_id").cast("string").alias("id"),
-        F.when(F.col("event_type") == "purchase", "completed")
-        .when(F.col("event_type") == "signup", "expired")
-        .otherwise(F.col("event_type"))
-        .alias("status"),
+        "status",
         F.lit(0).alias("created_at"),
-        F.when(F.col("event_type") != "view", micros).alias("completed_at"),
+        F.when(~F.col("event_type").isin("view"), micros).alias("completed_at"),
+        F.when(F.col("status") == "finalizing", micros).alias("finalizing_at"),
         F.when(F.col("event_type") == "view", micros).alias("in_progress_at"),
         F.struct(F.col("event_id").alias("total")).alias("request_counts"),
     ).write.json(folder)
-    query = (
-        read_status_stream(spark, folder)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(states))
-        .option("checkpointLocation", staged_path(spark, "status-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = start_status(spark, folder, states, staged_path(spark, "status-checkpoint"))
     query.awaitTermination()
-    return spark.read.parquet(states).select(
+    return read_states(spark, states).select(
         "id", "status", F.col("request_counts.total").alias("event_id"), "outcome"
     )
 
@@ -520,11 +594,20 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result files written, then stored by the streaming job; similar words per file."""
+    """Result files written, then stored by the streaming job; similar words per file.
+
+    Among the lines are some that are cut off, errors, and entries with an unknown label.
+    """
     folder, root = staged_path(spark, "results"), staged_path(spark, "dictionary")
-    lines = inputs.part_result_lines(spark, sf_dir).withColumn(
-        "file_no", F.expr(f"line_id div {KEYS_PER_FILE}")
-    )
+    case = F.col("line_id") % 11
+    line = (
+        F.when(case == 3, F.concat(F.lit("{"), F.col("line")))
+        .when(case == 5, F.concat(F.lit('{"error":{"code":1},"custom_id":"'), F.col("line_id").cast("string"), F.lit('"}')))
+        .when(case == 9, F.replace("line", F.lit("adjective"), F.lit("oddity")))
+        .otherwise(F.col("line"))
+    )
+    lines = inputs.part_result_lines(spark, sf_dir).withColumn("line", line)
+    lines = lines.withColumn("file_no", F.expr(f"line_id div {KEYS_PER_FILE}"))
     (
         lines.repartition("source", "file_no")
         .sortWithinPartitions("source", "file_no", "line_id")
@@ -532,9 +615,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .write.partitionBy("source", "file_no")
         .text(folder)
     )
-    query = start_ingest(
-        spark, f"{folder}/*/*", root, staged_path(spark, "ingest-checkpoint"), neighbours=10
-    )
+    query = start_ingest(spark, f"{folder}/*/*", root, staged_path(spark, "ingest-checkpoint"))
     query.awaitTermination()
     words = read_table(spark, root, "word").select(F.col("id").alias("word_id"), "word")
 
@@ -545,13 +626,36 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col(value).alias("value"),
         ).agg(F.count(F.lit(1)).alias("n_rows"))
 
+    def counted(name: str, kind: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        rows = read_table(spark, root, name).groupBy(F.lit(name).alias("table_name"), none.alias("word"), F.col(kind).alias("kind"), none.alias("value"))
+        return rows.agg(F.count(F.lit(1)).alias("n_rows"))
+
     return (
         stored("translation", "type", "translation")
         .unionByName(stored("similar_word", "CAST(NULL AS STRING)", "similar_word"))
         .unionByName(stored("grammar_category", "CAST(NULL AS STRING)", "category"))
+        .unionByName(counted("error", "type"))
+        .unionByName(counted("quarantine", "reason"))
     )
 
 
+def nested_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as nested word lists, a request per line of the text; refused documents are told."""
+    lists = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", lists.alias("word_list"))
+    lines, refused = decks.nested_requests(documents, ["doc_id"], system_message="sys", answer_schema={"type": "object"})
+    return lines.select("doc_id", "request_id", F.md5("line").alias("line")).unionByName(
+        refused.select("doc_id", F.lit(-1).cast("bigint").alias("request_id"), F.lit(None).cast("string").alias("line"))
+    )
+
+
+def skipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows behind the first thousand."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return page(orders, order_by=["o_orderdate", "o_orderkey"], skip=1000).select("o_orderkey", "o_custkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deck_words": deck_words,
     "subtitle_tokens": subtitle_token_rows,
@@ -582,6 +686,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dictionary_similar": dictionary_similar,
     "dictionary_categories": dictionary_categories,
     "dictionary_save": dictionary_save,
+    "dictionary_check": dictionary_problems,
     "dictionary_differences": dictionary_differences,
     "language_seed": language_seed,
     "language_file": language_file,
@@ -596,4 +701,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "point_lookup": point_lookup,
     "stream_ingest": stream_ingest,
     "stream_status": stream_status,
+    "document_ingest": document_ingest,
+    "nested_requests": nested_request_lines,
+    "skipped_rows": skipped_rows,
 }

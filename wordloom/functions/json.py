@@ -29,3 +29,25 @@ def is_truthy(value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """Type name of a VARIANT, such as STRING, VOID or OBJECT<...>."""
     return F.schema_of_variant(value)
+
+
+def text_lists(value: Column, told: Column) -> Column:
+    """An object of lists of texts as a map, its keys in the order of ``told``; NULL for no object.
+
+    One text counts as a list of it, null as an empty list. What is neither is NULL in the map.
+    """
+    values = F.try_variant_get(value, "$", "map<string,variant>")
+    known = F.map_keys(values)
+    keys = F.array_union(F.array_intersect(F.coalesce(told, F.array().cast("array<string>")), known), known)
+
+    def read(key: Column) -> Column:
+        item = F.get(F.map_values(F.map_filter(values, lambda name, _: name == key)), F.lit(0))
+        kind = F.schema_of_variant(item)
+        none = F.array().cast("array<string>")
+        return (
+            F.when(F.coalesce(kind == "VOID", F.lit(True)), none)
+            .when(kind == "STRING", F.array(item.cast("string")))
+            .when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(item, "$", "array<string>"))
+        )
+
+    return F.map_from_arrays(keys, F.transform(keys, read))

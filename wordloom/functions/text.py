@@ -23,8 +23,9 @@ def has_ink(text: Column) -> Column:
 
 
 def plain_white(text: Column) -> Column:
-    """White space beyond ASCII as blanks, which changes none of the rules here."""
-    return F.regexp_replace(text, rf"(?![\x00-\x7F])[{OTHER_WHITE}]", " ")
+    """White space beyond ASCII as blanks, which changes none of the rules here; ASCII texts are passed over."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).otherwise(F.regexp_replace(text, rf"(?![\x00-\x7F])[{OTHER_WHITE}]", " "))
 
 
 def clean_subtitle(text: Column) -> Column:

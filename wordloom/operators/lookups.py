@@ -44,6 +44,7 @@ def lookup_join(
     how: str,
     counts: DataFrame,
     hot_rows: int = HOT_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``rows`` with a list that has each key once; ``how`` is inner or left_anti.
 
@@ -56,7 +57,10 @@ def lookup_join(
     keys = list(keys)
     # Fewer than HOT_SHARE keys, by their definition.
     hot = F.broadcast(hot_keys(counts, keys, hot_rows))
-    hot_listed = F.broadcast(listed.join(hot, keys, "left_semi"))
+    hot_rows_listed = listed.join(hot, keys, "left_semi")
+    # Few rows, but a key may be a long text: beyond the limit Spark chooses the join.
+    small = measured_bytes(hot_rows_listed) <= broadcast_bytes
+    hot_listed = F.broadcast(hot_rows_listed) if small else hot_rows_listed
     return (
         rows.join(hot, keys, "left_semi")
         .join(hot_listed, keys, how)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.ordering import dense_positions
+
 
 def page(
     df: DataFrame,
@@ -15,9 +17,16 @@ def page(
     skip: int = 0,
     take: int | None = None,
 ) -> DataFrame:
-    """Rows equal to ``where``, in order, without the first ``skip``, at most ``take``."""
+    """Rows equal to ``where``, in order, without the first ``skip``, at most ``take``.
+
+    ``skip`` without ``take`` leaves most of the table: its rows are numbered in pieces, not sent through
+    one task. They need an order for that, by default that of all columns.
+    """
     for name, value in (where or {}).items():
         df = df.filter(F.col(name).eqNullSafe(F.lit(value)))
+    if skip and take is None:
+        numbered = dense_positions(df, list(order_by) or df.columns, name="_place")
+        return numbered.filter(F.col("_place") >= skip).drop("_place")
     if order_by:
         df = df.orderBy(*order_by)
     if skip:

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.json import is_truthy, kind_of, strict_json
+from wordloom.functions.json import is_truthy, kind_of, strict_json, text_lists
 from wordloom.functions.text import strip_white
 from wordloom.operators.ordering import dense_positions
-from wordloom.schemas import PAYLOAD
+from wordloom.schemas import ENTRIES
+from wordloom.session import REPEATED_MEMBERS
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``value``: the line as VARIANT, NULL where it is not one JSON value."""
+    """Add ``value``: the line as VARIANT, NULL where it is not one JSON value.
+
+    Of a repeated member the last one counts, also where the session was built elsewhere.
+    """
+    lines.sparkSession.conf.set(REPEATED_MEMBERS, "true")
     return lines.withColumn("value", strict_json(F.col(line)))
 
 
@@ -20,6 +25,34 @@ def _field(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+def _entries(content: Column, payload: Column) -> Column:
+    """The list of word entries in an answer, each read by itself.
+
+    The VARIANT gives the values, the text the order of the keys. A translation list may be missing,
+    or be one string. An entry that is no object with a text as its word and lists of texts as its
+    translations has a reason and its JSON text instead.
+    """
+    texts = F.from_json(content, "response ARRAY<STRING>")["response"]
+
+    def one(text: Column, value: Column) -> Column:
+        word, listed = _field(value, "$.word"), _field(value, "$.translations")
+        told = F.json_object_keys(F.get_json_object(text, "$.translations"))
+        lists = text_lists(listed, told)
+        plain = F.coalesce(kind_of(word) == "STRING", F.lit(False))
+        absent = F.coalesce(kind_of(listed) == "VOID", F.lit(True))
+        readable = plain & (absent | F.coalesce(F.forall(F.map_values(lists), lambda x: x.isNotNull()), F.lit(False)))
+        missing = F.coalesce(kind_of(word) == "VOID", F.lit(True)) & F.coalesce(kind_of(value).startswith("OBJECT"), F.lit(False))
+        reason = F.when(readable, None).when(missing, "no word").otherwise("mistyped entry")
+        return F.struct(
+            F.when(readable, word.cast("string")).alias("word"),
+            F.when(readable & ~absent, lists).alias("translations"),
+            reason.alias("reason"),
+            F.when(~readable, F.coalesce(text, F.lit("null"))).alias("raw"),
+        )
+
+    return F.zip_with(texts, _field(payload, "$.response", "array<variant>"), one)
+
+
 def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
     """Give every parsed result a ``route``: word, error, refusal or quarantine.
 
@@ -55,7 +88,8 @@ def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
     )
     answered = F.col("kind") == "word"
     payload = F.when(answered, strict_json(F.col("content")))
-    entries = F.when(F.col("payload").isNotNull(), F.from_json("content", PAYLOAD)["response"])
+    is_list = kind_of(_field(F.col("payload"), "$.response")).startswith("ARRAY")
+    entries = F.when(is_list, _entries(F.col("content"), F.col("payload"))).cast(ENTRIES)
     reason = F.when(F.col("value").isNull(), "malformed line").when(
         answered,
         F.when(F.col("message").isNull(), "no message")
@@ -102,7 +136,7 @@ def route_errors(parsed: DataFrame) -> DataFrame:
         F.when(bad, "quarantine").otherwise("error").alias("route"),
         _field(value, "$.custom_id", "string").alias("custom_id"),
         F.to_json(value).alias("error"),
-        F.lit(None).cast(PAYLOAD.split(" ", 1)[1]).alias("entries"),
+        F.lit(None).cast(ENTRIES).alias("entries"),
         F.lit("error file").alias("stage"),
         F.when(bad, "malformed line").alias("reason"),
         F.when(bad, line).alias("raw"),
@@ -118,7 +152,7 @@ def word_entries(routed: DataFrame) -> DataFrame:
     exploded = (
         routed.filter(F.col("route") == "word")
         .select("source", "block", "line_id", F.posexplode("entries").alias("item", "entry"))
-        .filter(F.col("entry.word").isNotNull())
+        .filter(F.col("entry.reason").isNull())
     )
     numbered = dense_positions(
         exploded, ["line_id", "item"], ["source"], name="pos", chunk=F.col("block")
@@ -143,15 +177,15 @@ def quarantine_rows(routed: DataFrame) -> DataFrame:
         "reason",
         strip_white(F.col("raw")).alias("line"),
     )
-    nameless = (
+    unread = (
         routed.filter(F.col("route") == "word")
         .select("source", F.explode("entries").alias("entry"))
-        .filter(F.col("entry.word").isNull())
+        .filter(F.col("entry.reason").isNotNull())
         .select(
             F.col("source").alias("source_batch"),
             F.lit("entry").alias("stage"),
-            F.lit("no word").alias("reason"),
-            strip_white(F.to_json("entry")).alias("line"),
+            "entry.reason",
+            strip_white(F.col("entry.raw")).alias("line"),
         )
     )
-    return lines.unionByName(nameless)
+    return lines.unionByName(unread)

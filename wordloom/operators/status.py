@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.schemas import DONE_STATE, FAILED_STATES
+from wordloom.schemas import DONE_STATE, FAILED_STATES, LIFECYCLE
 
 
 def batch_outcome(status: Column) -> Column:
@@ -19,6 +19,11 @@ def batch_outcome(status: Column) -> Column:
     )
 
 
+def lifecycle_rank(status: Column) -> Column:
+    """Place of a state in the life of a batch; a state that is not known comes before all others."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, LIFECYCLE)), status), F.lit(0))
+
+
 def latest_status(
     records: DataFrame, key: str, status: str, order: Sequence[str], carry: Sequence[str] = ()
 ) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.words import known_category, typed_translations
+from wordloom.operators.checks import duplicate_keys, null_counts, orphans, outside_domain
 from wordloom.operators.lookups import key_counts, largest_id, lookup_join, new_rows
 from wordloom.operators.ordering import running_totals
-from wordloom.schemas import ENGLISH, GERMAN, PARTITIONS
-from wordloom.session import stage
+from wordloom.schemas import ENGLISH, FOREIGN_KEYS, GERMAN, GRAMMAR_TYPES, LANGUAGES, PARTITIONS, TABLES
+from wordloom.session import stage, temporary_stages
 from wordloom.sources.sinks import (
     append_rows,
     last_ids,
@@ -19,12 +20,18 @@ from wordloom.sources.sinks import (
 )
 
 CHILD_TABLES = ("translation", "similar_word", "grammar_category")
+# Places of a source batch whose children are numbered together.
+PLACES_PER_PIECE = 1 << 16
 
 
 class UnknownCategory(ValueError):
     """A word entry has a category that is not a grammar label."""
 
 
+class UnknownLanguage(ValueError):
+    """A language number is not in the language table."""
+
+
 def seed_languages(names: DataFrame, existing: DataFrame) -> DataFrame:
     """The languages of ``names`` (``id, name``) not in ``existing``, with new ids in list order."""
     listed = names.groupBy("name").agg(F.min("id").alias("_place"))
@@ -32,6 +39,23 @@ def seed_languages(names: DataFrame, existing: DataFrame) -> DataFrame:
     return added.select(F.col("id").cast("int").alias("id"), "name")
 
 
+def save_languages(names: DataFrame, root: str) -> None:
+    """Add the languages of ``names`` (``id, name``) that are not stored; running again adds none."""
+    with temporary_stages(names.sparkSession):
+        existing = read_table(names.sparkSession, root, "language")
+        append_rows(stage(seed_languages(names, existing), "languages"), root, "language")
+
+
+def require_languages(spark: SparkSession, root: str, *ids: int) -> None:
+    """Fail for a number that is not in the language table. One that was never stored holds ``LANGUAGES``."""
+    stored = [row.id for row in read_table(spark, root, "language").filter(F.col("id").isin(*ids)).collect()]
+    if not stored and read_table(spark, root, "language").isEmpty():
+        stored = range(1, len(LANGUAGES) + 1)
+    missing = sorted(set(ids) - set(stored))
+    if missing:
+        raise UnknownLanguage(f"No language has the number {missing[0]}")
+
+
 def unknown_categories(processed: DataFrame) -> DataFrame:
     """``word, category`` of entries with a category that is not a grammar label."""
     labels = F.explode(F.map_keys("translations")).alias("category")
@@ -68,7 +92,10 @@ def number_children(rows: DataFrame, last_ids: dict[str, int]) -> DataFrame:
     """Add the id before each row's first child, per child table, in source and place order."""
     sizes = _child_sizes()
     numbered = running_totals(
-        rows, ["source_batch", "pos"], {f"_{name}_id": size for name, size in sizes.items()}
+        rows,
+        ["source_batch", "pos"],
+        {f"_{name}_id": size for name, size in sizes.items()},
+        chunk=F.struct("source_batch", F.expr(f"pos div {PLACES_PER_PIECE}").alias("piece")),
     )
     for name in sizes:
         column = f"_{name}_id"
@@ -127,29 +154,31 @@ def save_dictionary(
     before anything is written. One writer per table at a time.
     """
     spark = processed.sparkSession
-    processed = stage(processed, "processed")
-    batches = processed if batches is None else batches
-    strange = unknown_categories(processed).take(1)
-    if strange:
-        raise UnknownCategory(f"Unknown grammar type: {strange[0].category}")
-
-    counts = stage(key_counts(processed, ["word"]), "word-counts")
-    last = last_ids(spark, root, ("word", *CHILD_TABLES))
-    stored = read_table(spark, root, "word")
-    known = stored.filter(F.col("primary_language") == primary_language).select("id", "word")
-    known = stage(known.join(counts.select("word"), "word", "left_semi"), "known-words")
-    added = stage(new_words(counts, known, primary_language, last["word"]), "new-words")
-    totals = {row.table_name: row.n_rows for row in child_totals(processed).collect()}
-    totals["word"] = added.count()
-    reserve_ids(spark, root, {name: last[name] + totals[name] for name in last})
-    append_rows(added, root, "word")
-
-    ids = known.unionByName(added.select("id", "word"))
-    numbered = stage(number_children(with_word_ids(processed, ids, counts), last), "with-word-ids")
-    fixed = {"primary_language": primary_language, "secondary_language": secondary_language}
-    for table, rows in child_rows(numbered, primary_language, secondary_language).items():
-        wanted = {name: fixed[name] for name in PARTITIONS[table] if name in fixed}
-        replace_batches(rows, root, table, batches, **wanted)
+    with temporary_stages(spark):
+        require_languages(spark, root, primary_language, secondary_language)
+        processed = stage(processed, "processed")
+        batches = processed if batches is None else batches
+        strange = unknown_categories(processed).take(1)
+        if strange:
+            raise UnknownCategory(f"Unknown grammar type: {strange[0].category}")
+
+        counts = stage(key_counts(processed, ["word"]), "word-counts")
+        last = last_ids(spark, root, ("word", *CHILD_TABLES))
+        stored = read_table(spark, root, "word")
+        known = stored.filter(F.col("primary_language") == primary_language).select("id", "word")
+        known = stage(known.join(counts.select("word"), "word", "left_semi"), "known-words")
+        added = stage(new_words(counts, known, primary_language, last["word"]), "new-words")
+        totals = {row.table_name: row.n_rows for row in child_totals(processed).collect()}
+        totals["word"] = added.count()
+        reserve_ids(spark, root, {name: last[name] + totals[name] for name in last})
+        append_rows(added, root, "word")
+
+        ids = known.unionByName(added.select("id", "word"))
+        numbered = stage(number_children(with_word_ids(processed, ids, counts), last), "with-word-ids")
+        fixed = {"primary_language": primary_language, "secondary_language": secondary_language}
+        for table, rows in child_rows(numbered, primary_language, secondary_language).items():
+            wanted = {name: fixed[name] for name in PARTITIONS[table] if name in fixed}
+            replace_batches(rows, root, table, batches, **wanted)
 
 
 def child_totals(processed: DataFrame) -> DataFrame:
@@ -169,17 +198,58 @@ def expected_counts(processed: DataFrame) -> DataFrame:
     )
 
 
-def save_audit(spark: SparkSession, processed: DataFrame, root: str) -> DataFrame:
-    """``table_name, expected, stored`` for the batches of ``processed``, after saving it alone."""
+def save_audit(
+    spark: SparkSession, processed: DataFrame, root: str, primary_language: int = GERMAN
+) -> DataFrame:
+    """``table_name, expected, stored`` for the words and batches of ``processed``, after saving it.
+
+    Counts only what belongs to this run, whatever else the dictionary holds.
+    """
+    words = read_table(spark, root, "word").filter(F.col("primary_language") == primary_language)
+    words = words.join(processed.select("word").distinct(), "word", "left_semi")
+    found = {"word": words}
+    for table in CHILD_TABLES:
+        rows = read_table(spark, root, table).filter(F.col("primary_language") == primary_language)
+        found[table] = rows.join(processed.select("source_batch").distinct(), "source_batch", "left_semi")
     stored = None
-    for table in ("word", *CHILD_TABLES):
-        count = read_table(spark, root, table).agg(F.count(F.lit(1)).alias("stored"))
-        count = count.withColumn("table_name", F.lit(table))
+    for table, rows in found.items():
+        count = rows.agg(F.count(F.lit(1)).alias("stored")).withColumn("table_name", F.lit(table))
         stored = count if stored is None else stored.unionByName(count)
     expected = expected_counts(processed).withColumnRenamed("n_rows", "expected")
     return expected.join(stored, "table_name").select("table_name", "expected", "stored")
 
 
+def dictionary_check(spark: SparkSession, root: str) -> DataFrame:
+    """``table_name, problem, column, value, n_rows`` of what breaks a rule of the stored tables.
+
+    The foreign keys, unique names and words, filled columns, and the grammar labels. No rows: all hold.
+    """
+    tables = {name: read_table(spark, root, name) for name in ("language", "word", *CHILD_TABLES)}
+
+    def problem(table: str, kind: str, column: str, rows: DataFrame, value: str | None) -> DataFrame:
+        told = F.col(value).cast("string") if value else F.lit(None).cast("string")
+        return rows.select(
+            F.lit(table).alias("table_name"), F.lit(kind).alias("problem"), F.lit(column).alias("column"),
+            told.alias("value"), F.col("n_rows").cast("bigint").alias("n_rows"),
+        )
+
+    found = []
+    for child, key, parent, parent_key in FOREIGN_KEYS:
+        rows = orphans(tables[child], key, tables[parent], parent_key)
+        found.append(problem(child, "orphan", key, rows, key))
+    for table, keys in (("language", ["id"]), ("language", ["name"]), ("word", ["id"]), ("word", ["word", "primary_language"])):
+        found.append(problem(table, "duplicate", ",".join(keys), duplicate_keys(tables[table], keys), keys[0]))
+    for table, rows in tables.items():
+        nulls = null_counts(rows, [name.split(" ")[0] for name in TABLES[table].split(", ")])
+        found += [problem(table, "null", "", nulls, "column")]
+    for table, column in (("translation", "type"), ("grammar_category", "category")):
+        found.append(problem(table, "label", column, outside_domain(tables[table], column, GRAMMAR_TYPES), column))
+    checks = found[0]
+    for rows in found[1:]:
+        checks = checks.unionByName(rows)
+    return checks
+
+
 def word_differences(processed: DataFrame, words: DataFrame) -> DataFrame:
     """``word, problem``: duplicate in the input, missing in the table, or extra in the table."""
     counts = key_counts(processed, ["word"])

@@ -48,14 +48,19 @@ DEFAULT_NEIGHBOURS = 50
 FAILED_STATES = ("failed", "error", "expired", "cancelled", "cancelling")
 DONE_STATE = "completed"
 
+# The states of a remote batch in the order in which they follow each other.
+LIFECYCLE = (
+    "validating", "in_progress", "finalizing", "cancelling", "completed", "cancelled", "expired", "failed", "error",
+)
+
 TRANSLATIONS = "MAP<STRING, ARRAY<STRING>>"
 PAYLOAD = f"response ARRAY<STRUCT<word: STRING, translations: {TRANSLATIONS}>>"
+# Entries as they are read: those that can't be used have a reason and their JSON text.
+ENTRIES = f"ARRAY<STRUCT<word: STRING, translations: {TRANSLATIONS}, reason: STRING, raw: STRING>>"
 PROCESSED_WORD = (
     f"source_batch STRING, pos BIGINT, word STRING, translations {TRANSLATIONS}, "
     "similar_words ARRAY<STRING>, grammar_categories ARRAY<STRING>"
 )
-RESULT_DOCUMENT = "results ARRAY<VARIANT>, errors ARRAY<VARIANT>"
-
 REQUEST_COUNTS = "STRUCT<total: BIGINT, completed: BIGINT, failed: BIGINT>"
 BATCH_RECORD = (
     "id STRING, object STRING, endpoint STRING, errors VARIANT, input_file_id STRING, "
@@ -84,16 +89,39 @@ TABLES = {
         "id BIGINT, word_id BIGINT, category STRING, "
         "primary_language INT, secondary_language INT, source_batch STRING"
     ),
-    "error": "custom_id STRING, type STRING, error STRING, source_batch STRING",
-    "quarantine": "stage STRING, reason STRING, line STRING, source_batch STRING",
+    "error": "custom_id STRING, type STRING, error STRING, source_batch STRING, origin STRING",
+    "quarantine": "stage STRING, reason STRING, line STRING, source_batch STRING, origin STRING",
     "id_counter": "table_name STRING, last_id BIGINT",
 }
 
 PARTITIONS = {
+    "language": [],
     "word": ["primary_language"],
     "translation": ["primary_language", "secondary_language", "source_batch"],
     "similar_word": ["primary_language", "source_batch"],
     "grammar_category": ["primary_language", "secondary_language", "source_batch"],
-    "error": ["source_batch"],
-    "quarantine": ["source_batch"],
+    "error": ["source_batch", "origin"],
+    "quarantine": ["source_batch", "origin"],
 }
+
+# A column that every real row fills. Rows without it mark that a batch was stored.
+FILLED = {
+    "translation": "id",
+    "similar_word": "id",
+    "grammar_category": "id",
+    "error": "type",
+    "quarantine": "stage",
+}
+
+# The foreign keys of the dictionary tables.
+FOREIGN_KEYS = (
+    ("word", "primary_language", "language", "id"),
+    ("translation", "word_id", "word", "id"),
+    ("translation", "primary_language", "language", "id"),
+    ("translation", "secondary_language", "language", "id"),
+    ("similar_word", "word_id", "word", "id"),
+    ("similar_word", "primary_language", "language", "id"),
+    ("grammar_category", "word_id", "word", "id"),
+    ("grammar_category", "primary_language", "language", "id"),
+    ("grammar_category", "secondary_language", "language", "id"),
+)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# JSON as JSON.parse reads it: of a repeated member the last one counts.
+REPEATED_MEMBERS = "spark.sql.variant.allowDuplicateKeys"
+
+_scopes = threading.local()
+
 
 def build_session(app: str = "wordloom", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings the jobs are written for; ``settings`` win over them."""
@@ -18,6 +25,7 @@ def build_session(app: str = "wordloom", master: str | None = None, **settings:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        REPEATED_MEMBERS: "true",
         **settings,
     }
     for key, value in wanted.items():
@@ -26,18 +34,26 @@ def build_session(app: str = "wordloom", master: str | None = None, **settings:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Without that setting it is a folder beside the tables of the warehouse, which is shared as well.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside. No DataFrame that reads it may outlive the block."""
+    paths: list[str] = []
+    outer = getattr(_scopes, "open", [])
+    _scopes.open = [*outer, paths]
+    try:
+        yield
+    finally:
+        _scopes.open = outer
+        for path in paths:
+            delete_folder(spark, path)
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
@@ -52,6 +68,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     another evaluation could give differently (partition ids, sampled ranges).
     """
     path = staged_path(df.sparkSession, label)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,14 +79,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or of all files in a folder."""
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where it is missing."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.getContentSummary(hadoop_path).getLength()
+    if not system.exists(hadoop_path):
+        return []
+    return [found.getPath().getName() for found in system.listStatus(hadoop_path)]
 
 
 def delete_folder(spark: SparkSession, uri: str) -> bool:
-    """Delete a folder given as a file URI, as ``_metadata.file_path`` spells it."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    """Delete a folder with what is in it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

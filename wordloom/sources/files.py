@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import WHITE, has_ink
+from wordloom.functions.text import WHITE, has_ink, strip_white
 from wordloom.operators.ordering import dense_positions
-from wordloom.schemas import RESULT_DOCUMENT
+from wordloom.operators.results import parse_lines
+
+# Items of a document's list that are numbered together.
+ITEMS_PER_BLOCK = 65_536
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
@@ -18,20 +21,32 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def line_columns(lines: DataFrame) -> DataFrame:
-    """``source``, ``block``, ``line`` of a text read, batch or stream.
+def source_name(path: Column | None = None) -> Column:
+    """The file name and a hash of the whole path, so that files of the same name in two folders
+    stay apart and the name still fits a partition folder."""
+    path = F.regexp_replace(F.col("_metadata.file_path") if path is None else path, "^file:/+", "file:/")
+    return F.concat(F.element_at(F.split(path, "/"), -1), F.lit("-"), F.lower(F.hex(F.xxhash64(path))))
 
-    ``source`` is the file name and a hash of the whole path, so that files of the same name in
-    two folders stay apart and the name still fits a partition folder.
-    """
-    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+
+def line_columns(lines: DataFrame) -> DataFrame:
+    """``source``, ``block``, ``line`` of a text read, batch or stream."""
     return lines.select(
-        F.concat(name, F.lit("-"), F.lower(F.hex(F.xxhash64(path)))).alias("source"),
+        source_name().alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )
 
 
+def _binary_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+def list_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``source_batch`` of every file, also of those without a byte, which Spark's readers pass over."""
+    files = [(name,) for name in _binary_files(spark, path).inputFiles()]
+    return spark.createDataFrame(files, "file STRING").select(source_name(F.col("file")).alias("source_batch"))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add ``line_id``, which grows along a block. Call it before any shuffle of the lines."""
     return lines.withColumn("line_id", F.monotonically_increasing_id())
@@ -59,25 +74,51 @@ def json_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_result_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Whole ``{results, errors}`` documents: their results and their errors as VARIANT rows.
+def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Whole ``{results, errors}`` documents: ``source``, ``value`` (VARIANT), ``raw``.
 
-    Columns of both: ``source``, ``block``, ``line_id`` (place in the list), ``value``.
+    ``value`` is NULL where the file is not exactly one JSON value.
     """
-    documents = spark.read.schema(RESULT_DOCUMENT).option("multiLine", True).json(path)
-    name, whole = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    documents = documents.select(
-        F.concat(name, F.lit("-"), F.lower(F.hex(F.xxhash64(whole)))).alias("source"),
-        F.lit(0).cast("bigint").alias("block"),
-        "results",
-        "errors",
+    files = _binary_files(spark, path).select(source_name().alias("source"), "content")
+    texts = files.select("source", F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", "").alias("raw"))
+    named = list_sources(spark, path).select(F.col("source_batch").alias("source"))
+    empty = named.join(files.select("source"), "source", "left_anti").withColumn("raw", F.lit(""))
+    texts = texts.unionByName(empty)
+    return parse_lines(texts, "raw")
+
+
+def document_rows(documents: DataFrame, name: str) -> DataFrame:
+    """``source``, ``block``, ``line_id`` (place in the list), ``value`` of the list ``name``."""
+    items = F.try_variant_get("value", f"$.{name}", "array<variant>")
+    listed = documents.select("source", F.posexplode(items).alias("at", "value"))
+    place = F.col("at").cast("bigint")
+    block = F.expr(f"at div {ITEMS_PER_BLOCK}").cast("bigint")
+    return listed.select("source", block.alias("block"), place.alias("line_id"), "value")
+
+
+def unread_documents(documents: DataFrame) -> DataFrame:
+    """``source_batch``, ``stage``, ``reason``, ``line`` of documents, and lists in them, that can't be read."""
+    value = F.col("value")
+
+    def no_list(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+        return F.coalesce(~kind.startswith("ARRAY") & (kind != "VOID"), F.lit(False))
+
+    reasons = F.array_compact(
+        F.when(value.isNull(), F.array(F.lit("malformed document"))).otherwise(
+            F.array(
+                F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.lit("no document")),
+                F.when(no_list("results"), F.lit("results are no list")),
+                F.when(no_list("errors"), F.lit("errors are no list")),
+            )
+        )
+    )
+    return documents.select(
+        F.col("source").alias("source_batch"),
+        F.lit("document").alias("stage"),
+        F.explode(reasons).alias("reason"),
+        strip_white(F.col("raw")).alias("line"),
     )
-
-    def rows(items: str) -> DataFrame:
-        listed = documents.select("source", "block", F.posexplode(items).alias("at", "value"))
-        return listed.select("source", "block", F.col("at").cast("bigint").alias("line_id"), "value")
-
-    return rows("results"), rows("errors")
 
 
 def read_languages(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,8 @@ from pyspark.sql import functions as F
 
 from wordloom.operators.lookups import largest_id
 from wordloom.operators.requests import oversized_batches
-from wordloom.schemas import MAX_FILE_BYTES, MAX_REQUESTS, PARTITIONS, TABLES
-from wordloom.session import delete_folder, path_exists, stage
-
-
-# Up to this many source batches of a run are looked up by name in a stored table.
-NAMED_BATCHES = 1000
+from wordloom.schemas import FILLED, MAX_FILE_BYTES, MAX_REQUESTS, PARTITIONS, TABLES
+from wordloom.session import delete_folder, folder_names, path_exists, stage
 
 
 class BatchTooLarge(ValueError):
@@ -59,7 +56,16 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     path = table_path(root, table)
     if not path_exists(spark, path):
         return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(path)
+    stored = spark.read.schema(TABLES[table]).parquet(path)
+    return stored.filter(F.col(FILLED[table]).isNotNull()) if table in FILLED else stored
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """``table_name, last_id``, a row per table (two after a save that broke off)."""
+    path = table_path(root, "id_counter")
+    if not folder_names(spark, path):
+        return spark.createDataFrame([], TABLES["id_counter"])
+    return spark.read.schema(TABLES["id_counter"]).parquet(path).select("table_name", "last_id")
 
 
 def last_ids(spark: SparkSession, root: str, tables: Sequence[str]) -> dict[str, int]:
@@ -67,7 +73,7 @@ def last_ids(spark: SparkSession, root: str, tables: Sequence[str]) -> dict[str,
 
     A table without a counter is looked at itself.
     """
-    counters = read_table(spark, root, "id_counter").filter(F.col("table_name").isin(*tables))
+    counters = read_counters(spark, root).filter(F.col("table_name").isin(*tables))
     # One row per table.
     rows = counters.groupBy("table_name").agg(F.max("last_id").alias("last_id")).collect()
     known = {row.table_name: row.last_id for row in rows}
@@ -80,50 +86,47 @@ def last_ids(spark: SparkSession, root: str, tables: Sequence[str]) -> dict[str,
 def reserve_ids(spark: SparkSession, root: str, last: Mapping[str, int]) -> None:
     """Note the ids that the rows about to be written will take.
 
-    Noted before the write: after a failure some ids stay unused, but none is used twice.
+    Noted before the write: after a failure some ids stay unused, but none is used twice. The
+    counters are one small file: a new set is written, then the sets before it go.
     """
-    rows = spark.createDataFrame(list(last.items()), TABLES["id_counter"]).coalesce(1)
-    rows.write.mode("append").parquet(table_path(root, "id_counter"))
+    path = table_path(root, "id_counter")
+    old = folder_names(spark, path)
+    counters = {row.table_name: row.last_id for row in read_counters(spark, root).orderBy("last_id").collect()}
+    for table, value in last.items():
+        counters[table] = max(value, counters.get(table, value))
+    rows = spark.createDataFrame(sorted(counters.items()), TABLES["id_counter"]).coalesce(1)
+    rows.write.parquet(f"{path}/set={uuid.uuid4().hex}")
+    for name in old:
+        delete_folder(spark, f"{path}/{name}")
 
 
 def append_rows(rows: DataFrame, root: str, table: str) -> None:
     """Add rows; they must not come from a plan that reads the same table."""
-    columns = table_columns(table)
-    balanced = rows.select(*columns).hint("rebalance", *PARTITIONS[table])
+    balanced = rows.select(*table_columns(table)).hint("rebalance", *PARTITIONS[table])
     balanced.write.mode("append").partitionBy(*PARTITIONS[table]).parquet(table_path(root, table))
 
 
 def replace_batches(
-    rows: DataFrame, root: str, table: str, batches: DataFrame, **fixed: int
+    rows: DataFrame, root: str, table: str, batches: DataFrame, **fixed: int | str
 ) -> None:
     """Make ``rows`` the rows of their source batches, whatever an earlier run left there.
 
-    ``batches`` lists every ``source_batch`` of the run, also those without rows here, whose old
-    partition is removed. ``fixed`` holds the values of the other partition columns. A batch of
-    any size is cut into files of even size before the write.
+    ``batches`` lists every ``source_batch`` of the run, also those without rows here. Each gets a
+    row that only marks it, so that its partition is written anew: nothing that is stored has to be
+    listed, read or deleted one by one, however large the table is. ``fixed`` holds the values of the
+    other partition columns. A batch of any size is cut into files of even size before the write.
     """
-    spark, path, partitions = rows.sparkSession, table_path(root, table), PARTITIONS[table]
-    if path_exists(spark, path):
-        old = read_table(spark, root, table)
-        for name, value in fixed.items():
-            old = old.filter(F.col(name) == value)
-        names = [row[0] for row in batches.select("source_batch").distinct().take(NAMED_BATCHES + 1)]
-        if len(names) <= NAMED_BATCHES:
-            # Reads the partitions of the run only, however large the table is.
-            old = old.filter(F.col("source_batch").isin(names))
-        folder = F.regexp_replace("_metadata.file_path", r"/[^/]*\z", "")
-        stale = (
-            old.select("source_batch", folder.alias("folder"))
-            .distinct()
-            .join(batches.select("source_batch").distinct(), "source_batch", "left_semi")
-            .join(rows.select("source_batch").distinct(), "source_batch", "left_anti")
-        )
-        # Folder names only, one at a time.
-        for row in stale.toLocalIterator():
-            delete_folder(spark, row.folder)
-    balanced = rows.select(*table_columns(table)).hint("rebalance", *partitions)
+    path, partitions = table_path(root, table), PARTITIONS[table]
+    rows = rows.withColumns({name: F.lit(value) for name, value in fixed.items()})
+    wanted = rows.select(*table_columns(table))
+    names = {"source_batch": F.col("source_batch"), **{name: F.lit(value) for name, value in fixed.items()}}
+    marks = batches.select("source_batch").distinct().select(
+        *[names.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in wanted.schema]
+    )
     (
-        balanced.write.mode("overwrite")
+        wanted.unionByName(marks)
+        .hint("rebalance", *partitions)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)

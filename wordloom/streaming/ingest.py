@@ -21,12 +21,15 @@ def start_ingest(
 ) -> StreamingQuery:
     """Store every result (or error) file that appears in ``folder``.
 
-    A file belongs to one micro-batch and a micro-batch may run again after a failure: storing
-    a file replaces what it stored before, so the tables stay right. The default trigger works
-    through what is there and stops.
+    Entries with an unknown category are set aside unless ``unknown_categories="raise"``, and lines that
+    can't be read are, so one bad file never holds up the others. A file belongs to one micro-batch and a micro-batch may run again after a failure: storing
+    a file replaces what it stored before, so the tables stay right. A file without any line is not
+    seen by a stream. The default trigger works through what is there and stops.
     """
     if kind not in ("results", "errors"):
         raise ValueError(f"kind must be 'results' or 'errors', got {kind!r}")
+    if kind == "results":
+        options.setdefault("unknown_categories", "quarantine")
     lines = line_columns(
         spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, lineSep="\n")
     )
