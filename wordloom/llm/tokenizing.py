@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 
-CACHED_PIECES = 1_500_000  # per worker; a full table is emptied
+CACHED_PIECES = 900_000  # per worker; of a full table only the first pieces stay
+KEPT_SHARE = 0.4  # pieces seen early are the frequent ones
 ENCODED_AT_ONCE = 2_000
 
 class PieceTable:
@@ -25,11 +26,16 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.emptied = getattr(self, "emptied", -1) + 1
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
 
+    def trim(self, keep: int) -> None:
+        """Forget all but the first ``keep`` pieces."""
+        self.slots = dict(islice(self.slots.items(), keep))
+        self.starts = self.starts[: max(len(self.slots) + 1, 2)].copy()
+        self.flat = self.flat[: max(int(self.starts[len(self.slots)]), 1)].copy()
+
     def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """``ids``: those of all the pieces in a row, ``sizes`` of them for each."""
         slot = len(self.slots)
@@ -98,12 +104,10 @@ class TextEncoder:
         return [x for x in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if x]
 
     def learn(self, pieces: set[str]) -> None:
-        """Add the ids of pieces that are not in the table; a full table is emptied first."""
+        """Add the ids of pieces that are not in the table."""
         # A word ends before a full stop or comma: such a piece is the word's ids and one more.
         ended = {x for x in pieces if x[-1] in ".," and x[-2:-1].isalpha()}
         plain = pieces - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}
-        if len(self.table.slots) + len(plain) + len(ended) > CACHED_PIECES:
-            self.table.clear()
         new = sorted(plain.difference(self.table.slots))
         for special in [x for x in new if x.isspace() or x[0] == "\0"]:
             ids = self.whole(special) if special[0] != "\0" else np.array([int(special[1:])], np.uint32)
@@ -125,21 +129,23 @@ class TextEncoder:
             ids, sizes = self.table.ids([self.table.slots[y] for y in parts])
             self.table.add(joined, ids, sizes.reshape(-1, 2).sum(axis=1))
 
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.table.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text starts (one more than texts); ``end`` closes each text."""
         closing = [] if end is None else [f"\0{end}"]
         split = [self.pieces(x) for x in texts]
         flat = [p for x in split if x is not None for p in chain(x, closing)]
-        slots = np.fromiter(map(self.table.slots.get, flat, repeat(-1)), np.int64, len(flat))
+        slots = self._slots(flat)
+        if len(self.table.slots) + int((slots < 0).sum()) > CACHED_PIECES and len(self.table.slots) > CACHED_PIECES * KEPT_SHARE:
+            self.table.trim(int(CACHED_PIECES * KEPT_SHARE))
+            slots = self._slots(flat)
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            emptied = self.table.emptied
-            self.learn({flat[i] for i in missing.tolist()})
-            if self.table.emptied != emptied:  # what was known before has to be learned again
-                self.table.clear()
-                self.learn(set(flat))
-                missing = np.arange(len(flat))
-            slots[missing] = np.fromiter(map(self.table.slots.__getitem__, [flat[i] for i in missing.tolist()]), np.int64, len(missing))
+            lost = [flat[i] for i in missing.tolist()]
+            self.learn(set(lost))
+            slots[missing] = self._slots(lost)
         ids, sizes = self.table.ids(slots)
         counts = [0 if x is None else len(x) + len(closing) for x in split]
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
@@ -162,7 +168,7 @@ def encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def text_blocks(texts: list[str], most: int = 4_000_000) -> Iterator[range]:
+def text_blocks(texts: list[str], most: int = 2_000_000) -> Iterator[range]:
     """Ranges of texts of about ``most`` characters, so that memory does not follow the batch."""
     first = size = 0
     for i, text in enumerate(texts):
