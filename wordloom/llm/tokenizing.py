@@ -15,8 +15,8 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
-CACHED_PIECES = 900_000  # per worker; of a full table only the first pieces stay
-KEPT_SHARE = 0.4  # pieces seen early are the frequent ones
+CACHED_PIECES = 1_000_000  # per worker; of a full table only the first pieces stay
+KEPT_SHARE = 0.75  # pieces seen early are the frequent ones
 ENCODED_AT_ONCE = 2_000
 
 class PieceTable:
