@@ -7,7 +7,7 @@ import xxhash
 
 from wordloom.llm.catalog.op03 import op3_quality_rules
 from wordloom.llm.common import read_table
-from wordloom.llm.ngram_llr import BINS, PRIOR, THRESHOLD, quality_rules
+from wordloom.llm.ngram_llr import BINS, PRIOR, THRESHOLD, count_bins, quality_rules
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -90,6 +90,15 @@ def test_a_long_text_and_ties(spark):
     assert quality_rules(docs, docs, threshold=0.0).first().kept  # the same documents on both sides: the ratio is 0
 
 
+def test_every_trusted_document_is_counted(spark):
+    """Also where the list is too long for a broadcast; rows without an id are counted, but never trusted."""
+    docs = spark.range(25_000).selectExpr("if(id % 10 = 9, null, id) doc_id", "concat('word', id % 50, ' x') text")
+    trusted = spark.range(25_000).selectExpr("if(id = 3, null, id) doc_id")
+    whole, joined = ({r.bin: (r.n, r.n_trusted) for r in count_bins(docs, trusted, **more).collect()} for more in ({}, {"broadcast_bytes": 0}))
+    assert sum(n for n, _ in whole.values()) == 3 * 25_000 and sum(t for _, t in whole.values()) == 3 * (25_000 - 2_500 - 1)
+    assert joined == whole
+
+
 def test_no_python_and_no_cross_join(spark):
     plan = op3_quality_rules(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan) and "Exchange" not in plan

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import keyed_text, made_once, pick
+from wordloom.session import stage
 
 BINS = 1 << 14
-TRUSTED_DOCS = 20_000  # bound of the labelled sample that the target is fitted on
+BROADCAST_BYTES = 16 << 20  # trusted ids that may be broadcast after their bytes were counted, 8 and their characters each
 PRIOR = 5.0  # n-grams added to observed and expected counts of a bin
 THRESHOLD = -0.3  # junk lies below -0.8, good texts above -0.1
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -88,17 +89,23 @@ def count_bins(
     text_col: str = "text",
     trusted_id_col: str = "doc_id",
     bins: int = BINS,
-    trusted_docs: int = TRUSTED_DOCS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``bin, n, n_trusted``: n-grams of all documents, and of those whose ids are in ``trusted``.
 
-    The corpus is counted whole. Of the trusted ids those ``trusted_docs`` with the smallest hashes are taken: a bounded
-    list, which is broadcast, so no text is shuffled. Null ids are never trusted. Each task adds up its bins before the
-    shuffle, so it sends ``bins`` rows at most.
+    The corpus and the trusted documents are counted whole. The trusted ids are broadcast where their counted size is within
+    ``broadcast_bytes``, so no text is shuffled; a longer list meets the texts in a shuffle, without the rows that have no
+    id. Null ids are never trusted. Each task adds up its bins before the shuffle, so it sends ``bins`` rows at most.
     """
     rows = keyed_text(docs, id_col, text_col)
-    ids = pick(trusted, of=trusted_id_col).where("of is not null").distinct().orderBy(F.xxhash64("of"), "of").limit(trusted_docs)
-    joined = rows.join(F.broadcast(ids), F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().cast("int").alias("is_trusted"))
+    ids = stage(pick(trusted, of=trusted_id_col).where("of is not null").distinct(), "trusted")
+    size = ids.agg(F.sum(F.octet_length(F.col("of").cast("string")) + 8)).first()[0] or 0
+    is_trusted = F.col("of").isNotNull().cast("int").alias("is_trusted")
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(ids), F.col("id") == F.col("of"), "left").select("text", is_trusted)
+    else:
+        named = rows.where("id is not null").join(ids, F.col("id") == F.col("of"), "left").select("text", is_trusted)
+        joined = named.unionByName(rows.where("id is null").select("text", F.lit(0).alias("is_trusted")))
     # With a plain explode Spark would cut the texts once more below the join, to leave out those without n-grams.
     grams = with_bins(joined, "text", bins).select("is_trusted", F.explode_outer("bins").alias("bin"))
     counts = grams.groupBy("bin").agg(F.count("*").alias("n"), F.sum("is_trusted").cast("long").alias("n_trusted"))
@@ -132,7 +139,7 @@ def quality_rules(
     bins: int = BINS,
     prior: float = PRIOR,
     threshold: float = THRESHOLD,
-    trusted_docs: int = TRUSTED_DOCS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept``.
 
@@ -140,7 +147,7 @@ def quality_rules(
     empty texts fail the base rules; without trusted documents every ratio is 0; repeated rows get the same result;
     other columns are not read.
     """
-    weights = bin_weights(count_bins(docs, trusted, id_col, text_col, trusted_id_col, bins, trusted_docs), bins, prior)
+    weights = bin_weights(count_bins(docs, trusted, id_col, text_col, trusted_id_col, bins, broadcast_bytes), bins, prior)
     rows = keyed_text(docs, id_col, text_col)
     ruled = with_bins(with_base_rules(rows), "text", bins)
     scored = ruled.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", mean_ratio("bins", weights).alias("ratio"))
