@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -54,6 +55,41 @@ def test_a_notice_at_the_very_start_and_end_of_a_text(index):
     assert set(index.notices(ascii_words(b"released under the MIT"))) == set()
 
 
+MIT_PARAGRAPH = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+
+
+def test_several_notices_in_one_long_text():
+    """Words of one notice, or of the prose, don't take the places of another's."""
+    common = {w.encode(): 400 for w in "licensed under the apache license version 2 0".split()}
+    index = LicenceIndex(TEMPLATES, BASE_PHRASES, common, 1000, 8, 0.6)
+    prose = "any person may copy the source or binary forms and use modification charge purpose domain creative commons " * 8_000
+    text = f"{prose}{MIT_PARAGRAPH}. {prose} Licensed under the Apache License, Version 2.0. {prose}"
+    assert index.notices(ascii_words(text.encode())) == {"mit": 1.0, "apache-2.0": 1.0}
+
+
+def test_notices_against_every_place(index):
+    """With words changed and cut: the same as a comparison at every place."""
+    draw = random.Random(7)
+    vocabulary = sorted(index.vocabulary)
+    labelled = 0
+    for _ in range(300):
+        words = []
+        for label, template, _ in draw.sample(index.templates, 3):
+            words += draw.choices(vocabulary, k=draw.randrange(12))
+            words += [w if draw.random() < 0.8 else draw.choice(vocabulary) for w in template]
+        expected = {}
+        for label, template, keys in index.templates:
+            for at in range(-len(template), len(words)):
+                window = words[max(at, 0) : max(at + len(template), 0)]
+                share = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(template)) / len(template)
+                inside = all(any(window[i : i + len(k)] == k for i in range(len(window))) for k in keys)
+                if share >= 0.6 and inside:
+                    expected[label] = max(share, expected.get(label, 0))
+        assert index.notices(words) == expected
+        labelled += len(expected)
+    assert labelled > 100
+
+
 def test_frequencies_count_all_rows(spark):
     docs = read_table(spark, SF_DIR, "documents")
     found = {bytes(r["word"]).decode(): r["n_docs"] for r in word_frequencies(docs, [b"the", b"license"]).collect()}

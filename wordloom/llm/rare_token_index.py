@@ -1,9 +1,9 @@
 """Licence notices by a positional index of rare words.
 
-The words of the licence templates get their document frequency over the whole corpus. In a file the
-rarest licence words are looked up in the templates' postings; postings that agree on the distance
-between file and template place the template in the file. A template counts where enough of its words
-stand in their places and its key phrases stand inside.
+The words of the licence templates get their document frequency over the whole corpus. Each template
+has postings of its rarest words, so many that wherever enough of its words stand in their places some
+of these do as well. Postings that agree on the distance between file and template place the template in
+the file. A template counts where enough of its words stand in their places and its key phrases stand inside.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import id_type, map_batches, pick
 from wordloom.llm.words import ascii_words
 
-RARE_WORDS = 8
+RARE_WORDS = 8  # words of a template that have postings, or more where the share needs them
+VOTES = 2
+PLACES_AT_ONCE = 1 << 16  # words of a file whose votes are held at once
 MIN_SHARE = 0.6
 
 # Short public notices of licences, and the phrases that each must hold. One label may have several.
@@ -48,12 +50,18 @@ class LicenceIndex:
         self.templates = [(label, ascii_words(text.encode()), [ascii_words(k.encode()) for k in keys]) for label, text, keys in templates]
         self.phrases = [(ascii_words(p.encode()), label) for p, label in phrases]
         self.firsts = frozenset(p[0] for p, _ in self.phrases)
-        self.rare_words, self.min_share = rare_words, min_share
+        self.min_share = min_share
+        self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.votes: list[int] = []
         for t, (_, words, _) in enumerate(self.templates):
-            for place, word in enumerate(words):
-                self.postings[word].append((t, place))
-        self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for w in self.postings}
+            # Where ``least`` words stand in place, at most the others do not: so many and the votes have postings.
+            least = next((n for n in range(1, len(words)) if n / len(words) >= min_share), len(words))
+            self.votes.append(min(VOTES, least))
+            places = sorted(range(len(words)), key=lambda p: (-self.idf[words[p]], words[p], p))
+            for place in places[: max(rare_words, len(words) - least + self.votes[t])]:
+                self.postings[words[place]].append((t, place))
+        self.longest = max((len(words) for _, words, _ in self.templates), default=0)
         self.vocabulary = frozenset(self.postings)
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
@@ -69,23 +77,30 @@ class LicenceIndex:
 
     def notices(self, words: list[bytes]) -> dict[str, float]:
         """Label and share of the template's words, of each template that stands in the words."""
-        present = self.vocabulary.intersection(words)
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[: self.rare_words])
+        found: dict[str, float] = {}
+        if self.vocabulary.isdisjoint(words):
+            return found
+        for low in range(-self.longest, len(words), PLACES_AT_ONCE):
+            self._place(words, low, low + PLACES_AT_ONCE, found)
+        return found
+
+    def _place(self, words: list[bytes], low: int, high: int, found: dict[str, float]) -> None:
+        """Add the templates that begin at ``low`` or later and before ``high``."""
         votes: Counter = Counter()
-        for i, word in enumerate(words):
-            if word in rare:
+        begin = max(low, 0)
+        for i, word in enumerate(words[begin : high + self.longest], begin):
+            if word in self.vocabulary:
                 for t, place in self.postings[word]:
-                    votes[t, i - place] += 1
-        found: dict[str, float] = {}
+                    if low <= i - place < high:
+                        votes[t, i - place] += 1
         for (t, at), n in votes.items():
             label, template, keys = self.templates[t]
-            if n < 2 or found.get(label, 0) >= 1:
+            if n < self.votes[t] or found.get(label, 0) >= 1:
                 continue
             window = words[max(at, 0) : at + len(template)]
             share = sum(map(bytes.__eq__, window, template[max(-at, 0) :])) / len(template)
             if share >= self.min_share and share > found.get(label, 0) and all(_holds(window, k) for k in keys):
                 found[label] = share
-        return found
 
 
 def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
@@ -123,7 +138,8 @@ def scan_licences(
     ``places``: every place of a base phrase as ``(start, label)``, by start. ``notices``: labels of the templates found with
     the share of their words that stand in place. Two passes over the texts; between them only the frequencies of
     the templates' words (a few hundred at most) come together. Null and empty texts have no words; repeated rows
-    are scanned each for itself; other columns are not read. The rarest words are chosen by (frequency, word).
+    are scanned each for itself; other columns are not read. A template's rarest words are chosen by (frequency, word, place).
+    No notice is lost for others in the same text or for its length: each template has postings of its own.
     """
     vocabulary = sorted({w for _, text, _ in templates for w in ascii_words(text.encode())})
     counted = {bytes(r["word"]): r["n_docs"] for r in word_frequencies(docs, vocabulary, text_col).collect()}
