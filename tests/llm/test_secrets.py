@@ -1,5 +1,7 @@
 import hashlib
 import re
+import string
+from random import Random
 
 import public_tokenizers
 import pytest
@@ -60,6 +62,31 @@ def test_random_strings(text, n, random):
     assert sum(s[1] == 3 for s in all_spans(text, random)) == n
 
 
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+def test_random_strings_with_signs(size, random):
+    """Drawn base64url strings whose longest part is short; those without a digit are not looked for."""
+    draw = Random(size)
+    drawn = ["".join(draw.choices(string.ascii_letters + string.digits + "-_", k=size)) for _ in range(4_000)]
+    short = [x for x in drawn if max(map(len, re.split("[_-]+", x))) < 16 and re.search("[0-9]", x)]
+    found = sum(any(s[1] == 3 for s in all_spans(x, random)) for x in short)
+    assert len(short) > 100 and found >= 0.97 * len(short)
+
+
+def test_keys_in_groups_and_identifiers(random):
+    for text in ("Ab3d-Ef9h-Kq2z-Xw7p-Lm4v", "x7Qk2-9LmPz-4WvRt-8bNcY", "K3v9_q8Zt+7LxP/2mWb=Rd5j"):
+        assert all_spans(text, random) == [(0, 3, len(text))]
+    for text in ("x86_64-linux-gnu-gcc-12", "2024-05-01_12-30-45_backup", "section-2-part-10-of-the-report", "a/b/c/2024/05/06/index/page-1"):
+        assert all_spans(text, random) == []
+
+
+def test_the_rest_of_a_run_that_a_pattern_covers_in_part(random):
+    hex32 = "3f9a0c7be1d24856af03b97c5d18e264"
+    text = f"key {hex32}-7bce93d1-e58a02f4 end"
+    assert all_spans(text, random) == [(4, 2, 36), (37, 3, 54)]
+    assert redact(text, all_spans(text, random)) == f"key {REDACTED}-{REDACTED} end"
+    assert [s[1] for s in all_spans(f"assets/main-{hex32}", random)] == [2] and [s[1] for s in all_spans(f"id_token={RANDOM}", random)] == [0]
+
+
 def test_redact(random):
     text = f"a {RANDOM} b token = \"abcdefgh12345678abcdefgh12345678\" c"
     clean = redact(text, all_spans(text, random))

@@ -2,7 +2,8 @@
 
 Words of a language need few tokens for many characters; random strings need many. A run of letters
 and digits whose characters per token stay below a ratio is reported, unless it is a digest of a known
-length, a UUID, or an identifier made of short parts.
+length, a UUID, or an identifier made of short parts that are mostly words and plain numbers. Of a run
+that a pattern covers in part the rest is reported, unless that is words and numbers.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,7 @@ ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # the runs of 32 and more are the runs that don't fail
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM_CHARS},}}")
+SIGNS = re.compile("[_/=+-]+")
 DIGEST = re.compile("(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile("[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 
@@ -49,10 +52,19 @@ class RandomStrings:
             return False
         if DIGEST.fullmatch(run) or UUID.fullmatch(run):
             return False
-        if max(map(len, re.split("[_/=+-]+", run))) < MIN_PART_CHARS:
+        if max(map(len, SIGNS.split(run))) < MIN_PART_CHARS and self.is_plain(run):
             return False  # an identifier or a path
         return len(run) < self.ratio * len(self.encode(run))
 
+    def is_plain(self, run: str) -> bool:
+        """Whether at least half of the letters and digits are in words and plain numbers between the signs."""
+        parts = [p for p in SIGNS.split(run) if p]
+        return 2 * sum(len(p) for p in parts if self.is_word(p)) >= sum(map(len, parts))
+
+    def is_word(self, part: str) -> bool:
+        n = len(self.encode(part))
+        return part.isdigit() or part.isalpha() and n == 1 or len(part) >= self.ratio * n
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, place of the kind, end)`` of the three patterns, in order."""
@@ -68,13 +80,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, random: RandomStrings) -> list[tuple[int, int, int]]:
     found = base_spans(text)
-    base = list(found)
+    base, first = list(found), 0
+    reach = list(accumulate((b for _, _, b in base), max))  # the furthest end so far
     for run in RUN.finditer(text):
-        if random.is_random(run[0]) and not any(a < run.end() and run.start() < b for a, _, b in base):
-            found.append((run.start(), 3, run.end()))
+        while first < len(base) and reach[first] <= run.start():
+            first += 1
+        if random.is_random(run[0]):
+            found += rest_spans(text, run.start(), run.end(), base, first, random)
     return sorted(found)
 
 
+def rest_spans(text: str, at: int, end: int, base: list[tuple[int, int, int]], first: int, random: RandomStrings) -> list[tuple[int, int, int]]:
+    """A random run, or what spans of the patterns, of which those before ``first`` end before it, leave of it."""
+    pieces, start = [], at
+    for a, _, b in islice(base, first, None):
+        if a >= end:
+            break
+        if b > at:
+            pieces.append((at, a))
+            at = b
+    if not pieces:
+        return [(start, 3, end)]
+    found = []
+    for a, b in [*pieces, (at, end)]:
+        piece = text[a:b] if a < b else ""
+        rest = piece.strip("_/=+-")
+        if rest and not random.is_plain(rest):
+            a += piece.index(rest)
+            found.append((a, 3, a + len(rest)))
+    return found
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with every span, or run of overlapping spans, replaced by one mark."""
     parts, at = [], 0
