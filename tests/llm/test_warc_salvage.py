@@ -1,9 +1,12 @@
 import hashlib
 import io
 import random
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from wordloom.llm.catalog import op10
 from wordloom.llm.warc_salvage import list_archives, page_record, read_archives, record_bytes, revisits, salvage, write_archives
 
 
@@ -70,6 +73,31 @@ def test_header_values_stay_on_one_line():
     assert fields["warc-target-uri"] == "a%0D%0AX-Page-ID: 9%09b" and "x-page-id" not in fields
 
 
+def test_headers_of_any_length():
+    url = "data:text/html," + "x\t" * 100_000
+    long = page_record(1, url, b"body", hashlib.sha1(b"body").hexdigest(), None)
+    for data in (long + record(2, b"y"), zlib.decompress(long, 31) + zlib.decompress(record(2, b"y"), 31)):
+        assert pages_found(data) == [1, 2] and all(x[0] == "record" for x in salvage(io.BytesIO(data)))
+    cut = zlib.decompress(long, 31)[:150_000]
+    assert pages_found(cut + b"\r\n" + zlib.decompress(record(2, b"y"), 31)) == [2]
+
+
+def test_every_64_bit_id_comes_back(spark, tmp_path):
+    ids, long = [2**63 - 1, 10**18, -(2**63), 10**18 - 1, 0], "<p>a</p>" * 200
+    pages = spark.createDataFrame([(i, "u" * 70_000, long) for i in ids], "page_id long, url string, html string")
+    archives = write_archives(revisits(pages), str(tmp_path / "warc"))
+    found = read_archives(archives).collect()
+    assert sorted((r.page_id, r.refers_to, r.gap) for r in found) == sorted((i, None if i == 2**63 - 1 else 2**63 - 1, None) for i in ids)
+    assert {r.url for r in found} == {"u" * 70_000}
+
+
+def test_a_gap_in_archives_of_its_own_ends_the_query(spark, monkeypatch):
+    cut = lambda rows, folder: write_archives(rows.withColumn("digest", F.lit("0" * 40)), folder)
+    monkeypatch.setattr(op10, "write_archives", cut)
+    with pytest.raises(Exception, match="payload digest differs"):
+        op10.op10_warc_salvage(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_jobs(spark, tmp_path):
     long = "<p>é</p>" * 200
     rows = [(1, "u", long), (3, "u", long), (3, "u", long), (2, None, long), (None, "n", long), (4, "s", "short"), (5, "s", "short"), (6, None, None), (7, "", "")]

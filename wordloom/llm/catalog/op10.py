@@ -1,6 +1,7 @@
 """All pages as WARC archives, read back."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.llm.common import read_table
 from wordloom.llm.warc_salvage import read_archives, revisits, write_archives
@@ -11,7 +12,9 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = revisits(read_table(spark, sf_dir, "pages"))
     archives = stage(write_archives(rows, staged_path(spark, "warc")), "warc-list")
     spread = archives.repartition(max(1, archives.count()), "path")
-    found = read_archives(spread, with_payload=False).where("gap is null")
+    # Nothing may be lost in archives of its own: a gap ends the query.
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", "start", "stop", "gap")).cast("boolean")
+    found = read_archives(spread, with_payload=False).where(F.when(F.col("gap").isNull(), True).otherwise(lost))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -26,7 +26,7 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a task begins another archive
 READ_BYTES = 1 << 20
 FED_BYTES = 16 << 10
-MAX_HEADER_BYTES = 64 << 10
+MAX_LONG = (1 << 63) - 1
 
 # Signs and fields of the WARC 1.1 and gzip formats.
 VERSION = b"WARC/1.1"
@@ -72,7 +72,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     """Fields (lower-case names), block, and length of the record that begins ``raw``."""
     if not VERSION_LINE.match(raw):
         raise Damaged("no version line")
-    end = raw.find(b"\r\n\r\n", 0, MAX_HEADER_BYTES)
+    end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header does not end")
     fields = {}
@@ -137,15 +137,29 @@ def member_at(window: Window) -> tuple[bytes, int]:
     return b"".join(parts), used
 
 
+def header_length(window: Window) -> int:
+    """Length of the header at the window's place, however long it is, up to its empty line."""
+    at = 0
+    while True:
+        stop = window.data.find(b"\r\n", window.pos + at) - window.pos
+        if stop < 0:
+            if not window.more():
+                raise Damaged("header does not end")
+        elif stop == at:
+            return at - 2
+        elif at and window.data.find(b":", window.pos + at, window.pos + stop) < 0:
+            raise Damaged("header line without a colon")
+        else:
+            at = stop + 2
+
+
 def plain_at(window: Window) -> tuple[tuple[dict, bytes], int]:
     """A record that is not compressed."""
     while window.left < 10 and window.more():
         pass
     if not VERSION_LINE.match(window.data, window.pos):
         raise Damaged("no version line")
-    while (end := window.data.find(b"\r\n\r\n", window.pos, window.pos + MAX_HEADER_BYTES)) < 0 and window.left < MAX_HEADER_BYTES and window.more():
-        pass
-    head = window.data[window.pos : max(end, window.pos)]
+    head = window.data[window.pos : window.pos + header_length(window)]
     found = re.search(rb"(?i)\r\ncontent-length[ \t]*:[ \t]*(\d{1,15})[ \t]*(?:\r\n|$)", head)
     need = len(head) + 8 + (int(found[1]) if found else 0)
     while window.left < need and window.more():
@@ -270,14 +284,17 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record or gap of the archives in column ``path``.
 
     ``gap`` is null for records, and the reason for byte ranges that are set aside. ``payload_bytes`` and
-    ``payload_digest`` are those of the full payload, for revisits too. Fields that a record lacks are null.
+    ``payload_digest`` are those of the full payload, for revisits too. Fields that a record lacks are null; numbers
+    are any of 64 bits. A header has no greatest length: it is held in memory as the payload is.
     An archive is read by one task, record by record; ``path`` rows are dealt out over all tasks.
     """
     names = [x.split()[0] for x in READ_TYPES.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def number(value: str | None) -> int | None:
-        return int(value) if value and re.fullmatch(r"-?\d{1,18}", value) else None
+        if not value or not re.fullmatch(r"-?0*[0-9]{1,19}", value) or len(value) > 1000:
+            return None
+        return found if -MAX_LONG - 1 <= (found := int(value)) <= MAX_LONG else None
 
     def row(path: str, found: tuple) -> tuple:
         kind, start, stop, fields, block = found
