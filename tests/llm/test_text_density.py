@@ -37,6 +37,20 @@ def test_article_without_semantic_elements():
     assert text_of(body) == "\n".join([LONG.strip()] * 3)
 
 
+@pytest.mark.parametrize("wrapper", ["form id=aspnetForm", "div class='sidebar-right'", "div id=page class='menu-open'", "div role=form"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_a_wrapper_of_the_whole_page_is_no_frame(wrapper, inner):
+    content = f"<{inner}><p>{LONG}</p><p>{LONG}</p></{inner}>"
+    around = "<nav><a href=/>Home</a></nav><div class=sidebar><p>Side notes</p></div>"
+    assert text_of(f"<{wrapper}>{around}{content}<div class=comments><p>{LONG}</p></div></{wrapper.split()[0]}>") == "\n".join([LONG.strip()] * 2)
+    assert text_of(f"<main><{wrapper}>{around}{content}</{wrapper.split()[0]}></main>") == "\n".join([LONG.strip()] * 2)
+
+
+def test_a_wrapper_in_a_wrapper_and_a_head_that_is_not_closed():
+    assert text_of(f"<form><div class=menu-open><div class=nav-layout><p>{LONG}</p></div><footer>foot</footer></div></form>") == LONG.strip()
+    assert main_text(f"<html><head><title>T</title><body><div><p>{LONG}</p></div>")[0] == LONG.strip()
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

@@ -8,6 +8,7 @@ threshold that other subtrees must reach to be taken as well.
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -28,9 +29,11 @@ BLOCK = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED_TAGS = frozenset(
-    "script style noscript template svg iframe object embed canvas audio video nav aside footer form button select "
-    "textarea input option dialog menu head title map xmp noembed noframes".split()
+    "script style noscript template svg iframe object embed canvas audio video button select textarea input option title "
+    "map xmp noembed noframes".split()
 )
+FRAME_TAGS = frozenset("nav aside footer form dialog menu head".split())
+FRAME_SHARE = 0.8  # of the text in a frame and outside all frames: a frame that holds more is the page's wrapper
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()
 )
@@ -74,29 +77,31 @@ def unwanted_name(value: str, exact: bool) -> bool:
     return False
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED_TAGS or tag == "header" and not in_article:
-        return True
+def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never seen as text, and whether its tag, name or role says that it is a frame around the article."""
+    if tag in DROPPED_TAGS:
+        return True, False
+    frame = tag in FRAME_TAGS or tag == "header" and not in_article
     if tag in ("html", "body", "main") or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, frame
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(values[0] or values[1] or values[2])
         if name in ("class", "id") and unwanted_name(value, exact=tag == "article"):
-            return True
+            frame = True
         if name == "role" and value.strip().lower() in DROPPED_ROLES:
-            return True
+            frame = True
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, frame
 
 
 class Page:
     """Nodes in page order, so that a node's subtree is a range of numbers, and the texts between them."""
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.dropped, self.ends = ["body"], [-1], [False], [0]
+        self.tags, self.parents, self.dropped, self.frame, self.ends = ["body"], [-1], [False], [False], [0]
         self.texts: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.void_tags: dict[int, int] = {}
         self.stack = [0]
@@ -122,6 +127,56 @@ class Page:
                     self.close(tag)
         while self.stack:
             self.ends[self.stack.pop()] = len(self.tags)
+        if any(self.frame):
+            self.open_wrappers()
+            for node in range(1, len(self.tags)):
+                self.dropped[node] = self.dropped[node] or self.frame[node] or self.dropped[self.parents[node]]
+            self.texts = [x for x in self.texts if not self.dropped[x[0]]]
+
+    def open_wrappers(self) -> None:
+        """Let the densities choose in frames that hold the page's article, or nearly all of its text without links.
+
+        A frame holds the page's article where no ``article`` or ``main`` with text stands outside all frames.
+        """
+        n = len(self.tags)
+        plain, bare = [0] * n, [0] * n  # characters outside links, of the subtree; and those in no further frame
+        linked, framed = [False] * n, [False] * n
+        for node in range(1, n):
+            up = self.parents[node]
+            linked[node] = linked[up] or self.tags[node] == "a"
+            framed[node] = framed[up] or self.frame[node]
+        for node, text in self.texts:
+            if text is not None and not linked[node]:
+                plain[node] += len(text) - text.count(" ") - text.count("\n")
+        bare = list(plain)
+        for node in range(n - 1, 0, -1):
+            plain[self.parents[node]] += plain[node]
+            bare[self.parents[node]] += 0 if self.frame[node] else bare[node]
+        articles = [i for i in range(1, n) if self.tags[i] in ("article", "main") and not self.frame[i] and bare[i]]
+        inner: dict[int, list[int]] = {}  # of each frame, the frames in it; 0 for the page
+        around = [0] * n
+        for node in range(1, n):
+            up = self.parents[node]
+            around[node] = up if self.frame[up] else around[up]
+            if self.frame[node]:
+                inner.setdefault(around[node], []).append(node)
+        holds = set()
+        if articles and all(framed[i] for i in articles):
+            node = around[max(articles, key=lambda i: (plain[i], -i))]
+            while node:
+                holds.add(node)
+                node = around[node]
+        outside = bare[0]
+        heap = [(i not in holds, -plain[i], i) for i in inner.get(0, ())]
+        heapq.heapify(heap)
+        while heap:
+            needed, _, node = heapq.heappop(heap)
+            if needed and (not plain[node] or plain[node] <= FRAME_SHARE * (plain[node] + outside)):
+                break  # the others hold less
+            self.frame[node] = False
+            outside += bare[node]
+            for i in inner.get(node, ()):
+                heapq.heappush(heap, (i not in holds, -plain[i], i))
 
     def text(self, raw: str) -> None:
         node = self.stack[-1]
@@ -147,10 +202,12 @@ class Page:
                 self.texts.append((parent, None))
             return
         in_article = any(self.tags[n] in ("article", "main") for n in self.stack)
-        drop = self.dropped[parent] or unwanted(tag, attributes, in_article)
+        gone, frame = unwanted(tag, attributes, in_article)
+        drop = self.dropped[parent] or gone
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(drop)
+        self.frame.append(frame and not drop)
         self.ends.append(0)
         if tag in BLOCK and not self.dropped[parent]:
             self.texts.append((parent, None))
