@@ -83,6 +83,34 @@ def test_large_and_dense_buckets_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
 
+def test_a_template_is_compared_in_bounded_buckets(spark, monkeypatch):
+    """Documents about 70% alike: they share pairs of blocks, but no link joins them."""
+    rng, rows, held = random.Random(3), [], []
+    template = [f"w{i}" for i in range(60)]
+    for i in range(60):
+        own = template + [f"own{rng.random()}" for _ in range(12)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: rng.choice([70, 71])]))][: 1 + (i % 5 == 0)]
+    compare = parity_join.pairs_apart
+
+    def seen(apart):
+        held.append(apart.groupBy("bucket").count().agg({"count": "max"}).first()[0] or 0)
+        return compare(apart)
+
+    monkeypatch.setattr(parity_join, "pairs_apart", seen)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), large_bucket=12)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    assert 2 <= max(held) <= 24  # parts are dealt by hash, so a cell may be somewhat above
+
+
+def test_any_two_rows_of_a_large_bucket_meet(spark):
+    rows = spark.range(50).selectExpr("7L bucket", "id cls", "id comp", "50L size")
+    cells = {}
+    for r in parity_join.dealt(rows, 10).collect():
+        cells.setdefault(r.bucket, set()).add(r.cls)
+    met = {(a, b) for x in cells.values() for a in x for b in x}
+    assert met == {(a, b) for a in range(50) for b in range(50)} and max(map(len, cells.values())) <= 20
+
+
 def test_linked_sets_share_blocks():
     rng = np.random.default_rng(5)
     pairs = 0

@@ -226,6 +226,17 @@ def still_apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(apart.select(F.col("bucket").alias("of"), "size"), F.col("bucket") == F.col("of")).drop("of")
 
 
+def dealt(rows: DataFrame, large_bucket: int) -> DataFrame:
+    """``bucket, cls, comp`` of large buckets with their ``size``, as cells: any two rows of a bucket meet in one of them.
+
+    A bucket's rows are dealt to parts by hash, and each two parts are a cell, so that no task holds a whole bucket.
+    """
+    parts = F.ceil(F.col("size") * 3 / large_bucket).cast("int")
+    own = rows.withColumn("part", F.pmod(F.xxhash64("cls", "bucket"), parts).cast("int"))
+    met = own.select("bucket", "cls", "comp", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).where("part <> other")
+    return met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "cls", "comp")
+
+
 def by_id(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Join by id: with a broadcast of the ids when they are few as counted, else by a shuffle."""
     few = ids.count() <= BROADCAST_IDS
@@ -262,8 +273,10 @@ def near_duplicates(
         if first:
             large = apart.where(F.col("size") > large_bucket)
             if not large.isEmpty():
-                again = still_apart(shared_buckets(refined(large, class_texts(rows, classes, large.select("cls")))), found)
-                apart = stage(apart.where(F.col("size") <= large_bucket).unionByName(again), "apart")
+                again = stage(still_apart(shared_buckets(refined(large, class_texts(rows, classes, large.select("cls")))), found), "refined")
+                small = apart.unionByName(again).where(F.col("size") <= large_bucket).select("bucket", "cls", "comp")
+                # Two whole blocks is all that linked sets surely share, so a third would lose links.
+                apart = stage(small.unionByName(dealt(again.where(F.col("size") > large_bucket), large_bucket)), "apart")
             first = False
         tried = stage(pairs_apart(with_class(apart.select("bucket", "cls", "comp"), classes, "cls", "")), "tried")
         more = stage(tried.where("not left").select("a", "b").distinct(), "pairs")
