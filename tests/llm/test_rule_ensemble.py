@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.catalog.op06 import op6_rule_ensemble
 from wordloom.llm.common import keyed_text, read_table
-from wordloom.llm.rule_ensemble import FEATURES, Rule, fit_lasso, fit_rules, in_training, keep_good, score_quality, train_quality_rules, with_statistics
+from wordloom.llm.rule_ensemble import FEATURES, Rule, fit_lasso, fit_rules, in_training, keep_good, score_quality, smallest_leaf, train_quality_rules, with_statistics
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -29,6 +29,15 @@ def test_held_out_labels(spark):
     assert scored.where("predicted <> cast(score >= 0.3 as int)").count() == 0
 
 
+def test_few_labels_give_rules_too(spark):
+    labels = read_table(spark, "/root/testdata/sf0.001", "labels").select("doc_id", "quality")
+    rows = op6_rule_ensemble(spark, "/root/testdata/sf0.001").join(labels, "doc_id").toPandas()
+    held = rows[rows.held_out]
+    assert auc(rows.quality.to_numpy(), rows.score.to_numpy()) > 0.9
+    assert auc(held.quality.to_numpy(), held.score.to_numpy()) > 0.9
+    assert [smallest_leaf(np.array([1] * n + [0] * 900, float)) for n in (1, 8, 100, 500)] == [2, 2, 10, 20]
+
+
 def test_the_model_is_sparse_and_its_column_is_the_model(spark, model):
     assert 0 < len(model.rules) < 80 and all(1 <= len(r.parts) <= 3 for r in model.rules)
     rows = with_statistics(keyed_text(read_table(spark, SF_DIR, "documents"), "doc_id", "text"))

@@ -17,6 +17,7 @@ from wordloom.llm.common import keyed_text, made_once, pick, whole_rows
 
 SAMPLE_ROWS = 20_000  # bound of the labelled sample that the driver fits on
 N_TREES, DEPTH, MIN_LEAF, N_CUTS = 40, 3, 20, 32
+LEAF_SHARE, LEAST_LEAF = 0.1, 2  # a leaf holds this share of the rarer label, within LEAST_LEAF and MIN_LEAF rows
 PENALTY, STEPS = 0.004, 400
 SEED = 7
 
@@ -187,13 +188,19 @@ def fit_lasso(held: np.ndarray, labels: np.ndarray, penalty: float = PENALTY, st
     return float(intercept), weights
 
 
+def smallest_leaf(labels: np.ndarray) -> int:
+    """Rows that a leaf needs: few where one label is rare, so that a small sample has rules too."""
+    rarer = min(labels.sum(), len(labels) - labels.sum())
+    return int(min(MIN_LEAF, max(LEAST_LEAF, LEAF_SHARE * rarer)))
+
+
 def fit_rules(values: np.ndarray, labels: np.ndarray) -> RuleModel:
     """A model of 0/1 labels. Without rows, or with one label only, it has no rules."""
     n, good = len(labels), float(labels.sum()) if len(labels) else 0.0
     plain = RuleModel(float(np.log((good + 1) / (n - good + 1))), (), ())
     if not 0 < good < n:
         return plain
-    rules = grow_rules(values, labels)
+    rules = grow_rules(values, labels, min_leaf=smallest_leaf(labels))
     if not rules:
         return plain
     held = np.column_stack([r.holds(values) for r in rules]).astype(float)
