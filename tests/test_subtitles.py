@@ -149,17 +149,12 @@ def test_capitalise(spark):
     assert got == ["Online-shop", "SStraße", "Élan", "X"]
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_remove_words_keeps_order_case_and_repeats(spark, limit, monkeypatch):
-    import wordloom.operators.lookups as lookups
-
-    if not limit:
-        monkeypatch.setattr(lookups.drop_listed, "__defaults__", (0,))
-        monkeypatch.setattr(lookups.lookup_join, "__defaults__", (2,))
+@pytest.mark.parametrize("limits", [{"broadcast_bytes": 0, "hot_rows": 2}, {}])
+def test_remove_words_keeps_order_case_and_repeats(spark, limits):
     words = ["The", "cat", "THE", "Cat", "cat", "dog", "Dog", None, "cat"]
     df = spark.createDataFrame(list(enumerate(words)), "pos INT, word STRING")
     known = spark.createDataFrame([("CAT",), ("Bird",), (None,)], "w STRING")
-    rows = remove_words(df, known).orderBy("pos").collect()
+    rows = remove_words(df, known, **limits).orderBy("pos").collect()
     assert [(r.pos, r.word) for r in rows] == [
         (at, w) for at, w in enumerate(words) if (w or "").lower() != "cat"
     ]

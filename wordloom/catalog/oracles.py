@@ -484,8 +484,8 @@ SELECT 'similar_word', a.source, NULL, count(*)
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents WHERE doc_id % 10 = 8) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents WHERE doc_id % 10 = 8) b
     ON a.source = b.source AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 50
-WHERE CASE WHEN levenshtein(a.lang, b.lang) <= 1 THEN true WHEN abs(strlen(a.text) - strlen(b.text)) > 4 THEN false
-    ELSE levenshtein(lower(a.text), lower(b.text)) <= 1 END
+WHERE CASE WHEN levenshtein(a.lang, b.lang) <= 3 THEN true WHEN abs(length(a.text) - length(b.text)) > 3 THEN false
+    ELSE levenshtein(lower(a.text), lower(b.text)) <= 3 END
 GROUP BY a.source""",
     "category_check": """
 WITH labelled AS (

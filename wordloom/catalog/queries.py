@@ -24,6 +24,7 @@ from wordloom.operators.packing import chunk_rows, pack_words, valid_word_lists
 from wordloom.operators.paging import find_one, page, page_after
 from wordloom.operators.requests import batch_sizes, build_requests, oversized_batches
 from wordloom.operators.results import (
+    entry_rows,
     error_rows,
     parse_lines,
     quarantine_rows,
@@ -221,7 +222,7 @@ def result_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "route",
         "custom_id",
         "reason",
-        F.md5(F.coalesce(F.get("entries", F.lit(0))["word"], told)).alias("told"),
+        F.md5(F.coalesce(F.try_variant_get("response", "$[0].word", "string"), told)).alias("told"),
     )
 
 
@@ -237,7 +238,8 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = inputs.part_result_lines(spark, sf_dir)
-    entries = word_entries(stage(route_results(parse_lines(lines)), "routed"))
+    routed = stage(route_results(parse_lines(lines)), "routed")
+    entries = word_entries(routed, stage(entry_rows(routed), "entry-rows"))
     return entries.withColumn("translations", F.to_json("translations"))
 
 
@@ -256,7 +258,8 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     documents.write.partitionBy("source", "file_no").text(folder)
     read = stage(read_result_documents(spark, folder), "documents")
-    entries = word_entries(stage(route_results(document_rows(read, "results")), "routed"))
+    routed = stage(route_results(document_rows(read, "results")), "routed")
+    entries = word_entries(routed, stage(entry_rows(routed), "entry-rows"))
     errors = route_errors(document_rows(read, "errors"))
     rows = entries.select("pos", "word", F.to_json("translations").alias("translations")).unionByName(
         errors.select(F.col("line_id").alias("pos"), F.col("custom_id").alias("word"), F.col("error").alias("translations"))
@@ -423,7 +426,7 @@ def language_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What storing the document results leaves in the tables, per source batch."""
     root = staged_path(spark, "dictionary")
-    ingest_results(inputs.document_result_lines(spark, sf_dir), root, distance=1)
+    ingest_results(inputs.document_result_lines(spark, sf_dir), root)
 
     def stored(name: str, kind: str) -> DataFrame:
         return read_table(spark, root, name).groupBy(

@@ -31,23 +31,22 @@ def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def text_lists(value: Column, told: Column) -> Column:
-    """An object of lists of texts as a map, its keys in the order of ``told``; NULL for no object.
-
-    One text counts as a list of it, null as an empty list. What is neither is NULL in the map.
-    """
-    values = F.try_variant_get(value, "$", "map<string,variant>")
+def keys_in_order(values: Column, told: Column) -> Column:
+    """The keys of a map that a VARIANT gave, in the order in which the text tells them."""
     known = F.map_keys(values)
-    keys = F.array_union(F.array_intersect(F.coalesce(told, F.array().cast("array<string>")), known), known)
-
-    def read(key: Column) -> Column:
-        item = F.get(F.map_values(F.map_filter(values, lambda name, _: name == key)), F.lit(0))
-        kind = F.schema_of_variant(item)
-        none = F.array().cast("array<string>")
-        return (
-            F.when(F.coalesce(kind == "VOID", F.lit(True)), none)
-            .when(kind == "STRING", F.array(item.cast("string")))
-            .when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(item, "$", "array<string>"))
-        )
-
-    return F.map_from_arrays(keys, F.transform(keys, read))
+    return F.array_union(F.array_intersect(F.coalesce(told, F.array().cast("array<string>")), known), known)
+
+
+def text_list(item: Column, kind: Column) -> Column:
+    """A VARIANT of this kind as a list of texts: one text is a list of it, null an empty list, other things are NULL."""
+    return (
+        F.when(F.coalesce(kind == "VOID", F.lit(True)), F.array().cast("array<string>"))
+        .when(kind == "STRING", F.array(item.cast("string")))
+        .when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(item, "$", "array<string>"))
+    )
+
+
+def text_lists(values: Column, keys: Column) -> Column:
+    """A map of VARIANTs as a map of lists of texts, its keys in the given order; what is no list of texts is NULL in it."""
+    kinds = F.transform(keys, lambda key: F.struct(values[key].alias("item"), F.schema_of_variant(values[key]).alias("kind")))
+    return F.map_from_arrays(keys, F.transform(kinds, lambda each: text_list(each["item"], each["kind"])))

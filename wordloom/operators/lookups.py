@@ -69,7 +69,11 @@ def lookup_join(
 
 
 def drop_listed(
-    rows: DataFrame, key: Column, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    rows: DataFrame,
+    key: Column,
+    listed: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows whose ``key`` is not in the one column of ``listed``.
 
@@ -83,7 +87,7 @@ def drop_listed(
     if measured_bytes(listed) <= broadcast_bytes:
         return keyed.join(F.broadcast(listed), "_key", "left_anti").drop("_key")
     counts = stage(key_counts(keyed, ["_key"]), "key-counts")
-    return lookup_join(keyed, listed, ["_key"], "left_anti", counts).drop("_key")
+    return lookup_join(keyed, listed, ["_key"], "left_anti", counts, hot_rows, broadcast_bytes).drop("_key")
 
 
 def largest_id(df: DataFrame, id_name: str = "id") -> int:

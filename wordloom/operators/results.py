@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.json import is_truthy, kind_of, strict_json, text_lists
+from wordloom.functions.json import is_truthy, keys_in_order, kind_of, strict_json, text_lists
 from wordloom.functions.text import strip_white
 from wordloom.operators.ordering import dense_positions
-from wordloom.schemas import ENTRIES
 from wordloom.session import REPEATED_MEMBERS
 
 
@@ -25,34 +24,6 @@ def _field(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _entries(content: Column, payload: Column) -> Column:
-    """The list of word entries in an answer, each read by itself.
-
-    The VARIANT gives the values, the text the order of the keys. A translation list may be missing,
-    or be one string. An entry that is no object with a text as its word and lists of texts as its
-    translations has a reason and its JSON text instead.
-    """
-    texts = F.from_json(content, "response ARRAY<STRING>")["response"]
-
-    def one(text: Column, value: Column) -> Column:
-        word, listed = _field(value, "$.word"), _field(value, "$.translations")
-        told = F.json_object_keys(F.get_json_object(text, "$.translations"))
-        lists = text_lists(listed, told)
-        plain = F.coalesce(kind_of(word) == "STRING", F.lit(False))
-        absent = F.coalesce(kind_of(listed) == "VOID", F.lit(True))
-        readable = plain & (absent | F.coalesce(F.forall(F.map_values(lists), lambda x: x.isNotNull()), F.lit(False)))
-        missing = F.coalesce(kind_of(word) == "VOID", F.lit(True)) & F.coalesce(kind_of(value).startswith("OBJECT"), F.lit(False))
-        reason = F.when(readable, None).when(missing, "no word").otherwise("mistyped entry")
-        return F.struct(
-            F.when(readable, word.cast("string")).alias("word"),
-            F.when(readable & ~absent, lists).alias("translations"),
-            reason.alias("reason"),
-            F.when(~readable, F.coalesce(text, F.lit("null"))).alias("raw"),
-        )
-
-    return F.zip_with(texts, _field(payload, "$.response", "array<variant>"), one)
-
-
 def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
     """Give every parsed result a ``route``: word, error, refusal or quarantine.
 
@@ -60,8 +31,9 @@ def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
     ``null`` is dropped. The error is looked at before the refusal, and only the first choice.
     A result without choices, text or list of entries goes to quarantine with the reason.
 
-    Output: ``source, block, line_id, route, custom_id, error`` (JSON text), ``entries``,
-    ``stage, reason, raw``.
+    Output: ``source, block, line_id, route, custom_id, error`` (JSON text), ``content`` and
+    ``response`` (the answer as text and its list of entries as VARIANT, of words only), ``stage, reason, raw``.
+    :func:`entry_rows` reads the entries.
     """
     value = F.col("value")
     line = F.col("line") if "line" in parsed.columns else F.to_json(value)
@@ -88,19 +60,18 @@ def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
     )
     answered = F.col("kind") == "word"
     payload = F.when(answered, strict_json(F.col("content")))
-    is_list = kind_of(_field(F.col("payload"), "$.response")).startswith("ARRAY")
-    entries = F.when(is_list, _entries(F.col("content"), F.col("payload"))).cast(ENTRIES)
+    response = _field(F.col("payload"), "$.response")
     reason = F.when(F.col("value").isNull(), "malformed line").when(
         answered,
         F.when(F.col("message").isNull(), "no message")
         .when(F.col("content").isNull(), "no content")
         .when(F.col("payload").isNull(), "malformed content")
-        .when(F.col("entries").isNull(), "no list of entries"),
+        .when(~F.coalesce(kind_of(F.col("response")).startswith("ARRAY"), F.lit(False)), "no list of entries"),
     )
     judged = (
         fields.withColumn("kind", kind)
         .withColumn("payload", payload)
-        .withColumn("entries", entries)
+        .withColumn("response", response)
         .withColumn("reason", reason)
     )
     set_aside = F.col("reason").isNotNull()
@@ -115,7 +86,8 @@ def route_results(parsed: DataFrame, stage: str = "result") -> DataFrame:
         F.when(set_aside, "quarantine").otherwise(F.col("kind")).alias("route"),
         "custom_id",
         F.to_json(told).alias("error"),
-        "entries",
+        F.when(answered & ~set_aside, F.col("content")).alias("content"),
+        F.when(answered & ~set_aside, F.col("response")).alias("response"),
         F.when(bad_content, "content").otherwise(F.lit(stage)).alias("stage"),
         "reason",
         F.when(set_aside, F.when(bad_content, F.col("content")).otherwise(F.col("raw")))
@@ -136,32 +108,64 @@ def route_errors(parsed: DataFrame) -> DataFrame:
         F.when(bad, "quarantine").otherwise("error").alias("route"),
         _field(value, "$.custom_id", "string").alias("custom_id"),
         F.to_json(value).alias("error"),
-        F.lit(None).cast(ENTRIES).alias("entries"),
+        F.lit(None).cast("string").alias("content"),
+        F.try_parse_json(F.lit(None).cast("string")).alias("response"),
         F.lit("error file").alias("stage"),
         F.when(bad, "malformed line").alias("reason"),
         F.when(bad, line).alias("raw"),
     )
 
 
-def word_entries(routed: DataFrame) -> DataFrame:
-    """Word entries in result order, then list order, with a dense ``pos`` per source.
+def entry_rows(routed: DataFrame) -> DataFrame:
+    """The entries of word lines, a row each: ``source, block, line_id, item, word, translations, reason, raw``.
 
-    Columns: ``source_batch, pos, word, translations``. ``routed`` must be staged: it is read
-    twice, and file blocks bound the rows that are numbered together.
+    The VARIANT gives the values, the text the order of the keys. A translation list may be missing, or be one
+    string. An entry that is no object with a text as its word and lists of texts as its translations has a reason
+    and its JSON text instead. Every step is a column of its own, so nothing is read twice for an entry.
     """
-    exploded = (
-        routed.filter(F.col("route") == "word")
-        .select("source", "block", "line_id", F.posexplode("entries").alias("item", "entry"))
-        .filter(F.col("entry.reason").isNull())
-    )
-    numbered = dense_positions(
-        exploded, ["line_id", "item"], ["source"], name="pos", chunk=F.col("block")
+    texts = F.from_json("content", "response ARRAY<STRING>")["response"]
+    listed = F.arrays_zip(texts.alias("text"), _field(F.col("response"), "$", "array<variant>").alias("value"))
+    place = ["source", "block", "line_id", "item"]
+    exploded = routed.filter(F.col("route") == "word").select("source", "block", "line_id", F.posexplode(listed).alias("item", "entry"))
+    value = F.col("entry.value")
+    read = exploded.select(
+        *place,
+        F.col("entry.text").alias("text"),
+        kind_of(value).alias("kind"),
+        _field(value, "$.word").alias("word"),
+        kind_of(_field(value, "$.word")).alias("word_kind"),
+        kind_of(_field(value, "$.translations")).alias("listed_kind"),
+        _field(value, "$.translations", "map<string,variant>").alias("values"),
+        F.json_object_keys(F.get_json_object("entry.text", "$.translations")).alias("told"),
     )
-    return numbered.select(
-        F.col("source").alias("source_batch"), "pos", "entry.word", "entry.translations"
+    keyed = read.select("*", keys_in_order(F.col("values"), F.col("told")).alias("keys"))
+    lists = keyed.select("*", text_lists(F.col("values"), F.col("keys")).alias("lists"))
+    absent = F.coalesce(F.col("listed_kind") == "VOID", F.lit(True))
+    whole = F.coalesce(F.forall(F.map_values("lists"), lambda x: x.isNotNull()), F.lit(False))
+    missing = F.coalesce(F.col("word_kind") == "VOID", F.lit(True)) & F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
+    readable = F.coalesce(F.col("word_kind") == "STRING", F.lit(False)) & (absent | whole)
+    judged = lists.select("*", absent.alias("absent"), F.when(readable, None).when(missing, "no word").otherwise("mistyped entry").alias("reason"))
+    good = F.col("reason").isNull()
+    return judged.select(
+        *place,
+        F.when(good, F.col("word").cast("string")).alias("word"),
+        F.when(good & ~F.col("absent"), F.col("lists")).alias("translations"),
+        "reason",
+        F.when(~good, F.coalesce("text", F.lit("null"))).alias("raw"),
     )
 
 
+def word_entries(routed: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Word entries in result order, then list order, with a dense ``pos`` per source.
+
+    Columns: ``source_batch, pos, word, translations``. ``routed`` must be staged, or ``entries`` (:func:`entry_rows`)
+    given as staged: they are read twice, and file blocks bound the rows that are numbered together.
+    """
+    read = (entry_rows(routed) if entries is None else entries).filter(F.col("reason").isNull())
+    numbered = dense_positions(read, ["line_id", "item"], ["source"], name="pos", chunk=F.col("block"))
+    return numbered.select(F.col("source").alias("source_batch"), "pos", "word", "translations")
+
+
 def error_rows(routed: DataFrame) -> DataFrame:
     """``source_batch, custom_id, type, error`` of errors and refusals."""
     return routed.filter(F.col("route").isin("error", "refusal")).select(
@@ -169,23 +173,9 @@ def error_rows(routed: DataFrame) -> DataFrame:
     )
 
 
-def quarantine_rows(routed: DataFrame) -> DataFrame:
+def quarantine_rows(routed: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """``source_batch, stage, reason, line`` of what could not be used, white space stripped."""
-    lines = routed.filter(F.col("route") == "quarantine").select(
-        F.col("source").alias("source_batch"),
-        "stage",
-        "reason",
-        strip_white(F.col("raw")).alias("line"),
-    )
-    unread = (
-        routed.filter(F.col("route") == "word")
-        .select("source", F.explode("entries").alias("entry"))
-        .filter(F.col("entry.reason").isNotNull())
-        .select(
-            F.col("source").alias("source_batch"),
-            F.lit("entry").alias("stage"),
-            "entry.reason",
-            strip_white(F.col("entry.raw")).alias("line"),
-        )
-    )
-    return lines.unionByName(unread)
+    lines = routed.filter(F.col("route") == "quarantine").select("source", "stage", "reason", "raw")
+    unread = (entry_rows(routed) if entries is None else entries).filter(F.col("reason").isNotNull())
+    both = lines.unionByName(unread.select("source", F.lit("entry").alias("stage"), "reason", "raw"))
+    return both.select(F.col("source").alias("source_batch"), "stage", "reason", strip_white(F.col("raw")).alias("line"))

@@ -79,7 +79,7 @@ def corpus_words(
     return distinct_words(words, [*order, "rank"], scope, "word")
 
 
-def remove_words(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:
-    """Drop the words in the one column of ``known``, ignoring case on both sides."""
+def remove_words(words: DataFrame, known: DataFrame, word: str = "word", **limits: int) -> DataFrame:
+    """Drop the words in the one column of ``known``, ignoring case on both sides; ``limits`` as in ``drop_listed``."""
     name = known.columns[0]
-    return drop_listed(words, F.lower(F.col(word)), known.select(F.lower(name).alias(name)))
+    return drop_listed(words, F.lower(F.col(word)), known.select(F.lower(name).alias(name)), **limits)

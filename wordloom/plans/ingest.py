@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.words import known_category
 from wordloom.operators.enrich import process_words
 from wordloom.operators.results import (
+    entry_rows,
     error_rows,
     parse_lines,
     quarantine_rows,
@@ -60,8 +61,9 @@ def result_words(
         raise ValueError("unknown_categories must be 'raise' or 'quarantine'")
     # Parsed once; the words, errors and set-aside rows below read this table.
     routed = stage(route_results(_parsed(lines)), "routed")
-    processed = process_words(stage(word_entries(routed), "entries"), distance, neighbours)
-    aside = quarantine_rows(routed)
+    entries = stage(entry_rows(routed), "entry-rows")
+    processed = process_words(stage(word_entries(routed, entries), "entries"), distance, neighbours)
+    aside = quarantine_rows(routed, entries)
     if unknown_categories == "quarantine":
         processed = stage(processed, "processed")
         usable = F.forall(F.map_keys("translations"), known_category)

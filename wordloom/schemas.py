@@ -55,8 +55,6 @@ LIFECYCLE = (
 
 TRANSLATIONS = "MAP<STRING, ARRAY<STRING>>"
 PAYLOAD = f"response ARRAY<STRUCT<word: STRING, translations: {TRANSLATIONS}>>"
-# Entries as they are read: those that can't be used have a reason and their JSON text.
-ENTRIES = f"ARRAY<STRUCT<word: STRING, translations: {TRANSLATIONS}, reason: STRING, raw: STRING>>"
 PROCESSED_WORD = (
     f"source_batch STRING, pos BIGINT, word STRING, translations {TRANSLATIONS}, "
     "similar_words ARRAY<STRING>, grammar_categories ARRAY<STRING>"
