@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.words import filled_categories, require_category
 from wordloom.operators.checks import split_by_category
-from wordloom.operators.enrich import drop_untranslated, process_words
+from wordloom.operators.enrich import _alike, _sketched, drop_untranslated, process_words
 from wordloom.schemas import TRANSLATIONS
 
 def entry_frame(spark, rows):
@@ -146,15 +146,28 @@ def test_mid_sized_input(spark):
     assert [(r.pos, r.word, r.similar_words) for r in rows] == by_hand(words, 3, 50)
 
 
-def test_join_is_by_cell(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = process_words(entries(spark, ("ab", {"noun": ["x"]})))
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "SortMergeJoin" in plan
+def test_cells_are_gathered_once(spark):
+    plan = process_words(entries(spark, ("ab", {"noun": ["x"]})))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_sketches_lose_no_pair(spark):
+    rng = random.Random(9)
+
+    def edited(word, times):
+        for _ in range(times):
+            at = rng.randint(0, len(word))
+            word = rng.choice([word[:at] + rng.choice("aé😀Z") + word[at:], word[:at] + word[at + 1 :], word[:at] + rng.choice("bß𝔸y") + word[at + 1 :]])
+        return word
+
+    pairs = []
+    for n in range(400):
+        word = "".join(rng.choice("abcÄß😀𝔸") for _ in range(rng.randint(0, 9)))
+        pairs.append((word, edited(word, n % 5), n % 5))
+    df = spark.createDataFrame(pairs, "l STRING, r STRING, n INT")
+    for distance in range(5):
+        alike = _alike(_sketched(F.col("l")), _sketched(F.col("r")), distance)
+        assert df.filter(F.col("n") <= distance).filter(~alike).count() == 0
 
 
 def test_negative_limits_are_refused(spark):

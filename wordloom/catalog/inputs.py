@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, dealt out evenly: the work per text is large, and files may hold few row groups."""
+    """A table whose rows take much work each, dealt out evenly: files may hold few row groups."""
     texts = table(spark, sf_dir, name)
     return texts.repartition(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()))
 
@@ -154,7 +154,7 @@ def part_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return text_table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("source"),
         F.expr(f"p_partkey div {KEYS_PER_PIECE}").alias("block"),
         key.alias("line_id"),

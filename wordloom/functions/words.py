@@ -47,13 +47,6 @@ def within_distance(left: Column, right: Column, distance: int) -> Column:
     return F.levenshtein(left, right, distance) != -1
 
 
-def any_within_distance(left: Column, right: Column, distance: int) -> Column:
-    """True when some pair of the two lists is within ``distance``."""
-    return F.exists(
-        left, lambda one: F.exists(right, lambda other: within_distance(one, other, distance))
-    )
-
-
 def known_category(label: Column) -> Column:
     return label.isin(*GRAMMAR_TYPES)
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.words import (
     all_translations,
-    any_within_distance,
     filled_categories,
     is_translated,
     within_distance,
 )
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 
-# Width of a cell of the neighbour join: this many frames, and at least so many places.
+# Width of a cell of neighbours: this many frames, and at least so many places.
 CELL_FRAMES = 2
 LEAST_CELL = 8
 
@@ -24,104 +23,107 @@ def drop_untranslated(entries: DataFrame) -> DataFrame:
     return entries.filter(is_translated(F.col("word"), F.col("translations")))
 
 
-def similar_pairs(
+def _sketched(text: Column) -> Column:
+    """A text in lower case, and a bit for each letter that it holds an odd number of times.
+
+    An edit turns over two bits at most, so texts within a distance differ in at most twice as many bits.
+    """
+    lower = F.lower(text)
+    letters = F.split(lower, "")
+    bits = F.aggregate(letters, F.lit(0).cast("long"), lambda total, each: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(each) % 64)))
+    return F.struct(lower.alias("text"), bits.alias("bits"))
+
+
+def _alike(left: Column, right: Column, distance: int) -> Column:
+    """Whether two sketched texts are within ``distance``; most pairs end at the bits."""
+    near = F.bit_count(left["bits"].bitwiseXOR(right["bits"])) <= 2 * distance
+    return near & within_distance(left["text"], right["text"], distance)
+
+
+def process_words(
     entries: DataFrame,
     distance: int = DEFAULT_DISTANCE,
     neighbours: int = DEFAULT_NEIGHBOURS,
     sequence: str = "source_batch",
     pos: str = "pos",
 ) -> DataFrame:
-    """For each translated entry, the similar entries at most ``neighbours`` places away.
+    """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
 
-    Columns: ``sequence``, ``pos``, ``other_pos``, ``other_word``. ``pos`` must be dense over
-    all entries, the untranslated ones included: those are found but do not look.
+    Similar words are those at most ``neighbours`` places away that are alike by spelling or by a translation. They come
+    in the order of their places, repeats included. ``(sequence, pos)`` is unique and ``pos`` dense over all entries, the
+    untranslated ones included: those are found but do not look.
 
-    Likeness goes both ways, so each pair is compared once. Sequences are cut into cells a few
-    times ``neighbours`` wide. An entry meets the later entries of its cell; those at the start
-    of a cell are copied to the cell before, too. So a join key covers little more than a cell,
-    however long the sequence, and few rows are shuffled twice.
+    Sequences are cut into cells a few times ``neighbours`` wide. Entries near the edges of a cell are copied to the
+    cells beside it, so each cell is gathered once with all that its own entries can see: one exchange, and no join back.
+    A group holds a cell and its edges, however long the sequence.
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
+    width = max(CELL_FRAMES * neighbours, LEAST_CELL)
+    at = F.col(pos).cast("bigint")
     listed = entries.select(
         F.col(sequence).alias("sequence"),
-        F.col(pos).cast("bigint").alias("at"),
-        "word",
+        at.alias("at"),
+        F.col("word").alias("word"),
         all_translations(F.col("translations")).alias("listed"),
+        F.struct(*(F.col(name) for name in entries.columns)).alias("row"),
     )
     spelled = listed.select(
         "sequence",
         "at",
         "word",
-        F.lower("word").alias("lower"),
-        F.transform("listed", F.lower).alias("meanings"),
-        F.exists("listed", lambda each: each != F.col("word")).alias("looks"),
+        "row",
+        _sketched(F.col("word")).alias("spelled"),
+        F.transform("listed", _sketched).alias("meanings"),
+        F.coalesce(F.exists("listed", lambda each: each != F.col("word")), F.lit(False)).alias("looks"),
     )
-    width = max(CELL_FRAMES * neighbours, LEAST_CELL)
-    cell = F.expr(f"at div {width}")
-    at_start = F.pmod("at", F.lit(width)) < neighbours
-    cells = F.when(at_start, F.array(cell, cell - 1)).otherwise(F.array(cell))
-    # Joined by one number, which sorts fast; the condition below tells apart what hashes alike.
-    left = spelled.withColumn("cell", cell)
-    right = spelled.select("*", F.explode(cells).alias("cell"))
-    key = F.xxhash64("sequence", "cell")
-    left, right = left.withColumn("key", key).alias("l"), right.withColumn("key", key).alias("r")
-    gap = F.col("r.at") - F.col("l.at")
-    alike = within_distance(F.col("l.lower"), F.col("r.lower"), distance) | any_within_distance(
-        F.col("l.meanings"), F.col("r.meanings"), distance
+    cell, place = F.expr(f"floor(at / {width})"), F.pmod("at", F.lit(width))
+    beside = F.array_compact(
+        F.array(cell, F.when(place < neighbours, cell - 1), F.when(place >= width - neighbours, cell + 1))
     )
-    pairs = left.join(
-        right,
-        (F.col("l.key") == F.col("r.key"))
-        & (gap > 0)
-        & (gap <= neighbours)
-        & F.col("l.sequence").eqNullSafe(F.col("r.sequence"))
-        & (F.col("l.cell") - F.col("r.cell") == 0)
-        & (F.col("l.looks") | F.col("r.looks"))
-        & alike,
+    dealt = spelled.select("*", F.explode(beside).alias("cell"), cell.alias("home"))
+    # Only its own cell gives an entry back, when it looks around.
+    own = (F.col("cell") == F.col("home")) & F.col("looks")
+    seen = F.struct("at", "word", "spelled", "meanings", F.when(own, F.col("row")).alias("row"))
+    cells = dealt.groupBy("sequence", "cell").agg(F.array_sort(F.collect_list(seen), _by_place).alias("seen"))
+    # Of entries with one translation, as most have, no list has to be gone through. Flat arrays are read fastest.
+    only = F.transform("seen", lambda x: F.when(F.size(x["meanings"]) == 1, F.get(x["meanings"], F.lit(0))))
+    flat = cells.select(
+        "seen",
+        F.col("seen.at").alias("ats"),
+        F.transform("seen", lambda x: x["spelled"]["text"]).alias("texts"),
+        F.transform("seen", lambda x: x["spelled"]["bits"]).alias("bits"),
+        F.transform(only, lambda x: x["text"]).alias("only_texts"),
+        F.transform(only, lambda x: x["bits"]).alias("only_bits"),
     )
 
-    def seen(one: str, other: str):
-        return F.struct(
-            F.col(f"{one}.looks").alias("looks"),
-            F.col(f"{one}.at").alias("at"),
-            F.col(f"{other}.at").alias("other_pos"),
-            F.col(f"{other}.word").alias("other_word"),
-        )
+    def near(name: str, i: Column, j: Column) -> Column:
+        """Most pairs end at the bits."""
+        bits, texts = F.col(f"{name}bits"), F.col(f"{name}texts")
+        few = F.bit_count(F.get(bits, i).bitwiseXOR(F.get(bits, j))) <= 2 * distance
+        return few & within_distance(F.get(texts, i), F.get(texts, j), distance)
 
-    both = pairs.select(
-        F.col("l.sequence"), F.explode(F.array(seen("l", "r"), seen("r", "l"))).alias("pair")
-    )
-    return both.filter("pair.looks").select(
-        F.col("sequence").alias(sequence),
-        F.col("pair.at").alias(pos),
-        "pair.other_pos",
-        "pair.other_word",
-    )
+    def similar(one: Column, i: Column) -> Column:
+        frame = F.sequence(F.greatest(i - neighbours, F.lit(0)), F.least(i + neighbours, F.size("ats") - 1))
 
+        def alike(j: Column) -> Column:
+            lone = F.get("only_bits", i).isNotNull() & F.get("only_bits", j).isNotNull()
+            others = F.get("seen", j)["meanings"]
+            meant = F.exists(one["meanings"], lambda mine: F.exists(others, lambda its: _alike(mine, its, distance)))
+            by_meaning = F.when(lone, near("only_", i, j)).otherwise(meant)
+            inside = F.abs(F.get("ats", j) - one["at"]) <= neighbours
+            return (j != i) & (F.coalesce(near("", i, j), F.lit(False)) | F.coalesce(by_meaning, F.lit(False))) & inside
 
-def process_words(
-    entries: DataFrame,
-    distance: int = DEFAULT_DISTANCE,
-    neighbours: int = DEFAULT_NEIGHBOURS,
-    sequence: str = "source_batch",
-    pos: str = "pos",
-) -> DataFrame:
-    """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
+        words = F.transform(F.filter(frame, alike), lambda j: F.get("seen", j)["word"])
+        return F.when(one["row"].isNotNull(), F.struct(one["row"].alias("row"), words.alias("similar_words")))
 
-    Similar words come in the order of their places, repeats included. ``(sequence, pos)`` is
-    unique; at most twice ``neighbours`` words meet in a list. ``entries`` is read three times:
-    stage it when it is costly to make.
-    """
-    pairs = similar_pairs(entries, distance, neighbours, sequence, pos)
-    found = pairs.groupBy(F.col(pos).alias("_pos"), F.col(sequence).alias("_sequence")).agg(
-        F.array_sort(F.collect_list(F.struct("other_pos", "other_word"))).alias("_found")
-    )
-    kept = drop_untranslated(entries)
-    here = (F.col(pos) == F.col("_pos")) & F.col(sequence).eqNullSafe(F.col("_sequence"))
-    return kept.join(found, here, "left").select(
-        *entries.columns,
-        F.coalesce(F.col("_found.other_word"), F.array().cast("array<string>"))
-        .alias("similar_words"),
+    given = flat.select(F.explode(F.array_compact(F.transform("seen", similar))).alias("given"))
+    return given.select("given.row.*", "given.similar_words").select(
+        *(F.col(name) for name in entries.columns),
+        "similar_words",
         filled_categories(F.col("translations")).alias("grammar_categories"),
     )
+
+
+def _by_place(left: Column, right: Column) -> Column:
+    return F.signum(left["at"] - right["at"]).cast("int")
