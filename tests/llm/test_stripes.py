@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm.stripes import collocations, count_stripes, local_stripes, phrase_filter, slices
+from wordloom.llm.stripes import collocations, count_pairs, count_stripes, local_stripes, phrase_filter, slices
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,9 +83,9 @@ def test_long_texts_go_on_from_slice_to_slice(slice_bytes, known_words, level):
 
     def added(*limits):
         total = Counter()
-        for found in count_stripes(iter([batch, batch]), level, None, None, *limits):
+        for found in count_stripes(iter([batch, batch]), level, None, None, None, *limits):
             for r in found.to_pylist():
-                total.update({(r["lang"], r["prefix"], word): n for word, n in r["stripe"]})
+                total.update({(r["lang"], x["prefix"], word): n for x in r["stripes"] for word, n in x["stripe"]})
         return total
 
     counts = added(slice_bytes, known_words)
@@ -99,13 +99,31 @@ def test_long_texts_go_on_from_slice_to_slice(slice_bytes, known_words, level):
     assert counts == want
 
 
+@pytest.mark.parametrize("limits", [(), (64, 3)])
+def test_pair_counts_add_up(limits):
+    text = "new york city hall " * 50 + "one two. three " * 40
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "text": [text, text, "one two three"]})
+    cells = Counter()
+    for found in count_pairs(iter([batch]), b"\xff" * 4096, *limits):
+        for r in found.to_pylist():
+            for low, n in zip(r["lows"], r["counts"], strict=True):
+                cells[r["bucket"], low] += n
+    pairs = Counter()
+    for lang, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for piece in whole.split("."):
+            words = piece.split()
+            pairs.update((lang, *pair) for pair in zip(words, words[1:], strict=False))
+    assert sorted(cells.values()) == sorted(pairs.values())
+
+
 def test_stripes_add_up_to_their_prefix(spark):
     docs = [("en", "a b a c. a b a"), ("en", "a")]
     df = spark.createDataFrame(docs, "lang STRING, text STRING").coalesce(1)
     allowed = phrase_filter(spark.createDataFrame([("en", "a"), ("en", "b")], "lang STRING, phrase STRING"), 1)
     found = {}
-    for r in local_stripes(df, 2, allowed, None).collect():
-        found.setdefault(r.prefix, {}).update(r.stripe)
+    for r in local_stripes(df, 2, allowed).collect():
+        for x in r.stripes:
+            found.setdefault(x.prefix, {}).update(x.stripe)
     assert found == {"a": {"b": 2, "": 3}, "b": {"a": 2}}
 
 

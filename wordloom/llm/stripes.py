@@ -26,11 +26,14 @@ from wordloom.session import stage
 
 MIN_COUNT, MAX_WORDS, KEPT = 100, 5, 2000
 FILTER_BITS = 1 << 24  # of the filter of frequent phrases: 2 MB whatever the corpus
-PARTS = (4096, 32, 8)  # a stripe is dealt out by the hash of the next word: prefixes of no word, of one, of more
+PARTS = (1024, 32, 8)  # a stripe is dealt out by the hash of the next word: prefixes of no word, of one, of more
+BUCKETS = 1024  # stripes of a language travel in so many rows from each task
 SLICE_BYTES = 4 << 20  # of a text, cut into words at a time
 KNOWN_WORDS = 1 << 19  # per task; beyond, what was counted is sent on and the words are forgotten
 PENDING = 1 << 22  # counted phrases of a task that wait to be merged
 _PACKED = 3  # ids of 21 bits in one integer
+_CELL_BITS = 46
+_PART_STEP = 7919
 _SEED = 42  # of Spark's xxhash64
 _TURN = 13
 
@@ -62,20 +65,36 @@ def _phrase_hash_column(phrase: str, n_words: int) -> Column:
     return total
 
 
-def phrase_filter(phrases: DataFrame, n_words: int, bits: int = FILTER_BITS) -> bytes:
-    """A bitmap of ``bits`` bits, set for the ``lang, phrase`` rows; all phrases have ``n_words`` words.
+def _bitmap(rows: DataFrame, at: Column, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits, set at the lowest bits of ``at``.
 
-    Executors merge pieces of 4 kB; the driver gets at most ``bits / 8`` bytes, however many phrases there are.
+    Executors merge pieces of 4 kB; the driver gets at most ``bits / 8`` bytes, however many rows there are.
     """
-    mixed = F.xxhash64("lang").bitwiseXOR(_phrase_hash_column("phrase", n_words))
-    at = mixed.bitwiseAND(F.lit(bits - 1)) + 1
-    pieces = phrases.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    place = at.bitwiseAND(F.lit(bits - 1)) + 1
+    pieces = rows.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
     out = bytearray(max(bits // 8, 4096))
     for piece, found in pieces.collect():
         out[(piece - 1) * 4096 : piece * 4096] = found
     return bytes(out)
 
 
+def phrase_filter(phrases: DataFrame, n_words: int, bits: int = FILTER_BITS) -> bytes:
+    """A bitmap for the ``lang, phrase`` rows; all phrases have ``n_words`` words."""
+    return _bitmap(phrases, F.xxhash64("lang").bitwiseXOR(_phrase_hash_column("phrase", n_words)), bits)
+
+
+def pair_filter(docs: DataFrame, allowed: bytes, min_count: int, bits: int = FILTER_BITS) -> bytes:
+    """A bitmap that holds all pairs of allowed words that occur ``min_count`` times, and some more.
+
+    Pairs are counted by hashes of 46 bits, which take a tenth of the room of their words; pairs of one hash are added up.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(allowed)
+    local = map_batches(docs, lambda batches: count_pairs(batches, sent.value), "bucket int, lows array<int>, counts array<int>")
+    dealt = local.repartition("bucket").select("bucket", F.explode(F.arrays_zip("lows", "counts")).alias("cell"))
+    cells = dealt.groupBy("bucket", F.col("cell.lows").alias("low")).agg(F.sum(F.col("cell.counts").cast("long")).alias("n"))
+    return _bitmap(cells.where(F.col("n") >= min_count), F.col("low").cast("long"), bits)
+
+
 class Words(dict):
     """Local numbers of the words of a language: 0 for breaks and for words that the filter does not hold."""
 
@@ -99,8 +118,10 @@ class Words(dict):
 
     def passes(self, bitmap: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         """Whether the filter holds the phrases of these word hashes."""
-        at = (_phrase_hash(words) ^ np.uint64(self.lang_hash)) & np.uint64(len(bitmap) - 1)
-        return bitmap[at.astype(np.int64)]
+        return bitmap[(self.phrases(words) & np.uint64(len(bitmap) - 1)).astype(np.int64)]
+
+    def phrases(self, words: list[np.ndarray]) -> np.ndarray:
+        return _phrase_hash(words) ^ np.uint64(self.lang_hash)
 
     def add(self, keys: list[np.ndarray], counts: np.ndarray) -> None:
         if len(counts):
@@ -155,102 +176,173 @@ def slices(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _count_slice(words: Words, tokens: list[bytes], level: int, bitmap: np.ndarray | None) -> None:
-    """Count what follows each prefix of ``level - 1`` words; the last words are kept for the next slice."""
+def _prefixes(words: Words, tokens: list[bytes], level: int) -> list[np.ndarray]:
+    """Columns of ids: each prefix of ``level - 1`` words and what follows; the last words are kept for the next slice."""
     new = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     if level == 1:
-        found = np.bincount(new)
-        found[:1] = 0
-        at = np.flatnonzero(found)
-        words.add([at], found[at])
-        return
+        return [new]
     ids = np.concatenate([words.tail, new])
     words.tail = ids[len(ids) - min(level - 1, len(ids)) :]
-    n = len(ids) - level + 1
-    if n <= 0:
-        return
+    n = max(0, len(ids) - level + 1)
     columns = [ids[i : i + n] for i in range(level)]
     whole = columns[0] > 0
     for each in columns[1:-1]:
         whole &= each > 0
     at = np.flatnonzero(whole)
-    columns = [c[at] for c in columns]
-    if bitmap is not None:
-        hashes = np.array(words.hashes, np.uint64)
-        spelled = [hashes[c] for c in columns]
-        held = words.passes(bitmap, spelled[:-1])
+    return [c[at] for c in columns]
+
+
+def _count_slice(words: Words, tokens: list[bytes], level: int, ends: np.ndarray | None, pairs: np.ndarray | None) -> None:
+    """Count what follows each prefix of ``level - 1`` words that ``ends`` holds."""
+    columns = _prefixes(words, tokens, level)
+    if level == 1:
+        found = np.bincount(columns[0])
+        found[:1] = 0
+        at = np.flatnonzero(found)
+        words.add([at], found[at])
+        return
+    hashes = np.array(words.hashes, np.uint64)
+    spelled = [hashes[c] for c in columns]
+    if ends is not None:
+        held = words.passes(ends, spelled[:-1])
         columns, spelled = [c[held] for c in columns], [s[held] for s in spelled]
-        columns[-1] = np.where((columns[-1] > 0) & words.passes(bitmap, spelled[1:]), columns[-1], 0)
+        columns[-1] = np.where((columns[-1] > 0) & words.passes(ends, spelled[1:]), columns[-1], 0)
+    if pairs is not None:
+        columns[-1] = np.where((columns[-1] > 0) & words.passes(pairs, spelled), columns[-1], 0)
     if len(columns[0]):
         words.add(*counted(_pack(columns), np.ones(len(columns[0]), np.int64)))
 
 
-def _stripe_rows(lang: str, words: Words, level: int, parts: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """What was counted as rows ``lang, prefix, part, stripe``."""
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before, and the number of rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _stripe_rows(lang: str, words: Words, level: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """What was counted as rows ``lang, bucket, stripes``."""
     if not words.counts:
         return
     words.merge()
     columns, counts = _unpack(words.keys[0], level), words.counts[0]
-    spelled = pa.array(words.spelled, pa.binary()).cast(pa.string())
-    part = (np.array(words.hashes, np.uint64) % np.uint64(parts)).astype(np.int32)[columns[-1]]
-    order = np.lexsort([part, *columns[-2::-1]])
-    columns, counts, part = [c[order] for c in columns], counts[order], part[order]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in (part, *columns[:-1])], axis=0)
-    starts = np.append(np.flatnonzero(new), len(order))
+    spelled, hashes = pa.array(words.spelled, pa.binary()).cast(pa.string()), np.array(words.hashes, np.uint64)
+    part = (hashes % np.uint64(PARTS[min(level, len(PARTS)) - 1]))[columns[-1]]
+    prefix_hash = _phrase_hash([hashes[c] for c in columns[:-1]]) if level > 1 else np.uint64(0)
+    bucket = ((prefix_hash + part * np.uint64(_PART_STEP)) % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.lexsort([part, *columns[-2::-1], bucket])
+    columns, counts, part, bucket = [c[order] for c in columns], counts[order], part[order], bucket[order]
+    starts = _changes([bucket, part, *columns[:-1]])  # of stripes, by entries
+    heads = starts[:-1]
+    edges = _changes([bucket[heads]])  # of buckets, by stripes
     first = 0
-    while first < len(starts) - 1:
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
-        here = slice(starts[first], starts[last])
-        heads = starts[first:last]
-        prefix = pa.array([""] * (last - first), pa.string())
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(starts[edges], starts[edges[first]] + most, "right")) - 1)
+        stripes = heads[edges[first] : edges[last]]
+        here = slice(starts[edges[first]], starts[edges[last]])
+        prefix = pa.array([""] * len(stripes), pa.string())
         if level > 1:
-            prefix = pc.binary_join_element_wise(*(spelled.take(pa.array(c[heads])) for c in columns[:-1]), " ")
-        offsets = pa.array((starts[first : last + 1] - starts[first]).astype(np.int32))
-        stripe = pa.MapArray.from_arrays(offsets, spelled.take(pa.array(columns[-1][here])), pa.array(counts[here]))
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (last - first), pa.string()), prefix, pa.array(part[heads]), stripe], names=["lang", "prefix", "part", "stripe"])
+            prefix = pc.binary_join_element_wise(*(spelled.take(pa.array(c[stripes])) for c in columns[:-1]), " ")
+        offsets = pa.array((starts[edges[first] : edges[last] + 1] - here.start).astype(np.int32))
+        maps = pa.MapArray.from_arrays(offsets, spelled.take(pa.array(columns[-1][here])), pa.array(counts[here]))
+        held = pa.StructArray.from_arrays([prefix, maps], ["prefix", "stripe"])
+        lists = pa.ListArray.from_arrays(pa.array((edges[first : last + 1] - edges[first]).astype(np.int32)), held)
+        buckets = pa.array(bucket[heads[edges[first:last]]])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (last - first), pa.string()), buckets, lists], names=["lang", "bucket", "stripes"])
         first = last
 
 
-def count_stripes(
-    batches: Iterator[pa.RecordBatch], level: int, allowed: bytes | None, bitmap: bytes | None, slice_bytes: int = SLICE_BYTES, known_words: int = KNOWN_WORDS
-) -> Iterator[pa.RecordBatch]:
-    """Stripes of batches of ``lang, text`` without nulls; memory is bounded by the two limits."""
-    allowed, bitmap = (None if m is None else np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").astype(bool) for m in (allowed, bitmap))
-    parts = PARTS[min(level, len(PARTS)) - 1]
-    tables: dict[str, Words] = {}
+def _map(bitmap: bytes | None) -> np.ndarray | None:
+    return None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+
+
+def _spoken(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[str, list[bytes], bool]]:
+    """``lang, words, whether they go on from the last ones`` of batches of ``lang, text`` without nulls."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         for block in text_blocks(texts):
             for lang, group in groupby(sorted(block, key=langs.__getitem__), langs.__getitem__):
-                words = tables.get(lang) or tables.setdefault(lang, Words(lang, allowed))
-                joined = b" . ".join(texts[i].encode() for i in group).translate(_PLAIN).replace(_BREAK, b" . ")
-                words.tail = np.zeros(level - 1, np.int64)
-                for part in slices(joined + b" .", slice_bytes):
-                    _count_slice(words, part.split(), level, bitmap)
-                    if sum(map(len, tables.values())) > known_words:
-                        tail = [words.spelled[i] for i in words.tail.tolist()]
-                        for name in list(tables):
-                            yield from _stripe_rows(name, tables.pop(name), level, parts)
-                        words = tables.setdefault(lang, Words(lang, allowed))
-                        words.tail = np.array([words[w] if w else 0 for w in tail], np.int64)
-    for name, words in tables.items():
-        yield from _stripe_rows(name, words, level, parts)
+                joined = b" . ".join(texts[i] for i in group).translate(_PLAIN).replace(_BREAK, b" . ")
+                for i, part in enumerate(slices(joined + b" .", slice_bytes)):
+                    yield lang, part.split(), i > 0
 
 
-def local_stripes(docs: DataFrame, level: int, allowed: bytes | None, bitmap: bytes | None) -> DataFrame:
-    """``lang, prefix, part, stripe``: what follows the prefixes of ``level - 1`` words, as each task counts it."""
-    sent = docs.sparkSession.sparkContext.broadcast((allowed, bitmap))  # two bitmaps of FILTER_BITS
-    return map_batches(docs, lambda batches: count_stripes(batches, level, *sent.value), "lang string, prefix string, part int, stripe map<string,bigint>")
+def count_stripes(
+    batches: Iterator[pa.RecordBatch],
+    level: int,
+    allowed: bytes | None = None,
+    ends: bytes | None = None,
+    pairs: bytes | None = None,
+    slice_bytes: int = SLICE_BYTES,
+    known_words: int = KNOWN_WORDS,
+) -> Iterator[pa.RecordBatch]:
+    """Stripes of batches of ``lang, text`` without nulls; memory is bounded by the two limits."""
+    allowed, ends, pairs = _map(allowed), _map(ends), _map(pairs)
+    tables: dict[str, Words] = {}
+    for lang, tokens, more in _spoken(batches, slice_bytes):
+        words = tables.get(lang) or tables.setdefault(lang, Words(lang, allowed))
+        if not more:
+            words.tail = np.zeros(level - 1, np.int64)
+        _count_slice(words, tokens, level, ends, pairs)
+        if sum(map(len, tables.values())) > known_words or (words.counts and len(words.counts[0]) > PENDING):
+            tail = [words.spelled[i] for i in words.tail.tolist()]
+            for name in list(tables):
+                yield from _stripe_rows(name, tables.pop(name), level)
+            words = tables.setdefault(lang, Words(lang, allowed))
+            words.tail = np.array([words[w] if w else 0 for w in tail], np.int64)
+    for name, words in tables.items():
+        yield from _stripe_rows(name, words, level)
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], allowed: bytes, slice_bytes: int = SLICE_BYTES, known_words: int = KNOWN_WORDS) -> Iterator[pa.RecordBatch]:
+    """``bucket, lows, counts``: how often pairs of allowed words occur, by their hashes."""
+    allowed, tables, found = _map(allowed), {}, Words("", None)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if not found.counts:
+            return
+        found.merge()
+        (cells,), counts = found.keys[0], found.counts[0]
+        bucket = cells >> 32
+        starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(cells)).astype(np.int32)
+        lows = (cells & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        columns = [pa.array(bucket[starts[:-1]].astype(np.int32))]
+        columns += [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in (lows, np.minimum(counts, 2**31 - 1).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lows", "counts"])
+        found.keys, found.counts = [], []
+
+    for lang, tokens, more in _spoken(batches, slice_bytes):
+        words = tables.get(lang) or tables.setdefault(lang, Words(lang, allowed))
+        if not more:
+            words.tail = np.zeros(1, np.int64)
+        first, second = _prefixes(words, tokens, 2)
+        hashes, both = np.array(words.hashes, np.uint64), second > 0
+        if both.any():
+            cells = words.phrases([hashes[first[both]], hashes[second[both]]]) & np.uint64((1 << _CELL_BITS) - 1)
+            found.add(*counted([cells.astype(np.int64)], np.ones(len(cells), np.int64)))
+        if sum(map(len, tables.values())) > known_words:
+            last = words.spelled[int(words.tail[-1])]
+            tables = {lang: (words := Words(lang, allowed))}
+            words.tail = np.array([words[last] if last else 0], np.int64)
+        if found.counts and len(found.counts[0]) > PENDING:
+            yield from rows()
+    yield from rows()
+
+
+def local_stripes(docs: DataFrame, level: int, allowed: bytes | None = None, ends: bytes | None = None, pairs: bytes | None = None) -> DataFrame:
+    """``lang, bucket, stripes``: what follows the prefixes of ``level - 1`` words, as each task counts it."""
+    sent = docs.sparkSession.sparkContext.broadcast((allowed, ends, pairs))  # bitmaps of FILTER_BITS
+    return map_batches(docs, lambda batches: count_stripes(batches, level, *sent.value), "lang string, bucket int, stripes array<struct<prefix:string,stripe:map<string,bigint>>>")
 
 
 def merged_stripes(local: DataFrame, min_count: int) -> DataFrame:
     """``lang, prefix, next, n``: the stripes of all tasks added elementwise; rare next words go to the empty one.
 
-    Stripes are dealt out by prefix and part, so that a long one spreads; adding up their entries needs no other shuffle.
+    Stripes are dealt out by buckets of prefix and part, so that a long one spreads; adding up needs no other shuffle.
     """
-    entries = local.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.explode("stripe").alias("next", "n"))
-    added = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
+    held = local.repartition("lang", "bucket").select("lang", "bucket", F.explode("stripes").alias("held"))
+    entries = held.select("lang", "bucket", F.col("held.prefix").alias("prefix"), F.explode("held.stripe").alias("next", "n"))
+    added = entries.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("n").alias("n"))
     folded = F.when(F.col("n") >= min_count, F.col("next")).otherwise("")
     return added.groupBy("lang", "prefix", folded.alias("next")).agg(F.sum("n").alias("n"))
 
@@ -260,15 +352,16 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min
     rows = pick(docs, lang=lang_col, text=text_col)
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     levels: list[DataFrame] = []
-    allowed = bitmap = None
+    allowed = ends = pairs = None
     for level in range(1, max_words + 1):
-        levels.append(stage(merged_stripes(local_stripes(rows, level, allowed, bitmap), min_count), f"stripes-{level}"))
+        levels.append(stage(merged_stripes(local_stripes(rows, level, allowed, ends, pairs), min_count), f"stripes-{level}"))
         frequent = phrases_of(levels[-1])
         if level == max_words or frequent.isEmpty():
             break
-        bitmap = phrase_filter(frequent, level, filter_bits)
-        if level == 1:
-            allowed, bitmap = bitmap, None
+        ends, pairs = phrase_filter(frequent, level, filter_bits), None
+        if level == 1:  # of all levels the one with most different phrases
+            allowed, ends = ends, None
+            pairs = pair_filter(rows, allowed, min_count, filter_bits)
     return levels
 
 
