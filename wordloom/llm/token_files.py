@@ -60,10 +60,10 @@ def write_token_files(
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")
-    rows = keyed_text(docs, id_col, text_col)
+    rows = keyed_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     files = max(1, rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    made = tokenized(ordered, tokenizer, end).select(F.monotonically_increasing_id().alias("place"), F.col("id").alias("doc_id"), "n_tokens", "tokens")
+    ordered = rows.repartitionByRange(files, "id", "hash").sortWithinPartitions("id", "hash", "text")
+    made = tokenized(ordered.select("id", "text"), tokenizer, end).select(F.monotonically_increasing_id().alias("place"), F.col("id").alias("doc_id"), "n_tokens", "tokens")
     writer = made.write.mode("overwrite")
     settings = {
         "parquet.writer.version": "PARQUET_2_0",

@@ -15,10 +15,18 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
-CACHED_PIECES = 1_000_000  # per worker; of a full table only the first pieces stay
+CACHED_PIECES = 600_000  # per worker; of a full table only the first pieces stay
 KEPT_SHARE = 0.75  # pieces seen early are the frequent ones
 ENCODED_AT_ONCE = 2_000
 
+#: The letters by which byte-level vocabularies write bytes. Printable ones stand for themselves, the
+#: others in their order for U+0100 and what follows.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_LETTERS = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(_HIDDEN)})
+LAST_LATIN = "\u024f"
+
+
 class PieceTable:
     """Ids of the pieces seen, in one flat array."""
 
@@ -103,16 +111,36 @@ class TextEncoder:
             return None
         return [x for x in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if x]
 
+    def one_word(self, piece: str) -> str | None:
+        """A piece of Latin letters only, which is one word to the tokenizer, as its model reads it; else None."""
+        if self.kind == "words":
+            return piece.lower() if piece.isascii() and piece.isalpha() else None
+        letters = piece[1:] if piece[0] == " " else piece
+        return piece.encode().decode("latin-1").translate(BYTE_LETTERS) if letters.isalpha() and max(letters) <= LAST_LATIN else None
+
+    def learn_words(self, pieces: list[str]) -> list[str]:
+        """Add the ids of the pieces that are one word each, straight from the model; gives the others."""
+        split, words, others = self.tokenizer.model.tokenize, {}, []
+        for piece in pieces:
+            word = self.one_word(piece)
+            if word is None:
+                others.append(piece)
+            else:
+                words[piece] = [token.id for token in split(word)]
+        sizes = np.fromiter(map(len, words.values()), np.int64, len(words))
+        self.table.add(list(words), np.fromiter(chain.from_iterable(words.values()), np.uint32, int(sizes.sum())), sizes)
+        return others
+
     def learn(self, pieces: set[str]) -> None:
         """Add the ids of pieces that are not in the table."""
         # A word ends before a full stop or comma: such a piece is the word's ids and one more.
         ended = {x for x in pieces if x[-1] in ".," and x[-2:-1].isalpha()}
         plain = pieces - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}
-        new = sorted(plain.difference(self.table.slots))
+        new = list(plain.difference(self.table.slots))
         for special in [x for x in new if x.isspace() or x[0] == "\0"]:
             ids = self.whole(special) if special[0] != "\0" else np.array([int(special[1:])], np.uint32)
             self.table.add([special], ids, np.array([len(ids)]))
-        new = [x for x in new if not x.isspace() and x[0] != "\0"]
+        new = self.learn_words([x for x in new if not x.isspace() and x[0] != "\0"])
         for at in range(0, len(new), ENCODED_AT_ONCE):
             block = new[at : at + ENCODED_AT_ONCE]
             if self.kind == "bytes":  # one call for all: the newline's token stands alone, between the pieces
@@ -123,7 +151,7 @@ class TextEncoder:
                 found = [x.ids for x in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 self.table.add(block, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes)
-        joined = sorted(ended.difference(self.table.slots))
+        joined = list(ended.difference(self.table.slots))
         if joined:
             parts = [y for x in joined for y in (x[:-1], x[-1])]
             ids, sizes = self.table.ids([self.table.slots[y] for y in parts])
