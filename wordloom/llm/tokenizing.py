@@ -15,7 +15,7 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
-CACHED_PIECES = 1_000_000  # per worker; of a full table only the first pieces stay
+CACHED_PIECES = 800_000  # per worker; of a full table only the first pieces stay
 KEPT_SHARE = 0.75  # pieces seen early are the frequent ones
 ENCODED_AT_ONCE = 2_000
 
@@ -140,7 +140,8 @@ class TextEncoder:
         for special in [x for x in new if x.isspace() or x[0] == "\0"]:
             ids = self.whole(special) if special[0] != "\0" else np.array([int(special[1:])], np.uint32)
             self.table.add([special], ids, np.array([len(ids)]))
-        new = self.learn_words([x for x in new if not x.isspace() and x[0] != "\0"])
+        new = [x for x in new if not x.isspace() and x[0] != "\0"]
+        new = [x for at in range(0, len(new), ENCODED_AT_ONCE) for x in self.learn_words(new[at : at + ENCODED_AT_ONCE])]
         for at in range(0, len(new), ENCODED_AT_ONCE):
             block = new[at : at + ENCODED_AT_ONCE]
             if self.kind == "bytes":  # one call for all: the newline's token stands alone, between the pieces
