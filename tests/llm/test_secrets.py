@@ -64,7 +64,7 @@ def test_random_strings(text, n, random):
 
 @pytest.mark.parametrize("size", [20, 24, 32, 40])
 def test_random_strings_with_signs(size, random):
-    """Drawn base64url strings whose longest part is short; those without a digit are not looked for."""
+    """Drawn base64url strings whose longest part is short, with a digit."""
     draw = Random(size)
     drawn = ["".join(draw.choices(string.ascii_letters + string.digits + "-_", k=size)) for _ in range(4_000)]
     short = [x for x in drawn if max(map(len, re.split("[_-]+", x))) < 16 and re.search("[0-9]", x)]
@@ -72,6 +72,39 @@ def test_random_strings_with_signs(size, random):
     assert len(short) > 100 and found >= 0.97 * len(short)
 
 
+@pytest.mark.parametrize("letters", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+@pytest.mark.parametrize("size", [24, 32, 40])
+def test_random_letters(size, letters, random):
+    draw = Random(size)
+    drawn = ["".join(draw.choices(letters, k=size)) for _ in range(3_000)]
+    found = sum(all_spans(f"is {x}.", random) == [(3, 3, 3 + size)] for x in drawn)
+    assert found >= 0.9 * len(drawn)
+
+
+def test_long_words_and_names_are_left_alone(random):
+    words = (
+        "Donaudampfschifffahrtsgesellschaftskapitaen Rechtsschutzversicherungsgesellschaften BUNDESAUSBILDUNGSGESETZBUCH "
+        "anticonstitutionnellement getElementsByTagNameNS AbstractSingletonProxyFactoryBean SELECT_MAX_CONNECTIONS_PER_USER "
+        "LOREM_IPSUM_DOLOR_SIT_AMET ABCDEFGHIJKLMNOPQRSTUVWXYZ hahahahahahahahahahahahaha GATTACAGATTTCGACCGATTAGACCA ===================== "
+        "lentokonesuihkuturbiinimoottori https/www/foo/bar/baz/qux preposterously-overcomplicated-thing"
+    )
+    assert all_spans(words, random) == []
+
+
+def test_random_spans_over_the_documents(spark, random):
+    """All maximal runs of every text, each judged by itself, where no pattern touches them."""
+    runs = re.compile("[A-Za-z0-9+/_=-]+")
+    texts = {r.doc_id: r.text or "" for r in read_table(spark, SF_DIR, "documents").collect()}
+    for r in scan_secrets(read_table(spark, SF_DIR, "documents"), VOCABULARY, PATTERN).collect():
+        base = brute(texts[r.doc_id])
+        want = {
+            (m.start(), m.end()) for m in runs.finditer(texts[r.doc_id])
+            if len(m[0]) >= 20 and random.is_random(m[0]) and not any(a < m.end() and b > m.start() for a, _, b in base)
+        }
+        found = {(s.start, s.stop) for s in r.spans if s.kind == "random"}
+        assert {x for x in found if not any(a < x[1] and b > x[0] for a, _, b in base)} >= want and len(found - want) <= len(base) * 2
+
+
 def test_keys_in_groups_and_identifiers(random):
     for text in ("Ab3d-Ef9h-Kq2z-Xw7p-Lm4v", "x7Qk2-9LmPz-4WvRt-8bNcY", "K3v9_q8Zt+7LxP/2mWb=Rd5j"):
         assert all_spans(text, random) == [(0, 3, len(text))]

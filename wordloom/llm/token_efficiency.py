@@ -2,8 +2,10 @@
 
 Words of a language need few tokens for many characters; random strings need many. A run of letters
 and digits whose characters per token stay below a ratio is reported, unless it is a digest of a known
-length, a UUID, or an identifier made of short parts that are mostly words and plain numbers. Of a run
-that a pattern covers in part the rest is reported, unless that is words and numbers.
+length, a UUID, or an identifier made of short parts that are mostly words and plain numbers. A run without
+a digit may be a long word or a name of joined words: it must stay below a lower ratio, in small letters as
+well, hold many different letters and a long part. Of a run that a pattern covers in part the rest is
+reported, unless that is words and numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import accumulate, islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,8 @@ from wordloom.llm.common import id_type, keyed_text, map_batches, rest_and_text,
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_CHARS_PER_TOKEN = 2.2
+LETTERS_SHARE = 10 / 11  # of that ratio, for runs without a digit
+MIN_LETTERS = 8  # different ones in a run without a digit; sequences over a small alphabet hold fewer
 MIN_RANDOM_CHARS, MIN_PART_CHARS = 20, 16
 REDACTED = "[redacted]"
 
@@ -48,14 +52,26 @@ class RandomStrings:
         self.ratio = max_chars_per_token
 
     def is_random(self, run: str) -> bool:
-        if run.isalpha() or run.isdigit() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        if not re.search("[A-Za-z]", run):
             return False
+        if not re.search("[0-9]", run):
+            return self.is_random_letters(run)
         if DIGEST.fullmatch(run) or UUID.fullmatch(run):
             return False
         if max(map(len, SIGNS.split(run))) < MIN_PART_CHARS and self.is_plain(run):
             return False  # an identifier or a path
         return len(run) < self.ratio * len(self.encode(run))
 
+    def is_random_letters(self, run: str) -> bool:
+        """For a run without a digit: capitals are taken as small letters too, since few words in capitals have tokens."""
+        small = run.lower()
+        if max(map(len, SIGNS.split(run))) < MIN_PART_CHARS or len({x for x in small if x.isalpha()}) < MIN_LETTERS:
+            return False
+        if 2 * sum(ord(b) - ord(a) == 1 for a, b in pairwise(small)) >= len(small):
+            return False  # an alphabet
+        ratio = self.ratio * LETTERS_SHARE
+        return len(run) < ratio * len(self.encode(run)) and len(run) < ratio * len(self.encode(small))
+
     def is_plain(self, run: str) -> bool:
         """Whether at least half of the letters and digits are in words and plain numbers between the signs."""
         parts = [p for p in SIGNS.split(run) if p]
@@ -139,7 +155,7 @@ def scan_secrets(
 
     ``spans`` are ordered by start, then kind; code points, end exclusive. ``vocabulary`` and ``pattern``: a
     tiktoken file and its splitting pattern. Null and empty texts have no spans (``redacted`` keeps the null). Repeated
-    rows are scanned each for itself; other columns are not read. Narrow: no shuffle, one document in memory at a time.
+    rows are scanned each for itself; an empty table gives no rows; other columns are not read. Narrow: no shuffle, one document in memory at a time.
     """
     rows = keyed_text(docs, id_col, text_col)
 
@@ -166,6 +182,9 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with every secret in the text replaced by a mark. Columns stay as they are."""
+    """The rows of ``docs`` with every secret in the text replaced by a mark. Columns stay as they are.
+
+    Null and empty texts stay; repeated rows are redacted each for itself; an empty table gives no rows.
+    """
     found = scan_secrets(rest_and_text(docs, text_col), vocabulary, pattern, id_col="rest", with_text=True)
     return with_new_text(found, docs, text_col, "doc_id", F.col("redacted"), F.size("spans") > 0, length_col)
