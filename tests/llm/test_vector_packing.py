@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from random import Random
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +68,34 @@ def test_dot_product_takes_what_fits_the_room_best():
     assert sequences[0] == {0, 3}
 
 
+@pytest.mark.parametrize("loss_share", [1, 0.5])
+def test_many_tiny_documents_need_little_padding(loss_share):
+    """Segments run out long before the tokens: such sequences end at powers of two."""
+    draw = Random(5)
+    lengths = {i: draw.randint(3, 9) for i in range(20_000)}
+    bears = {i: int(n * (1 - loss_share)) for i, n in lengths.items()}
+    packer = Packer((2048, 64, 1024), 0)
+    for i, n in lengths.items():
+        packer.add(i, 0, n, bears[i])
+    packer.pack()
+    sequences = check_pieces(packer.taken(), lengths)
+    used = [sum(p[1] for p in parts) for parts in sequences.values()]
+    assert all(len(parts) <= 64 for parts in sequences.values())
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in used) < 0.01 * sum(used)
+    assert len(used) < 1.5 * 20_000 * 6 / 256
+
+
+def test_tiny_documents_beside_long_ones():
+    draw = Random(6)
+    lengths = {i: draw.randint(3, 9) if i % 3 else draw.randint(10, 6000) for i in range(5_000)}
+    packer = Packer((2048, 64, 2048), 0, 100_000)
+    for i, n in lengths.items():
+        packer.add(i, 0, n, 0)
+    packer.pack()
+    used = [sum(p[1] for p in parts) for parts in check_pieces(packer.taken(), lengths).values()]
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in used) < 0.01 * sum(used)
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text or "" for r in read_table(spark, SF_DIR, "documents").collect()}
     tokenizer = Tokenizer.from_file(WORDS)

@@ -3,9 +3,9 @@
 Every piece has three sizes: tokens, one segment, and loss-bearing tokens. A sequence has a limit for
 each. An open sequence takes, of the pieces that fit, the one whose sizes have the largest dot product
 with the room that is left, each divided by its limit. Tokens longer than a sequence are cut into full
-ones first. Where nothing fits, a piece is cut to fill the room; so a sequence is only left short when
-its segments or loss tokens are used up. The last tokens of a partition go to sequences whose lengths
-are powers of two, which need no padding.
+ones first. Where nothing fits, a piece is cut to fill the room; so a sequence only ends short when its
+segments or loss tokens are used up. It then gives back what lies beyond a power of two, a length that
+needs no padding. The last tokens of a partition go to sequences of such lengths too.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from wordloom.llm.tokenizing import encoder, text_blocks
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 64, 2048
 WINDOW_TOKENS = 2_000_000  # pieces that wait at once, in tokens
+MOST_PADDING = 1 / 128  # of a sequence that ends short and is padded all the same
 
 
 class Packer:
@@ -94,7 +95,7 @@ class Packer:
     def pack(self, keep: int = 0) -> None:
         """Fill sequences until at most ``keep`` tokens wait."""
         while self.waiting > keep:
-            sequence, room, offset = self._new(), self.limits, 0
+            sequence, room, offset, bears = self._new(), self.limits, 0, []
             if self.waiting < room[0]:  # the last tokens of a partition: lengths that are powers of two need no padding
                 room = (1 << (self.waiting.bit_length() - 1), *room[1:])
             while min(room[:2]) and self.sizes:
@@ -113,8 +114,21 @@ class Packer:
                 else:
                     doc, start, part, loss_from = self._take(key)
                 self.out.append((doc, start, part, sequence, offset))
+                bears.append(loss_from)
                 offset += part
                 room = (room[0] - part, room[1] - 1, room[2] - self._loss(start, part, loss_from))
+            if offset < self.limits[0] * (1 - MOST_PADDING):
+                self._give_back(offset - (1 << (offset.bit_length() - 1)), bears)
+
+    def _give_back(self, tokens: int, bears: list[int]) -> None:
+        """Let the last ``tokens`` placed wait again; ``bears``: where the loss of each piece of the sequence begins."""
+        while tokens:
+            doc, start, size, sequence, offset = self.out.pop()
+            part = min(size, tokens)
+            if part < size:
+                self.out.append((doc, start, size - part, sequence, offset))
+            self._wait(doc, start + size - part, part, bears.pop())
+            tokens -= part
 
     def taken(self) -> list[tuple]:
         out, self.out = self.out, []
