@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators.checks import duplicate_keys, null_counts, orphans, outside_domain
-from wordloom.operators.paging import find_one, page, page_after
+from wordloom.operators.paging import OrderedRanges, find_one, page, page_after
 from wordloom.operators.status import latest_status
 from wordloom.schemas import BATCH_RECORD, FILE_RECORD
 from wordloom.streaming.status import compact_states, fold_records, read_states, start_status
@@ -40,6 +40,31 @@ def test_pages(users):
     assert ids(find_one(users, "id", 2)) == [2] and ids(find_one(users, "id", 9)) == []
 
 
+@pytest.mark.parametrize("order", [
+    lambda: ["k", "id"], lambda: [F.col("k").desc(), "id"], lambda: [F.col("k").asc_nulls_last(), F.col("id").desc()]])
+def test_deep_pages(spark, order):
+    order = order()
+    rows = spark.range(3000).select(F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 50).alias("k"), "id")
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    ranges = OrderedRanges(rows, order, 8)
+    assert len(ranges) == 3000 and len(ranges.starts) > 1
+    for skip, take in ((0, 5), (1490, 30), (990, 1200), (2995, 50), (3000, 10), (0, 3000), (7, 0)):
+        assert [tuple(r) for r in ranges.page(skip, take).collect()] == want[skip : skip + take]
+    assert [tuple(r) for r in page(rows, {"k": 7}, ["id"], skip=20, take=10, near_rows=5).collect()] == [
+        x for x in sorted(want, key=lambda x: x[1]) if x[0] == 7][20:30]
+    assert page(rows.limit(0), order_by=order, skip=9, take=9, near_rows=5).collect() == []
+    assert len(page(rows, skip=9, take=9, near_rows=5).collect()) == 9
+
+
+def test_deep_pages_read_few_ranges(spark):
+    found = page(spark.range(60_000), order_by=["id"], skip=30_000, take=20)
+    assert [r.id for r in found.collect()] == list(range(30_000, 30_020))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "PartitionFilters: [isnotnull(_range" in plan
+    held = OrderedRanges(spark.range(60_000), ["id"], 12)
+    assert len(held.starts) == 12 and sum(start < 30_020 and end > 30_000 for _, start, end in held.starts) <= 2
+
+
 def test_outcomes(spark):
     states = ["failed", "error", "expired", "cancelled", "cancelling", "completed", "validating",
               "in_progress", "finalizing"]

@@ -33,6 +33,37 @@ def test_running_totals_against_a_loop(spark, parts, chunked):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("at_once", [2, 10_000])
+def test_pieces_of_pieces_against_a_loop(spark, at_once):
+    """More pieces in a group than one task may add up; NULL among the groups and the pieces."""
+    rng = random.Random(at_once)
+    groups = ["hot"] * 200 + ["a"] * 9 + [None] * 30
+    rows = [(g, k, rng.randint(0, 4)) for g, k in zip(groups, rng.sample(range(5_000), len(groups)), strict=True)]
+    rows.append(("hot", None, 3))
+    df = spark.createDataFrame(rows, "g STRING, k INT, n INT")
+    got = running_totals(
+        df, ["k"], {"total": F.col("n"), "pos": F.lit(1)}, ["g"], F.expr("k div 40"), at_once
+    )
+    want = set()
+    for group in set(groups):
+        total = 0
+        members = sorted(((k is not None, k or 0, k, n) for g, k, n in rows if g == group))
+        for pos, (_, _, k, n) in enumerate(members):
+            want.add((group, k, n, total, pos))
+            total += n
+    assert got.columns == ["g", "k", "n", "total", "pos"]
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_million_pieces(spark):
+    """Every row a piece of its own, twenty times as many as one task may add up."""
+    df = spark.range(1_000_000).select((F.col("id") * 3).alias("k"), (F.col("id") % 7).alias("n"))
+    got = running_totals(df, ["k"], {"pos": F.lit(1), "total": F.col("n")}, chunk=F.col("k"))
+    weeks, rest = F.expr("pos div 7"), F.col("pos") % 7
+    assert got.filter((F.col("k") != F.col("pos") * 3) | (F.col("total") != weeks * 21 + rest * (rest - 1) / 2)).count() == 0
+    assert got.count() == 1_000_000
+
+
 def test_positions_over_everything(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     got = dense_positions(df, ["k"])

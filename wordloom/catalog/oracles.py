@@ -610,6 +610,9 @@ UNION ALL
 SELECT doc_id, -1, NULL FROM judged WHERE NOT valid""",
     "skipped_rows": """
 SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey OFFSET 1000""",
+    "deep_page": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+ORDER BY ALL LIMIT 50 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
 }
 
 _KEPT_TOKENS = f"""

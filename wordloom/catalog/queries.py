@@ -659,6 +659,13 @@ def skipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(orders, order_by=["o_orderdate", "o_orderkey"], skip=1000).select("o_orderkey", "o_custkey")
 
 
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page from the middle of the largest table, read from the ranges that hold it."""
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    items = table(spark, sf_dir, "lineitem").select(*names)
+    return page(items, order_by=names, skip=items.count() // 2, take=50, near_rows=1000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deck_words": deck_words,
     "subtitle_tokens": subtitle_token_rows,
@@ -707,4 +714,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_ingest": document_ingest,
     "nested_requests": nested_request_lines,
     "skipped_rows": skipped_rows,
+    "deep_page": deep_page,
 }

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from wordloom.session import stage
 
+# Pieces of one group whose sums one task may add up.
+PIECES_AT_ONCE = 50_000
+
 
 def running_totals(
     df: DataFrame,
@@ -16,6 +19,7 @@ def running_totals(
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
     chunk: Column | None = None,
+    pieces_at_once: int = PIECES_AT_ONCE,
 ) -> DataFrame:
     """Add, per name in ``totals``, the sum of its expression over the earlier rows of the group.
 
@@ -43,17 +47,7 @@ def running_totals(
     pieces = pieces.withColumn("_at", F.struct(*by, "_piece"))
 
     sums = pieces.groupBy("_at").agg(*[F.sum(weight).alias(weight) for weight in weights.values()])
-    # One row per piece: without groups this window holds as many rows as there are pieces.
-    group = [F.col("_at")[name] for name in by]
-    before = Window.partitionBy(*group).orderBy("_at._piece")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        "_at",
-        *[
-            F.coalesce(F.sum(weight).over(before), F.lit(0)).alias(f"_start_{name}")
-            for name, weight in weights.items()
-        ],
-    )
+    starts = _starts(sums, by, list(weights.values()), chunk is not None, pieces_at_once)
     inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counted = pieces.select(
         "_at",
@@ -65,7 +59,37 @@ def running_totals(
     )
     return counted.join(starts, "_at").select(
         *df.columns,
-        *[(F.col(f"_start_{name}") + F.col(f"_inside_{name}")).alias(name) for name in weights],
+        *[
+            (F.col(f"_start_{weight}") + F.col(f"_inside_{name}")).alias(name)
+            for name, weight in weights.items()
+        ],
+    )
+
+
+def _starts(
+    sums: DataFrame, by: Sequence[str], weights: Sequence[str], named: bool, pieces_at_once: int
+) -> DataFrame:
+    """``_at`` and, per weight, its sum over the earlier pieces of the group as ``_start_...``.
+
+    ``named``: the pieces are those of the caller, of any number. Ranges are as many as there are
+    partitions and need no look at their number.
+    """
+    group = [F.col("_at")[name].alias(f"_group_{at}") for at, name in enumerate(by)]
+    if named:
+        sums = stage(sums, "piece-sums")
+        most = sums.groupBy(*group).count().agg(F.max("count").alias("n_pieces")).first().n_pieces or 0
+        if most > pieces_at_once:
+            keys = [F.col("_at").alias("_held"), F.col("_at._piece").alias("_order"), *group]
+            totals = {f"_start_{weight}": F.col(weight) for weight in weights}
+            placed = running_totals(
+                sums.select(*keys, *weights), ["_order"], totals, [f"_group_{at}" for at in range(len(by))]
+            )
+            return placed.select(F.col("_held").alias("_at"), *totals)
+    before = Window.partitionBy(*[F.col("_at")[name] for name in by]).orderBy("_at._piece")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        "_at",
+        *[F.coalesce(F.sum(weight).over(before), F.lit(0)).alias(f"_start_{weight}") for weight in weights],
     )
 
 
