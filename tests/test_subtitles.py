@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -175,3 +176,13 @@ def test_deck_from_files(spark, tmp_path):
 def test_strip_white(spark):
     df = spark.createDataFrame([(" a\tb\r\nc\u00a0",)], "t STRING")
     assert df.select(strip_white(F.col("t"))).first()[0] == "abc\u00a0"
+
+
+def test_open_tags_cost_linear_time(spark):
+    """200,000 times ``<`` in a line, with and without a tag at its start and a ``>`` in the next line."""
+    line = "<i>one</i> " + "<b two " * 200_000
+    df = spark.createDataFrame([(line + "\n> three <u>four",)], "text STRING")
+    began = time.monotonic()
+    words = df.select(F.explode(split_words(clean_subtitle(F.col("text")))).alias("w")).groupBy("w").count().collect()
+    assert time.monotonic() - began < 30
+    assert {r.w: r["count"] for r in words} == {"one": 1, "b": 200_000, "two": 200_000, "three": 1, "four": 1}

@@ -41,7 +41,8 @@ def clean_subtitle(text: Column) -> Column:
     text = F.regexp_replace(text, r"\n([0-9]++)(?=\n)", "\n$1" + _MARK)
     text = F.regexp_replace(text, rf"{_MARK}\n[^\n{_MARK}]*+", "")
     text = F.regexp_replace(text, r"\n[^\n]*?-->[^\n]*+", "")
-    text = F.regexp_replace(text, r"<[^>\n]*+>", "")
+    # A "<" without ">" takes the rest of its line along and puts it back, so that a line is read twice at most.
+    text = F.regexp_replace(text, r"<[^>\n]*+>|(<[^>\n]*+)", "$1")
     text = F.regexp_replace(text, r"\n[ \t\x0B\f\r]*+(?=\n|\z)", "")
     return _word_characters(F.substr(text, F.lit(2)))
 
