@@ -1,7 +1,8 @@
 """Training-data pipeline over the documents: its stages, in order.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read again as the next stage's
-documents. All but the last return the columns of ``documents``.
+documents. All but the last return the columns of ``documents``. Null and empty texts are scored as empty by the first
+stage, pass the others as they are and are packed as the end id alone; a stage without rows gives none.
 """
 
 from __future__ import annotations

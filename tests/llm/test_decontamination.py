@@ -115,3 +115,15 @@ def test_a_passage_in_very_many_documents_and_a_long_text(spark):
     benchmark = spark.createDataFrame([(7, passage)], "item_id long, text string")
     found = decontaminate(docs, benchmark).collect()
     assert all(r["items"] == ["7"] and sum(s.stop - s.start for s in r.spans) == 12 for r in found)
+
+
+def test_cleaning_keeps_null_and_empty_texts(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, None, "s"), (2, "", "s"), (3, passage, "s"), (4, f"x {passage} y", "s"), (4, f"x {passage} y", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    items = spark.createDataFrame([("i", passage), (None, None)], "item_id string, text string")
+    found = clean_documents(docs, items).collect()
+    assert sorted((r.doc_id, r.text if r.text is None else r.text.split()) for r in found) == [
+        (1, None), (2, []), (4, ["x", "y"]), (4, ["x", "y"])]
+    assert clean_documents(docs.limit(0), items).count() == 0
+    assert sorted(map(str, clean_documents(docs, items.limit(0)).collect())) == sorted(map(str, docs.collect()))

@@ -194,7 +194,7 @@ def decontaminate(
     ``spans``: merged word spans (stop exclusive) that occurrences of an item's windows cover; ``items``: names
     of the items that occur, sorted as strings; ``cleaned``: the text without those spans. An item of fewer than ``window`` words
     is one window; null and empty items, like null and empty texts, have none. Items without a name count for spans
-    only; repeated items and rows are taken as they are. The benchmark is searched in blocks of ``block_words``
+    only; repeated items and rows are taken as they are. An empty table gives no rows; without items nothing is hit. The benchmark is searched in blocks of ``block_words``
     words; every block but the last is a narrow pass whose rows are staged. No shuffle of documents, no limit on items or occurrences.
     """
     empty = F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
@@ -211,7 +211,11 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW_WORDS) -> DataFrame:
-    """The rows of ``docs`` with cleaned texts; rows of which only removed spans are left go. Columns stay as they are."""
+    """The rows of ``docs`` with cleaned texts; rows of which only removed spans are left go. Columns stay as they are.
+
+    Null and empty texts stay, as rows without a hit do; repeated rows are cleaned each for itself. An empty table gives no
+    rows, and an empty benchmark leaves all as they are.
+    """
     found = decontaminate(rest_and_text(docs, text_col), benchmark, id_col="rest", window=window, with_text=True)
     hit = F.size("spans") > 0
     left = found.where(~hit | F.col("cleaned").rlike(WORD.pattern))

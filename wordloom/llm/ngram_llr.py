@@ -145,7 +145,7 @@ def quality_rules(
 
     One row per document. ``kept``: the base rules hold and ``ratio`` is at least ``threshold``; a tie is kept. Null and
     empty texts fail the base rules; without trusted documents every ratio is 0; repeated rows get the same result;
-    other columns are not read.
+    an empty table gives no rows; texts of any length are read whole; other columns are not read.
     """
     weights = bin_weights(count_bins(docs, trusted, id_col, text_col, trusted_id_col, bins, broadcast_bytes), bins, prior)
     rows = keyed_text(docs, id_col, text_col)

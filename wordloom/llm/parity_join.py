@@ -254,7 +254,8 @@ def near_duplicates(
     ``n_shingles``: distinct shingles of five words (``SHINGLE_WORDS``), by 64-bit hashes. ``component_id``: the smallest id that links
     reach, where two documents link when 5 x intersection >= 4 x union (``SHARE``). Null, empty and blank texts link with
     nothing and have their own id. Repeated rows and equal sets are one class. A row without an id belongs to the class of its set, as
-    far as rows with an id have that set. Other columns are not read. No link is lost: see ``parity_sketch.block_keys``.
+    far as rows with an id have that set. An empty table gives no rows. Texts of any length are cut into shingles whole.
+    Other columns are not read. No link is lost: see ``parity_sketch.block_keys``.
     """
     rows = keyed_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     known = stage(described(rows), "sets")
@@ -327,7 +328,7 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` without those that have a near-duplicate with a smaller id. Columns stay as they are.
 
     Rows without an id stay. Of rows that repeat an id and a text one stays; an id with several texts goes only when all
-    of them go.
+    of them go. Null and empty texts stay. An empty table gives no rows.
     """
     found = stage(near_duplicates(docs, id_col, text_col).where("doc_id is not null"), "classes-of-documents")
     apart = (F.col("doc_id") != F.col("component_id")).cast("int")

@@ -138,7 +138,7 @@ def scan_licences(
     ``places``: every place of a base phrase as ``(start, label)``, by start. ``notices``: labels of the templates found with
     the share of their words that stand in place. Two passes over the texts; between them only the frequencies of
     the templates' words (a few hundred at most) come together. Null and empty texts have no words; repeated rows
-    are scanned each for itself; other columns are not read. A template's rarest words are chosen by (frequency, word, place).
+    are scanned each for itself; an empty table gives no rows; other columns are not read. A template's rarest words are chosen by (frequency, word, place).
     No notice is lost for others in the same text or for its length: each template has postings of its own.
     """
     vocabulary = sorted({w for _, text, _ in templates for w in ascii_words(text.encode())})

@@ -241,14 +241,19 @@ def train_quality_rules(
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score``: one row per document, in one narrow pass.
 
-    Null texts are scored as empty; repeated rows get the same score; other columns are not read.
+    Null texts are scored as empty; repeated rows get the same score; an empty table gives no rows; texts of any
+    length are read whole; other columns are not read.
     """
     rows = keyed_text(docs, id_col, text_col)
     return made_once(with_statistics(rows).select(F.col("id").alias("doc_id"), model.column().alias("score")), "score")
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts score at least ``threshold``, as they are; no join and no shuffle."""
+    """The rows of ``docs`` whose texts score at least ``threshold``, as they are; no join and no shuffle.
+
+    Null texts are scored as empty; a score at the threshold stays; repeated rows stay or go together; an empty table
+    gives no rows.
+    """
     rows = whole_rows(docs, text_col).withColumnRenamed("row", "id")
     scored = made_once(with_statistics(rows).select("id", model.column().alias("score")), "score")
     return scored.where(F.col("score") >= threshold).select("id.*")

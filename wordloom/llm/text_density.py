@@ -333,7 +333,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``page_id, url, text, threshold``: one row per page row, ids and urls as they are.
 
     Null, empty and markup-free pages: null and empty give an empty text, plain text is one block.
-    Repeated rows are extracted each for itself; other columns are not read. Narrow: no shuffle.
+    Repeated rows are extracted each for itself; an empty table gives no rows; other columns are not read. Narrow: no
+    shuffle; a task holds the nodes of one page at a time, and no text is cut.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.col("html").cast("string"))
 

@@ -222,6 +222,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     Null payloads are empty. Rows that repeat the largest id with the same payload all stay responses; a null id
     refers to the largest one, and where all ids are null none is a revisit. Only (digest, id) is grouped; the
     pages meet the few digests that occur twice in a join that Spark can split where one payload is frequent.
+    An empty table gives no rows.
     """
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col)
@@ -287,6 +288,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     ``payload_digest`` are those of the full payload, for revisits too. Fields that a record lacks are null; numbers
     are any of 64 bits. A header has no greatest length: it is held in memory as the payload is.
     An archive is read by one task, record by record; ``path`` rows are dealt out over all tasks.
+    Without paths there are no rows; an archive without a byte has none.
     """
     names = [x.split()[0] for x in READ_TYPES.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
