@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -103,3 +104,22 @@ def test_all_pages(spark):
     source = {r.page_id: r.html for r in pages.collect()}
     found = {r.page_id: r.text for r in extract_main_text(pages).collect()}
     assert found == {k: by_template(v) for k, v in source.items()}
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 20000, "<a " * 40000, "<b>" * 20000 + "<h2>" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<script>" + "</script " * 40000, "<li>" + "<b>" * 20000 + "<h2>" * 20000],
+)
+def test_tags_that_do_not_end_take_linear_time(page):
+    def taken(times):
+        start = time.perf_counter()
+        main_text(page * times)
+        return time.perf_counter() - start
+
+    taken(1)
+    assert taken(4) < 8 * max(taken(1), 0.1)
+
+
+def test_what_stands_after_the_last_tag():
+    assert main_text("<p>a</p>b <c d")[0] == "a\nb"
+    assert main_text("<p>a</p>b < c <!-- d")[0] == "a\nb < c"

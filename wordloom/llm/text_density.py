@@ -51,6 +51,7 @@ CLOSED_BY = {
     "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")),
 }
 SCOPES = frozenset("ul ol dl table select body article section div td th main".split())
+FENCES = frozenset(("article", "main", "table"))
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -58,6 +59,7 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
+OPENED = re.compile(r"<!--|<!\[CDATA\[")
 UNFINISHED = re.compile(r"<[/!a-zA-Z][^>]*\Z")
 
 
@@ -105,11 +107,19 @@ class Page:
         self.texts: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.void_tags: dict[int, int] = {}
         self.stack = [0]
+        # Depths in the stack: of each tag, of blocks, of fences, and of what can end or shield an implied end.
+        self.open_tags: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.fences: list[int] = []
+        self.implied: list[int] = []
         at, size = 0, len(source)
+        last = source.rfind(">")  # no tag ends beyond it
         while at < size:
-            found = TAG.search(source, at)
+            found = TAG.search(source, at) if at <= last else None
             if found is None:
-                self.text(UNFINISHED.sub("", source[at:]))
+                rest = max(at, last + 1)
+                opened = OPENED.search(source, rest)
+                self.text(source[at : opened.start()] if opened else source[at:rest] + UNFINISHED.sub("", source[rest:]))
                 break
             if found.start() > at:
                 self.text(source[at : found.start()])
@@ -122,7 +132,7 @@ class Page:
             else:
                 self.open(tag, found[3])
                 if tag in RAW:
-                    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at, last + 1)
                     at = close.end() if close else size
                     self.close(tag)
         while self.stack:
@@ -183,9 +193,22 @@ class Page:
         if not self.dropped[node]:
             self.texts.append((node, html.unescape(raw) if "&" in raw else raw))
 
+    def marks(self, tag: str) -> list[list[int]]:
+        """The lists of depths that an element of this tag stands in."""
+        held = [self.open_tags.setdefault(tag, [])]
+        if tag in BLOCK:
+            held.append(self.blocks)
+        if tag in FENCES:
+            held.append(self.fences)
+        if tag == "p" or tag in CLOSED_BY or tag in SCOPES:
+            held.append(self.implied)
+        return held
+
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             node = self.stack.pop()
+            for depths in self.marks(self.tags[node]):
+                depths.pop()
             self.ends[node] = len(self.tags)
             if self.tags[node] in BLOCK and not self.dropped[node]:
                 self.texts.append((self.parents[node], None))
@@ -201,7 +224,7 @@ class Page:
             if tag in BLOCK and not self.dropped[parent]:
                 self.texts.append((parent, None))
             return
-        in_article = any(self.tags[n] in ("article", "main") for n in self.stack)
+        in_article = bool(self.open_tags.get("article") or self.open_tags.get("main"))
         gone, frame = unwanted(tag, attributes, in_article)
         drop = self.dropped[parent] or gone
         self.tags.append(tag)
@@ -211,12 +234,16 @@ class Page:
         self.ends.append(0)
         if tag in BLOCK and not self.dropped[parent]:
             self.texts.append((parent, None))
+        for depths in self.marks(tag):
+            depths.append(len(self.stack))
         self.stack.append(len(self.tags) - 1)
 
     def end_implied(self, tag: str) -> None:
         """A block ends an open paragraph; a list item or a cell ends the one before it."""
         closing = CLOSED_BY.get(tag, frozenset())
-        for depth in range(len(self.stack) - 1, 0, -1):
+        at = len(self.implied) - 1
+        while at >= 0:
+            depth = self.implied[at]
             name = self.tags[self.stack[depth]]
             if name == "p" and tag != "br" or name in closing:
                 self.pop_to(depth)
@@ -224,17 +251,17 @@ class Page:
                     return
             elif name in SCOPES:
                 return
+            at -= 1
 
     def close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            name = self.tags[self.stack[depth]]
-            if name == tag:
-                self.pop_to(depth)
-                return
-            if name in BLOCK and tag not in BLOCK:
-                return  # an inline end tag does not end the block around it
-            if name in ("article", "main", "table") and tag not in ("html", "body", "article", "main", "table", "div", "section"):
-                return
+        depth = (self.open_tags.get(tag) or [0])[-1]
+        if not depth:
+            return
+        if tag not in BLOCK and self.blocks and self.blocks[-1] > depth:
+            return  # an inline end tag does not end the block around it
+        if self.fences and self.fences[-1] > depth and tag not in ("article", "main", "table", "div", "section"):
+            return
+        self.pop_to(depth)
 
 
 def density(chars: int, linked: int, tags: int, linked_tags: int, body_link_share: float) -> float:
