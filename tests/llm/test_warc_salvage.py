@@ -61,6 +61,34 @@ def test_records_that_are_not_compressed():
     assert pages_found(plain[0] + wrong + plain[2]) == [0, 2]
 
 
+def test_wrong_lengths_are_not_read():
+    class Counting(io.BytesIO):
+        n_read = 0
+
+        def read(self, size=-1):
+            found = super().read(size)
+            Counting.n_read += len(found)
+            return found
+
+    plain = [zlib.decompress(record(i, b"x" * 900), 31) for i in range(3000)]
+    wrong = [p.replace(b"Content-Length: ", b"Content-Length: 99999") if i % 3 else p for i, p in enumerate(plain)]
+    data = b"".join(wrong) * 4
+    assert pages_found(data) == [i for i in range(3000) if i % 3 == 0] * 4
+    sum(1 for _ in salvage(Counting(data)))
+    assert Counting.n_read < 1.1 * len(data)
+
+
+def test_headers_across_the_end_of_the_buffer():
+    plain = [zlib.decompress(record(i, b"x" * 900), 31) for i in range(3000)]
+    assert pages_found(b"".join(plain)) == list(range(3000))
+
+
+def test_names_of_an_object_store():
+    from wordloom.llm.warc_salvage import _file_system
+
+    assert _file_system("s3a://bucket/a/b.warc")[1] == "bucket/a/b.warc"
+
+
 def test_digest_is_checked():
     bad = page_record(1, None, b"body", "0" * 40, None)
     found = list(salvage(io.BytesIO(bad + record(2, b"x"))))

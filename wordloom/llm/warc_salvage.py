@@ -32,6 +32,7 @@ MAX_LONG = (1 << 63) - 1
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+SIGN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -97,7 +98,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class Window:
-    """A stream seen through a buffer; ``pos`` is the place in it, ``at`` that in the stream."""
+    """A seekable stream seen through a buffer; ``pos`` is the place in it, ``at`` that in the stream."""
 
     def __init__(self, stream) -> None:
         self.stream, self.base, self.pos, self.data, self.ended = stream, 0, 0, b"", False
@@ -110,12 +111,32 @@ class Window:
     def left(self) -> int:
         return len(self.data) - self.pos
 
+    def fill(self, wanted: int) -> bool:
+        """Read until ``wanted`` bytes are left, in one copy; whether anything came."""
+        parts, size = [], self.left
+        while size < wanted and not self.ended:
+            block = self.stream.read(READ_BYTES)
+            self.ended = not block
+            if block:
+                parts.append(block)
+                size += len(block)
+        if parts:
+            self.base, self.data, self.pos = self.at, b"".join([self.data[self.pos :], *parts]), 0
+        return bool(parts)
+
     def more(self) -> bool:
-        block = b"" if self.ended else self.stream.read(READ_BYTES)
-        self.ended = not block
-        if block:
-            self.base, self.data, self.pos = self.at, self.data[self.pos :] + block, 0
-        return not self.ended
+        """Read on, at least as much as is left, so that a long record is copied a few times only."""
+        return self.fill(max(2 * self.left, self.left + READ_BYTES))
+
+    def peek(self, ahead: int, size: int) -> bytes:
+        """Bytes that far ahead, without those between."""
+        if ahead + size <= self.left or self.ended:
+            return self.data[self.pos + ahead : self.pos + ahead + size]
+        here = self.stream.tell()
+        self.stream.seek(self.at + ahead)
+        found = self.stream.read(size)
+        self.stream.seek(here)
+        return found
 
 
 def member_at(window: Window) -> tuple[bytes, int]:
@@ -154,26 +175,26 @@ def header_length(window: Window) -> int:
 
 
 def plain_at(window: Window) -> tuple[tuple[dict, bytes], int]:
-    """A record that is not compressed."""
-    while window.left < 10 and window.more():
-        pass
+    """A record that is not compressed; its end is looked at first, so that a wrong length has nothing read."""
+    window.fill(10)
     if not VERSION_LINE.match(window.data, window.pos):
         raise Damaged("no version line")
-    head = window.data[window.pos : window.pos + header_length(window)]
+    size = header_length(window)  # may read on, which moves the buffer
+    head = window.data[window.pos : window.pos + size]
     found = re.search(rb"(?i)\r\ncontent-length[ \t]*:[ \t]*(\d{1,15})[ \t]*(?:\r\n|$)", head)
     need = len(head) + 8 + (int(found[1]) if found else 0)
-    while window.left < need and window.more():
-        pass
+    if window.peek(need - 4, 4) != b"\r\n\r\n":
+        raise Damaged("record end is missing")
+    window.fill(need)
     fields, block, length = parse_record(window.data[window.pos : window.pos + need])
     return (fields, block), length
 
 
 def salvage(stream) -> Iterator[tuple]:
-    """``("record", start, end, fields, block)`` and ``("gap", start, end, reason, None)`` in the archive's order."""
+    """``("record", start, end, fields, block)`` and ``("gap", start, end, reason, None)`` in the order of a seekable archive."""
     window, gap = Window(stream), None
     while window.left or window.more():
-        while window.left < len(MAGIC) and window.more():
-            pass
+        window.fill(len(MAGIC))
         try:
             if window.data.startswith(MAGIC, window.pos):
                 content, used = member_at(window)
@@ -199,9 +220,9 @@ def next_place(window: Window) -> None:
     """Go on to the next place that looks like a gzip member or a version line, or to the end."""
     window.pos += 1
     while True:
-        places = [p for p in (window.data.find(MAGIC, window.pos), window.data.find(b"WARC/1.", window.pos)) if p >= 0]
-        if places:
-            window.pos = min(places)
+        found = SIGN.search(window.data, window.pos)
+        if found:
+            window.pos = found.start()
             return
         window.pos = max(window.pos, len(window.data) - 6)  # a sign may be cut by the buffer's end
         if not window.more():
@@ -213,6 +234,8 @@ def next_place(window: Window) -> None:
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a Hadoop-style address; ``s3a:`` and ``s3n:`` are the names Hadoop has for ``s3:``."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     return pafs.FileSystem.from_uri(uri if re.match(r"[a-z][a-z0-9+.-]*:/", uri) else f"file://{uri}")
 
 
@@ -317,7 +340,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, name = _file_system(path)
                 rows, size = [], 0
-                with system.open_input_stream(name, compression=None) as stream:
+                with system.open_input_file(name) as stream:
                     for found in salvage(stream):
                         rows.append(row(path, found))
                         size += len(found[4] or b"")
