@@ -127,6 +127,14 @@ def test_stripes_add_up_to_their_prefix(spark):
     assert found == {"a": {"b": 2, "": 3}, "b": {"a": 2}}
 
 
+def test_stripes_without_rests_keep_what_follows(spark):
+    docs = [("en", "a b a c. a b a"), ("en", "a")]
+    df = spark.createDataFrame(docs, "lang STRING, text STRING").coalesce(1)
+    allowed = phrase_filter(spark.createDataFrame([("en", "a"), ("en", "b")], "lang STRING, phrase STRING"), 1)
+    found = {x.prefix: x.stripe for r in local_stripes(df, 2, allowed, rests=False).collect() for x in r.stripes}
+    assert found == {"a": {"b": 2}, "b": {"a": 2}}
+
+
 def test_best_of_each_language(spark):
     docs = corpus(6, 200)
     df = spark.createDataFrame(docs, "lang STRING, text STRING")

@@ -1,11 +1,11 @@
 """Phrases whose words stand together more often than chance has it, mined with stripes.
 
-A stripe is the counter of what follows one prefix: next word to number of times. What follows the prefix at
-a break, or is too rare to matter, counts under the empty word, so that a stripe adds up to all occurrences of
-its prefix. Tasks count stripes over the texts; Spark merges those of one prefix elementwise. Prefixes grow by
-a word from pass to pass, and a pass looks only at phrases both ends of which are frequent already. The merged
-stripes then hold everything: extensions are their entries, frequencies of parts their sums, and the largest
-extension of a phrase, to the right or left, is a maximum over entries.
+A stripe is the counter of what follows one prefix: next word to number of times. Tasks count stripes over the
+texts; Spark merges those of one prefix elementwise. Prefixes grow by a word from pass to pass, and a pass looks
+only at phrases both ends of which are frequent already. The merged stripes then hold everything: extensions are
+their entries, the total of a prefix is its own entry in the stripe of the prefix a word shorter, that of the
+empty prefix the sum of its stripe (rare words count there under the empty word), and the largest extension of a
+phrase, to the right or left, is a maximum over entries.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def _prefixes(words: Words, tokens: list[bytes], level: int) -> list[np.ndarray]
     return [c[at] for c in columns]
 
 
-def _count_slice(words: Words, tokens: list[bytes], level: int, ends: np.ndarray | None, pairs: np.ndarray | None) -> None:
+def _count_slice(words: Words, tokens: list[bytes], level: int, ends: np.ndarray | None, pairs: np.ndarray | None, rests: bool) -> None:
     """Count what follows each prefix of ``level - 1`` words that ``ends`` holds."""
     columns = _prefixes(words, tokens, level)
     if level == 1:
@@ -209,6 +209,9 @@ def _count_slice(words: Words, tokens: list[bytes], level: int, ends: np.ndarray
         columns[-1] = np.where((columns[-1] > 0) & words.passes(ends, spelled[1:]), columns[-1], 0)
     if pairs is not None:
         columns[-1] = np.where((columns[-1] > 0) & words.passes(pairs, spelled), columns[-1], 0)
+    if not rests:
+        followed = columns[-1] > 0
+        columns = [c[followed] for c in columns]
     if len(columns[0]):
         words.add(*counted(_pack(columns), np.ones(len(columns[0]), np.int64)))
 
@@ -275,15 +278,20 @@ def count_stripes(
     pairs: bytes | None = None,
     slice_bytes: int = SLICE_BYTES,
     known_words: int = KNOWN_WORDS,
+    rests: bool = True,
 ) -> Iterator[pa.RecordBatch]:
-    """Stripes of batches of ``lang, text`` without nulls; memory is bounded by the two limits."""
+    """Stripes of batches of ``lang, text`` without nulls; memory is bounded by the two limits.
+
+    With ``rests``, what follows a prefix at a break or is too rare counts under the empty word, so that each stripe adds
+    up to all occurrences of its prefix; without, such words are left out, except after the empty prefix.
+    """
     allowed, ends, pairs = _map(allowed), _map(ends), _map(pairs)
     tables: dict[str, Words] = {}
     for lang, tokens, more in _spoken(batches, slice_bytes):
         words = tables.get(lang) or tables.setdefault(lang, Words(lang, allowed))
         if not more:
             words.tail = np.zeros(level - 1, np.int64)
-        _count_slice(words, tokens, level, ends, pairs)
+        _count_slice(words, tokens, level, ends, pairs, rests)
         if sum(map(len, tables.values())) > known_words or (words.counts and len(words.counts[0]) > PENDING):
             tail = [words.spelled[i] for i in words.tail.tolist()]
             for name in list(tables):
@@ -329,20 +337,23 @@ def count_pairs(batches: Iterator[pa.RecordBatch], allowed: bytes, slice_bytes:
     yield from rows()
 
 
-def local_stripes(docs: DataFrame, level: int, allowed: bytes | None = None, ends: bytes | None = None, pairs: bytes | None = None) -> DataFrame:
+def local_stripes(docs: DataFrame, level: int, allowed: bytes | None = None, ends: bytes | None = None, pairs: bytes | None = None, rests: bool = True) -> DataFrame:
     """``lang, bucket, stripes``: what follows the prefixes of ``level - 1`` words, as each task counts it."""
     sent = docs.sparkSession.sparkContext.broadcast((allowed, ends, pairs))  # bitmaps of FILTER_BITS
-    return map_batches(docs, lambda batches: count_stripes(batches, level, *sent.value), "lang string, bucket int, stripes array<struct<prefix:string,stripe:map<string,bigint>>>")
+    return map_batches(docs, lambda batches: count_stripes(batches, level, *sent.value, rests=rests), "lang string, bucket int, stripes array<struct<prefix:string,stripe:map<string,bigint>>>")
 
 
-def merged_stripes(local: DataFrame, min_count: int) -> DataFrame:
-    """``lang, prefix, next, n``: the stripes of all tasks added elementwise; rare next words go to the empty one.
+def merged_stripes(local: DataFrame, min_count: int, level: int) -> DataFrame:
+    """``lang, prefix, next, n``: the stripes of all tasks added elementwise, without rare next words.
 
+    In the stripe of the empty prefix (level 1) those go to the empty word instead, so that it adds up to all words.
     Stripes are dealt out by buckets of prefix and part, so that a long one spreads; adding up needs no other shuffle.
     """
     held = local.repartition("lang", "bucket").select("lang", "bucket", F.explode("stripes").alias("held"))
     entries = held.select("lang", "bucket", F.col("held.prefix").alias("prefix"), F.explode("held.stripe").alias("next", "n"))
     added = entries.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("n").alias("n"))
+    if level > 1:
+        return added.where(F.col("n") >= min_count).drop("bucket")
     folded = F.when(F.col("n") >= min_count, F.col("next")).otherwise("")
     return added.groupBy("lang", "prefix", folded.alias("next")).agg(F.sum("n").alias("n"))
 
@@ -354,7 +365,7 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min
     levels: list[DataFrame] = []
     allowed = ends = pairs = None
     for level in range(1, max_words + 1):
-        levels.append(stage(merged_stripes(local_stripes(rows, level, allowed, ends, pairs), min_count), f"stripes-{level}"))
+        levels.append(stage(merged_stripes(local_stripes(rows, level, allowed, ends, pairs, rests=False), min_count, level), f"stripes-{level}"))
         frequent = phrases_of(levels[-1])
         if level == max_words or frequent.isEmpty():
             break
@@ -403,7 +414,6 @@ def collocations(
     if max_words < 2 or min_count < 1 or filter_bits < 1 << 15 or filter_bits & (filter_bits - 1):
         raise ValueError("max_words must be 2 or more, min_count 1 or more, filter_bits a power of two from 32768")
     levels = stripes(docs, lang_col, text_col, min_count, max_words, filter_bits)
-    totals = _union(levels).groupBy("lang", "prefix").agg(F.sum("n").alias("total"))
     sizes = [phrases_of(each).withColumn("size", F.lit(i)) for i, each in enumerate(levels, 1)]
     if len(sizes) == 1:
         sizes.append(sizes[0].where("false"))
@@ -417,9 +427,10 @@ def collocations(
     alone = found.join(most, ["lang", "phrase"], "left").where(F.col("most").isNull() | (F.col("most") < F.col("n")))
     cuts = alone.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("words", 1, F.col("k")), " ").alias("first"), F.expr("array_join(slice(words, k + 1, size(words) - k), ' ')").alias("rest"))
-    left = totals.select("lang", F.col("prefix").alias("first"), F.col("total").alias("l"))
-    right = totals.select("lang", F.col("prefix").alias("rest"), F.col("total").alias("r"))
-    words = totals.where("prefix = ''").select("lang", F.col("total").alias("n"))
+    totals = _union(sizes)  # both parts of a frequent phrase are frequent, hence entries of stripes themselves
+    left = totals.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
+    right = totals.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
+    words = levels[0].groupBy("lang").agg(F.sum("n").alias("n"))
     known = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(words, "lang")
     wide = {c: f"CAST({c} AS DECIMAL(19, 0))" for c in ("a", "n", "l", "r")}
     score = F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {wide['a']} * {wide['n']}) div ({wide['l']} * {wide['r']})")
