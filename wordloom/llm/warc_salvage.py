@@ -233,9 +233,13 @@ def next_place(window: Window) -> None:
 # ---- jobs
 
 
+def arrow_address(uri: str) -> str:
+    """A Hadoop-style address under the name that Arrow knows: Hadoop's ``s3a:`` and ``s3n:`` are its ``s3:``."""
+    return re.sub(r"^s3[an]:", "s3:", uri)
+
+
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a Hadoop-style address; ``s3a:`` and ``s3n:`` are the names Hadoop has for ``s3:``."""
-    uri = re.sub(r"^s3[an]:", "s3:", uri)
+    uri = arrow_address(uri)
     return pafs.FileSystem.from_uri(uri if re.match(r"[a-z][a-z0-9+.-]*:/", uri) else f"file://{uri}")
 
 
