@@ -372,6 +372,20 @@ def test_stream_ingest(spark, tmp_path):
     assert read_table(spark, root, "translation").count() == 4
 
 
+def test_a_stream_clears_what_an_emptied_file_stored(spark, tmp_path):
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
+    write_results(folder)
+    query = start_ingest(spark, str(folder), root, str(tmp_path / "one"))
+    assert query.awaitTermination(120) and read_table(spark, root, "translation").count() == 3
+    stored = {r.source_batch for r in read_table(spark, root, "translation").collect()}
+    emptied = next(f for f in sorted(folder.iterdir()) if any(b.startswith(f.name + "-") for b in stored))
+    emptied.write_bytes(b"")
+    query = start_ingest(spark, str(folder), root, str(tmp_path / "two"), files_per_batch=1)
+    assert query.awaitTermination(120) and query.exception() is None
+    left = {r.source_batch for r in read_table(spark, root, "translation").collect()}
+    assert left == {b for b in stored if not b.startswith(emptied.name + "-")}
+
+
 def test_one_bad_file_does_not_stop_the_stream(spark, tmp_path):
     root = str(tmp_path / "root")
     write_results(tmp_path / "in")

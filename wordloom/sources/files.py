@@ -47,6 +47,13 @@ def list_sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(files, "file STRING").select(source_name(F.col("file")).alias("source_batch"))
 
 
+def empty_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``source_batch`` of the files without a byte."""
+    named = list_sources(spark, path)
+    filled = _binary_files(spark, path).select(source_name().alias("source_batch"))
+    return named.join(filled, "source_batch", "left_anti")
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add ``line_id``, which grows along a block. Call it before any shuffle of the lines."""
     return lines.withColumn("line_id", F.monotonically_increasing_id())
@@ -81,8 +88,7 @@ def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = _binary_files(spark, path).select(source_name().alias("source"), "content")
     texts = files.select("source", F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", "").alias("raw"))
-    named = list_sources(spark, path).select(F.col("source_batch").alias("source"))
-    empty = named.join(files.select("source"), "source", "left_anti").withColumn("raw", F.lit(""))
+    empty = empty_sources(spark, path).select(F.col("source_batch").alias("source"), F.lit("").alias("raw"))
     texts = texts.unionByName(empty)
     return parse_lines(texts, "raw")
 
