@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.words import (
@@ -13,8 +13,8 @@ from wordloom.functions.words import (
 )
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 
-# Width of a cell of neighbours: this many frames, and at least so many places.
-CELL_FRAMES = 2
+# Width of a cell of neighbours: this many times their reach, and at least so many places.
+CELL_FRAMES = 16
 LEAST_CELL = 8
 
 
@@ -53,77 +53,53 @@ def process_words(
     in the order of their places, repeats included. ``(sequence, pos)`` is unique and ``pos`` dense over all entries, the
     untranslated ones included: those are found but do not look.
 
-    Sequences are cut into cells a few times ``neighbours`` wide. Entries near the edges of a cell are copied to the
-    cells beside it, so each cell is gathered once with all that its own entries can see: one exchange, and no join back.
-    A group holds a cell and its edges, however long the sequence.
+    Sequences are cut into cells many times ``neighbours`` wide. Entries near the edges of a cell are copied to the
+    cells beside it, so each entry meets all that it can see in its own cell: one exchange of the bare entries, and no
+    join back. What is compared is read from them behind it. A cell is ordered and gone through with a moving frame, so
+    a task holds the entries of one frame, however long the sequence or the words.
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
     width = max(CELL_FRAMES * neighbours, LEAST_CELL)
-    at = F.col(pos).cast("bigint")
-    listed = entries.select(
+    bare = entries.select(
         F.col(sequence).alias("sequence"),
-        at.alias("at"),
-        F.col("word").alias("word"),
-        all_translations(F.col("translations")).alias("listed"),
+        F.col(pos).cast("bigint").alias("at"),
         F.struct(*(F.col(name) for name in entries.columns)).alias("row"),
     )
-    spelled = listed.select(
+    cell, place = F.expr(f"floor(at / {width})"), F.pmod("at", F.lit(width))
+    beside = F.array_compact(
+        F.array(F.lit(0), F.when(place < neighbours, F.lit(-1)), F.when(place >= width - neighbours, F.lit(1)))
+    )
+    dealt = bare.select("*", F.explode(beside).alias("moved")).withColumn("cell", cell + F.col("moved"))
+    gathered = dealt.repartition("sequence", "cell")
+    word, listed = F.col("row.word"), all_translations(F.col("row.translations"))
+    sketched = gathered.select("*", word.alias("word"), listed.alias("listed")).select(
         "sequence",
+        "cell",
         "at",
-        "word",
         "row",
-        _sketched(F.col("word")).alias("spelled"),
-        F.transform("listed", _sketched).alias("meanings"),
+        # Only its own cell gives an entry back, when it looks around.
+        (F.col("moved") == 0).alias("home"),
         F.coalesce(F.exists("listed", lambda each: each != F.col("word")), F.lit(False)).alias("looks"),
+        F.struct("at", "word", _sketched(F.col("word")).alias("spelled"), F.transform("listed", _sketched).alias("meanings")).alias("own"),
     )
-    cell, place = F.expr(f"floor(at / {width})"), F.pmod("at", F.lit(width))
-    beside = F.array_compact(
-        F.array(cell, F.when(place < neighbours, cell - 1), F.when(place >= width - neighbours, cell + 1))
-    )
-    dealt = spelled.select("*", F.explode(beside).alias("cell"), cell.alias("home"))
-    # Only its own cell gives an entry back, when it looks around.
-    own = (F.col("cell") == F.col("home")) & F.col("looks")
-    seen = F.struct("at", "word", "spelled", "meanings", F.when(own, F.col("row")).alias("row"))
-    cells = dealt.groupBy("sequence", "cell").agg(F.array_sort(F.collect_list(seen), _by_place).alias("seen"))
-    # Of entries with one translation, as most have, no list has to be gone through. Flat arrays are read fastest.
-    only = F.transform("seen", lambda x: F.when(F.size(x["meanings"]) == 1, F.get(x["meanings"], F.lit(0))))
-    flat = cells.select(
-        "seen",
-        F.col("seen.at").alias("ats"),
-        F.transform("seen", lambda x: x["spelled"]["text"]).alias("texts"),
-        F.transform("seen", lambda x: x["spelled"]["bits"]).alias("bits"),
-        F.transform(only, lambda x: x["text"]).alias("only_texts"),
-        F.transform(only, lambda x: x["bits"]).alias("only_bits"),
-    )
-
-    def near(name: str, i: Column, j: Column) -> Column:
-        """Most pairs end at the bits."""
-        bits, texts = F.col(f"{name}bits"), F.col(f"{name}texts")
-        few = F.bit_count(F.get(bits, i).bitwiseXOR(F.get(bits, j))) <= 2 * distance
-        return few & within_distance(F.get(texts, i), F.get(texts, j), distance)
-
-    def similar(one: Column, i: Column) -> Column:
-        frame = F.sequence(F.greatest(i - neighbours, F.lit(0)), F.least(i + neighbours, F.size("ats") - 1))
-
-        def alike(j: Column) -> Column:
-            lone = F.get("only_bits", i).isNotNull() & F.get("only_bits", j).isNotNull()
-            others = F.get("seen", j)["meanings"]
-            meant = F.exists(one["meanings"], lambda mine: F.exists(others, lambda its: _alike(mine, its, distance)))
-            by_meaning = F.when(lone, near("only_", i, j)).otherwise(meant)
-            inside = F.abs(F.get("ats", j) - one["at"]) <= neighbours
-            return (j != i) & (F.coalesce(near("", i, j), F.lit(False)) | F.coalesce(by_meaning, F.lit(False))) & inside
-
-        words = F.transform(F.filter(frame, alike), lambda j: F.get("seen", j)["word"])
-        return F.when(one["row"].isNotNull(), F.struct(one["row"].alias("row"), words.alias("similar_words")))
-
-    given = flat.select(F.explode(F.array_compact(F.transform("seen", similar))).alias("given"))
-    return given.select("given.row.*", "given.similar_words").select(
+    frame = Window.partitionBy("sequence", "cell").orderBy("at").rangeBetween(-neighbours, neighbours)
+    framed = sketched.select("row", "home", "looks", "own", F.collect_list("own").over(frame).alias("seen"))
+    given = framed.filter(F.col("home") & F.col("looks"))
+
+    def similar(its: Column) -> Column:
+        mine = F.col("own.meanings")
+        # Of entries with one translation, as most have, no list has to be gone through.
+        lone = (F.size(mine) == 1) & (F.size(its["meanings"]) == 1)
+        meant = F.exists(its["meanings"], lambda its_one: F.exists(mine, lambda my_one: _alike(my_one, its_one, distance)))
+        by_meaning = F.when(lone, _alike(mine[0], F.get(its["meanings"], F.lit(0)), distance)).otherwise(meant)
+        spelled = F.coalesce(_alike(F.col("own.spelled"), its["spelled"], distance), F.lit(False))
+        return (its["at"] != F.col("own.at")) & (spelled | F.coalesce(by_meaning, F.lit(False)))
+
+    alike = F.filter("seen", similar)
+    return given.select("row.*", F.transform(alike, lambda its: its["word"]).alias("similar_words")).select(
         *(F.col(name) for name in entries.columns),
         "similar_words",
         filled_categories(F.col("translations")).alias("grammar_categories"),
     )
 
-
-def _by_place(left: Column, right: Column) -> Column:
-    return F.signum(left["at"] - right["at"]).cast("int")
