@@ -79,18 +79,18 @@ def with_word_ids(processed: DataFrame, ids: DataFrame, counts: DataFrame) -> Da
     return lookup_join(processed, listed, ["word"], "inner", counts)
 
 
-def _child_sizes() -> dict[str, Column]:
+def _child_sizes(rows: DataFrame) -> dict[str, Column]:
     """Child rows of a processed word, per table."""
     return {
         "translation": F.size(typed_translations(F.col("translations"))),
-        "similar_word": F.size("similar_words"),
+        "similar_word": F.col("n_similar") if "n_similar" in rows.columns else F.size("similar_words"),
         "grammar_category": F.size("grammar_categories"),
     }
 
 
 def number_children(rows: DataFrame, last_ids: dict[str, int]) -> DataFrame:
     """Add the id before each row's first child, per child table, in source and place order."""
-    sizes = _child_sizes()
+    sizes = _child_sizes(rows)
     numbered = running_totals(
         rows,
         ["source_batch", "pos"],
@@ -103,19 +103,44 @@ def number_children(rows: DataFrame, last_ids: dict[str, int]) -> DataFrame:
     return numbered
 
 
+def _apart(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: the processed words with ``n_similar`` for their similar words, and those, a row each.
+
+    A list of similar words holds up to a hundred whole words, however long each is, and a reader takes thousands of
+    rows at once; so no list is stored, shuffled with its word or sorted. A word and its list are one pass.
+    """
+    others = [name for name in processed.columns if name != "similar_words"]
+    first = F.array(F.lit(None).cast("string"))
+    listed = processed.select(
+        *others, F.size("similar_words").alias("n_similar"), F.posexplode(F.concat(first, "similar_words")).alias("place", "similar_word")
+    )
+    # Place 0 stands for the word itself, which is told there only.
+    places = {"source_batch", "pos"}
+    told = [F.col(name) if name in places else F.when(F.col("place") == 0, F.col(name)).alias(name) for name in (*others, "n_similar")]
+    kept = stage(listed.select(*told, "place", "similar_word"), "processed")
+    words = kept.filter(F.col("place") == 0).select(*others, "n_similar")
+    return words, kept.filter(F.col("place") > 0).select("source_batch", "pos", (F.col("place") - 1).alias("at"), F.col("similar_word").alias("item"))
+
+
 def child_rows(
-    numbered: DataFrame, primary_language: int = GERMAN, secondary_language: int = ENGLISH
+    numbered: DataFrame, primary_language: int = GERMAN, secondary_language: int = ENGLISH, similar: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """The rows of the three child tables, from :func:`number_children`. Narrow."""
+    """The rows of the three child tables, from :func:`number_children`. Narrow, but for ``similar``.
+
+    ``similar`` holds the similar words (``source_batch, pos, at, item``) where ``numbered`` has no lists of them.
+    """
     languages = {
         "primary_language": F.lit(primary_language),
         "secondary_language": F.lit(secondary_language),
     }
 
-    def flatten(table: str, items: Column, fields: dict[str, str]) -> DataFrame:
-        exploded = numbered.select(
-            "word_id", "source_batch", f"_{table}_id", F.posexplode(items).alias("at", "item")
-        )
+    def flatten(table: str, items: Column | DataFrame, fields: dict[str, str]) -> DataFrame:
+        if isinstance(items, DataFrame):
+            exploded = items.join(numbered.select("source_batch", "pos", "word_id", f"_{table}_id"), ["source_batch", "pos"])
+        else:
+            exploded = numbered.select(
+                "word_id", "source_batch", f"_{table}_id", F.posexplode(items).alias("at", "item")
+            )
         return exploded.select(
             (F.col(f"_{table}_id") + F.col("at") + 1).alias("id"),
             "word_id",
@@ -131,7 +156,7 @@ def child_rows(
             {"type": "item.type", "translation": "item.translation"},
         ),
         "similar_word": flatten(
-            "similar_word", F.col("similar_words"), {"similar_word": "item"}
+            "similar_word", F.col("similar_words") if similar is None else similar, {"similar_word": "item"}
         ),
         "grammar_category": flatten(
             "grammar_category", F.col("grammar_categories"), {"category": "item"}
@@ -156,7 +181,7 @@ def save_dictionary(
     spark = processed.sparkSession
     with temporary_stages(spark):
         require_languages(spark, root, primary_language, secondary_language)
-        processed = stage(processed, "processed")
+        processed, similar = _apart(processed)
         batches = processed if batches is None else batches
         strange = unknown_categories(processed).take(1)
         if strange:
@@ -176,14 +201,14 @@ def save_dictionary(
         ids = known.unionByName(added.select("id", "word"))
         numbered = stage(number_children(with_word_ids(processed, ids, counts), last), "with-word-ids")
         fixed = {"primary_language": primary_language, "secondary_language": secondary_language}
-        for table, rows in child_rows(numbered, primary_language, secondary_language).items():
+        for table, rows in child_rows(numbered, primary_language, secondary_language, similar).items():
             wanted = {name: fixed[name] for name in PARTITIONS[table] if name in fixed}
             replace_batches(rows, root, table, batches, **wanted)
 
 
 def child_totals(processed: DataFrame) -> DataFrame:
     """``table_name, n_rows`` of the child rows of ``processed``."""
-    sizes = _child_sizes()
+    sizes = _child_sizes(processed)
     totals = processed.agg(
         *[F.coalesce(F.sum(size), F.lit(0)).alias(name) for name, size in sizes.items()]
     )

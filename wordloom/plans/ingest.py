@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.words import known_category
-from wordloom.operators.enrich import process_words
+from wordloom.operators.enrich import drop_untranslated, process_words
 from wordloom.operators.results import (
     entry_rows,
     error_rows,
@@ -62,12 +62,13 @@ def result_words(
     # Parsed once; the words, errors and set-aside rows below read this table.
     routed = stage(route_results(_parsed(lines)), "routed")
     entries = stage(entry_rows(routed), "entry-rows")
-    processed = process_words(stage(word_entries(routed, entries), "entries"), distance, neighbours)
+    numbered = stage(word_entries(routed, entries), "entries")
+    processed = process_words(numbered, distance, neighbours)
     aside = quarantine_rows(routed, entries)
     if unknown_categories == "quarantine":
-        processed = stage(processed, "processed")
         usable = F.forall(F.map_keys("translations"), known_category)
-        strange = processed.filter(~usable).select(
+        # What looks for similar words is known before they are found.
+        strange = drop_untranslated(numbered).filter(~usable).select(
             "source_batch",
             F.lit("category").alias("stage"),
             F.lit("unknown category").alias("reason"),
