@@ -439,3 +439,12 @@ def test_a_save_stages_no_list_of_similar_words(spark, tmp_path, monkeypatch):
     found = dictionary.read_table(spark, root, "similar_word").orderBy("source_batch", "id").collect()
     assert [(row.source_batch, row.word_id, row.similar_word) for row in found] == [("b", 1, "w1"), ("b", 1, "w2"), ("c", 3, "w0")]
     assert len({row.id for row in found}) == 3
+
+
+def test_folders_of_small_batches_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60).select(
+        "id", F.lit(1).cast("bigint").alias("word_id"), F.lit("noun").alias("category"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("source_batch")
+    )
+    sinks.replace_batches(rows, str(tmp_path), "grammar_category", rows, primary_language=12, secondary_language=1)
+    tasks = {file.name.split("-")[1] for file in tmp_path.glob("grammar_category/**/*.parquet")}
+    assert len(tasks) > 1 and read_table(spark, str(tmp_path), "grammar_category").count() == 60

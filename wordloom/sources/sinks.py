@@ -13,6 +13,9 @@ from wordloom.operators.requests import oversized_batches
 from wordloom.schemas import FILLED, MAX_FILE_BYTES, MAX_REQUESTS, PARTITIONS, TABLES
 from wordloom.session import delete_folder, folder_names, path_exists, stage
 
+# Rows of a batch, by their ids, that one task writes.
+ROWS_PER_SLOT = 1 << 18
+
 
 class BatchTooLarge(ValueError):
     """A request batch is beyond the line or byte limit of one file."""
@@ -114,7 +117,11 @@ def replace_batches(
     ``batches`` lists every ``source_batch`` of the run, also those without rows here. Each gets a
     row that only marks it, so that its partition is written anew: nothing that is stored has to be
     listed, read or deleted one by one, however large the table is. ``fixed`` holds the values of the
-    other partition columns. A batch of any size is cut into files of even size before the write.
+    other partition columns.
+
+    Rows are dealt to a fixed number of tasks by their batch and a slot: a run of ``ROWS_PER_SLOT`` ids, or the task the
+    row comes from. So a batch of any size is cut, and many small ones are not left to one task, which would write
+    their folders one after the other.
     """
     path, partitions = table_path(root, table), PARTITIONS[table]
     rows = rows.withColumns({name: F.lit(value) for name, value in fixed.items()})
@@ -123,9 +130,12 @@ def replace_batches(
     marks = batches.select("source_batch").distinct().select(
         *[names.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in wanted.schema]
     )
+    slot = F.expr(f"id div {ROWS_PER_SLOT}") if "id" in wanted.columns else F.spark_partition_id()
+    dealt = wanted.withColumn("_slot", slot.cast("bigint")).unionByName(marks.withColumn("_slot", F.lit(-1).cast("bigint")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        wanted.unionByName(marks)
-        .hint("rebalance", *partitions)
+        dealt.repartition(tasks, *partitions, "_slot")
+        .drop("_slot")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
