@@ -206,3 +206,12 @@ def test_similar_words_hold_one_frame_at_a_time(spark):
     assert "aggregate(" not in below
     sizes = {row.pos: len(row.similar_words) for row in found.collect()}
     assert sizes[0] == 50 and sizes[799] == sizes[800] == sizes[1500] == 100 and sizes[2999] == 50 and len(sizes) == 3000
+
+
+def test_cells_of_few_bytes_are_dealt_to_many_tasks(spark):
+    rows = [("s", at, f"word{at % 7}", {"noun": ["x"]}) for at in range(4000)]
+    entries = spark.createDataFrame(rows, "source_batch STRING, pos BIGINT, word STRING, translations MAP<STRING, ARRAY<STRING>>")
+    found = process_words(entries, 0, 2).withColumn("task", F.spark_partition_id()).filter("pos >= 0").collect()
+    assert len({row.task for row in found}) > 3
+    assert all(len(row.similar_words) == min(2, row.pos) + min(2, 3999 - row.pos) for row in found)
+    assert all(row.similar_words == [] for row in process_words(entries, 3, 0).collect())

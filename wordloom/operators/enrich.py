@@ -16,6 +16,8 @@ from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 # Width of a cell of neighbours: this many times their reach, and at least so many places.
 CELL_FRAMES = 16
 LEAST_CELL = 8
+# Cells are dealt to this many tasks per core.
+TASKS_PER_CORE = 8
 
 
 def drop_untranslated(entries: DataFrame) -> DataFrame:
@@ -35,9 +37,9 @@ def _sketched(text: Column) -> Column:
 
 
 def _alike(left: Column, right: Column, distance: int) -> Column:
-    """Whether two sketched texts are within ``distance``; most pairs end at the bits."""
+    """Whether two sketched texts are within ``distance``; most pairs end at the bits, equal texts before."""
     near = F.bit_count(left["bits"].bitwiseXOR(right["bits"])) <= 2 * distance
-    return near & within_distance(left["text"], right["text"], distance)
+    return (left["text"] == right["text"]) | (near & within_distance(left["text"], right["text"], distance))
 
 
 def process_words(
@@ -55,8 +57,10 @@ def process_words(
 
     Sequences are cut into cells many times ``neighbours`` wide. Entries near the edges of a cell are copied to the
     cells beside it, so each entry meets all that it can see in its own cell: one exchange of the bare entries, and no
-    join back. What is compared is read from them behind it. A cell is ordered and gone through with a moving frame, so
-    a task holds the entries of one frame, however long the sequence or the words.
+    join back. What is compared is read from them behind it. A cell is ordered and gone through with moving frames, so
+    a task holds the entries of one frame, however long the sequence or the words. Likeness holds both ways, so each pair
+    is compared once, by its earlier entry; the later one reads there what was found. Bare entries are few bytes and
+    much work, so the cells are dealt to many tasks whatever their bytes.
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
@@ -71,7 +75,7 @@ def process_words(
         F.array(F.lit(0), F.when(place < neighbours, F.lit(-1)), F.when(place >= width - neighbours, F.lit(1)))
     )
     dealt = bare.select("*", F.explode(beside).alias("moved")).withColumn("cell", cell + F.col("moved"))
-    gathered = dealt.repartition("sequence", "cell")
+    gathered = dealt.repartition(TASKS_PER_CORE * entries.sparkSession.sparkContext.defaultParallelism, "sequence", "cell")
     word, listed = F.col("row.word"), all_translations(F.col("row.translations"))
     sketched = gathered.select("*", word.alias("word"), listed.alias("listed")).select(
         "sequence",
@@ -81,11 +85,10 @@ def process_words(
         # Only its own cell gives an entry back, when it looks around.
         (F.col("moved") == 0).alias("home"),
         F.coalesce(F.exists("listed", lambda each: each != F.col("word")), F.lit(False)).alias("looks"),
-        F.struct("at", "word", _sketched(F.col("word")).alias("spelled"), F.transform("listed", _sketched).alias("meanings")).alias("own"),
+        F.struct("at", "word", _sketched(F.col("word")).alias("spelled"), F.transform(F.array_distinct(F.transform("listed", F.lower)), _sketched).alias("meanings")).alias("own"),
     )
-    frame = Window.partitionBy("sequence", "cell").orderBy("at").rangeBetween(-neighbours, neighbours)
-    framed = sketched.select("row", "home", "looks", "own", F.collect_list("own").over(frame).alias("seen"))
-    given = framed.filter(F.col("home") & F.col("looks"))
+    cells = Window.partitionBy("sequence", "cell").orderBy("at")
+    framed = sketched.withColumn("seen", F.collect_list("own").over(cells.rangeBetween(1, max(neighbours, 1))))
 
     def similar(its: Column) -> Column:
         mine = F.col("own.meanings")
@@ -94,12 +97,17 @@ def process_words(
         meant = F.exists(its["meanings"], lambda its_one: F.exists(mine, lambda my_one: _alike(my_one, its_one, distance)))
         by_meaning = F.when(lone, _alike(mine[0], F.get(its["meanings"], F.lit(0)), distance)).otherwise(meant)
         spelled = F.coalesce(_alike(F.col("own.spelled"), its["spelled"], distance), F.lit(False))
-        return (its["at"] != F.col("own.at")) & (spelled | F.coalesce(by_meaning, F.lit(False)))
-
-    alike = F.filter("seen", similar)
-    return given.select("row.*", F.transform(alike, lambda its: its["word"]).alias("similar_words")).select(
+        return F.lit(neighbours > 0) & (spelled | F.coalesce(by_meaning, F.lit(False)))
+
+    later = F.transform(F.filter("seen", similar), lambda its: F.struct(its["at"].alias("at"), its["word"].alias("word")))
+    compared = framed.select("sequence", "cell", "at", "row", "home", "looks", later.alias("later"))
+    found = F.struct(F.col("row.word").alias("word"), F.col("later.at").alias("found"))
+    met = compared.withColumn("met", F.collect_list(found).over(cells.rangeBetween(-max(neighbours, 1), -1)))
+    given = met.filter(F.col("home") & F.col("looks"))
+    earlier = F.filter("met", lambda its: F.array_contains(its["found"], F.col("at")))
+    alike = F.concat(F.transform(earlier, lambda its: its["word"]), F.col("later.word"))
+    return given.select("row.*", alike.alias("similar_words")).select(
         *(F.col(name) for name in entries.columns),
         "similar_words",
         filled_categories(F.col("translations")).alias("grammar_categories"),
     )
-
