@@ -186,3 +186,14 @@ def test_open_tags_cost_linear_time(spark):
     words = df.select(F.explode(split_words(clean_subtitle(F.col("text")))).alias("w")).groupBy("w").count().collect()
     assert time.monotonic() - began < 30
     assert {r.w: r["count"] for r in words} == {"one": 1, "b": 200_000, "two": 200_000, "three": 1, "four": 1}
+
+
+def test_first_places_are_found_without_sorting_all_words(spark):
+    values = [(high, low) for high in (None, -(1 << 63), -1, 0, (1 << 63) - 1) for low in (None, -(1 << 31), -1, 0, (1 << 31) - 1)]
+    rows = [(*place, f"w{i}") for i in range(len(values)) for place in values[i:]]
+    tokens = spark.createDataFrame(rows, "doc_id BIGINT, rank INT, token STRING")
+    found = distinct_words(tokens, ["doc_id", "rank"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert found.schema.simpleString() == "struct<word:string,doc_id:bigint,rank:int>"
+    assert {tuple(row) for row in found.collect()} == {(f"W{i}", *place) for i, place in enumerate(values)}

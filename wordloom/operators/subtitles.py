@@ -17,6 +17,10 @@ from wordloom.functions.text import (
 )
 from wordloom.operators.lookups import drop_listed
 
+# Fixed values of a packed BIGINT and INT: beyond all values of an INT, and what stands for a missing BIGINT.
+STEP = 1 << 33
+NO_BIGINT = "-9223372036854775809"
+
 
 def subtitle_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per token: the other columns, ``pos`` from 0, ``token``. Narrow, no shuffle.
@@ -39,12 +43,33 @@ def distinct_words(
     most of the rows, reaches the shuffle once per task.
     """
     scope, order = list(scope), list(order)
-    first = (
-        tokens.filter(has_ink(F.col(token)))
-        .groupBy(*scope, F.lower(F.col(token)).alias("_lower"))
-        .agg(F.min(F.struct(*order)).alias("_first"))
-    )
-    return first.select(*scope, capitalise(F.col("_lower")).alias("word"), "_first.*")
+    inked = tokens.filter(has_ink(F.col(token)))
+    keys = [*scope, F.lower(F.col(token)).alias("_lower")]
+    kinds = [tokens.schema[name].dataType.simpleString() for name in order]
+    word = capitalise(F.col("_lower")).alias("word")
+    if kinds != ["bigint", "int"]:
+        first = inked.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+        return first.select(*scope, word, "_first.*")
+    first = inked.groupBy(*keys).agg(F.min(_packed(*order)).alias("_first"))
+    return first.select(*scope, word, *_unpacked(order))
+
+
+def _packed(high: str, low: str) -> Column:
+    """A BIGINT and an INT as one number in the order of both, nulls first.
+
+    The least number of a word is kept in a hash map, which holds each word once; for structs Spark sorts all rows of a task.
+    """
+    first = F.coalesce(F.col(high).cast("decimal(20,0)"), F.lit(NO_BIGINT).cast("decimal(20,0)"))
+    second = F.coalesce(F.col(low).cast("bigint") + (1 << 31) + 1, F.lit(0).cast("bigint"))
+    return first * F.lit(STEP).cast("decimal(10,0)") + second.cast("decimal(10,0)")
+
+
+def _unpacked(order: Sequence[str]) -> list[Column]:
+    rest = F.expr(f"pmod(_first, CAST({STEP} AS DECIMAL(10, 0)))")
+    whole = F.expr(f"(_first - pmod(_first, CAST({STEP} AS DECIMAL(10, 0)))) div CAST({STEP} AS DECIMAL(10, 0))")
+    high = F.when(F.col("_first") >= F.lit(-(1 << 63)).cast("decimal(32,0)") * F.lit(STEP).cast("decimal(10,0)"), whole)
+    low = F.when(rest > 0, (rest.cast("bigint") - (1 << 31) - 1).cast("int"))
+    return [high.alias(order[0]), low.alias(order[1])]
 
 
 def text_words(texts: DataFrame, text: str = "text") -> DataFrame:
