@@ -43,6 +43,29 @@ def test_a_full_table_is_trimmed(monkeypatch):
     assert len(encoder.table.slots) <= 10 + 4 and ids == [TextEncoder(BYTES).whole(x).tolist() for x in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_repeated_piece_is_looked_up_once(path, monkeypatch):
+    looked_up, plain = [], TextEncoder._slots
+    monkeypatch.setattr(TextEncoder, "_slots", lambda self, pieces: looked_up.extend(pieces) or plain(self, pieces))
+    encoder = TextEncoder(path)
+    encoder.encode(["new words"], 5)
+    looked_up.clear()
+    texts = ["new words " * 100 + "new", "", "new\nwords"] * 20
+    ids, starts = encoder.encode(texts, 5)
+    assert len(looked_up) <= 2 * 6
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [[*encoder.whole(x).tolist(), 5] for x in texts]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_only_texts_that_are_cut_nowhere(path):
+    for texts in ([], ["x <| y"], ["", ""], ["a\tb", "a"]):
+        for end in (None, 5):
+            encoder = TextEncoder(path)
+            ids, starts = encoder.encode(texts, end)
+            want = [[*encoder.whole(x).tolist(), *([] if end is None else [end])] for x in texts]
+            assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want
+
+
 def expected(docs):
     plain, start, out = Tokenizer.from_file(BYTES), 0, []
     plain.encode_special_tokens = True

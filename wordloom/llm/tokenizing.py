@@ -1,8 +1,8 @@
 """Whole texts to token ids, with each distinct piece of a text encoded once.
 
-A piece ends where the tokenizer always ends a word: before a space or newline. So the ids of a text
-are those of its pieces, one after the other, and each worker keeps the ids of the pieces it has
-seen. Texts in which that is not certain (other white space, special tokens' strings, a tokenizer of
+A piece ends where the tokenizer always ends a word: before a space or newline, and between a letter
+and a sign. So the ids of a text are those of its pieces, one after the other, and each worker keeps
+the ids of the pieces it has seen. Of a block of texts each distinct piece is looked up once. Texts in which that is not certain (other white space, special tokens' strings, a tokenizer of
 another make) are encoded whole.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import chain, islice, repeat
 
 import numpy as np
+import pyarrow as pa
 
 CACHED_PIECES = 800_000  # per worker; of a full table only the first pieces stay
 KEPT_SHARE = 0.75  # pieces seen early are the frequent ones
@@ -25,6 +26,9 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
 BYTE_LETTERS = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(_HIDDEN)})
 LAST_LATIN = "\u024f"
+_SPACE = BYTE_LETTERS[ord(" ")]
+_LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SIGNS = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 
 
 class PieceTable:
@@ -37,6 +41,7 @@ class PieceTable:
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
+        self.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def trim(self, keep: int) -> None:
         """Forget all but the first ``keep`` pieces."""
@@ -100,22 +105,37 @@ class TextEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text cut where a word always ends, or None where that is not certain."""
+    def certain(self, text: str) -> bool:
+        """Whether the tokenizer surely ends words where ``pieces`` cuts the text."""
         # Not printable are white space but the space, controls and invisible signs; "<|" may begin a special token.
         if not self.kind or "<|" in text or not text.replace("\n", "").isprintable():
-            return None
+            return False
+        return self.kind == "words" or not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n"))
+
+    def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pieces of texts that are certain, the place among them of each piece, and how many each text has."""
+        texts_bytes = [x.encode() for x in texts]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts_bytes])]).astype(np.int64)
+        joined = b"".join(texts_bytes)
+        signs = np.frombuffer(joined, np.uint8)
+        newline = signs == 10
+        first = (signs == 32) | newline
+        first[1:] |= newline[:-1] | (_LETTERS[signs[:-1]] & _SIGNS[signs[1:]])
+        first[starts[starts < len(signs)]] = True
+        cuts = np.append(np.flatnonzero(first), len(signs)).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(joined)).dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.kind == "words":
-            return text.split()
-        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n"):
-            return None
-        return [x for x in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if x]
+            distinct = [x.strip() for x in distinct]
+        return distinct, found.indices.to_numpy(), np.diff(np.searchsorted(cuts, starts))
 
     def one_word(self, piece: str) -> str | None:
         """A piece of Latin letters only, which is one word to the tokenizer, as its model reads it; else None."""
         if self.kind == "words":
             return piece.lower() if piece.isascii() and piece.isalpha() else None
         letters = piece[1:] if piece[0] == " " else piece
+        if piece.isascii():
+            return piece.replace(" ", _SPACE) if letters.isalpha() else None
         return piece.encode().decode("latin-1").translate(BYTE_LETTERS) if letters.isalpha() and max(letters) <= LAST_LATIN else None
 
     def learn_words(self, pieces: list[str]) -> list[str]:
@@ -133,10 +153,7 @@ class TextEncoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Add the ids of pieces that are not in the table."""
-        # A word ends before a full stop or comma: such a piece is the word's ids and one more.
-        ended = {x for x in pieces if x[-1] in ".," and x[-2:-1].isalpha()}
-        plain = pieces - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}
-        new = list(plain.difference(self.table.slots))
+        new = list(pieces.difference(self.table.slots))
         for special in [x for x in new if x.isspace() or x[0] == "\0"]:
             ids = self.whole(special) if special[0] != "\0" else np.array([int(special[1:])], np.uint32)
             self.table.add([special], ids, np.array([len(ids)]))
@@ -152,11 +169,6 @@ class TextEncoder:
                 found = [x.ids for x in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 self.table.add(block, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes)
-        joined = list(ended.difference(self.table.slots))
-        if joined:
-            parts = [y for x in joined for y in (x[:-1], x[-1])]
-            ids, sizes = self.table.ids([self.table.slots[y] for y in parts])
-            self.table.add(joined, ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter(map(self.table.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -164,25 +176,29 @@ class TextEncoder:
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text starts (one more than texts); ``end`` closes each text."""
         closing = [] if end is None else [f"\0{end}"]
-        split = [self.pieces(x) for x in texts]
-        flat = [p for x in split if x is not None for p in chain(x, closing)]
-        slots = self._slots(flat)
+        sure = [self.certain(x) for x in texts]
+        distinct, places, counts = self.pieces([x for x, known in zip(texts, sure, strict=True) if known])
+        distinct += closing
+        slots = self._slots(distinct)
         if len(self.table.slots) + int((slots < 0).sum()) > CACHED_PIECES and len(self.table.slots) > CACHED_PIECES * KEPT_SHARE:
             self.table.trim(int(CACHED_PIECES * KEPT_SHARE))
-            slots = self._slots(flat)
+            slots = self._slots(distinct)
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            lost = [flat[i] for i in missing.tolist()]
+            lost = [distinct[i] for i in missing.tolist()]
             self.learn(set(lost))
             slots[missing] = self._slots(lost)
-        ids, sizes = self.table.ids(slots)
-        counts = [0 if x is None else len(x) + len(closing) for x in split]
+        lasts = np.cumsum(counts)
+        every = slots[places]
+        if closing:
+            every, counts = np.insert(every, lasts, slots[-1]), counts + 1
+        ids, sizes = self.table.ids(every)
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         lengths = np.diff(edges)
-        if None in split:
-            parts = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            for i in [i for i, x in enumerate(split) if x is None]:
-                parts[i] = np.append(self.whole(texts[i]), np.array([] if end is None else [end], np.uint32))
+        if not all(sure):
+            parts = iter([ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+            last = np.array([] if end is None else [end], np.uint32)
+            parts = [next(parts) if known else np.append(self.whole(x), last) for x, known in zip(texts, sure, strict=True)]
             ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts])
         return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
