@@ -135,6 +135,25 @@ def test_stripes_without_rests_keep_what_follows(spark):
     assert found == {"a": {"b": 2}, "b": {"a": 2}}
 
 
+def test_rare_words_send_no_stripes_on(spark):
+    allowed = phrase_filter(spark.createDataFrame([("en", "a"), ("en", "b")], "lang STRING, phrase STRING"), 1)
+    texts = [f"a b rare{i} rarer{i} a b " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": texts})
+    found = [x for rows in count_stripes(iter([batch]), 2, allowed, slice_bytes=64, known_words=30, rests=False) for r in rows.to_pylist() for x in r["stripes"]]
+    assert [(x["prefix"], x["stripe"]) for x in found] == [("a", [("b", 100)])]
+
+
+def test_stripes_do_not_grow_with_the_pieces_of_the_input(spark, monkeypatch):
+    import wordloom.llm.stripes as s
+
+    docs = corpus(7, 400)
+    df = spark.createDataFrame(docs, "lang STRING, text STRING").repartition(64)
+    counted, plain = [], s.local_stripes
+    monkeypatch.setattr(s, "local_stripes", lambda rows, *a, **k: counted.append(rows.rdd.getNumPartitions()) or plain(rows, *a, **k))
+    assert mined(df, min_count=5) == brute(docs, 5, 5)
+    assert counted and max(counted) <= s.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 64
+
+
 def test_best_of_each_language(spark):
     docs = corpus(6, 200)
     df = spark.createDataFrame(docs, "lang STRING, text STRING")

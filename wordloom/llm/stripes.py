@@ -31,6 +31,7 @@ BUCKETS = 1024  # stripes of a language travel in so many rows from each task
 SLICE_BYTES = 4 << 20  # of a text, cut into words at a time
 KNOWN_WORDS = 1 << 19  # per task; beyond, what was counted is sent on and the words are forgotten
 PENDING = 1 << 22  # counted phrases of a task that wait to be merged
+TASKS_PER_CORE = 2  # each sends what it has found; so that grows with the frequent phrases, not also with the tasks
 _PACKED = 3  # ids of 21 bits in one integer
 _CELL_BITS = 46
 _PART_STEP = 7919
@@ -116,6 +117,13 @@ class Words(dict):
         self.hashes.append(found)
         return number
 
+    def forget(self) -> None:
+        """Forget the words that the filter does not hold; the others keep their numbers."""
+        kept = {word: number for word, number in self.items() if number}
+        self.clear()
+        self.update(kept)
+        self[_BREAK] = 0
+
     def passes(self, bitmap: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         """Whether the filter holds the phrases of these word hashes."""
         return bitmap[(self.phrases(words) & np.uint64(len(bitmap) - 1)).astype(np.int64)]
@@ -292,7 +300,12 @@ def count_stripes(
         if not more:
             words.tail = np.zeros(level - 1, np.int64)
         _count_slice(words, tokens, level, ends, pairs, rests)
-        if sum(map(len, tables.values())) > known_words or (words.counts and len(words.counts[0]) > PENDING):
+        full = sum(map(len, tables.values())) > known_words
+        if full and allowed is not None:  # mostly of rare words, which hold no counts
+            for each in tables.values():
+                each.forget()
+            full = sum(map(len, tables.values())) > known_words // 2
+        if full or (words.counts and len(words.counts[0]) > PENDING):
             tail = [words.spelled[i] for i in words.tail.tolist()]
             for name in list(tables):
                 yield from _stripe_rows(name, tables.pop(name), level)
@@ -337,6 +350,15 @@ def count_pairs(batches: Iterator[pa.RecordBatch], allowed: bytes, slice_bytes:
     yield from rows()
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """The rows in so many partitions as the cluster works on, without a shuffle.
+
+    Nearly every task meets every frequent phrase. With a task per piece of the input, stripes would grow with the
+    frequent phrases and with the tasks, that is with the square of the input.
+    """
+    return rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def local_stripes(docs: DataFrame, level: int, allowed: bytes | None = None, ends: bytes | None = None, pairs: bytes | None = None, rests: bool = True) -> DataFrame:
     """``lang, bucket, stripes``: what follows the prefixes of ``level - 1`` words, as each task counts it."""
     sent = docs.sparkSession.sparkContext.broadcast((allowed, ends, pairs))  # bitmaps of FILTER_BITS
@@ -362,6 +384,7 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min
     """The merged stripes, staged, of prefixes of 0 to ``max_words - 1`` words; ends early when no phrase is frequent."""
     rows = pick(docs, lang=lang_col, text=text_col)
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = gathered(rows)
     levels: list[DataFrame] = []
     allowed = ends = pairs = None
     for level in range(1, max_words + 1):
