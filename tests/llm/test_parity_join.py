@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
-from wordloom.llm import parity_join
+from wordloom.llm import common, parity_join
 from wordloom.llm.components import components
 from wordloom.llm.parity_join import near_duplicates, one_per_class
 from wordloom.llm.parity_sketch import SPARE_MATCHES, block_keys, differing_bits, linked, may_link, most_apart, set_key, shingles, sketch
@@ -173,3 +176,41 @@ def test_one_per_class(spark):
     assert kept.schema == docs.schema
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5], rows[6]]))
     assert one_per_class(docs.limit(0)).count() == 0
+
+
+def test_a_task_holds_few_keys_and_texts_at_once(monkeypatch):
+    """Two workers of an executor sort keys side by side."""
+    monkeypatch.setattr(parity_join, "map_batches", lambda rows, work, schema: work)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(rng.choices(words, k=900)).encode() for _ in range(6_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    sent = 0
+    tracemalloc.start()
+    for found in parity_join.bucketed(None)(iter([batch])):
+        sent += len(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent > 1_000_000 and peak < 80e6
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    """Spark gives the same worker to one operator after the other, and sends each its function anew."""
+    class Rows:
+        mapInArrow = staticmethod(lambda task, schema: task)
+
+    def counted(key):
+        def work(batches):
+            yield common.kept(key, lambda: [0]) if key else None
+
+        found = []
+        for _ in range(2):
+            for value in cloudpickle.loads(cloudpickle.dumps(common.map_batches(Rows, work, "", key)))(iter(())):
+                if value:
+                    value[0] += 1
+                found.append((value and value[0], len(common._KEPT)))
+        return found
+
+    assert counted(("a",)) == [(1, 1), (2, 1)]
+    assert counted(("b",)) == [(1, 1), (2, 1)]
+    assert counted(None) == [(None, 0), (None, 0)]

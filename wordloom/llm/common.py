@@ -76,5 +76,34 @@ def _ddl(kind: T.DataType) -> str:
     return kind.simpleString()
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per worker and kept for its next tasks; a worker keeps one thing at a time."""
+    forget_all_but(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_all_but(key: tuple | None) -> None:
+    """Drop what earlier operators have kept in this worker."""
+    if key not in _KEPT:
+        _KEPT.clear()
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: tuple | None = None) -> DataFrame:
+    """``work`` over the batches of each task. ``keeps``: the key of what it takes from :func:`kept`.
+
+    Spark gives a worker to one operator after the other, so what the last one kept is dropped first.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all_but(keeps)  # a function, as Spark would send a copy of the dict along
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)

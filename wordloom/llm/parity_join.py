@@ -22,20 +22,30 @@ from wordloom.llm.words import spaced_words
 from wordloom.session import stage
 
 LARGE_BUCKET = 2_000  # documents of a bucket that are still apart and are compared in one task
-KEYS_AT_ONCE = 2_000_000  # block keys that a task sorts at once
+KEYS_AT_ONCE = 500_000  # block keys that a task sorts at once; sorting takes some 80 bytes for each
+TEXTS_AT_ONCE = 1_000  # texts of a batch that are Python objects at once
 DENSE = 16  # pairs per document that one bucket may hand out in a round
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast after they were counted
 
 
+def values_of(column: pa.Array) -> Iterator[bytes | None]:
+    """The values one after the other, made in small blocks: a batch holds thousands of texts."""
+    for at in range(0, len(column), TEXTS_AT_ONCE):
+        yield from column.slice(at, TEXTS_AT_ONCE).to_pylist()
+
+
 def described(rows: DataFrame) -> DataFrame:
     """``id, n, cls, sketch`` of ``id, text``; without words ``n`` is 0 and the others null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(spaced_words(x)) if x else () for x in batch.column(1).to_pylist()]
-            keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
-            sketches = pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), keys, sketches]
+            sizes, keys, sketches = [], [], []
+            for text in values_of(batch.column(1)):
+                found = shingles(spaced_words(text)) if text else ()
+                sizes.append(len(found))
+                keys.append(set_key(found) if len(found) else None)
+                sketches.append(sketch(found) if len(found) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cls", "sketch"])
 
     return map_batches(rows, work, f"id {id_type(rows)}, n bigint, cls bigint, sketch binary")
@@ -45,7 +55,8 @@ def bucketed(rows: DataFrame) -> DataFrame:
     """``spread, cls, bucket`` of ``id, text``: the block keys of every set, once per task for equal sets.
 
     Rows are shuffled by ``spread``. Of the sets of a task that share a bucket only the first takes the bucket itself as
-    ``spread``; the others go anywhere. So no bucket sends more rows to one place than there are tasks. ``bucket`` is
+    ``spread``; the others go anywhere. So no bucket sends more rows to one place than tasks
+    have blocks of ``KEYS_AT_ONCE``. ``bucket`` is
     given where the bucket is known to hold two sets, else it is null and the same as ``spread``.
     """
 
@@ -65,7 +76,7 @@ def bucketed(rows: DataFrame) -> DataFrame:
         seen: set[int] = set()
         keys, owners, size = [], [], 0
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in values_of(batch.column(1)):
                 found = shingles(spaced_words(text)) if text else ()
                 if len(found) < SHARE[0] or (cls := set_key(found)) in seen:
                     continue
@@ -314,7 +325,7 @@ def matching_texts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             texts, classes = batch.column(0), batch.column(1).to_pylist()
             keep = []
-            for text, cls in zip(texts.to_pylist(), classes, strict=True):
+            for text, cls in zip(values_of(texts), classes, strict=True):
                 fits = text is not None and cls not in seen and set_key(shingles(spaced_words(text))) == cls
                 seen.update([cls] * fits)
                 keep.append(fits)

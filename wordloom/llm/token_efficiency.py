@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import id_type, keyed_text, map_batches, rest_and_text, with_new_text
+from wordloom.llm.common import id_type, kept, keyed_text, map_batches, rest_and_text, with_new_text
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_CHARS_PER_TOKEN = 2.2
@@ -137,8 +137,6 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-_FINDERS: dict[tuple, RandomStrings] = {}
-
 SPANS_TYPE = "array<struct<kind:string,start:bigint,stop:bigint>>"
 
 
@@ -158,12 +156,10 @@ def scan_secrets(
     rows are scanned each for itself; an empty table gives no rows; other columns are not read. Narrow: no shuffle, one document in memory at a time.
     """
     rows = keyed_text(docs, id_col, text_col)
+    key = (vocabulary, pattern, max_chars_per_token)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, pattern, max_chars_per_token)
-        if key not in _FINDERS:
-            _FINDERS[key] = RandomStrings(*key)
-        random = _FINDERS[key]
+        random = kept(key, lambda: RandomStrings(*key))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -173,7 +169,7 @@ def scan_secrets(
                 columns.append(pa.array([redact(x, found) if found else x for x, found in zip(texts, spans, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "redacted"][: len(columns)])
 
-    return map_batches(rows, work, f"doc_id {id_type(rows)}, spans {SPANS_TYPE}" + ", redacted string" * with_text)
+    return map_batches(rows, work, f"doc_id {id_type(rows)}, spans {SPANS_TYPE}" + ", redacted string" * with_text, key)
 
 
 def spans_text(spans: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import id_type, keyed_text, map_batches
-from wordloom.llm.tokenizing import encoder, text_blocks
+from wordloom.llm.tokenizing import encoder, encoder_key, text_blocks
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 256
@@ -35,7 +35,7 @@ def tokenized(rows: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
                 columns = [batch.column(0).slice(block.start, len(block)), pa.array(np.diff(starts)), tokens]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "tokens"])
 
-    return map_batches(rows, work, f"id {id_type(rows)}, n_tokens bigint, tokens array<int>")
+    return map_batches(rows, work, f"id {id_type(rows)}, n_tokens bigint, tokens array<int>", encoder_key(tokenizer))
 
 
 def write_token_files(

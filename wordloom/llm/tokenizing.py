@@ -16,6 +16,8 @@ from itertools import chain, islice, repeat
 import numpy as np
 import pyarrow as pa
 
+from wordloom.llm.common import kept
+
 CACHED_PIECES = 800_000  # per worker; of a full table only the first pieces stay
 KEPT_SHARE = 0.75  # pieces seen early are the frequent ones
 ENCODED_AT_ONCE = 2_000
@@ -203,14 +205,13 @@ class TextEncoder:
         return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+def encoder_key(path: str) -> tuple:
+    return ("encoder", path)
 
 
 def encoder(path: str) -> TextEncoder:
-    """The worker's encoder for that file: made once, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for that file: made once, kept between the tasks of an operator."""
+    return kept(encoder_key(path), lambda: TextEncoder(path))
 
 
 def text_blocks(texts: list[str], most: int = 2_000_000) -> Iterator[range]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import id_type, map_batches, pick
-from wordloom.llm.tokenizing import encoder, text_blocks
+from wordloom.llm.tokenizing import encoder, encoder_key, text_blocks
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 64, 2048
 WINDOW_TOKENS = 2_000_000  # pieces that wait at once, in tokens
@@ -201,4 +201,4 @@ def pack_documents(
         yield from flush()
 
     types = f"doc_id {id_type(rows)}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return map_batches(rows, work, types)
+    return map_batches(rows, work, types, encoder_key(tokenizer))
