@@ -7,7 +7,7 @@ import xxhash
 
 from wordloom.llm.catalog.op03 import op3_quality_rules
 from wordloom.llm.common import read_table
-from wordloom.llm.ngram_llr import BINS, PRIOR, THRESHOLD, count_bins, quality_rules
+from wordloom.llm.ngram_llr import BINS, PRIOR, THRESHOLD, count_bins, quality_rules, with_base_rules
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -102,3 +102,14 @@ def test_every_trusted_document_is_counted(spark):
 def test_no_python_and_no_cross_join(spark):
     plan = op3_quality_rules(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan) and "Exchange" not in plan
+
+
+def test_base_rules_do_not_go_through_texts_sign_by_sign(spark):
+    """``translate`` and copied windows took most of the time; edges of white space, signs and windows stay as they are."""
+    texts = ["", " ", None, "#", "a#*$%&|<>b#", "\x0b \x0c", "é ü ☃ 𝄞", "a b c d e", "a b c d", "\n \n\t\n x\nx\n x\nx", " x\t\n x\t\n", "a b c d e f " * 5, "w " * 30, "\x85  z\r\nz\r\n"]
+    rows = with_base_rules(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    for r in rows.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.id]), r
+    # ``slice`` is left where neighbours are compared, without windows in it.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "xxhash64(slice(" not in plan

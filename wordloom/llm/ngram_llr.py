@@ -23,7 +23,7 @@ THRESHOLD = -0.3  # junk lies below -0.8, good texts above -0.1
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 _SPACE = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOL = "[#*$%&|<>]"
 _PIECE = r"[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]+"
 
 
@@ -35,24 +35,25 @@ def with_base_rules(rows: DataFrame) -> DataFrame:
     """``id, text`` to ``id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
 
     Words are compared by the 64-bit hash of five in a row. The columns in between are made once per row:
-    a step that is used several times is a projection of its own.
+    a step that is used several times is a projection of its own. No step goes through a text sign by sign (``translate``)
+    or copies a window.
     """
     text = F.coalesce("text", F.lit(""))
     cut = rows.select(
         "id",
         text.alias("text"),
         F.array_remove(F.split(text, "[ \\t\\n\\x0b\\f\\r]+"), "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "").alias("lines"),
+        F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(_SPACE)) != "").alias("lines"),
     )
     n = F.size("words")
-    starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    grams = F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))
+    grams = F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     counted = cut.select(
         "id",
         "text",
         _long(n, "n_words"),
-        _long(F.char_length(F.translate("text", _SPACE, "")), "word_chars"),
-        _long(F.char_length("text") - F.char_length(F.translate("text", _SYMBOLS, "")), "n_symbols"),
+        _long(F.char_length(F.array_join("words", "")), "word_chars"),
+        _long(F.regexp_count("text", F.lit(_SYMBOL)), "n_symbols"),
         _long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         grams.alias("grams"),
     )
