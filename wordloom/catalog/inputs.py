@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import keep_word_characters, split_words
-from wordloom.operators.ordering import dense_positions
+from wordloom.operators.ordering import dense_positions, running_totals
 from wordloom.plans.dictionary import new_words
 from wordloom.schemas import PAYLOAD, TRANSLATIONS
+from wordloom.session import stage
 
 # Rows of one piece when rows are numbered by an integer key.
 KEYS_PER_PIECE = 1 << 20
@@ -70,6 +71,33 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, in lower case and without other signs: ``lang, pos, word``.
+
+    ``pos`` counts the words of a language, by ``doc_id`` and the place in the text; texts of one id take turns. Documents
+    are counted on, not words, so that words are never ordered, and texts are shuffled once.
+    """
+    documents = table(spark, sf_dir, "documents")
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
+    n_words = F.size(F.coalesce(F.split(letters, r"\s+"), F.array().cast("array<string>")))
+    counted = text_table(spark, sf_dir, "documents").groupBy("lang", "doc_id").agg(F.sum(n_words).alias("n_words"))
+    starts = running_totals(
+        stage(counted, "text-words"), ["doc_id"], {"start": F.col("n_words")}, ["lang"], chunk=F.expr(f"doc_id div {KEYS_PER_PIECE}")
+    )
+    none = F.lit(None)
+    texts = documents.select("lang", "doc_id", "text", none.cast("bigint").alias("start"))
+    placed = texts.unionByName(starts.select("lang", "doc_id", none.cast("string").alias("text"), "start"))
+    gathered = placed.groupBy("lang", "doc_id").agg(F.collect_list(letters).alias("texts"), F.max("start").alias("start"))
+    lists = gathered.select("lang", "start", F.transform("texts", lambda text: F.split(text, r"\s+")).alias("lists"))
+    longest = F.coalesce(F.array_max(F.transform("lists", F.size)), F.lit(0))
+    turns = F.transform(
+        F.sequence(F.lit(0), longest - 1), lambda at: F.array_compact(F.transform("lists", lambda words: F.get(words, at)))
+    )
+    words = F.when(F.size("lists") == 1, F.element_at("lists", 1)).when(longest > 0, F.flatten(turns))
+    told = lists.select("lang", "start", F.posexplode(words).alias("at", "word"))
+    return told.select("lang", (F.col("start") + F.col("at")).alias("pos"), "word")
+
+
 def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct lower-case words per language."""
     tokens = document_tokens(spark, sf_dir).filter("token <> ''")

@@ -311,14 +311,7 @@ def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents, one sequence per language, with the default distance and neighbours."""
-    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
-    tokens = text_table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.posexplode(F.split(letters, r"\s+")).alias("at", "word")
-    )
-    numbered = dense_positions(
-        tokens, ["doc_id", "at"], ["lang"], chunk=F.expr("doc_id div 64")
-    ).select("lang", "pos", "word")
-    entries = stage(numbered, "entries").withColumn(
+    entries = inputs.text_words(spark, sf_dir).withColumn(
         "translations", F.create_map(F.lit("noun"), F.array(F.reverse("word")))
     )
     found = process_words(entries, sequence="lang").filter(F.size("similar_words") > 0)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.words import (
     all_translations,
@@ -11,6 +15,7 @@ from wordloom.functions.words import (
     is_translated,
     within_distance,
 )
+from wordloom.operators.alike import similar_rows
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS
 
 # Width of a cell of neighbours: this many times their reach, and at least so many places.
@@ -42,71 +47,65 @@ def _alike(left: Column, right: Column, distance: int) -> Column:
     return (left["text"] == right["text"]) | (near & within_distance(left["text"], right["text"], distance))
 
 
-def process_words(
-    entries: DataFrame,
-    distance: int = DEFAULT_DISTANCE,
-    neighbours: int = DEFAULT_NEIGHBOURS,
-    sequence: str = "source_batch",
-    pos: str = "pos",
-) -> DataFrame:
-    """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
-
-    Similar words are those at most ``neighbours`` places away that are alike by spelling or by a translation. They come
-    in the order of their places, repeats included. ``(sequence, pos)`` is unique and ``pos`` dense over all entries, the
-    untranslated ones included: those are found but do not look.
+def _looked(entries: DataFrame, distance: int, neighbours: int, sequence: str, pos: str, give: str) -> DataFrame:
+    """``row`` of the translated entries, and ``found``: column ``give`` of those alike to each, in the order of their places.
 
     Sequences are cut into cells many times ``neighbours`` wide. Entries near the edges of a cell are copied to the
     cells beside it, so each entry meets all that it can see in its own cell: one exchange of the bare entries, and no
-    join back. What is compared is read from them behind it. A cell is ordered and gone through with moving frames, so
-    a task holds the entries of one frame, however long the sequence or the words. Likeness holds both ways, so each pair
-    is compared once, by its earlier entry; the later one reads there what was found. Bare entries are few bytes and
-    much work, so the cells are dealt to many tasks whatever their bytes.
+    join back. What is compared is read from them behind it. A cell is ordered and compared in the workers, some cells
+    at a time (:mod:`wordloom.operators.alike`). Likeness holds both ways, so each pair is compared once. Bare entries
+    are few bytes and much work, so the cells are dealt to many tasks whatever their bytes.
     """
     if distance < 0 or neighbours < 0:
         raise ValueError("distance and neighbours must not be negative")
     width = max(CELL_FRAMES * neighbours, LEAST_CELL)
-    bare = entries.select(
-        F.col(sequence).alias("sequence"),
-        F.col(pos).cast("bigint").alias("at"),
-        F.struct(*(F.col(name) for name in entries.columns)).alias("row"),
-    )
-    cell, place = F.expr(f"floor(at / {width})"), F.pmod("at", F.lit(width))
+    bare = entries.select(F.struct(*(F.col(name) for name in entries.columns)).alias("row"))
+    line, at = F.col("row").getField(sequence), F.col("row").getField(pos).cast("bigint")
+    cell, place = F.floor(at / F.lit(width)), F.pmod(at, F.lit(width))
     beside = F.array_compact(
         F.array(F.lit(0), F.when(place < neighbours, F.lit(-1)), F.when(place >= width - neighbours, F.lit(1)))
     )
-    dealt = bare.select("*", F.explode(beside).alias("moved")).withColumn("cell", cell + F.col("moved"))
-    gathered = dealt.repartition(TASKS_PER_CORE * entries.sparkSession.sparkContext.defaultParallelism, "sequence", "cell")
+    dealt = bare.select("row", F.explode(F.transform(beside, lambda moved: cell + moved)).alias("cell"))
+    tasks = TASKS_PER_CORE * entries.sparkSession.sparkContext.defaultParallelism
+    # Only the entry and its cell are sent; the rest is read from them again.
+    gathered = dealt.repartition(tasks, line, "cell").select(line.alias("sequence"), "cell", at.alias("at"), "row", cell.alias("home"))
+    ordered = gathered.sortWithinPartitions("sequence", "cell", "at")
     word, listed = F.col("row.word"), all_translations(F.col("row.translations"))
-    sketched = gathered.select("*", word.alias("word"), listed.alias("listed")).select(
+    read = ordered.select("*", word.alias("word"), listed.alias("listed"))
+    looks = F.coalesce(F.exists("listed", lambda each: each != F.col("word")), F.lit(False))
+    sent = read.select(
         "sequence",
         "cell",
         "at",
-        "row",
         # Only its own cell gives an entry back, when it looks around.
-        (F.col("moved") == 0).alias("home"),
-        F.coalesce(F.exists("listed", lambda each: each != F.col("word")), F.lit(False)).alias("looks"),
-        F.struct("at", "word", _sketched(F.col("word")).alias("spelled"), F.transform(F.array_distinct(F.transform("listed", F.lower)), _sketched).alias("meanings")).alias("own"),
+        (F.col("cell").eqNullSafe(F.col("home")) & looks).alias("asks"),
+        F.lower("word").alias("spelled"),
+        F.array_distinct(F.transform("listed", F.lower)).alias("meanings"),
+        "row",
     )
-    cells = Window.partitionBy("sequence", "cell").orderBy("at")
-    framed = sketched.withColumn("seen", F.collect_list("own").over(cells.rangeBetween(1, max(neighbours, 1))))
-
-    def similar(its: Column) -> Column:
-        mine = F.col("own.meanings")
-        # Of entries with one translation, as most have, no list has to be gone through.
-        lone = (F.size(mine) == 1) & (F.size(its["meanings"]) == 1)
-        meant = F.exists(its["meanings"], lambda its_one: F.exists(mine, lambda my_one: _alike(my_one, its_one, distance)))
-        by_meaning = F.when(lone, _alike(mine[0], F.get(its["meanings"], F.lit(0)), distance)).otherwise(meant)
-        spelled = F.coalesce(_alike(F.col("own.spelled"), its["spelled"], distance), F.lit(False))
-        return F.lit(neighbours > 0) & (spelled | F.coalesce(by_meaning, F.lit(False)))
-
-    later = F.transform(F.filter("seen", similar), lambda its: F.struct(its["at"].alias("at"), its["word"].alias("word")))
-    compared = framed.select("sequence", "cell", "at", "row", "home", "looks", later.alias("later"))
-    found = F.struct(F.col("row.word").alias("word"), F.col("later.at").alias("found"))
-    met = compared.withColumn("met", F.collect_list(found).over(cells.rangeBetween(-max(neighbours, 1), -1)))
-    given = met.filter(F.col("home") & F.col("looks"))
-    earlier = F.filter("met", lambda its: F.array_contains(its["found"], F.col("at")))
-    alike = F.concat(F.transform(earlier, lambda its: its["word"]), F.col("later.word"))
-    return given.select("row.*", alike.alias("similar_words")).select(
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return similar_rows(batches, distance, neighbours, give)
+
+    found = T.ArrayType(entries.schema[give].dataType)
+    return sent.mapInArrow(work, T.StructType([bare.schema["row"], T.StructField("found", found)]))
+
+
+def process_words(
+    entries: DataFrame,
+    distance: int = DEFAULT_DISTANCE,
+    neighbours: int = DEFAULT_NEIGHBOURS,
+    sequence: str = "source_batch",
+    pos: str = "pos",
+) -> DataFrame:
+    """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
+
+    Similar words are those at most ``neighbours`` places away that are alike by spelling or by a translation. They come
+    in the order of their places, repeats included. ``(sequence, pos)`` is unique and ``pos`` dense over all entries, the
+    untranslated ones included: those are found but do not look.
+    """
+    found = _looked(entries, distance, neighbours, sequence, pos, "word")
+    return found.select("row.*", F.col("found").alias("similar_words")).select(
         *(F.col(name) for name in entries.columns),
         "similar_words",
         filled_categories(F.col("translations")).alias("grammar_categories"),
