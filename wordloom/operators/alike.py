@@ -27,6 +27,8 @@ PLACES_AT_ONCE = 1 << 19
 BLOCK_ROWS = 1 << 15
 BLOCK_BYTES = 1 << 24
 FOUND_AT_ONCE = 1 << 18
+# Code points that are looked at together.
+SIGNS_AT_ONCE = 1 << 20
 # Pairs of further texts that are laid out at once.
 TEXT_PAIRS_AT_ONCE = 1 << 20
 
@@ -37,23 +39,25 @@ class Texts:
     """Distinct texts: their code points, lengths and sketches."""
 
     def __init__(self, texts: pa.Array):
+        self.texts = texts
         self.lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        joined = "".join(texts.to_pylist())
-        self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.bits = np.zeros(len(self.lengths), np.uint64)
-        filled = np.flatnonzero(self.lengths)
-        if filled.size:
-            letters = np.uint64(1) << (self.points & np.uint32(63)).astype(np.uint64)
-            self.bits[filled] = np.bitwise_xor.reduceat(letters, self.starts[filled])
         # Short texts side by side, filled up with a number that is no code point.
         wide = int(min(WORD_BITS, max(1, self.lengths.max(initial=0))))
-        kind = np.uint8 if self.points.size == 0 or self.points.max() < 255 else np.uint32
-        self.matrix = np.full((len(self.lengths), wide), np.iinfo(kind).max, kind)
-        short = np.flatnonzero(self.lengths <= wide)
-        size = self.lengths[short]
-        rows, within = np.repeat(short, size), _ramps(size)
-        self.matrix[rows, within] = self.points[self.starts[rows] + within]
+        self.matrix = np.full((len(self.lengths), wide), np.iinfo(np.uint32).max, np.uint32)
+        run = np.cumsum(self.lengths, dtype=np.int64) // SIGNS_AT_ONCE
+        for some in np.split(np.arange(len(self.lengths)), np.flatnonzero(np.diff(run)) + 1):
+            points, size = _points(texts.take(pa.array(some))), self.lengths[some]
+            starts = np.cumsum(size) - size
+            filled = np.flatnonzero(size)
+            if filled.size:
+                letters = np.uint64(1) << (points & np.uint32(63)).astype(np.uint64)
+                self.bits[some[filled]] = np.bitwise_xor.reduceat(letters, starts[filled])
+            short = np.flatnonzero(size <= wide)
+            rows, within = np.repeat(short, size[short]), _ramps(size[short])
+            self.matrix[some[rows], within] = points[starts[rows] + within]
+        if self.matrix.size and np.where(self.matrix == np.iinfo(np.uint32).max, 0, self.matrix).max() < 255:
+            self.matrix = self.matrix.astype(np.uint8)
 
     def near(self, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
         """Whether the texts of each pair, given by their places, are within the distance."""
@@ -77,7 +81,7 @@ class Texts:
         sizes = self.lengths[long]
         # Texts beyond a machine word are rarely of nearly the same length and letters.
         for at in np.flatnonzero(sizes > WORD_BITS):
-            one, other = (self.points[self.starts[x] : self.starts[x + 1]] for x in (short[at], long[at]))
+            one, other = (_points(self.texts.slice(int(x), 1)) for x in (short[at], long[at]))
             out[at] = _within(one, other, distance)
         low = 0
         for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)):
@@ -91,6 +95,11 @@ class Texts:
         return out
 
 
+def _points(texts: pa.Array) -> np.ndarray:
+    """The code points of texts, one after the other."""
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _ramps(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each size, one after the other."""
     ends = np.cumsum(sizes)
@@ -340,9 +349,11 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
-def similar_rows(batches: Iterator[pa.RecordBatch], distance: int, neighbours: int, give: str) -> Iterator[pa.RecordBatch]:
+def similar_rows(batches: Iterator[pa.RecordBatch], distance: int, neighbours: int, give: str | None) -> Iterator[pa.RecordBatch]:
     """``row`` of the asking rows of cells, and ``found``, a list of its field ``give`` in those they are alike to.
 
+    Without ``give`` the list says how many places each is away.
+
     Columns: ``sequence, cell, at, asks, spelled, meanings, row``; rows ordered by the first three.
     """
     memory = Memory()
@@ -358,14 +369,18 @@ def similar_rows(batches: Iterator[pa.RecordBatch], distance: int, neighbours: i
         key = place + line * apart
         reach = np.searchsorted(key, key + neighbours, "right") - np.arange(len(key)) - 1
         column = {name: _whole(block[name]) for name in ("asks", "spelled", "meanings", "row")}
-        given = column["row"].field(give)
         entries = Entries(column["spelled"], column["meanings"], distance, memory)
         asking = column["asks"].to_numpy(zero_copy_only=False)
         for its, counts, others in found_beside(entries, key, reach, asking):
             for low, high in _runs(counts):
                 begin, end = counts[:low].sum(), counts[:high].sum()
                 ends = np.concatenate([[0], np.cumsum(counts[low:high])])
-                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), given.take(pa.array(others[begin:end])))
+                its_own = others[begin:end]
+                if give is None:
+                    given = pa.array(key[its_own] - np.repeat(key[its[low:high]], counts[low:high]), pa.int32())
+                else:
+                    given = column["row"].field(give).take(pa.array(its_own))
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), given)
                 yield pa.RecordBatch.from_arrays([_picked(column["row"], its[low:high]), found], names=["row", "found"])
 
 

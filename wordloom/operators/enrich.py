@@ -47,9 +47,11 @@ def _alike(left: Column, right: Column, distance: int) -> Column:
     return (left["text"] == right["text"]) | (near & within_distance(left["text"], right["text"], distance))
 
 
-def _looked(entries: DataFrame, distance: int, neighbours: int, sequence: str, pos: str, give: str) -> DataFrame:
+def _looked(entries: DataFrame, distance: int, neighbours: int, sequence: str, pos: str, give: str | None) -> DataFrame:
     """``row`` of the translated entries, and ``found``: column ``give`` of those alike to each, in the order of their places.
 
+    Without ``give``, how many places each is away.
+
     Sequences are cut into cells many times ``neighbours`` wide. Entries near the edges of a cell are copied to the
     cells beside it, so each entry meets all that it can see in its own cell: one exchange of the bare entries, and no
     join back. What is compared is read from them behind it. A cell is ordered and compared in the workers, some cells
@@ -87,7 +89,7 @@ def _looked(entries: DataFrame, distance: int, neighbours: int, sequence: str, p
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return similar_rows(batches, distance, neighbours, give)
 
-    found = T.ArrayType(entries.schema[give].dataType)
+    found = T.ArrayType(entries.schema[give].dataType if give else T.IntegerType())
     return sent.mapInArrow(work, T.StructType([bare.schema["row"], T.StructField("found", found)]))
 
 
@@ -97,16 +99,19 @@ def process_words(
     neighbours: int = DEFAULT_NEIGHBOURS,
     sequence: str = "source_batch",
     pos: str = "pos",
+    as_steps: bool = False,
 ) -> DataFrame:
     """Translated entries with ``similar_words`` and ``grammar_categories``; other columns stay.
 
     Similar words are those at most ``neighbours`` places away that are alike by spelling or by a translation. They come
     in the order of their places, repeats included. ``(sequence, pos)`` is unique and ``pos`` dense over all entries, the
-    untranslated ones included: those are found but do not look.
+    untranslated ones included: those are found but do not look. With ``as_steps`` there are ``similar_steps`` instead of
+    ``similar_words``: how many places each of them is away, so that no word is repeated.
     """
-    found = _looked(entries, distance, neighbours, sequence, pos, "word")
-    return found.select("row.*", F.col("found").alias("similar_words")).select(
-        *(F.col(name) for name in entries.columns),
-        "similar_words",
+    name = "similar_steps" if as_steps else "similar_words"
+    found = _looked(entries, distance, neighbours, sequence, pos, None if as_steps else "word")
+    return found.select("row.*", F.col("found").alias(name)).select(
+        *(F.col(column) for column in entries.columns),
+        name,
         filled_categories(F.col("translations")).alias("grammar_categories"),
     )

@@ -81,9 +81,10 @@ def with_word_ids(processed: DataFrame, ids: DataFrame, counts: DataFrame) -> Da
 
 def _child_sizes(rows: DataFrame) -> dict[str, Column]:
     """Child rows of a processed word, per table."""
+    steps = "similar_steps" if "similar_steps" in rows.columns else "similar_words"
     return {
         "translation": F.size(typed_translations(F.col("translations"))),
-        "similar_word": F.col("n_similar") if "n_similar" in rows.columns else F.size("similar_words"),
+        "similar_word": F.col("n_similar") if "n_similar" in rows.columns else F.size(steps),
         "grammar_category": F.size("grammar_categories"),
     }
 
@@ -127,7 +128,8 @@ def child_rows(
 ) -> dict[str, DataFrame]:
     """The rows of the three child tables, from :func:`number_children`. Narrow, but for ``similar``.
 
-    ``similar`` holds the similar words (``source_batch, pos, at, item``) where ``numbered`` has no lists of them.
+    ``similar`` holds the similar words (``source_batch, pos, at, item``) where ``numbered`` has no lists of them. With
+    ``similar_steps`` in ``numbered`` the rows of similar words have the ``pos`` of theirs instead.
     """
     languages = {
         "primary_language": F.lit(primary_language),
@@ -149,15 +151,18 @@ def child_rows(
             "source_batch",
         )
 
+    if "similar_steps" in numbered.columns:
+        places = F.transform("similar_steps", lambda step: F.col("pos") + step)
+        similar_rows = flatten("similar_word", places, {"pos": "item"})
+    else:
+        similar_rows = flatten("similar_word", F.col("similar_words") if similar is None else similar, {"similar_word": "item"})
     return {
         "translation": flatten(
             "translation",
             typed_translations(F.col("translations")),
             {"type": "item.type", "translation": "item.translation"},
         ),
-        "similar_word": flatten(
-            "similar_word", F.col("similar_words") if similar is None else similar, {"similar_word": "item"}
-        ),
+        "similar_word": similar_rows,
         "grammar_category": flatten(
             "grammar_category", F.col("grammar_categories"), {"category": "item"}
         ),
@@ -170,6 +175,7 @@ def save_dictionary(
     primary_language: int = GERMAN,
     secondary_language: int = ENGLISH,
     batches: DataFrame | None = None,
+    entries: DataFrame | None = None,
 ) -> None:
     """Store processed words: new words, then translations, similar words and categories.
 
@@ -177,11 +183,14 @@ def save_dictionary(
     replace those of an earlier run, so running again changes nothing. ``batches`` lists the
     source batches of the run where some may have no words left. An unknown category fails
     before anything is written. One writer per table at a time.
+
+    Where ``processed`` has ``similar_steps``, ``entries`` (staged; ``source_batch, pos, word`` of all entries, also of those
+    that are not processed) tells the words: they are sent once, whatever the number of words they are similar to.
     """
     spark = processed.sparkSession
     with temporary_stages(spark):
         require_languages(spark, root, primary_language, secondary_language)
-        processed, similar = _apart(processed)
+        processed, similar = (stage(processed, "processed"), None) if "similar_steps" in processed.columns else _apart(processed)
         batches = processed if batches is None else batches
         strange = unknown_categories(processed).take(1)
         if strange:
@@ -199,11 +208,13 @@ def save_dictionary(
         append_rows(added, root, "word")
 
         ids = known.unionByName(added.select("id", "word"))
-        numbered = stage(number_children(with_word_ids(processed, ids, counts), last), "with-word-ids")
+        # The words themselves, of any length, have done their part.
+        numbered = stage(number_children(with_word_ids(processed, ids, counts).drop("word"), last), "with-word-ids")
+        similar_texts = entries.select("source_batch", "pos", F.col("word").alias("similar_word")) if similar is None else None
         fixed = {"primary_language": primary_language, "secondary_language": secondary_language}
         for table, rows in child_rows(numbered, primary_language, secondary_language, similar).items():
             wanted = {name: fixed[name] for name in PARTITIONS[table] if name in fixed}
-            replace_batches(rows, root, table, batches, **wanted)
+            replace_batches(rows, root, table, batches, similar_texts if table == "similar_word" else None, **wanted)
 
 
 def child_totals(processed: DataFrame) -> DataFrame:

@@ -28,11 +28,12 @@ RESULT, ERROR = "result", "error"
 
 
 class Words(NamedTuple):
-    """What result lines hold: processed words, errors and refusals, and what can't be used."""
+    """What result lines hold: processed words, errors and refusals, what can't be used, and all entries."""
 
     processed: DataFrame
     errors: DataFrame
     aside: DataFrame
+    entries: DataFrame
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
@@ -50,20 +51,22 @@ def result_words(
     distance: int = DEFAULT_DISTANCE,
     neighbours: int = DEFAULT_NEIGHBOURS,
     unknown_categories: str = "raise",
+    as_steps: bool = False,
 ) -> Words:
     """The words of result lines, their errors and what has to be set aside; stores nothing.
 
     ``lines`` comes from ``read_json_lines``, or from ``document_rows``, which is parsed already. A file
     is a source batch: similar words never cross files. With ``unknown_categories="quarantine"`` entries
-    with an unknown category are set aside, after they have taken part as neighbours.
+    with an unknown category are set aside, after they have taken part as neighbours. ``as_steps`` gives similar
+    words as places (:func:`process_words`), which ``entries`` tell.
     """
     if unknown_categories not in ("raise", "quarantine"):
         raise ValueError("unknown_categories must be 'raise' or 'quarantine'")
     # Parsed once; the words, errors and set-aside rows below read this table.
-    routed = stage(route_results(_parsed(lines)), "routed")
+    routed = stage(route_results(_parsed(lines)), "routed", compression="zstd")
     entries = stage(entry_rows(routed), "entry-rows")
     numbered = stage(word_entries(routed, entries), "entries")
-    processed = process_words(numbered, distance, neighbours)
+    processed = process_words(numbered, distance, neighbours, as_steps=as_steps)
     aside = quarantine_rows(routed, entries)
     if unknown_categories == "quarantine":
         usable = F.forall(F.map_keys("translations"), known_category)
@@ -75,7 +78,7 @@ def result_words(
             F.to_json(F.struct("word", "translations")).alias("line"),
         )
         aside, processed = aside.unionByName(strange), processed.filter(usable)
-    return Words(processed, error_rows(routed), aside)
+    return Words(processed, error_rows(routed), aside, numbered)
 
 
 def ingest_results(
@@ -97,8 +100,8 @@ def ingest_results(
     with temporary_stages(lines.sparkSession):
         parsed = _parsed(lines)
         names = stage(_batches(parsed, batches), "batches")
-        words = result_words(parsed, distance, neighbours, unknown_categories)
-        save_dictionary(words.processed, root, primary_language, secondary_language, names)
+        words = result_words(parsed, distance, neighbours, unknown_categories, as_steps=True)
+        save_dictionary(words.processed, root, primary_language, secondary_language, names, words.entries)
         replace_batches(words.errors, root, "error", names, origin=RESULT)
         replace_batches(words.aside, root, "quarantine", names, origin=RESULT)
 
@@ -126,11 +129,12 @@ def ingest_documents(documents: DataFrame, root: str, **options) -> None:
         names = documents.select(F.col("source").alias("source_batch"))
         words = result_words(
             document_rows(documents, "results"),
+            as_steps=True,
             **{k: v for k, v in options.items() if k in ("distance", "neighbours", "unknown_categories")},
         )
         languages = {k: v for k, v in options.items() if k in ("primary_language", "secondary_language")}
         errors = stage(route_errors(document_rows(documents, "errors")), "error-lines")
-        save_dictionary(words.processed, root, batches=names, **languages)
+        save_dictionary(words.processed, root, batches=names, entries=words.entries, **languages)
         aside = words.aside.unionByName(unread_documents(documents))
         replace_batches(words.errors, root, "error", names, origin=RESULT)
         replace_batches(aside, root, "quarantine", names, origin=RESULT)

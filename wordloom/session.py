@@ -61,17 +61,18 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = (), **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage at a table that outlives any executor, and fixes values that
     another evaluation could give differently (partition ids, sampled ranges). ``by`` names
-    columns that get a folder per value, so that reads of some values leave the rest unread.
+    columns that get a folder per value, so that reads of some values leave the rest unread. ``options``
+    go to the writer.
     """
     path = staged_path(df.sparkSession, label)
     if getattr(_scopes, "open", None):
         _scopes.open[-1].append(path)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.lookups import largest_id
@@ -13,8 +13,9 @@ from wordloom.operators.requests import oversized_batches
 from wordloom.schemas import FILLED, MAX_FILE_BYTES, MAX_REQUESTS, PARTITIONS, TABLES
 from wordloom.session import delete_folder, folder_names, path_exists, stage
 
-# Rows of a batch, by their ids, that one task writes.
+# Rows of a batch, by their ids, that one task writes, and places whose texts and rows are.
 ROWS_PER_SLOT = 1 << 18
+PLACES_PER_SLOT = 1 << 11
 
 
 class BatchTooLarge(ValueError):
@@ -110,7 +111,7 @@ def append_rows(rows: DataFrame, root: str, table: str) -> None:
 
 
 def replace_batches(
-    rows: DataFrame, root: str, table: str, batches: DataFrame, **fixed: int | str
+    rows: DataFrame, root: str, table: str, batches: DataFrame, texts: DataFrame | None = None, **fixed: int | str
 ) -> None:
     """Make ``rows`` the rows of their source batches, whatever an earlier run left there.
 
@@ -122,25 +123,53 @@ def replace_batches(
     Rows are dealt to a fixed number of tasks by their batch and a slot: a run of ``ROWS_PER_SLOT`` ids, or the task the
     row comes from. So a batch of any size is cut, and many small ones are not left to one task, which would write
     their folders one after the other.
+
+    ``texts`` (``source_batch, pos`` and a column of the table) has texts that many rows share: ``rows`` then have the
+    ``pos`` of theirs in place of that column. Each text is sent once, and meets its rows where they are written, in order,
+    so that its copies stand side by side and take little room.
     """
     path, partitions = table_path(root, table), PARTITIONS[table]
     rows = rows.withColumns({name: F.lit(value) for name, value in fixed.items()})
-    wanted = rows.select(*table_columns(table))
+    columns = table_columns(table)
+    shared = texts.columns[-1] if texts is not None else None
+    wanted = rows.select(*(F.lit(None).cast("string").alias(name) if name == shared else name for name in columns), *(["pos"] if shared else []))
     names = {"source_batch": F.col("source_batch"), **{name: F.lit(value) for name, value in fixed.items()}}
-    marks = batches.select("source_batch").distinct().select(
-        *[names.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in wanted.schema]
-    )
+
+    def filled_up(told: DataFrame, **more: Column) -> DataFrame:
+        kinds = {field.name: field.dataType for field in wanted.schema}
+        return told.select(*[{**names, **more}.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])
+
+    marks = filled_up(batches.select("source_batch").distinct(), pos=F.lit(-1))
+    if shared:
+        told = filled_up(texts, pos=F.col("pos"), **{shared: F.col(shared)})
+        _write_batches(_with_texts(wanted, marks, told, shared, partitions), path, partitions, compression="zstd")
+        return
     slot = F.expr(f"id div {ROWS_PER_SLOT}") if "id" in wanted.columns else F.spark_partition_id()
     dealt = wanted.withColumn("_slot", slot.cast("bigint")).unionByName(marks.withColumn("_slot", F.lit(-1).cast("bigint")))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        dealt.repartition(tasks, *partitions, "_slot")
-        .drop("_slot")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+    _write_batches(dealt.repartition(_tasks(rows), *partitions, "_slot").drop("_slot"), path, partitions)
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _with_texts(rows: DataFrame, marks: DataFrame, texts: DataFrame, shared: str, partitions: Sequence[str]) -> DataFrame:
+    """``rows`` and ``marks`` with the ``shared`` column of the text at their ``pos``; rows of near places in one task.
+
+    The order in which a text meets its rows is the one in which they are written: they are not sorted again.
+    """
+    told = texts.withColumn("_told", F.lit(0)).unionByName(rows.unionByName(marks).withColumn("_told", F.lit(1)))
+    # A folder's name can't be empty, so no name is as good as an empty one; the writer needs no look for it then.
+    named = told.withColumn("source_batch", F.coalesce("source_batch", F.lit("")))
+    dealt = named.withColumn("_slot", F.expr(f"pos div {PLACES_PER_SLOT}")).repartition(_tasks(rows), *partitions, "_slot")
+    place = Window.partitionBy(*partitions, "_slot", "pos").orderBy("_told").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.withColumn(shared, F.first(shared).over(place))
+    return met.filter(F.col("_told") == 1).drop("_told", "_slot", "pos")
+
+
+def _write_batches(rows: DataFrame, path: str, partitions: Sequence[str], **options: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options)
+    writer.partitionBy(*partitions).parquet(path)
 
 
 def table_columns(table: str) -> list[str]:
