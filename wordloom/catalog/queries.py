@@ -54,7 +54,7 @@ from wordloom.plans.dictionary import (
 )
 from wordloom.plans.ingest import ingest_documents, ingest_results
 from wordloom.schemas import LANGUAGES
-from wordloom.session import stage, staged_path
+from wordloom.session import LONG_ROWS, stage, staged_path
 from wordloom.sources.files import (
     document_rows,
     read_json_lines,
@@ -466,11 +466,12 @@ def document_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     case = (F.substr("p_brand", F.lit(7)).cast("int") + F.col("file_no")) % 10
     whole = F.concat(F.lit('{"errors":[{"custom_id":"e","custom_id":"f"}, 8],"results":['), F.col("results"), F.lit("]}"))
-    value = F.when(case == 1, whole.substr(F.lit(1), F.length(whole) - 1)).when(case == 2, F.lit('{"results":"none","errors":[9]}')).otherwise(whole)
-    documents = made.select(F.concat_ws("/", "p_brand", "file_no").alias("source"), case.alias("case"), value.alias("raw"), whole.alias("whole"))
-    documents = stage(documents, "documents")
-    ingest_documents(parse_lines(documents.select("source", F.col("whole").alias("raw")), "raw"), root)
-    ingest_documents(parse_lines(documents.select("source", F.when(F.col("case") == 3, "null").otherwise(F.col("raw")).alias("raw")), "raw"), root)
+    documents = made.select(F.concat_ws("/", "p_brand", "file_no").alias("source"), case.alias("case"), whole.alias("raw"))
+    documents = stage(documents, "documents", **LONG_ROWS)
+    ingest_documents(parse_lines(documents.select("source", "raw"), "raw"), root)
+    case, raw = F.col("case"), F.col("raw")
+    cut = F.when(case == 1, raw.substr(F.lit(1), F.length(raw) - 1)).when(case == 2, F.lit('{"results":"none","errors":[9]}')).when(case == 3, "null")
+    ingest_documents(parse_lines(documents.select("source", cut.otherwise(raw).alias("raw")), "raw"), root)
 
     def stored(name: str, kind: str) -> DataFrame:
         rows = read_table(spark, root, name).groupBy(F.lit(name).alias("table_name"), F.expr(kind).alias("kind"))

@@ -20,7 +20,7 @@ from wordloom.operators.results import (
 )
 from wordloom.plans.dictionary import save_dictionary
 from wordloom.schemas import DEFAULT_DISTANCE, DEFAULT_NEIGHBOURS, ENGLISH, GERMAN
-from wordloom.session import stage, temporary_stages
+from wordloom.session import LONG_ROWS, stage, temporary_stages
 from wordloom.sources.files import document_rows, unread_documents
 from wordloom.sources.sinks import replace_batches
 
@@ -63,7 +63,7 @@ def result_words(
     if unknown_categories not in ("raise", "quarantine"):
         raise ValueError("unknown_categories must be 'raise' or 'quarantine'")
     # Parsed once; the words, errors and set-aside rows below read this table.
-    routed = stage(route_results(_parsed(lines)), "routed", compression="zstd")
+    routed = stage(route_results(_parsed(lines)), "routed", compression="zstd", **LONG_ROWS)
     entries = stage(entry_rows(routed), "entry-rows")
     numbered = stage(word_entries(routed, entries), "entries")
     processed = process_words(numbered, distance, neighbours, as_steps=as_steps)
@@ -125,7 +125,7 @@ def ingest_documents(documents: DataFrame, root: str, **options) -> None:
     A document that can't be read is set aside, and still replaces what its file stored before.
     """
     with temporary_stages(documents.sparkSession):
-        documents = stage(documents, "documents")
+        documents = stage(documents, "documents", **LONG_ROWS)
         names = documents.select(F.col("source").alias("source_batch"))
         words = result_words(
             document_rows(documents, "results"),

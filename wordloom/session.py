@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 # JSON as JSON.parse reads it: of a repeated member the last one counts.
 REPEATED_MEMBERS = "spark.sql.variant.allowDuplicateKeys"
 
+# Writer settings for rows that may be long texts. A reader takes up to thousands of rows of a row group into memory together,
+# and its size is that of compressed pages; neither row groups nor pages are measured before a hundred rows, if not told so.
+LONG_ROWS = {"parquet.block.size": str(1 << 19), "parquet.page.size": str(1 << 16), "parquet.page.size.row.check.min": "1"}
+
 _scopes = threading.local()
 
 
