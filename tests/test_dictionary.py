@@ -462,6 +462,7 @@ def test_long_similar_words_are_stored_without_their_copies(spark, tmp_path):
         places[batch] = places.get(batch, -1) + 1
         # The last is not translated: it is found, and finds nothing.
         rows.append((batch, places[batch], word, {"noun": ["en"]} if len(rows) < 149 else {}))
+    rows += [(None, at, f"alone{at}", {"noun": ["en"]}) for at in range(3)]
     told = stage(entry_frame(spark, rows))
     roots = {name: str(tmp_path / name) for name in ("lists", "steps")}
     save_dictionary(process_words(told), roots["lists"])

@@ -153,7 +153,8 @@ def child_rows(
 
     if "similar_steps" in numbered.columns:
         places = F.transform("similar_steps", lambda step: F.col("pos") + step)
-        similar_rows = flatten("similar_word", places, {"pos": "item"})
+        # What belongs to no source batch has similar words of no batch: none are stored, as where they are joined.
+        similar_rows = flatten("similar_word", places, {"pos": "item"}).filter(F.col("source_batch").isNotNull())
     else:
         similar_rows = flatten("similar_word", F.col("similar_words") if similar is None else similar, {"similar_word": "item"})
     return {
